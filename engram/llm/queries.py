@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engram.llm import common, decontam, packing, tokens
+from engram.llm import common, decontam, linedup, packing, tokens, warc
 
 #: Parameter: the tokenizer that the token operators use.
 TOKENIZER = "byte_bpe_50k.json"
@@ -16,6 +16,13 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = common.new_path(spark, "warc")
+    warc.write_archives(common.table(spark, sf_dir, "pages"), path)
+    found = warc.read_archives(spark, path, payload=False)
+    return found.select(warc.record_number("record_id", "long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.record_number("refers_to", "long").alias("refers_to"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(common.table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -29,13 +36,39 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.line_dedup(common.table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "n_spans", "text")
+
+
 QUERIES = {
+    "op1_warc_revisits": op1_warc_revisits,
+    "op9_line_dedup": op9_line_dedup,
     "op2_token_counts": op2_token_counts,
     "op4_decontamination": op4_decontamination,
     "op6_packing": op6_packing,
 }
 
 ORACLE = {
+    "op1_warc_revisits": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+        array_to_string(list_transform(generate_series(0, 31), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+          CAST((CAST('0x' || substr(h, 10 * (j // 8) + 1, 10) AS UBIGINT) >> CAST(35 - 5 * (j % 8) AS UBIGINT)) & 31 AS INTEGER) + 1, 1)), '') AS payload_digest
+      FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < top THEN top END AS refers_to
+FROM m""",
+    "op9_line_dedup": r"""
+WITH l AS (SELECT doc_id, text, CASE WHEN text IS NULL OR text = '' THEN [] ELSE string_split(text, chr(10)) END AS lines FROM documents),
+w AS (SELECT doc_id, i, array_to_string(lines[i : i + 2], chr(10)) AS win
+      FROM (SELECT doc_id, lines, unnest(generate_series(1, len(lines) - 2)) AS i FROM l WHERE len(lines) >= 3)),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS n FROM w WHERE regexp_matches(win, '[^ \t\n\r\v\f]')),
+g AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM r WHERE n > 1) GROUP BY doc_id),
+k AS (SELECT doc_id, text, lines, coalesce(gone, []) AS gone FROM l LEFT JOIN g USING (doc_id))
+SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(gone) AS BIGINT) AS n_removed,
+       CAST(len(list_filter(gone, lambda p: NOT list_contains(gone, p - 1))) AS BIGINT) AS n_spans,
+       CASE WHEN len(gone) = 0 THEN text ELSE array_to_string(list_filter(lines, lambda x, p: NOT list_contains(gone, p)), chr(10)) END AS text
+FROM k""",
     "op4_decontamination": r"""
 WITH w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words
