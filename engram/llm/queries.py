@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engram.llm import common, decontam, linedup, packing, tokens, warc
+from engram.llm import common, compressclf, decontam, linedup, packing, tokens, warc
 
 #: Parameter: the tokenizer that the token operators use.
 TOKENIZER = "byte_bpe_50k.json"
@@ -36,11 +36,17 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return compressclf.quality_scores(docs, common.table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.line_dedup(common.table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "n_spans", "text")
 
 
 QUERIES = {
+    "op8_compression_quality": op8_compression_quality,
     "op1_warc_revisits": op1_warc_revisits,
     "op9_line_dedup": op9_line_dedup,
     "op2_token_counts": op2_token_counts,
