@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engram.llm import common, compressclf, decontam, linedup, packing, pii, rules, tokens, warc
+from engram.llm import common, compressclf, decontam, linedup, neardup, packing, pii, rules, tokens, warc
 
 #: Parameter: the tokenizer that the token operators use.
 TOKENIZER = "byte_bpe_50k.json"
@@ -54,7 +54,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.line_dedup(common.table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "n_spans", "text")
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op10_near_duplicates": op10_near_duplicates,
     "op3_quality_rules": op3_quality_rules,
     "op7_pii_surrogates": op7_pii_surrogates,
     "op8_compression_quality": op8_compression_quality,
