@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engram.llm import common, compressclf, decontam, linedup, neardup, packing, pii, rules, tokens, warc
+from engram.llm import common, compressclf, decontam, linedup, neardup, packing, pii, rules, suffix, tokens, warc
 
 #: Parameter: the tokenizer that the token operators use.
 TOKENIZER = "byte_bpe_50k.json"
@@ -36,6 +36,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeated_spans(common.table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -59,6 +63,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_substring_dedup": op5_substring_dedup,
     "op10_near_duplicates": op10_near_duplicates,
     "op3_quality_rules": op3_quality_rules,
     "op7_pii_surrogates": op7_pii_surrogates,
