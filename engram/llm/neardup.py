@@ -10,6 +10,9 @@ No bucket is expanded into pairs. Documents with equal sets are one class. First
 central member of its buckets (the one that shares most buckets); components of the confirmed links follow. Then only
 buckets that still hold several components are searched for pairs within the radius across components, in blocks of
 bounded size, and what is found is confirmed and joined in.
+
+A second sketch, the parities of how many shingles fall on each of ``PARITIES`` bits, spares most confirmations: two sets
+differ in at least as many shingles as their parities, so a pair whose parities differ too often has no link.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ PERCENT = 85
 HASHES, RADIUS, CHUNKS = 64, 20, 13
 #: Rows of a bucket that are compared with one another in one piece.
 BLOCK = 2000
+PARITIES = 1024
 _RANDOM = np.random.default_rng(20240101)
 _A = _RANDOM.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RANDOM.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -46,6 +50,10 @@ def signature(shingles: np.ndarray) -> bytes:
     return (mix(least) >> np.uint64(48)).astype("<u2").tobytes()
 
 
+def parities(shingles: np.ndarray) -> bytes:
+    return np.packbits(np.bincount((shingles >> np.uint64(54)).astype(np.int64), minlength=PARITIES) & 1).tobytes()
+
+
 def chunk_plan(hashes: int = HASHES, radius: int = RADIUS, chunks: int = CHUNKS) -> list[tuple[int, ...]]:
     """The symbols of each key: for every chunk, all ways to leave out as many symbols as it is allowed errors.
 
@@ -74,7 +82,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 s = shingle_set(text)
                 n.append(len(s))
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                sig.append(signature(s) if len(s) else None)
+                sig.append(signature(s) + parities(s) if len(s) else None)
                 packed.append(squeeze(text) if len(s) else None)
             half = lambda lo: pa.array([None if d is None else int.from_bytes(d[lo : lo + 8], "big", signed=True) for d in digest], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), half(0), half(8), pa.array(sig, pa.binary()), pa.array(packed, pa.binary())], ["doc_id", "n", "h1", "h2", "sig", "packed"])
@@ -82,8 +90,17 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), common.utf8(text_col).alias("text")).mapInArrow(sketch, "doc_id long, n long, h1 long, h2 long, sig binary, packed binary")
 
 
-def _symbols(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), HASHES)
+def _sketch(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols and parities, a row for each sketch."""
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    return np.ascontiguousarray(raw[:, : 2 * HASHES]).view("<u2"), np.ascontiguousarray(raw[:, 2 * HASHES :]).view(np.uint64)
+
+
+def possible(a, b, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Whether sketches a and b of sets of these sizes are within the radius and their parities allow the similarity."""
+    ok = (a[0] != b[0]).sum(1) <= RADIUS
+    apart = np.bitwise_count(a[1] ^ b[1]).sum(1, dtype=np.int64)
+    return ok & (apart * (100 + PERCENT) <= (100 - PERCENT) * (n_a + n_b))
 
 
 def bucket_keys(classes: DataFrame) -> DataFrame:
@@ -92,7 +109,7 @@ def bucket_keys(classes: DataFrame) -> DataFrame:
 
     def emit(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
-            s = _symbols(b.column(1)).astype(np.uint64)
+            s = _sketch(b.column(1))[0].astype(np.uint64)
             node = b.column(0).to_numpy()
             keys = np.empty((len(plan), len(node)), np.uint64)
             for k, symbols in enumerate(plan):
@@ -115,10 +132,10 @@ def within_radius(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     def near(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
             if b.num_rows:
-                ok = (_symbols(b.column(len(names))) != _symbols(b.column(len(names) + 1))).sum(1) <= RADIUS
+                ok = possible(*(_sketch(b.column(len(names) + i)) for i in (0, 1)), *(b.column(len(names) + i).to_numpy() for i in (2, 3)))
                 yield pa.RecordBatch.from_arrays(b.columns[: len(names)], names).filter(pa.array(ok))
 
-    return both.select(*names, "sig_a", "sig_b").mapInArrow(near, types)
+    return both.select(*names, "sig_a", "sig_b", "n_a", "n_b").mapInArrow(near, types)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -149,7 +166,7 @@ def across(rows: DataFrame) -> DataFrame:
         def found(t: pa.Table) -> pa.RecordBatch:
             group = np.stack([t.column(c).to_numpy() for c in ("key", "i", "j")], 1)
             node, comp, n, own = (t.column(c).to_numpy() for c in ("node", "comp", "n", "own"))
-            sig = _symbols(t.column("sig").combine_chunks())
+            symbols, bits = _sketch(t.column("sig").combine_chunks())
             start = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]).any(1)])
             size = np.diff(np.r_[start, len(node)])
             gid = np.repeat(np.arange(len(start)), size)
@@ -161,7 +178,7 @@ def across(rows: DataFrame) -> DataFrame:
                 b = a + o
                 cross = (comp[a] != comp[b]) & (100 * np.minimum(n[a], n[b]) >= PERCENT * np.maximum(n[a], n[b])) & ((group[a, 1] == group[a, 2]) | (own[a] != own[b]))
                 a, b = a[cross], b[cross]
-                ok = (sig[a] != sig[b]).sum(1) <= RADIUS
+                ok = possible((symbols[a], bits[a]), (symbols[b], bits[b]), n[a], n[b])
                 out_a.append(np.minimum(node[a[ok]], node[b[ok]])), out_b.append(np.maximum(node[a[ok]], node[b[ok]]))
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (out_a, out_b)], ["a", "b"])
 
