@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the characters that count as white space.
 WS = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+#: The same as characters to trim.
+BLANKS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 CJK = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"
 
 
@@ -19,11 +21,11 @@ def col(c) -> Column:
 
 def trim(c) -> Column:
     """White space of any kind off both ends."""
-    return F.regexp_replace(col(c), f"^{WS}+|{WS}+$", "")
+    return F.btrim(col(c), F.lit(BLANKS))
 
 
 def rtrim(c) -> Column:
-    return F.regexp_replace(col(c), f"{WS}+$", "")
+    return F.rtrim(col(c), F.lit(BLANKS))
 
 
 def collapse(c) -> Column:
@@ -167,15 +169,12 @@ def first_statement(c) -> Column:
 TEMPORAL = r"(?i)(?:(?<![A-Za-z0-9_])(?:now|currently|changed to|switched to|no longer|instead)(?![A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?:现在|改成|不再|换成|更换|已经|已改)(?=[A-Za-z0-9_]))"
 
 
-def snippet(content, tokens_column) -> Column:
-    """A text of at most 220 characters whole, else a cut around the first query token found in it, else its head."""
-    s = collapse(content)
-    low = F.lower(s)
-    hit = F.get(F.filter(col(tokens_column), lambda t: F.contains(low, t)), F.lit(0))
-    at = F.instr(low, hit) - 1
-    start, end = F.greatest(F.lit(0), at - 90), F.least(F.length(s), at + 130)
+def cut_around(collapsed, at) -> Column:
+    """A text of at most 220 characters whole, else a cut around place ``at`` (from 1; null: nowhere), else its head."""
+    s, i = col(collapsed), col(at) - 1
+    start, end = F.greatest(F.lit(0), i - 90), F.least(F.length(s), i + 130)
     cut = F.concat(F.when(start > 0, "...").otherwise(""), F.substring(s, start + 1, end - start), F.when(end < F.length(s), "...").otherwise(""))
-    return F.when(F.length(s) <= 220, s).when(hit.isNull(), F.concat(F.substring(s, 1, 217), F.lit("..."))).otherwise(cut)
+    return F.when(F.length(s) <= 220, s).when(i.isNull(), F.concat(F.substring(s, 1, 217), F.lit("..."))).otherwise(cut)
 
 
 def json_array_text(c) -> Column:
