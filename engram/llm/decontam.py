@@ -148,8 +148,25 @@ def _frequencies(docs: DataFrame, text_col: str, block) -> dict[tuple[int, int],
     return {(r.q, int(block.value.keys[r.q][r.k])): r.df for r in rows}
 
 
-def _matched(docs: DataFrame, key: list[str], text_col: str, block, strict_types: str) -> DataFrame:
-    """For each document: words, hit places of this block's windows as runs, and the items found."""
+def _folded(runs: list[int], items) -> tuple[int, int, str, bool, list[int]]:
+    """Hit words, number and digest of the items, contaminated, merged runs."""
+    spans: list[list[int]] = []
+    for s, e in sorted(zip(runs[::2], runs[1::2])):
+        if spans and s <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], e)
+        else:
+            spans.append([s, e])
+    ids = sorted({x for x in items if x is not None})
+    hit = sum(e - s for s, e in spans)
+    return hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), hit > 0, [x for span in spans for x in span]
+
+
+RESULT = [("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("runs", pa.list_(pa.int64()))]
+RESULT_TYPES = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, runs array<long>"
+
+
+def _matched(docs: DataFrame, key: list[str], text_col: str, block, strict_types: str, final: bool) -> DataFrame:
+    """For each document: words, hit places of this block's windows as runs, and the items found; folded at once if ``final``."""
 
     def scan(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         win = block.value
@@ -164,9 +181,14 @@ def _matched(docs: DataFrame, key: list[str], text_col: str, block, strict_types
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(hit) > 0).astype(np.int8), [0]])))
                 n_words.append(len(words)), runs.append(edge.tolist())
                 items.append([*set().union(*(win.owners[x] for x in np.unique(w)))])
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n_words, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], [*key, "n_words", "runs", "items"])
+            head = [*b.columns[:-1], pa.array(n_words, pa.int64())]
+            if final:
+                cols = zip(*map(_folded, runs, items)) if runs else [()] * len(RESULT)
+                yield pa.RecordBatch.from_arrays([*head, *(pa.array(c, t) for c, (_, t) in zip(cols, RESULT))], [*key, "n_words", *(n for n, _ in RESULT)])
+            else:
+                yield pa.RecordBatch.from_arrays([*head, pa.array(runs, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], [*key, "n_words", "runs", "items"])
 
-    return docs.select(*key, common.utf8(text_col).alias("text")).mapInArrow(scan, f"{strict_types}, n_words long, runs array<long>, items array<string>")
+    return docs.select(*key, common.utf8(text_col).alias("text")).mapInArrow(scan, f"{strict_types}, {RESULT_TYPES}" if final else f"{strict_types}, n_words long, runs array<long>, items array<string>")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -183,22 +205,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     n_blocks = -(-total // block_bytes)
     id_type = docs.schema[id_col].dataType.simpleString()
     key, types = [id_col], f"`{id_col}` {id_type}"
-    if n_blocks <= 1:
-        parts = [(docs, key, types)]
-    else:  # rows that share an id must stay apart while blocks are put together again
+    if n_blocks > 1:  # rows that share an id must stay apart while blocks are put together again
         docs = common.written(docs.select(F.col(id_col), F.col(text_col).alias("text"), F.expr("uuid()").alias("row_key")), "docs")
         text_col, key, types = "text", [id_col, "row_key"], f"{types}, row_key string"
-        parts = [(docs, key, types)]
     found = []
     for k in range(max(1, n_blocks)):
         some = items if n_blocks <= 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k)
         win = Windows([(r.item_id, bytes(r.text)) for r in some.orderBy("item_id", "text").collect()], window)  # one block: bounded by block_bytes
         block = spark.sparkContext.broadcast(win)
         win.choose(_frequencies(docs, text_col, block) if win.words else {})
-        found.append(_matched(docs, key, text_col, spark.sparkContext.broadcast(win), types))
-    one = found[0]
-    if len(found) > 1:
-        one = reduce(DataFrame.unionByName, found).groupBy(*key).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("items")).alias("items"))
+        found.append(_matched(docs, key, text_col, spark.sparkContext.broadcast(win), types, n_blocks <= 1))
+    if len(found) == 1:
+        return found[0]
+    one = reduce(DataFrame.unionByName, found).groupBy(*key).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("items")).alias("items"))
     return _summary(one, id_col)
 
 
@@ -208,17 +227,7 @@ def _summary(found: DataFrame, id_col: str) -> DataFrame:
 
     def fold(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
-            hits, n_items, digests, merged = [], [], [], []
-            for runs, items in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                spans: list[list[int]] = []
-                for s, e in sorted(zip(runs[::2], runs[1::2])):
-                    if spans and s <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], e)
-                    else:
-                        spans.append([s, e])
-                ids = sorted({x for x in items if x is not None})
-                hits.append(sum(e - s for s, e in spans)), n_items.append(len(ids))
-                digests.append(hashlib.sha256(",".join(ids).encode()).hexdigest()), merged.append([x for span in spans for x in span])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hits, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digests, pa.string()), pa.array([h > 0 for h in hits], pa.bool_()), pa.array(merged, pa.list_(pa.int64()))], [id_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "runs"])
-
-    return found.select(id_col, "n_words", "runs", "items").mapInArrow(fold, f"`{id_col}` {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, runs array<long>")
+            cols = zip(*map(_folded, b.column(2).to_pylist(), b.column(3).to_pylist())) if b.num_rows else [()] * len(RESULT)
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], *(pa.array(c, t) for c, (_, t) in zip(cols, RESULT))], [id_col, "n_words", *(n for n, _ in RESULT)])
+
+    return found.select(id_col, "n_words", "runs", "items").mapInArrow(fold, f"`{id_col}` {id_type}, {RESULT_TYPES}")

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 SIZE = 5
-CACHE = 300_000
+CACHE = 50_000
 _WORDS: dict[bytes, int] = {}
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
