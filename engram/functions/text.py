@@ -169,14 +169,6 @@ def first_statement(c) -> Column:
 TEMPORAL = r"(?i)(?:(?<![A-Za-z0-9_])(?:now|currently|changed to|switched to|no longer|instead)(?![A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?:现在|改成|不再|换成|更换|已经|已改)(?=[A-Za-z0-9_]))"
 
 
-def cut_around(collapsed, at) -> Column:
-    """A text of at most 220 characters whole, else a cut around place ``at`` (from 1; null: nowhere), else its head."""
-    s, i = col(collapsed), col(at) - 1
-    start, end = F.greatest(F.lit(0), i - 90), F.least(F.length(s), i + 130)
-    cut = F.concat(F.when(start > 0, "...").otherwise(""), F.substring(s, start + 1, end - start), F.when(end < F.length(s), "...").otherwise(""))
-    return F.when(F.length(s) <= 220, s).when(i.isNull(), F.concat(F.substring(s, 1, 217), F.lit("..."))).otherwise(cut)
-
-
 def json_array_text(c) -> Column:
     """The JSON array in a model's answer: a fenced block, else the outermost brackets, else the whole."""
     c = col(c)

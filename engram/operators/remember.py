@@ -8,34 +8,39 @@ against the records as they stood before it; where several hit one record, the l
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engram.functions import text as T
+from engram.operators.search import hash_vector, words
 
 THRESHOLD, CANDIDATE_SHARE, EVALUATED = 0.85, 0.7, 0.7
 DIMS = 128
 
 
-def buckets(tokens: Column, dims: int = DIMS) -> Column:
-    """Counts of tokens by hash bucket, the signs left out: with an even number of buckets a bucket has one sign."""
-    b = F.transform(tokens, lambda t: (T.fnv1a32(t) % dims).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(b, lambda x: x == i)).cast("double"))
-
+def features(rows: DataFrame, key: str) -> DataFrame:
+    """What similarity needs of records or inputs: key, scope_key, kind, distinct tokens, and the hashed vector scaled to length 1.
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
+    One Arrow pass, in which each worker hashes a token once; scores agree with the column functions of ``engram.functions.text``.
+    """
+    key_type = rows.schema[key].dataType.simpleString()
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tokens, vectors = [], []
+            for t in b.column(3).to_pylist():
+                found = words(t)
+                v = hash_vector(found, DIMS)
+                tokens.append([*dict.fromkeys(found)]), vectors.append(v / (np.sqrt(v @ v) or 1.0))
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(vectors) if vectors else np.zeros(0)), DIMS).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(tokens, pa.list_(pa.string())), flat], ["key", "scope_key", "kind", "tokens", "v"])
 
-def features(rows: DataFrame, key: str) -> DataFrame:
-    """What similarity needs of records or inputs: key, group, distinct tokens, bucket counts."""
-    t = rows.select(F.col(key).alias("key"), "scope_key", "kind", T.tokens(T.search_text()).alias("all"))
-    # counts by bucket on exploded tokens: each distinct token is hashed once per text
-    flat = t.select("key", F.explode("all").alias("x")).groupBy("key", "x").agg(F.count(F.lit(1)).alias("n")).withColumn("b", (T.fnv1a32("x") % DIMS).cast("int"))
-    vec = flat.groupBy("key", "b").agg(F.sum("n").cast("double").alias("n")).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("v"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    return t.select("key", "scope_key", "kind", F.array_distinct("all").alias("tokens")).join(vec, "key", "left")
+    picked = rows.select(F.col(key).alias("key"), "scope_key", "kind", T.search_text())
+    return picked.mapInArrow(read, f"key {key_type}, scope_key string, kind string, tokens array<string>, v array<double>")
 
 
 def similarities(inputs: DataFrame, records: DataFrame, cut: float) -> DataFrame:
@@ -45,9 +50,8 @@ def similarities(inputs: DataFrame, records: DataFrame, cut: float) -> DataFrame
     left = a.select(F.col("key").alias("ord"), "scope_key", "kind", F.size("tokens").alias("n"), F.explode("tokens").alias("x"))
     right = b.select(F.col("key").alias("id"), "scope_key", "kind", F.explode("tokens").alias("x"))
     shared = left.join(right, ["scope_key", "kind", "x"]).groupBy("ord", "id").agg((F.count(F.lit(1)) / F.max("n")).alias("overlap")).filter(F.col("overlap") >= least - 1e-9)
-    va, vb = a.select(F.col("key").alias("ord"), F.col("v").alias("va"), F.col("norm").alias("na")), b.select(F.col("key").alias("id"), F.col("v").alias("vb"), F.col("norm").alias("nb"))
-    dot = F.aggregate(F.map_entries("va"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("vb", e["key"]), F.lit(0.0)))
-    cos = F.when(F.col("na") * F.col("nb") > 0, dot / (F.col("na") * F.col("nb"))).otherwise(0.0)
+    va, vb = a.select(F.col("key").alias("ord"), F.col("v").alias("va")), b.select(F.col("key").alias("id"), F.col("v").alias("vb"))
+    cos = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     j = shared.join(va, "ord").join(vb, "id").withColumn("similarity", 0.5 * F.col("overlap") + 0.5 * T.clamp((cos + 1) / 2, 0, 1))
     return j.filter(F.col("similarity") >= cut - 1e-12).select("ord", "id", "overlap", "similarity")
 

@@ -299,11 +299,31 @@ def with_snippets(hits: DataFrame, records: DataFrame, queries: DataFrame) -> Da
     j = hits.join(records.select("id", "content", "metadata"), "id").join(q, "query_id")
     task = F.get_json_object("metadata", "$.taskId")
     tools = F.array_join(F.array_compact(F.array(F.concat(F.lit("get:"), "id"), F.when(task.isNotNull(), F.concat(F.lit("task_window:"), task)))), ";")
-    flat = j.select(*hits.columns, tools.alias("evidence"), F.explode_outer("qt").alias("token"), F.col("qt").alias("all_tokens"), T.collapse("content").alias("s"))
-    # the first token found: one row for each token, so that the text is prepared once for each
-    at = flat.withColumn("at", F.instr(F.lower("s"), F.col("token"))).withColumn("ord", F.array_position("all_tokens", F.col("token")))
-    first = at.groupBy(*hits.columns, "evidence", "s").agg(F.min_by("at", F.when(F.col("at") > 0, F.col("ord"))).alias("at"))
-    return first.select(*hits.columns, T.cut_around("s", "at").alias("snippet"), "evidence")
+    names = [*hits.columns, "snippet", "evidence"]
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hits.schema.fields) + ", snippet string, evidence string"
+
+    def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            texts = [snippet(t, q) for t, q in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.array(texts, pa.string()), b.column(b.num_columns - 3)], names)
+
+    return j.select(*hits.columns, tools.alias("evidence"), "content", "qt").mapInArrow(cut, types)
+
+
+BLANK_RUN = re.compile(f"[{re.escape(T.BLANKS)}]+")
+
+
+def snippet(content: str, tokens: list[str]) -> str:
+    """A text of at most 220 characters whole, else a cut around the first query token found in it, else its head."""
+    s = BLANK_RUN.sub(" ", content).strip(T.BLANKS)
+    if len(s) <= 220:
+        return s
+    low = s.lower()
+    at = next((low.index(t) for t in tokens if t in low), None)
+    if at is None:
+        return s[:217] + "..."
+    start, end = max(0, at - 90), min(len(s), at + 130)
+    return ("..." if start else "") + s[start:end] + ("..." if end < len(s) else "")
 
 
 # -- recall

@@ -17,9 +17,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer files than cores dealt to all cores, for passes that are heavy on each row; tables of many files stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def memory_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and labels as records."""
-    d, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    d, labels = spread(read(spark, sf_dir, "documents")), read(spark, sf_dir, "labels")
     n = F.col("doc_id")
     hours = lambda h: F.timestamp_seconds(F.lit(1704067200) + h * 3600)
     at = hours(n % 8000)
