@@ -90,12 +90,12 @@ def remembered(inputs: DataFrame, records: DataFrame, decided: DataFrame, now: C
         F.max_by("action", F.when(F.col("action") != "ignore", F.col("ord"))).alias("act"), F.max_by("i_content", F.when(F.col("action") != "ignore", F.col("ord"))).alias("i_content"),
         F.max(F.when(F.col("action") == "update", F.coalesce("i_importance", F.lit(0.5)))).alias("up_i"), F.max(F.when(F.col("action") == "update", F.coalesce("i_confidence", F.lit(0.7)))).alias("up_c"),
         F.max_by("i_importance", F.when(F.col("action") == "contradict", F.col("ord"))).alias("con_i"), F.max_by("i_confidence", F.when(F.col("action") == "contradict", F.col("ord"))).alias("con_c"),
-        F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", "i_tags"))), lambda x: x.i_tags))).alias("i_tags"), F.lit(True).alias("hit"),
+        F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", "i_tags"))), lambda x: x.i_tags))).alias("i_tags"), F.lit(True).alias("hit"), F.max(F.when(F.col("action") == "contradict", F.col("ord"))).alias("con_ord"),
     )
     j = records.join(last, "id", "left")
     text = F.coalesce(T.trim("i_content"), F.col("content"))
     contra = F.coalesce(F.col("act") == "contradict", F.lit(False))
-    old = F.when(contra, F.col("content"))
+    old = F.when(F.col("con_ord").isNotNull(), F.col("content"))
     out = j.withColumn("previous_content", old).withColumn("summary", F.when(F.col("i_content").isNotNull(), T.summarize(text)).otherwise(F.col("summary"))).withColumn("content", text)
     out = out.withColumn("importance", T.clamp(F.when(contra, F.coalesce("con_i", F.lit(0.5))).otherwise(F.greatest("importance", F.coalesce("up_i", F.lit(0.0)))), 0, 1))
     out = out.withColumn("confidence", T.clamp(F.when(contra, F.coalesce("con_c", F.lit(0.7))).otherwise(F.greatest("confidence", F.coalesce("up_c", F.lit(0.0)))), 0.05, 1))
