@@ -31,12 +31,14 @@ CYRILLIC_VOWELS, CYRILLIC_CONSONANTS = "аеиоуыэюя", "бвгджзклм
 #: Titles before a name, and first names by gender and script.
 TITLES = ["Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Señor", "Señora", "Sr", "Sra", "Monsieur", "Madame", "Mme", "г-н", "г-жа"]
 FIRST = {
-    ("m", "latin"): ["Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Leo", "Martin", "Noah", "Oscar", "Paul", "Robert", "Simon", "Thomas", "Victor"],
-    ("f", "latin"): ["Alice", "Beatrice", "Clara", "Diana", "Emma", "Flora", "Greta", "Helen", "Irene", "Julia", "Klara", "Laura", "Maria", "Nina", "Olga", "Paula", "Rosa", "Sofia", "Teresa", "Vera"],
+    ("m", "latin"): ["Adam", "Alexander", "Andrew", "Bob", "Bruno", "Carl", "Charles", "Daniel", "David", "Emil", "Felix", "Georg", "George", "Henry", "Hugo", "Ivan", "James", "John", "Jonas", "Joseph", "Karl", "Leo", "Lucas", "Mark", "Martin", "Michael", "Noah", "Oscar", "Paul", "Peter", "Richard", "Robert", "Simon", "Stefan", "Thomas", "Victor", "William"],
+    ("f", "latin"): ["Alice", "Anna", "Barbara", "Beatrice", "Clara", "Diana", "Elena", "Elizabeth", "Emma", "Eva", "Flora", "Greta", "Hannah", "Helen", "Irene", "Jennifer", "Julia", "Karen", "Klara", "Laura", "Linda", "Lisa", "Maria", "Mary", "Nina", "Olga", "Paula", "Rosa", "Sara", "Sarah", "Sofia", "Susan", "Teresa", "Vera"],
     ("m", "cyrillic"): ["Алексей", "Борис", "Виктор", "Григорий", "Дмитрий", "Егор", "Иван", "Кирилл", "Михаил", "Николай"],
     ("f", "cyrillic"): ["Анна", "Вера", "Галина", "Дарья", "Елена", "Ирина", "Мария", "Наталья", "Ольга", "Светлана"],
 }
 
+#: Last letters that mark a first name's gender.
+GENDERED = "aoая"
 NAME = r"[^\W\d_][\w'’-]*"
 DETECTORS: list[tuple[str, str, re.Pattern]] = [
     # type, what a text must contain (empty: anything), pattern; group "v", if any, is the entity
@@ -130,17 +132,20 @@ def recased(value: str, like: str) -> str:
     return "".join(v.upper() if c.isupper() else v for v, c in zip(value, like))
 
 
-def name_word(word: str, key: bytes) -> str:
-    """A pronounceable word of the same shape: vowels for vowels, consonants for consonants, in the same script."""
+def name_word(word: str, key: bytes, ending: str = "") -> str:
+    """A pronounceable word of the same shape: vowels for vowels, consonants for consonants, in the same script; a last letter of ``ending`` stays."""
     low = word.lower()
     if len(low) != len(word):
         return word
     sets = (VOWELS, CONSONANTS, CYRILLIC_VOWELS, CYRILLIC_CONSONANTS)
-    return recased(permute(low, [next((s for s in sets if c in s), c) for c in low], key, "surname"), word)
+    alphabets = [next((s for s in sets if c in s), c) for c in low]
+    if low[-1:] and low[-1] in ending:
+        alphabets[-1] = low[-1]
+    return recased(permute(low, alphabets, key, "surname"), word)
 
 
 def first_name(word: str, key: bytes) -> str:
-    """A listed name moves within its gender's list, whatever the title says of its bearer; any other becomes an unlisted word of its shape."""
+    """A listed name moves within its gender's list, whatever the title says of its bearer; any other becomes an unlisted word of its shape with the ending that marks its gender."""
     script = "cyrillic" if re.match("[а-яё]", word.lower()) else "latin"
     for gender in ("m", "f"):
         names = FIRST[gender, script]
@@ -148,9 +153,9 @@ def first_name(word: str, key: bytes) -> str:
             shift = 1 + hmac.new(key, f"{gender}{script}".encode(), hashlib.sha256).digest()[0] % (len(names) - 1)
             return names[(names.index(word) + shift) % len(names)]
     listed = {n for names in FIRST.values() for n in names}
-    out = name_word(word, key)
+    out = name_word(word, key, GENDERED)
     while out in listed:
-        out = name_word(out, key)
+        out = name_word(out, key, GENDERED)
     return out
 
 
