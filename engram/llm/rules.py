@@ -26,7 +26,7 @@ MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW, SYMBOLS, SPACES = 50, 50, 3, "#*$%
 KEEP_FROM = 0.3
 BITS = 17
 TRAIN_DOCS, CALIBRATE_DOCS = 1200, 3000
-STEPS, RATE, DECAY = 200, 0.3, 1e-6
+STEPS, RATE, DECAY = 100, 0.3, 1e-6
 SCALE = 8.0
 CACHE = 300_000
 _HASHES: dict[bytes, int] = {}
