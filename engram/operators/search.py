@@ -27,6 +27,8 @@ from engram.operators.records import past_validity
 from engram.plans.views import hot_keys
 
 BLOCK, BLOCK_BYTES = 512, 2_000_000
+#: Records that are scored at once, which bounds the matrices of a task.
+SLICE = 512
 #: The signals' weights, the index's ranks and its constants.
 WEIGHTS = {"lexical": 0.45, "hash": 0.35, "recency": 0.08, "importance": 0.07, "scope": 0.05, "entity": 0.18, "fts": 0.22, "principle": 0.10}
 FTS_RANKS, FTS_STEP, FTS_LEAST = 30, 0.022, 0.3
@@ -176,7 +178,7 @@ def full_text_ranks(records: DataFrame, block: Block, most: int = FTS_RANKS) ->
             for p in ps:
                 weights[b_.phrase_ids[p], q] = idf[b_.phrase_ids[p]]
         best = _Best(b_.ids, most)
-        for b in rows:
+        for b in (whole.slice(lo, SLICE) for whole in rows for lo in range(0, whole.num_rows, SLICE)):
             tf = np.zeros((b.num_rows, len(b_.phrase_ids)))
             for i, t in enumerate(b.column(1).to_pylist()):
                 found = terms(t)
@@ -264,7 +266,7 @@ def _search(records: DataFrame, block: Block, now: Column, entity: DataFrame | N
         b_ = shared.value
         at = {q: i for i, q in enumerate(b_.ids)}
         best = _Best(b_.ids, most)
-        for b in rows:
+        for b in (whole.slice(lo, SLICE) for whole in rows for lo in range(0, whole.num_rows, SLICE)):
             c = {n: b.column(i) for i, n in enumerate(b.schema.names)}
             n = b.num_rows
             has, vec = np.zeros((n, len(b_.vocab)), np.float32), np.zeros((n, DIMS))
