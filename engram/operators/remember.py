@@ -1,6 +1,6 @@
 """Duplicate-aware writes: a batch of inputs against the stored records.
 
-Inputs meet records of their scope and kind on shared tokens only. The similarity is half token overlap (over the
+Inputs meet records of their scope and kind on shared rare tokens only. The similarity is half token overlap (over the
 input's tokens) and half (1 + cosine) / 2 of the hashed vectors; as the cosine of these vectors is never above 1, a pair
 below ``2 * cut - 1`` overlap cannot reach the cut, and its vectors are never compared. Inputs of one batch are decided
 against the records as they stood before it; where several hit one record, the last one's text stays.
@@ -44,15 +44,26 @@ def features(rows: DataFrame, key: str) -> DataFrame:
 
 
 def similarities(inputs: DataFrame, records: DataFrame, cut: float) -> DataFrame:
-    """(ord, id, overlap, similarity) of inputs (ord, ...) and records with the same scope and kind, from ``cut`` on."""
-    least = max(0.0, 2 * cut - 1)
-    a, b = features(inputs, "ord"), features(records, "id")
-    left = a.select(F.col("key").alias("ord"), "scope_key", "kind", F.size("tokens").alias("n"), F.explode("tokens").alias("x"))
+    """(ord, id, overlap, similarity) of inputs (ord, ...) and records with the same scope and kind, from ``cut`` on.
+
+    A record that shares a part t of an input's n tokens has at least one of any n - ceil(t * n) + 1 of them, so an input is looked up
+    by that many of its rarest tokens only; frequent words join nothing, whatever the size of a scope.
+    """
+    least = 2 * cut - 1
+    if least <= 0:
+        raise ValueError("a cut of one half or less would admit pairs without a common token")
+    a, b = features(inputs, "ord").persist(), features(records, "id").persist()  # each is read several times; lost parts are computed again
     right = b.select(F.col("key").alias("id"), "scope_key", "kind", F.explode("tokens").alias("x"))
-    shared = left.join(right, ["scope_key", "kind", "x"]).groupBy("ord", "id").agg((F.count(F.lit(1)) / F.max("n")).alias("overlap")).filter(F.col("overlap") >= least - 1e-9)
-    va, vb = a.select(F.col("key").alias("ord"), F.col("v").alias("va")), b.select(F.col("key").alias("id"), F.col("v").alias("vb"))
+    df = right.groupBy("x").agg(F.count(F.lit(1)).alias("df"))
+    flat = a.select("key", "scope_key", "kind", F.explode("tokens").alias("x")).join(df, "x", "left")
+    ranked = flat.groupBy("key", "scope_key", "kind").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "x"))).alias("ts"))
+    n = F.size("ts")
+    prefix = ranked.select(F.col("key").alias("ord"), "scope_key", "kind", F.explode(F.slice("ts", 1, n - F.ceil(n * F.lit(least) - 1e-9).cast("int") + 1)).alias("t")).select("ord", "scope_key", "kind", F.col("t.x").alias("x"))
+    pairs = prefix.join(right, ["scope_key", "kind", "x"]).select("ord", "id").distinct()
+    both = pairs.join(a.select(F.col("key").alias("ord"), F.col("tokens").alias("ta"), F.col("v").alias("va")), "ord").join(b.select(F.col("key").alias("id"), F.col("tokens").alias("tb"), F.col("v").alias("vb")), "id")
+    near = both.withColumn("overlap", T.overlap("ta", "tb")).filter(F.col("overlap") >= least - 1e-9)
     cos = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    j = shared.join(va, "ord").join(vb, "id").withColumn("similarity", 0.5 * F.col("overlap") + 0.5 * T.clamp((cos + 1) / 2, 0, 1))
+    j = near.withColumn("similarity", 0.5 * F.col("overlap") + 0.5 * T.clamp((cos + 1) / 2, 0, 1))
     return j.filter(F.col("similarity") >= cut - 1e-12).select("ord", "id", "overlap", "similarity")
 
 
