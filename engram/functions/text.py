@@ -28,13 +28,18 @@ def rtrim(c) -> Column:
     return F.rtrim(col(c), F.lit(BLANKS))
 
 
+def spaced(c) -> Column:
+    """Every white-space character as a blank, runs of blanks as one: the pattern meets only what has several."""
+    return F.regexp_replace(F.translate(col(c), BLANKS, " " * len(BLANKS)), " {2,}", " ")
+
+
 def collapse(c) -> Column:
-    return trim(F.regexp_replace(col(c), f"{WS}+", " "))
+    return trim(spaced(c))
 
 
 def normalize(c) -> Column:
     """Lower case, runs of white space as one blank, trimmed."""
-    return trim(F.regexp_replace(F.lower(col(c)), f"{WS}+", " "))
+    return trim(spaced(F.lower(col(c))))
 
 
 def clamp(c, low: float, high: float) -> Column:

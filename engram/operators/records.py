@@ -181,9 +181,9 @@ def merge_plan(groups: DataFrame, guarded: DataFrame, most: int = 5, total: int
     g = groups.filter(F.col("rank") <= most)
     keep = g.filter("rank = 0").select("group_id", F.col("id").alias("keep"))
     drop = g.filter("rank > 0").join(guarded.select("id"), "id", "left_anti").select("group_id", F.col("id").alias("drop"))
-    plan = keep.join(drop, "group_id")
-    count = plan.agg(F.count(F.lit(1)).alias("planned"))
-    return plan.crossJoin(F.broadcast(count)).filter(F.col("planned") <= total).drop("planned")
+    plan = keep.join(drop, "group_id").withColumn("job", F.lit(1))
+    allowed = plan.groupBy("job").agg(F.count(F.lit(1)).alias("planned")).filter(F.col("planned") <= total).select("job")
+    return plan.join(F.broadcast(allowed), "job", "left_semi").drop("job")  # one row at most
 
 
 def kind_digest(records: DataFrame, chars: int = 150) -> DataFrame:
@@ -228,7 +228,8 @@ def observation(records: DataFrame, now: Column, index_ids: DataFrame) -> DataFr
     lost = dangling_supports(records).agg(F.count(F.lit(1)).alias("supports_missing"))
     stale = index_ids.select("id").join(records.select("id"), "id", "left_anti").agg(F.count(F.lit(1)).alias("fts_stale"))
     rows = index_ids.agg(F.count(F.lit(1)).alias("fts_rows"))
-    return base.crossJoin(lost).crossJoin(stale).crossJoin(rows)
+    parts = base.unionByName(lost, allowMissingColumns=True).unionByName(stale, allowMissingColumns=True).unionByName(rows, allowMissingColumns=True)
+    return parts.agg(*[F.max(c).alias(c) for c in parts.columns])
 
 
 def judged(snapshots: DataFrame) -> DataFrame:
