@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engram.operators import cloud, search
@@ -60,7 +63,7 @@ def search_scoped(spark, d):
 @query("SELECT query_id, id, CAST(rk AS INT) AS rank FROM fts", M, SIGNALS)
 def search_full_text(spark, d):
     m = V.memory_items(spark, d)
-    return search.full_text_ranks(m, search.blocks(_queries(spark, d), None)[0])
+    return reduce(DataFrame.unionByName, [search.full_text_ranks(m, b) for b in search.blocks(_queries(spark, d), None)])
 
 
 @query("""WITH t AS (SELECT CAST(item_id AS VARCHAR) AS query_id, 'doc-' || doc_id AS id, CAST(item_id % 3 AS VARCHAR) AS category FROM benchmark b, documents d WHERE contains(d.text, b.text)), s AS (SELECT *, validity * (0.45 * lexical + 0.35 * hash + 0.08 * recency + 0.07 * importance + 0.025 + 0.22 * fts + 0.10 * principle) AS score FROM sc),

@@ -41,5 +41,12 @@ def test_agrees(spark, duck, name):
     assert got == sorted(tuple(shown(r[i]) for i in order) for r in rows)
 
 
+def test_full_text_of_several_blocks(spark, duck, monkeypatch):
+    from engram.operators import search
+
+    monkeypatch.setattr(search, "BLOCK", 16)
+    test_agrees(spark, duck, "search_full_text")
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
