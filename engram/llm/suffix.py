@@ -216,8 +216,8 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _occurrences(texts: DataFrame, window: int, counted: bool) -> DataFrame:
-    """Fragments of all texts: (h, fd, n, k) combined within a task, or every one as (h, fd, k, span)."""
-    names = ["h", "fd", "n", "k"] if counted else ["h", "fd", "k", "span"]
+    """Fragments of all texts: (h, fd, n, k) combined within a task, or every one as (h, fd, k, span, lead); lead is 1 at a text's first of each (h, fd)."""
+    names = ["h", "fd", "n", "k"] if counted else ["h", "fd", "k", "span", "lead"]
 
     def scan(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -240,7 +240,10 @@ def _occurrences(texts: DataFrame, window: int, counted: bool) -> DataFrame:
                     held.append((h, fd, keys))
                     size += len(at)
                 else:
-                    yield pa.RecordBatch.from_arrays([_signed(h), _signed(fd), pa.array(keys), pa.array((at << 20) | (off << 10) | (count - 1))], names)
+                    order = np.lexsort((fd, h))
+                    lead = np.zeros(len(at), np.int64)
+                    lead[order[np.r_[True, (h[order[1:]] != h[order[:-1]]) | (fd[order[1:]] != fd[order[:-1]])]]] = 1
+                    yield pa.RecordBatch.from_arrays([_signed(h), _signed(fd), pa.array(keys), pa.array((at << 20) | (off << 10) | (count - 1)), pa.array(lead)], names)
             if size > 400_000:
                 yield from combined()
                 held.clear()
@@ -284,6 +287,13 @@ def _dealt(joined: DataFrame, window: int) -> DataFrame:
     return joined.mapInArrow(cut, "route long, k long, first long, off int, count int, bytes binary")
 
 
+def _kinds(rows: pa.Table) -> pa.Table:
+    """The first row of each kind, so of equal windows at an equal anchor; rows of one kind are twins, and repeat as a whole."""
+    numbered = rows.append_column("row", pa.array(np.arange(rows.num_rows)))
+    first = numbered.group_by(["route", "off", "count", "bytes"]).aggregate([("row", "min")]).column("row_min").to_numpy()
+    return rows.take(pa.array(np.sort(first)))
+
+
 def _sorted(rows: DataFrame, window: int) -> DataFrame:
     """Repeated windows among fragments that share a route: (k, first, last), the places of the first and the last."""
 
@@ -311,9 +321,9 @@ def _sorted(rows: DataFrame, window: int) -> DataFrame:
             if begin:
                 yield found(t.slice(0, begin))
                 t = t.slice(begin)
-            elif n > 4 * VERY_MANY:  # one window, or one block's core, in very many places: one row stands for those before
+            elif n > 4 * VERY_MANY:  # few kinds in very many places: one row of each kind stands for those before
                 yield found(t)
-                t = t.slice(0, 1)
+                t = _kinds(t)
             held, n = t.to_batches(), t.num_rows
         if held:
             yield found(pa.Table.from_batches(held))
@@ -344,7 +354,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pack(t) for t in b.column(2).to_pylist()], pa.binary())], ["k", "id", "packed"])
 
     packed = keyed.mapInArrow(squeeze, f"k long, id {id_type}, packed binary")
-    todo = places.filter("size >= 0 and (n = 1 or k = source)").groupBy("k").agg(F.collect_set(F.struct("h", "span", "size")).alias("todo"))
+    todo = places.filter("size >= 0 and (n = 1 or (k = source and lead = 1))").groupBy("k").agg(F.collect_set(F.struct("h", "span", "size")).alias("todo"))
     dealt = _dealt(packed.select("k", "packed").join(todo, "k").select("k", "packed", "todo"), window)
     found = _sorted(dealt.repartition("route").sortWithinPartitions("route", "k", "first"), window)
 

@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from engram.llm import linedup, neardup, suffix
 from engram.llm.components import components
@@ -91,6 +92,18 @@ def test_many_different_fragments_of_one_anchor(spark, monkeypatch):
         assert spans(df) == whole
 
 
+@pytest.mark.parametrize("length,copies", [(30_000, 1), (300, 1000)])
+def test_very_many_places_of_one_anchor(spark, monkeypatch, length, copies):
+    monkeypatch.setattr(suffix, "VERY_MANY", 1500)
+    char = min("-=*#~.:_ 0", key=lambda c: suffix.fragments(c.encode() * 200)[3][0])  # its gram has the least hash, so it anchors what is around a run
+    edges = [prose(800 + i, 40)[:30] + char * 300 for i in range(12)]  # shared, within fragments that differ
+    source = "".join(prose(900 + i, 60) + e for i, e in enumerate(edges)) + char * length
+    least = spark.range(1000, 1400).orderBy(F.xxhash64(F.col("id").cast("string"), F.lit(source))).first().id  # it sorts before the others
+    data = [(i, prose(950 + i, 60) + e) for i, e in enumerate(edges)] + [(least, source)] * copies
+    got = spans(spark.createDataFrame(data, "doc_id long, text string"))
+    assert len(got) == len(data) and set(got) == set(brute_spans(data[:14]))  # two copies stand for all
+
+
 def test_suffix_sort_and_collisions(monkeypatch):
     rnd = np.random.default_rng(1)
     text = bytes(rnd.integers(97, 99, 4000, dtype=np.uint8))
