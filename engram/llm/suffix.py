@@ -10,7 +10,8 @@ Sort: such fragments meet by anchor. Their suffixes are sorted by mergesort; two
 binary search for their common extension over prefix polynomial hashes, so in a logarithmic number of steps. Windows are taken in
 blocks of 16, then 4, then 1 offset before the anchor: a block's windows share a core of bytes, fragments whose cores
 sort apart have no window in common there, and fragments that agree on the whole block repeat all of it. Whatever the hashes call
-equal is compared byte by byte; a collision sends its segment to a sort of the bytes themselves.
+equal is compared byte by byte, so a collision never removes text; as the sort trusts the hashes, equal windows of a segment with a
+64-bit collision may not lie side by side, and then stay.
 
 Anchors with very many different fragments are dealt out by the digest of a block's core, or of the single window, so that no
 group grows with the corpus. Only small rows and compressed texts are shuffled.
