@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,22 +11,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch sent to Python, so that a batch of long texts stays in memory.
-BATCH_ROWS = 256
+#: Rows and bytes of an Arrow batch sent to Python: a batch of long texts ends at the bytes (one row at least).
+BATCH_ROWS, BATCH_BYTES = 256, 32_000_000
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch size to ``BATCH_ROWS`` where it is larger."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Lower the session's Arrow batch limits to ``BATCH_ROWS`` and ``BATCH_BYTES`` where they are larger.
+
+    Spark reads them when a plan runs, which is after an operator has returned, so they stay set.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
+        if not now or not 0 < int(now[1]) <= most:
+            spark.conf.set(key, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder serves a local master, whose only process is this one; on a cluster it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
         base = "file://" + tempfile.mkdtemp(prefix="engram-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -50,6 +60,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
+def row_key(*columns: str) -> tuple[F.Column, F.Column]:
+    """Two 64-bit hashes of a row's columns, so 128 bits: rows of one key are copies, and what is found of one holds for all."""
+    values = [F.col(c).cast("string") for c in columns]
+    return F.xxhash64(*values), F.xxhash64(F.lit("second"), *reversed(values))
+
+
 def utf8(column) -> F.Column:
     """The UTF-8 bytes of a text column; null counts as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).cast("binary")

@@ -4,7 +4,7 @@ from zlib import crc32
 
 import pytest
 
-from engram.llm import compressclf, rules
+from engram.llm import common, compressclf, rules
 
 
 def brute(t):
@@ -66,8 +66,31 @@ def test_without_labels(spark, docs, labelled):
     assert compressclf.quality_scores(docs, one).filter("predicted = 1").count() == docs.count()
 
 
+def test_the_sample_takes_long_texts_and_one_row_an_id(spark):
+    rows = [(1, "b" * 300_000), (1, "a" * 300_000), (1, "a" * 300_000), (2, "x"), (None, "n")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (None, 1)], "doc_id long, quality int")
+    assert compressclf.sample(d, labels, lambda c: compressclf.fold(c) >= 0, 10) == [(b"a" * 300_000, 1), (b"x", 0)]
+    assert compressclf.quality_scores(d, labels).count() == len(rows)
+
+
 def test_labels_of_the_held_out_fold_change_nothing(spark, labelled):
     d, labels = labelled
     flipped = spark.createDataFrame([(r.doc_id, 1 - r.quality if crc32(str(r.doc_id).encode()) % 5 == 0 else r.quality, 0) for r in labels.collect()], labels.schema)
     a, b = ({r.doc_id: r.score for r in compressclf.quality_scores(d, x).collect()} for x in (labels, flipped))
     assert a == b
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf(dict):
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())
