@@ -25,8 +25,6 @@ from engram.llm import common
 
 TRAIN_DOCS = 1500
 CALIBRATE_DOCS = 3000
-#: Longer texts are not taken into the fitting sample; they are scored like any other.
-TRAIN_MAX_BYTES = 65_536
 DICT_BYTES = 112_640
 BLOCK = 1024
 LEVEL = 3
@@ -42,7 +40,8 @@ def fold(id_col: str = "doc_id") -> F.Column:
 def sample(docs: DataFrame, labels: DataFrame, where, rows: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", by_label: bool = True) -> list[tuple[bytes, int]]:
     """Texts and labels of at most ``rows`` labelled documents (of each label, or of all), by a hash of the id: bounded, so it may go to the driver.
 
-    The chosen ids, which are as few, meet the documents where those are read; texts aren't shuffled.
+    The chosen ids, which are as few, meet the documents where those are read. Texts are taken whole, whatever their length; of rows that
+    share an id and label, one is taken (the least text), which each task picks before anything is shuffled.
     """
     slim = labels.select(F.col(id_col).alias("sample_id"), F.col(label_col).cast("int").alias("sample_label")).filter(F.col("sample_id").isNotNull() & F.col("sample_label").isin(0, 1))
     slim = slim.filter(where("sample_id")).distinct()
@@ -51,9 +50,10 @@ def sample(docs: DataFrame, labels: DataFrame, where, rows: int, id_col: str = "
         chosen = slim.orderBy(*by_hash).limit(rows)
     else:
         chosen = slim.filter("sample_label = 0").orderBy(*by_hash).limit(rows).unionAll(slim.filter("sample_label = 1").orderBy(*by_hash).limit(rows))
-    texts = docs.select(F.col(id_col), common.utf8(text_col).alias("t")).filter(F.octet_length("t") <= TRAIN_MAX_BYTES)
-    got = texts.join(F.broadcast(chosen), F.col(id_col) == F.col("sample_id")).select("sample_id", "t", "sample_label").collect()
-    return [(bytes(r.t), r.sample_label) for r in sorted(got, key=lambda r: (r.sample_id, r.sample_label, bytes(r.t)))]
+    texts = docs.select(F.col(id_col), common.utf8(text_col).alias("t"))
+    found = texts.join(F.broadcast(chosen), F.col(id_col) == F.col("sample_id"))
+    got = found.groupBy("sample_id", "sample_label").agg(F.min("t").alias("t")).collect()
+    return [(bytes(r.t), r.sample_label) for r in sorted(got, key=lambda r: (r.sample_id, r.sample_label))]
 
 
 @dataclass
