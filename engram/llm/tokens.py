@@ -3,20 +3,23 @@
 A byte-level BPE splits a text into pieces by a fixed pattern and merges within a piece. For every
 prefix of a piece exactly one token can end it: the token ``t`` for which the encoding of what stands
 before ``t`` may be followed by ``t``, that is, for which the pair (last token before, ``t``) encodes to
-itself. So one pass over a piece stores the last token and the exact count at each of its prefixes, and a
-text's count at any prefix is a sum of whole pieces and one stored number. Truncation points and budgets
-are read from the table; nothing is encoded again. Pieces repeat, so their counts are kept in a bounded
-cache of each worker.
+itself. So one pass over a piece gives the last token and the exact count at each of its prefixes.
+
+The counts of all prefixes of a text are stored with its row, as differences from character to character (a byte each,
+compressed). Limits, truncation points and budgets are read from them; nothing is encoded again. Pieces
+repeat, so their differences are kept in a bounded cache of each worker.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +29,8 @@ from engram.llm import common
 CACHE = 400_000
 #: Fixed value: the pattern by which byte-level BPE of this family splits text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The pieces of three characters whose first two are two pieces.
+CONTRACTIONS = ("'re", "'ve", "'ll")
 
 
 def byte_letters() -> dict[str, int]:
@@ -68,13 +73,18 @@ class PrefixCounter:
             self.rank[a, b] = r
             self.halves.setdefault(a + b, (a, b))
         self.longest = max(map(len, self.ids))
+        lengths: dict[bytes, set[int]] = {}
+        for token in self.ids:
+            lengths.setdefault(token[-2:], {1}).add(len(token))
+        self.lengths = {end: tuple(sorted(n, reverse=True)) for end, n in lengths.items()}
         self.split = regex.compile(PATTERN)
+        self.gap = regex.compile(r"(?<!\s)\s{2,}+(?=\S)")
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.left_edge = _Cache(lambda token: self.edge(token, 0))
         self.right_edge = _Cache(lambda token: self.edge(token, 1))
         self.fits = _Cache(self.pair_stays)
-        self.known: dict[bytes, tuple[int, bytes]] = {}  # prefixes of pieces: count and last token
-        self.total = _Cache(lambda piece: self.piece_count(piece.encode()))
+        self.steps = _Cache(self.piece_steps)
+        self.context: dict[tuple[bytes, bytes], int] = {}
 
     def edge(self, token: bytes, side: int) -> list[tuple[bytes, int]]:
         """The parts of a token that stand at its left (0) or right (1) edge as it is merged, each with the rank of the merge that ends it."""
@@ -99,92 +109,93 @@ class PrefixCounter:
         return True
 
     def piece_table(self, piece: bytes) -> list[int]:
-        """Token counts of all byte prefixes of a piece, from the empty one on."""
-        ids, fits, longest = self.ids, self.fits, self.longest
-        last: list[bytes] = [b""]
-        count = [0]
+        """Token counts of all byte prefixes of a piece, from the empty one on.
+
+        The last token at a place hangs on the bytes and last tokens of a bounded stretch before it, so in a long piece
+        a stretch that was met before (as in long runs) is looked up.
+        """
+        ids, fits, lengths, context, reach = self.ids, self.fits, self.lengths, self.context, self.longest
+        last = bytearray(len(piece) + 1)  # length of the last token
+        count = [0] * (len(piece) + 1)
+        known_from = 2 * reach if len(piece) > 4 * reach else len(piece) + 1
         for end in range(1, len(piece) + 1):
-            for start in range(max(0, end - longest), end):
-                token = piece[start:end]
-                if token in ids and (not start or fits[last[start], token]):
-                    last.append(token)
-                    count.append(count[start] + 1)
-                    break
-            else:
-                raise ValueError("a prefix has no encoding under this vocabulary")
+            length = key = None
+            if end >= known_from:
+                key = piece[end - 2 * reach : end], bytes(last[end - reach : end])
+                length = context.get(key)
+            if length is None:
+                for length in lengths.get(piece[max(0, end - 2) : end], (1,)):
+                    start = end - length
+                    if start >= 0 and (token := piece[start:end]) in ids and (not start or fits[piece[start - last[start] : start], token]):
+                        break
+                else:
+                    raise ValueError("a prefix has no encoding under this vocabulary")
+                if key:
+                    if len(context) >= CACHE // 10:
+                        context.clear()
+                    context[key] = length
+            last[end] = length
+            count[end] = count[end - length] + 1
         return count
 
-    def piece_count(self, piece: bytes) -> int:
-        """The last entry of the piece's table, continued from the longest prefix met before."""
-        ids, fits, known, longest = self.ids, self.fits, self.known, self.longest
-        if piece in ids:
-            return 1
-        if len(piece) > 64:  # rare; keeps the store of prefixes small
-            return self.piece_table(piece)[-1]
-        if len(known) > 2 * CACHE:
-            known.clear()
-        end = len(piece)
-        while end and piece[:end] not in known:
-            end -= 1
-        while end < len(piece):
-            end += 1
-            for start in range(max(0, end - longest), end):
-                token = piece[start:end]
-                if token in ids:
-                    if not start:
-                        known[token] = (1, token)
-                        break
-                    n, before = known[piece[:start]]
-                    if fits[before, token]:
-                        known[piece[:end]] = (n + 1, token)
-                        break
-            else:
-                raise ValueError("a prefix has no encoding under this vocabulary")
-        return known[piece][0]
+    def piece_steps(self, piece: str) -> bytes:
+        """By how much the count changes with each character of a piece, a signed byte each (a token of up to 128 bytes can replace as many)."""
+        raw = piece.encode()
+        table = self.piece_table(raw)
+        if piece in CONTRACTIONS:
+            table[2] = 2
+        if len(raw) > len(piece):  # only the ends of characters count
+            table = [n for n, byte in zip(table, [*raw, 0]) if byte & 0xC0 != 0x80]
+        return bytes([b - a & 255 for a, b in pairwise(table)])
+
+    def total(self, piece: str) -> int:
+        return int(np.frombuffer(self.steps[piece], np.int8).sum(dtype=np.int64))
+
+    def plain_steps(self, text: str) -> np.ndarray:
+        """The steps of a text without special strings.
 
-    def parts(self, text: str) -> list[tuple[str, bool]]:
-        """The text cut at special tokens; true marks those."""
+        A run of white space before a word gives its last character to the next piece, but is one piece where a cut
+        ends the text behind it: that one count is set apart.
+        """
+        steps = np.frombuffer(b"".join(map(self.steps.__getitem__, self.split.findall(text))), np.int8)
+        off = [(m.end(), self.total(run := m.group()) - self.total(run[:-1]) - self.total(run[-1])) for m in self.gap.finditer(text)]
+        if any(d for _, d in off):
+            steps = steps.copy()
+            at, by = np.array(off, np.int64).T
+            steps[at - 1] += by.astype(np.int8)
+            steps[at] -= by.astype(np.int8)
+        return steps
+
+    def text_steps(self, text: str) -> np.ndarray:
+        """By how much the count changes with each character: their sums are the exact counts of ``text[:i]`` for every i.
+
+        A special string is one token once it is complete; cut within, it is ordinary text.
+        """
         if self.specials is None or not any(s in text for s in self.special):
-            return [(text, False)]
-        return [(x, bool(i % 2)) for i, x in enumerate(self.specials.split(text)) if x]
+            return self.plain_steps(text)
+        out, before = [], ""
+        for i, part in enumerate(self.specials.split(text)):
+            if i % 2:
+                inside = self.plain_steps(before + part[:-1])[len(before) :].astype(np.int64)
+                out.append(np.r_[inside, 1 - inside.sum()].astype(np.int8))
+                before = ""
+            else:
+                before = part
+                out.append(self.plain_steps(part))
+        return np.concatenate(out)
 
     def count(self, text: str) -> int:
-        total = self.total
-        return sum(1 if special else sum(map(total.__getitem__, self.split.findall(part))) for part, special in self.parts(text))
+        return int(self.text_steps(text).sum(dtype=np.int64))
 
     def prefix_table(self, text: str) -> list[int]:
-        """Exact counts of ``text[:i]`` for every i; special strings count as ordinary text here.
-
-        A cut can change how the white space before it splits (a run at the end is one piece) and can undo a
-        contraction, so the pieces from the start of that run on are split as the cut leaves them.
-        """
-        out = [0]
-        for m in self.split.finditer(text):
-            piece, start = m.group(), m.start()
-            run = start
-            while run and text[run - 1].isspace():
-                run -= 1
-            lead, table, base = text[run:start], self._chars(piece), None
-            for k in range(1, len(piece) + 1):
-                if base is None or k < 4:
-                    parts = self.split.findall(lead + piece[:k])
-                    whole = parts[-1] == piece[:k]
-                    base = out[run] + sum(self.total[p] for p in parts[: len(parts) - whole])
-                    out.append(base + table[k] if whole else base)
-                    base = base if whole and not piece[:k].isspace() else None
-                else:
-                    out.append(base + table[k])
-        return out
+        """Exact counts of ``text[:i]`` for every i."""
+        return [0, *np.cumsum(self.text_steps(text), dtype=np.int64).tolist()]
 
-    def _chars(self, piece: str) -> list[int]:
-        counts = self.piece_table(piece.encode())
-        ends = [0, *accumulate(len(c.encode()) for c in piece)]
-        return [counts[e] for e in ends]
 
-    def longest_prefix(self, text: str, budget: int) -> int:
-        """Characters of the longest prefix with at most ``budget`` tokens, from the table alone."""
-        table = self.prefix_table(text)
-        return max(i for i, n in enumerate(table) if n <= budget)
+def stored_counts(steps: bytes) -> np.ndarray:
+    """The counts of all prefixes, from the empty one on, of a stored table."""
+    raw = zstandard.ZstdDecompressor().decompress(steps) if steps else b""
+    return np.r_[0, np.cumsum(np.frombuffer(raw, np.int8), dtype=np.int64)]
 
 
 _COUNTERS: dict[str, PrefixCounter] = {}
@@ -198,38 +209,45 @@ def counter(path: str) -> PrefixCounter:
 
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:
-    """Bytes and tokens of every whole text, and whether the tokens exceed ``limit``: no shuffle, one pass.
+    """Bytes and tokens of every whole text, whether the tokens exceed ``limit``, and the counts of all its prefixes: no shuffle, one pass.
 
-    A null or empty text has 0 bytes and 0 tokens; a null id stays null; repeated rows give repeated rows; other
-    columns are not read. ``path`` names a byte-level BPE vocabulary in the ``tokenizers`` JSON format, which
-    every executor must have. Returns id, n_bytes, n_tokens, over_limit.
+    A null or empty text has 0 bytes and 0 tokens and an empty table; a null id stays null; repeated rows give repeated rows; other
+    columns are not read; an empty table gives no rows. ``path`` names a byte-level BPE vocabulary in the ``tokenizers`` JSON
+    format, which every executor must have. Returns id, n_bytes, n_tokens, over_limit, prefix_steps (the table: see ``stored_counts``).
     """
     common.small_batches(docs.sparkSession)
     kept = docs.select(F.col(id_col), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = counter(path).count
+        steps_of, pack = counter(path).text_steps, zstandard.ZstdCompressor(level=1).compress
         for b in rows:
-            n = pa.array((counts(t) for t in b.column(2).to_pylist()), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n], [id_col, "n_bytes", "n_tokens"])
+            n, tables = [], []
+            for t in b.column(2).to_pylist():
+                steps = steps_of(t)
+                n.append(int(steps.sum(dtype=np.int64))), tables.append(pack(steps.tobytes()) if t else b"")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(tables, pa.binary())], [id_col, "n_bytes", "n_tokens", "prefix_steps"])
 
-    out = kept.mapInArrow(count, f"`{id_col}` {id_type}, n_bytes long, n_tokens long")
-    return out.withColumn("over_limit", F.col("n_tokens") > limit)
+    out = kept.mapInArrow(count, f"`{id_col}` {id_type}, n_bytes long, n_tokens long, prefix_steps binary")
+    return out.select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "prefix_steps")
 
 
-def truncation_points(docs: DataFrame, path: str, budget: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Characters of each text's longest prefix within ``budget`` tokens (special strings as ordinary text): id, n_chars.
+def budget_points(counted: DataFrame, budget: int, at_char: int | None = None, id_col: str = "doc_id") -> DataFrame:
+    """What the stored tables say of a budget, without the texts: id, n_chars (of the longest prefix with at most ``budget`` tokens), its
+    n_tokens, and tokens_at (those of the first ``at_char`` characters, or of all where there are fewer; null without ``at_char``).
 
-    Null and empty texts have 0. Built from the prefix table; the text is encoded once.
+    A null or empty table has 0 of all.
     """
-    common.small_batches(docs.sparkSession)
-    kept = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    id_type = docs.schema[id_col].dataType.simpleString()
+    common.small_batches(counted.sparkSession)
+    id_type = counted.schema[id_col].dataType.simpleString()
 
-    def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        longest = counter(path).longest_prefix
+    def read(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([longest(t, budget) for t in b.column(1).to_pylist()], pa.int64())], [id_col, "n_chars"])
-
-    return kept.mapInArrow(cut, f"`{id_col}` {id_type}, n_chars long")
+            chars, tokens, at = [], [], []
+            for steps in b.column(1).to_pylist():
+                counts = stored_counts(steps)
+                chars.append(int(np.flatnonzero(counts <= budget)[-1])), tokens.append(int(counts[chars[-1]]))
+                at.append(None if at_char is None else int(counts[min(at_char, len(counts) - 1)]))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (chars, tokens, at))], [id_col, "n_chars", "n_tokens", "tokens_at"])
+
+    return counted.select(id_col, "prefix_steps").mapInArrow(read, f"`{id_col}` {id_type}, n_chars long, n_tokens long, tokens_at long")
