@@ -1,8 +1,10 @@
 """Best-fit packing of token ids into fixed-length sequences.
 
-Bounded-space online best-fit: pieces arrive longest first; a packer keeps at most ``OPEN_BINS`` open
+Bounded-space online best-fit: a packer keeps at most ``OPEN_BINS`` open
 sequences in a bitset with one bit for each amount of free space, so the fullest sequence that still holds
-a piece is the lowest set bit at or above its length; when too many are open, the fullest closes first. Texts are tokenised once; only piece lengths travel to the packers.
+a piece is the lowest set bit at or above its length; when too many are open, the fullest closes first. Pieces arrive in random runs of
+about ``RUN_PIECES``, longest first within a run, so that the open sequences of one run are filled by the short pieces at its end. Texts
+are tokenised once; only piece lengths travel to the packers.
 """
 
 from __future__ import annotations
@@ -17,14 +19,16 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from engram.llm import common
 from engram.llm.tokens import PATTERN, byte_letters
 
-#: Open sequences of a packer, and the pieces that one packer takes.
-OPEN_BINS = 32_768
+#: Open sequences of a packer, pieces that arrive in one descending run, and the pieces that one packer takes.
+OPEN_BINS, RUN_PIECES = 1024, 4096
 PACKER_PIECES = 100_000
 _ENCODERS: dict[str, tiktoken.Encoding] = {}
+_LIBRARY: dict[str, Tokenizer] = {}
 
 
 def encoder(path: str) -> tiktoken.Encoding:
@@ -39,6 +43,19 @@ def encoder(path: str) -> tiktoken.Encoding:
     return _ENCODERS[path]
 
 
+def token_ids(path: str, text: str) -> list[int]:
+    """The ids of a text under the vocabulary, special strings as the vocabulary's library takes them.
+
+    The fast encoder's pattern search runs out of stack on very long runs of white space; such a text goes to the library itself.
+    """
+    try:
+        return encoder(path).encode(text, allowed_special="all")
+    except ValueError:
+        if path not in _LIBRARY:
+            _LIBRARY[path] = Tokenizer.from_file(path)
+        return _LIBRARY[path].encode(text, add_special_tokens=False).ids
+
+
 class BestFit:
     """Online best-fit over at most ``open_bins`` open sequences of ``size`` tokens."""
 
@@ -80,11 +97,10 @@ def pieces(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0, id_col
     kept = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
         for b in rows:
             at, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(b.column(1).to_pylist()):
-                ids = np.append(np.asarray(enc.encode(text, allowed_special="all"), dtype="<u4"), np.uint32(end_id)).astype("<u4")
+                ids = np.append(np.asarray(token_ids(path, text), dtype="<u4"), np.uint32(end_id)).astype("<u4")
                 n, s, k = len(ids), 0, 0
                 e = n if n <= size else n % size or size
                 while s < n:
@@ -105,11 +121,14 @@ def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0, id_col:
     Null and empty texts are the end id alone, one piece of one token. Repeated rows are packed as often as
     they occur. An empty table gives no rows. Special strings in a text become their ids, as the
     vocabulary's library does by default. The packers' number follows the number of pieces, so no task holds more
-    than about ``packer_pieces`` rows of a few bytes each, and each leaves at most ``open_bins`` part-filled sequences.
+    than about ``packer_pieces`` rows of a few bytes each. A sequence that closes part-filled, because more than ``open_bins`` are open,
+    costs what it leaves free.
     """
     spark = docs.sparkSession
     cut = common.written(pieces(docs, path, size, end_id, id_col, text_col), "pieces")
-    packers = max(1, -(-cut.count() // packer_pieces))
+    n = cut.count()
+    packers = max(1, -(-n // packer_pieces))
+    runs = max(1, n // packers // RUN_PIECES)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def place(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,5 +137,6 @@ def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0, id_col:
             put = [fit.place(n) for n in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array([first + s for s, _ in put], pa.int64()), pa.array([o for _, o in put], pa.int64())], [id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    dealt = cut.repartition(packers).sortWithinPartitions(F.col("length").desc(), F.xxhash64("ids_crc32", id_col, "piece"), F.col(id_col), "piece")
+    mark = F.xxhash64("ids_crc32", id_col, "piece")
+    dealt = cut.repartition(packers).sortWithinPartitions(F.pmod(mark, F.lit(runs)), F.col("length").desc(), mark, F.col(id_col), "piece")
     return dealt.mapInArrow(place, f"`{id_col}` {id_type}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
