@@ -7,7 +7,7 @@ removed. Documents are ordered by id, windows by place.
 Only the first of equal windows within a document is sent around; equal windows of different documents are counted with
 map-side combining, so a window in a third of all documents is one row per map task. The join that finds the
 later occurrences has plain exchanges on both sides, so adaptive execution can split a hot window. Places come
-back to their documents by a row key, and the last pass over the texts removes the lines.
+back to their documents by a 128-bit row key, and the last pass over the texts removes the lines.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from engram.llm import common
 
@@ -43,14 +44,19 @@ def line_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", te
     spark = docs.sparkSession
     common.small_batches(spark)
     docs = docs.drop(*[c for c in docs.columns if c.lower() in {"n_lines", "n_removed", "n_spans"}])
-    key, at = common.fresh(docs, "row_key", "later_at")
-    order = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
-    keyed = docs.withColumn(key, F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)))
+    key, key2, at = common.fresh(docs, "row_key", "row_key2", "later_at")
+    id_type = docs.schema[id_col].dataType
+    if isinstance(id_type, T.IntegralType):
+        order, order_type = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), "long"
+    else:  # text ids in the order of their bytes
+        order, order_type = F.coalesce(F.concat(F.lit("0"), F.col(id_col).cast("string")), F.lit("1")), "string"
+    k1, k2 = common.row_key(id_col, text_col)
+    keyed = docs.withColumn(key, k1).withColumn(key2, k2)
 
     def emit(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
             h, doc, place = [], [], []
-            for i, text in enumerate(b.column(2).to_pylist()):
+            for i, text in enumerate(b.column(3).to_pylist()):
                 first: dict[bytes, int] = {}
                 for p, x in enumerate(window_hashes(text.split(b"\n"), window)):
                     if x is not None:
@@ -61,13 +67,13 @@ def line_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", te
             halves = pa.Array.from_buffers(pa.int64(), 2 * len(h), [None, whole])
             even = pa.array(range(0, 2 * len(h), 2), pa.int64())
             odd = pa.array(range(1, 2 * len(h), 2), pa.int64())
-            yield pa.RecordBatch.from_arrays([halves.take(even), halves.take(odd), b.column(0).take(doc), b.column(1).take(doc), pa.array(place, pa.int32())], ["h1", "h2", "ord", "k", "place"])
+            yield pa.RecordBatch.from_arrays([halves.take(even), halves.take(odd), *(c.take(doc) for c in b.columns[:3]), pa.array(place, pa.int32())], ["h1", "h2", "ord", "k", "k2", "place"])
 
-    windows = keyed.filter(F.instr(text_col, "\n") > 0).select(order.alias("ord"), F.col(key).alias("k"), common.utf8(text_col).alias("text")).mapInArrow(emit, "h1 long, h2 long, ord long, k long, place int")
+    windows = keyed.filter(F.instr(text_col, "\n") > 0).select(order.alias("ord"), F.col(key).alias("k"), F.col(key2).alias("k2"), common.utf8(text_col).alias("text")).mapInArrow(emit, f"h1 long, h2 long, ord {order_type}, k long, k2 long, place int")
     repeated = windows.groupBy("h1", "h2").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).filter("first < last").select("h1", "h2", "first")
     repeated = common.written(repeated, "repeated-windows")
-    later = windows.join(repeated, ["h1", "h2"]).filter("ord > first").groupBy("k").agg(F.collect_set("place").alias(at)).withColumnRenamed("k", key)
-    shape = keyed.join(later, key, "left").drop(key)
+    later = windows.join(repeated, ["h1", "h2"]).filter("ord > first").groupBy(F.col("k").alias(key), F.col("k2").alias(key2)).agg(F.collect_set("place").alias(at))
+    shape = keyed.join(later, [key, key2], "left").drop(key, key2)
     names = [*docs.columns, at]
     out = [*docs.columns, "n_lines", "n_removed", "n_spans"]
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", n_lines long, n_removed long, n_spans long"
