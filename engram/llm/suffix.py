@@ -2,9 +2,9 @@
 
 Spread: every window of 200 bytes has an anchor, the k-gram in it with the least hash (leftmost of equals). Consecutive windows
 with one anchor form a fragment of text. Equal windows have equal anchors at equal offsets, so windows of different
-anchors never need to meet. Fragments are counted by (anchor hash, fragment digest), with combining before the shuffle:
-a fragment that occurs twice is repeated as a whole, one whose anchor is unique is not repeated at all, and only
-different fragments with a common anchor need their text compared.
+anchors never need to meet. Anchors are counted first, with combining before the shuffle: a fragment whose anchor is unique is not
+repeated at all. The others are told apart by a 128-bit cryptographic digest of their bytes beside the anchor's hash: a fragment that
+occurs twice is repeated as a whole, and each different fragment of an anchor goes once, from its first place, to have its text compared.
 
 Sort: such fragments meet by anchor. Their suffixes are sorted by mergesort; two suffixes are compared by
 binary search for their common extension over prefix polynomial hashes, so in a logarithmic number of steps. Windows are taken in
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engram.llm import common
@@ -89,7 +89,7 @@ class Hashes:
 
 
 def fragments(text: bytes, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Fragments of a text: first window, number of windows, anchor's offset in the fragment, anchor hash, digest."""
+    """Fragments of a text: first window, number of windows, anchor's offset in the fragment, anchor hash."""
     parts = []
     grams = window - gram + 1
     for lo in range(0, max(0, len(text) - window + 1), CHUNK):
@@ -105,13 +105,18 @@ def fragments(text: bytes, window: int = WINDOW, gram: int = GRAM) -> tuple[np.n
         at = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
         anchor = (least[at] & _INDEX).astype(np.int64)
         count = np.diff(np.r_[at, wins])
-        digest = mix(h.of(at, at + count - 1 + window) + (anchor - at).astype(np.uint64) * np.uint64(0xFF51AFD7ED558CCD))
-        parts.append((at + lo, count, anchor - at, m[anchor], digest))
+        parts.append((at + lo, count, anchor - at, m[anchor]))
     if not parts:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
+def digests(text: bytes, at: np.ndarray, count: np.ndarray, off: np.ndarray, window: int) -> np.ndarray:
+    """128-bit digests of the fragments' bytes and their anchor's offset, as two columns."""
+    h = hashlib.blake2b
+    return np.frombuffer(b"".join(h(text[a : a + n + window - 1], digest_size=16, salt=o.to_bytes(2, "big")).digest() for a, n, o in zip(at.tolist(), count.tolist(), off.tolist())), np.int64).reshape(-1, 2)
+
+
 def merge_sort(h: Hashes, start: np.ndarray, segment: np.ndarray, most: int) -> np.ndarray:
     """The order of suffixes within sorted segments, by bottom-up mergesort: all pairs of runs are merged at once, each
     item's place being its own plus its rank in the other run, found by binary search."""
@@ -216,35 +221,22 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _occurrences(texts: DataFrame, window: int, counted: bool) -> DataFrame:
-    """Fragments of all texts: (h, fd, n, k) combined within a task, or every one as (h, fd, k, span, lead); lead is 1 at a text's first of each (h, fd)."""
-    names = ["h", "fd", "n", "k"] if counted else ["h", "fd", "k", "span", "lead"]
+def _anchors(texts: DataFrame, window: int) -> DataFrame:
+    """How often each anchor hash occurs within a task: (h, n)."""
 
     def scan(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[np.ndarray] = []
         size = 0
 
         def combined() -> Iterator[pa.RecordBatch]:
-            h, fd, k = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((k, fd, h))
-            h, fd, k = h[order], fd[order], k[order]
-            first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (fd[1:] != fd[:-1])])
-            yield pa.RecordBatch.from_arrays([_signed(h[first]), _signed(fd[first]), pa.array(np.diff(np.r_[first, len(h)])), pa.array(k[first])], names)
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            yield pa.RecordBatch.from_arrays([_signed(h), pa.array(n)], ["h", "n"])
 
         for b in rows:
-            for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if len(text) < window:
-                    continue
-                at, count, off, h, fd = fragments(text, window)
-                keys = np.full(len(at), k, np.int64)
-                if counted:
-                    held.append((h, fd, keys))
-                    size += len(at)
-                else:
-                    order = np.lexsort((fd, h))
-                    lead = np.zeros(len(at), np.int64)
-                    lead[order[np.r_[True, (h[order[1:]] != h[order[:-1]]) | (fd[order[1:]] != fd[order[:-1]])]]] = 1
-                    yield pa.RecordBatch.from_arrays([_signed(h), _signed(fd), pa.array(keys), pa.array((at << 20) | (off << 10) | (count - 1)), pa.array(lead)], names)
+            for text in b.column(0).to_pylist():
+                if len(text) >= window:
+                    held.append(fragments(text, window)[3])
+                    size += len(held[-1])
             if size > 400_000:
                 yield from combined()
                 held.clear()
@@ -252,7 +244,25 @@ def _occurrences(texts: DataFrame, window: int, counted: bool) -> DataFrame:
         if held:
             yield from combined()
 
-    return texts.select("k", "text").mapInArrow(scan, ", ".join(f"{n} long" for n in names))
+    return texts.select("text").mapInArrow(scan, "h long, n long")
+
+
+PLACES = ["h", "f1", "f2", "k", "k2", "span"]
+
+
+def _places(texts: DataFrame, window: int) -> DataFrame:
+    """Every fragment with its anchor hash, digest, row key and place."""
+
+    def scan(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            for k, k2, text in zip(*(c.to_pylist() for c in b.columns)):
+                if len(text) >= window:
+                    at, count, off, h = fragments(text, window)
+                    f = digests(text, at, count, off, window)
+                    keys = (pa.array(np.full(len(at), x, np.int64)) for x in (k, k2))
+                    yield pa.RecordBatch.from_arrays([_signed(h), pa.array(f[:, 0]), pa.array(f[:, 1]), *keys, pa.array((at << 20) | (off << 10) | (count - 1))], PLACES)
+
+    return texts.select("k", "k2", "text").mapInArrow(scan, ", ".join(f"{n} long" for n in PLACES))
 
 
 def _unpacked(span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -261,14 +271,18 @@ def _unpacked(span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _dealt(joined: DataFrame, window: int) -> DataFrame:
-    """Fragments to compare, with text: (route, k, first, off, count, bytes); many-fragment anchors cut into blocks, or windows."""
+    """Fragments to compare, with text: (route, k, k2, first, off, count, bytes); many-fragment anchors cut into blocks, or windows."""
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        schema = pa.schema([("route", pa.int64()), ("k", pa.int64()), ("first", pa.int64()), ("off", pa.int32()), ("count", pa.int32()), ("bytes", pa.binary())])
+        schema = pa.schema([("route", pa.int64()), ("k", pa.int64()), ("k2", pa.int64()), ("first", pa.int64()), ("off", pa.int32()), ("count", pa.int32()), ("bytes", pa.binary())])
         out: dict[str, list] = {f.name: [] for f in schema}
+        last = None
         for b in rows:
-            for k, packed, todo in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for k, k2, packed, todo in zip(*(c.to_pylist() for c in b.columns)):
+                if (k, k2) == last:  # a copy of the row before has the same fragments
+                    continue
+                last = k, k2
                 text = unpack(packed)
                 for t in todo:
                     first, off, count = _unpacked(t["span"])
@@ -280,12 +294,12 @@ def _dealt(joined: DataFrame, window: int) -> DataFrame:
                         if step < window:
                             core = text[anchor - d0 : anchor - d0 - step + 1 + window]
                             route = int.from_bytes(hashlib.blake2b(core, digest_size=8, salt=d0.to_bytes(8, "big"), person=(t["h"] & (1 << 64) - 1).to_bytes(8, "big")).digest(), "big", signed=True)
-                        for c, v in zip(out.values(), (route, k, anchor - hi, hi, hi - lo + 1, text[anchor - hi : anchor - lo + window])):
+                        for c, v in zip(out.values(), (route, k, k2, anchor - hi, hi, hi - lo + 1, text[anchor - hi : anchor - lo + window])):
                             c.append(v)
                 yield from common.batches(out, schema, 5000)
         yield from common.batches(out, schema)
 
-    return joined.mapInArrow(cut, "route long, k long, first long, off int, count int, bytes binary")
+    return joined.mapInArrow(cut, "route long, k long, k2 long, first long, off int, count int, bytes binary")
 
 
 def _kinds(rows: pa.Table) -> pa.Table:
@@ -295,41 +309,44 @@ def _kinds(rows: pa.Table) -> pa.Table:
     return rows.take(pa.array(np.sort(first)))
 
 
-def _sorted(rows: DataFrame, window: int) -> DataFrame:
-    """Repeated windows among fragments that share a route: (k, first, last), the places of the first and the last."""
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(t: pa.Table) -> pa.RecordBatch:
-            route, k, first, off, count = (t.column(c).to_numpy().astype(np.int64) for c in ("route", "k", "first", "off", "count"))
-            size = np.unique(route, return_inverse=True, return_counts=True)
-            many = size[2][size[1]] > 1
-            route, k, first, off, count = (x[many] for x in (route, k, first, off, count))
-            if not len(k):
-                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, ["k", "first", "last"])
-            f, a, b = repeated_windows(t.column("bytes").filter(pa.array(many)).to_pylist(), route, off, count, window)
-            return pa.RecordBatch.from_arrays([pa.array(k[f]), pa.array(first[f] + a), pa.array(first[f] + b)], ["k", "first", "last"])
-
-        held: list[pa.RecordBatch] = []
-        n = 0
-        for b in batches:
-            held.append(b)
-            n += b.num_rows
-            if n < 8000:
-                continue
-            t = pa.Table.from_batches(held)
-            route = t.column("route").to_numpy()
-            begin = int(np.searchsorted(route, route[-1]))
-            if begin:
-                yield found(t.slice(0, begin))
-                t = t.slice(begin)
-            elif n > 4 * VERY_MANY:  # few kinds in very many places: one row of each kind stands for those before
-                yield found(t)
-                t = _kinds(t)
-            held, n = t.to_batches(), t.num_rows
-        if held:
-            yield found(pa.Table.from_batches(held))
+def _found(t: pa.Table, window: int) -> pa.RecordBatch:
+    """Repeated windows of whole routes."""
+    route, k, k2, first, off, count = (t.column(c).to_numpy().astype(np.int64) for c in ("route", "k", "k2", "first", "off", "count"))
+    size = np.unique(route, return_inverse=True, return_counts=True)
+    many = size[2][size[1]] > 1
+    route, k, k2, first, off, count = (x[many] for x in (route, k, k2, first, off, count))
+    if not len(k):
+        return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 4, ["k", "k2", "first", "last"])
+    f, a, b = repeated_windows(t.column("bytes").filter(pa.array(many)).to_pylist(), route, off, count, window)
+    return pa.RecordBatch.from_arrays([pa.array(k[f]), pa.array(k2[f]), pa.array(first[f] + a), pa.array(first[f] + b)], ["k", "k2", "first", "last"])
+
+
+def search_routes(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Repeated windows among rows that come in the order of their routes."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n < 8000:
+            continue
+        t = pa.Table.from_batches(held)
+        route = t.column("route").to_numpy()
+        begin = int(np.searchsorted(route, route[-1]))
+        if begin:
+            yield _found(t.slice(0, begin), window)
+            t = t.slice(begin)
+        elif n > 4 * VERY_MANY:  # few kinds in very many places: one row of each kind stands for those before
+            yield _found(t, window)
+            t = _kinds(t)
+        held, n = t.to_batches(), t.num_rows
+    if held:
+        yield _found(pa.Table.from_batches(held), window)
 
-    return rows.mapInArrow(search, "k long, first long, last long")
+
+def _sorted(rows: DataFrame, window: int) -> DataFrame:
+    """Repeated windows among fragments that share a route: (k, k2, first, last), the places of the first and the last."""
+    return rows.mapInArrow(lambda batches: search_routes(batches, window), "k long, k2 long, first long, last long")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -341,27 +358,32 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     spark = docs.sparkSession
     common.small_batches(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
-    keyed = docs.select(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("k"), F.col(id_col).alias("id"), common.utf8(text_col).alias("text"))
+    k1, k2 = common.row_key(id_col, text_col)
+    keyed = docs.select(k1.alias("k"), k2.alias("k2"), F.col(id_col).alias("id"), common.utf8(text_col).alias("text"))
 
-    counted = _occurrences(keyed, window, True).repartition("h").groupBy("h", "fd").agg(F.sum("n").alias("n"), F.min("k").alias("source"))
-    kinds = F.count(F.lit(1)).over(Window.partitionBy("h"))
-    known = counted.withColumn("kinds", kinds).filter("n > 1 or kinds > 1").select("h", "fd", "n", "source", F.when(F.col("kinds") == 1, -1).when(F.col("kinds") <= MANY, 0).when(F.col("kinds") <= VERY_MANY, 1).otherwise(2).alias("size"))
-    known = common.written(known, "fragments")
-    places = common.written(_occurrences(keyed, window, False).join(known, ["h", "fd"]), "places")
+    repeated = common.written(_anchors(keyed, window).groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"), "anchors")
+    places = common.written(_places(keyed, window).join(repeated, "h"), "places")
+    kinds = places.groupBy("h", "f1", "f2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "k2", "span")).alias("source"))
+    kinds = common.written(kinds, "fragments")
+    per_anchor = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    size = F.when(F.col("kinds") <= MANY, 0).when(F.col("kinds") <= VERY_MANY, 1).otherwise(2)
+    sent = kinds.join(per_anchor, "h").select("source.k", "source.k2", F.struct("h", "source.span", size.alias("size")).alias("one"))
 
     def squeeze(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
         for b in rows:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pack(t) for t in b.column(2).to_pylist()], pa.binary())], ["k", "id", "packed"])
-
-    packed = keyed.mapInArrow(squeeze, f"k long, id {id_type}, packed binary")
-    todo = places.filter("size >= 0 and (n = 1 or (k = source and lead = 1))").groupBy("k").agg(F.collect_set(F.struct("h", "span", "size")).alias("todo"))
-    dealt = _dealt(packed.select("k", "packed").join(todo, "k").select("k", "packed", "todo"), window)
-    found = _sorted(dealt.repartition("route").sortWithinPartitions("route", "k", "first"), window)
-
-    whole = places.filter("n > 1").select("k", F.shiftright("span", 20).alias("first"), (F.shiftright("span", 20) + F.col("span").bitwiseAND(1023)).alias("last"))
-    ranges = whole.unionAll(found).groupBy("k").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
-    joined = packed.join(ranges, "k", "left").select("id", "packed", "ranges")
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([pack(t) for t in b.column(3).to_pylist()], pa.binary())], ["k", "k2", "id", "packed"])
+
+    packed = keyed.mapInArrow(squeeze, f"k long, k2 long, id {id_type}, packed binary")
+    todo = sent.groupBy("k", "k2").agg(F.collect_list("one").alias("todo"))
+    distinct = packed.select("k", "k2", "packed").join(todo, ["k", "k2"])
+    dealt = _dealt(distinct.select("k", "k2", "packed", "todo"), window)
+    found = _sorted(dealt.repartition("route").sortWithinPartitions("route", "k", "k2", "first"), window)
+
+    twice = kinds.filter("n > 1").select("h", "f1", "f2")
+    whole = places.join(twice, ["h", "f1", "f2"]).select("k", "k2", F.shiftright("span", 20).alias("first"), (F.shiftright("span", 20) + F.col("span").bitwiseAND(1023)).alias("last"))
+    ranges = whole.unionAll(found).groupBy("k", "k2").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
+    joined = packed.join(ranges, ["k", "k2"], "left").select("id", "packed", "ranges")
 
     def remove(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress

@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +51,13 @@ def test_line_dedup(docs, none):
     assert linedup.line_dedup(none).count() == 0
 
 
+def test_line_dedup_of_text_ids(spark):
+    lines = "\n".join(f"line number {i}" for i in range(5))
+    rows = [("b", lines), ("a", lines + "\nmore"), (None, lines), ("a10", "x\n" + lines)]
+    got = linedup.line_dedup(spark.createDataFrame(rows, "doc_id string, text string"))
+    assert {r.doc_id: r.n_removed for r in got.collect()} == {"a": 0, "a10": 5, "b": 5, None: 5}
+
+
 # -- substring dedup
 
 
@@ -104,6 +112,26 @@ def test_very_many_places_of_one_anchor(spark, monkeypatch, length, copies):
     assert len(got) == len(data) and set(got) == set(brute_spans(data[:14]))  # two copies stand for all
 
 
+def test_a_large_route_keeps_all_its_kinds(monkeypatch):
+    """Two windows in one route, the second in the first and in the last row of many."""
+    monkeypatch.setattr(suffix, "VERY_MANY", 3000)
+    a, b = prose(60, 60)[:200].encode(), prose(61, 60)[:200].encode()
+    n = 13_002
+    texts = [b, *[a] * (n - 2), b]
+    cols = {"route": np.zeros(n, np.int64), "k": np.arange(n), "k2": np.arange(n), "first": np.zeros(n, np.int64), "off": np.full(n, 70, np.int32), "count": np.ones(n, np.int32)}
+    t = pa.table({**cols, "bytes": pa.array(texts, pa.binary())})
+    found = {k for batch in suffix.search_routes(iter(t.to_batches(max_chunksize=1000)), 200) for k in batch.column(0).to_pylist()}
+    assert {0, n - 1} <= found and len(found) > 2
+
+
+def test_a_collision_is_no_equality(monkeypatch):
+    """With a hash that calls all parts equal, what differs is still told apart by its bytes."""
+    monkeypatch.setattr(suffix.Hashes, "of", lambda self, start, end: np.zeros(len(start), np.uint64))
+    texts = [prose(70 + i, 60)[:200].encode() for i in range(4)]
+    f, _, _ = suffix.repeated_windows(texts, np.zeros(4, np.int64), np.full(4, 70), np.ones(4, np.int64))
+    assert not len(f)
+
+
 def test_suffix_sort_and_collisions(monkeypatch):
     rnd = np.random.default_rng(1)
     text = bytes(rnd.integers(97, 99, 4000, dtype=np.uint8))
