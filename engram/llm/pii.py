@@ -2,60 +2,97 @@
 
 A detected entity is brought to a canonical form (an email without case, a phone or card number without
 separators), and a keyed permutation of all strings of its shape gives the surrogate: letters become letters of the
-same alphabet and case, digits digits, a Luhn-valid number stays valid, an IPv4 address an address, a name a name
-of the same gender and script. A permutation maps different values of one shape to different surrogates, wherever in
+same script and case, digits digits, a Luhn-valid number stays valid, an IP address an address, a listed first name one
+of the same gender and script. The permutation maps different values of one shape to different surrogates, wherever in
 the corpus they stand, without any shared table: equal values agree (coreference) and different ones stay
-different (distinctness). ``collisions`` verifies that over the whole corpus, by a grouped count of all entities.
+different (distinctness). It is a keyed shuffle of the shape's strings in which each gives way to the next, so no value stays itself.
+``collisions`` verifies distinctness over the whole corpus, by a grouped count of all entities; where it failed, the next key would be tried.
+
+Persons are found after titles and phrases of introduction, and as a listed first name before a capitalised word. In scripts
+without case a person has at most two words, in Han at most three characters.
 """
 
 from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
+import unicodedata
 from bisect import bisect
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engram.llm import common
 
-KEY = b"engram surrogates"
 ROUNDS = 8
-LOWER, UPPER, DIGIT, HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
-VOWELS, CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxyz"
-CYRILLIC_VOWELS, CYRILLIC_CONSONANTS = "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ"
-#: Titles before a name, and first names by gender and script.
-TITLES = ["Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Señor", "Señora", "Sr", "Sra", "Monsieur", "Madame", "Mme", "г-н", "г-жа"]
+#: Keys tried in turn where two values share a surrogate.
+TRIES = 4
+DIGIT, HEX = "0123456789", "0123456789abcdef"
+#: The letters of scripts, those with case in both.
+LETTERS = ["abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "אבגדהוזחטיכלמנסעפצקרשת", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي", "कखगघचछजझटठडढतथदधनपफबभमयरलवशषसह"]
+ACCENTED = "άέήίόύώ"
+CLASSES = [DIGIT, *LETTERS, ACCENTED, *(x.upper() for x in [*LETTERS[:3], ACCENTED])]
+#: Vowels and consonants of names.
+NAME_CLASSES = ["aeiou", "bcdfghjklmnpqrstvwxyz", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ"]
+#: Titles before a name, phrases before a name, and first names by gender and script.
+TITLES = ["Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Señor", "Señora", "Sr", "Sra", "Monsieur", "Madame", "Mme", "г-н", "г-жа", "господин", "госпожа", "κ", "κα", "κύριος", "κυρία", "Δρ", "السيد", "السيدة", "الدكتور", "מר", "גברת", "श्री", "श्रीमती", "डॉ"]
+PHRASES = ["my name is", "I am called", "full name:", "signed by", "mein Name ist", "ich heiße", "je m'appelle", "je m’appelle", "mon nom est", "me llamo", "mi nombre es", "меня зовут", "με λένε", "το όνομά μου είναι", "اسمي", "שמי", "मेरा नाम", "我叫", "我的名字是", "私の名前は"]
 FIRST = {
-    ("m", "latin"): ["Adam", "Alexander", "Andrew", "Bob", "Bruno", "Carl", "Charles", "Daniel", "David", "Emil", "Felix", "Georg", "George", "Henry", "Hugo", "Ivan", "James", "John", "Jonas", "Joseph", "Karl", "Leo", "Lucas", "Mark", "Martin", "Michael", "Noah", "Oscar", "Paul", "Peter", "Richard", "Robert", "Simon", "Stefan", "Thomas", "Victor", "William"],
-    ("f", "latin"): ["Alice", "Anna", "Barbara", "Beatrice", "Clara", "Diana", "Elena", "Elizabeth", "Emma", "Eva", "Flora", "Greta", "Hannah", "Helen", "Irene", "Jennifer", "Julia", "Karen", "Klara", "Laura", "Linda", "Lisa", "Maria", "Mary", "Nina", "Olga", "Paula", "Rosa", "Sara", "Sarah", "Sofia", "Susan", "Teresa", "Vera"],
-    ("m", "cyrillic"): ["Алексей", "Борис", "Виктор", "Григорий", "Дмитрий", "Егор", "Иван", "Кирилл", "Михаил", "Николай"],
-    ("f", "cyrillic"): ["Анна", "Вера", "Галина", "Дарья", "Елена", "Ирина", "Мария", "Наталья", "Ольга", "Светлана"],
+    ("m", "latin"): ["Adam", "Alexander", "Andrew", "Anthony", "Benjamin", "Bob", "Brian", "Bruno", "Carl", "Charles", "Christopher", "Daniel", "David", "Edward", "Emil", "Felix", "Francesco", "Frank", "Georg", "George", "Hans", "Henry", "Hugo", "Ivan", "Jack", "James", "John", "Jonas", "José", "Joseph", "Juan", "Karl", "Kevin", "Klaus", "Leo", "Louis", "Lucas", "Luis", "Mark", "Martin", "Matthew", "Michael", "Miguel", "Mohammed", "Noah", "Oliver", "Oscar", "Patrick", "Paul", "Pedro", "Peter", "Pierre", "Richard", "Robert", "Simon", "Stefan", "Stephen", "Thomas", "Victor", "William", "Wolfgang"],
+    ("f", "latin"): ["Alice", "Amelia", "Anna", "Barbara", "Beatrice", "Carmen", "Charlotte", "Clara", "Claudia", "Diana", "Elena", "Elizabeth", "Emily", "Emma", "Eva", "Fatima", "Flora", "Greta", "Hannah", "Helen", "Helga", "Ingrid", "Irene", "Isabel", "Jane", "Jennifer", "Jessica", "Julia", "Karen", "Katharina", "Klara", "Laura", "Linda", "Lisa", "Lucia", "Margaret", "Maria", "Marie", "Mary", "Monika", "Nancy", "Nina", "Olga", "Olivia", "Patricia", "Paula", "Rosa", "Sandra", "Sara", "Sarah", "Sofia", "Sophie", "Susan", "Teresa", "Ursula", "Vera"],
+    ("u", "latin"): ["Alex", "Andrea", "Chris", "Jordan", "Kim", "Morgan", "Pat", "Robin", "Sam", "Sascha", "Taylor"],
+    ("m", "cyrillic"): ["Алексей", "Андрей", "Борис", "Виктор", "Григорий", "Дмитрий", "Егор", "Иван", "Кирилл", "Михаил", "Николай", "Олег", "Пётр", "Сергей"],
+    ("f", "cyrillic"): ["Анна", "Вера", "Галина", "Дарья", "Елена", "Ирина", "Мария", "Наталья", "Ольга", "Светлана", "Татьяна"],
+    ("m", "greek"): ["Αλέξανδρος", "Γιώργος", "Δημήτρης", "Κώστας", "Νίκος", "Παύλος"],
+    ("f", "greek"): ["Άννα", "Ελένη", "Ιωάννα", "Κατερίνα", "Μαρία", "Σοφία"],
+    ("m", "arabic"): ["أحمد", "حسن", "خالد", "علي", "عمر", "محمد", "يوسف"],
+    ("f", "arabic"): ["آمنة", "خديجة", "زينب", "عائشة", "فاطمة", "مريم"],
+    ("m", "hebrew"): ["אברהם", "דוד", "יוסף", "יעקב", "משה"],
+    ("f", "hebrew"): ["אסתר", "לאה", "מרים", "רחל", "שרה"],
+    ("m", "devanagari"): ["अमित", "राज", "राम", "विजय", "संजय"],
+    ("f", "devanagari"): ["अनीता", "गीता", "प्रिया", "मीना", "सीता"],
 }
+LISTS = {name: names for names in FIRST.values() for name in names}
+#: The country codes of two digits; those from 1 and 7 have one, all others three.
+TWO_DIGIT_CODES = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 
 #: Last letters that mark a first name's gender.
-GENDERED = "aoая"
-NAME = r"[^\W\d_][\w'’-]*"
+GENDERED = "aoаяαηςة"
+CASED = r"\p{Lu}[\p{L}\p{M}]*(?:[-'’]\p{L}[\p{L}\p{M}]+)*"
+UNCASED = r"(?!\p{Han})\p{Lo}[\p{L}\p{M}]*"
+PERSON = rf"(?P<v>\p{{Han}}{{2,3}}|{CASED}(?: {CASED}){{0,2}}|{UNCASED}(?: {UNCASED})?)"
 DETECTORS: list[tuple[str, str, re.Pattern]] = [
     # type, what a text must contain (empty: anything), pattern; group "v", if any, is the entity
     ("SECRET", "=:", re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s*[=:]\s*[\"']?(?P<v>[A-Za-z0-9_+/.-]{8,})")),
     ("KEY", "AKIA", re.compile(r"\bAKIA(?P<v>[A-Z0-9]{16})\b")),
-    ("EMAIL", "@", re.compile(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}")),
+    ("EMAIL", "@", regex.compile(r"[\w.%+-]+@[\p{L}\p{M}\p{N}-]+(?:\.[\p{L}\p{M}\p{N}-]+)*\.\p{L}[\p{L}\p{M}]+")),
     ("IBAN", "0123456789", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b")),
     ("SSN", "-", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
     ("IP", ".", re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)")),
-    ("PHONE", "+(-.", re.compile(r"(?<!\w)(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)")),
+    ("IP6", ":", re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f:]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{3,39}(?![\w:])")),
+    ("PHONE", "+(-. /", re.compile(r"(?<!\w)(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)|(?<![\w.,-])(?<!\d )(?:\d{3} \d{3} \d{4}|0\d{2,4}[ /-]\d{5,8})(?![\w,-]| \d|\.\d)")),
     ("CARD", "0123456789", re.compile(r"(?<![\w+.-])\d(?:[ -]?\d){12,18}(?![\w]|[.-]\d)")),
-    ("PERSON", "", re.compile(rf"\b(?:{'|'.join(map(re.escape, TITLES))})\b\.? (?P<v>(?=[^\W\d_a-zа-я]){NAME}(?: (?=[^\W\d_a-zа-я]){NAME}){{0,2}})")),
+    ("PERSON", "", regex.compile(rf"\b(?:{'|'.join(map(re.escape, sorted(TITLES, key=len, reverse=True)))})\b\.? {PERSON}")),
+    ("PERSON", "", regex.compile(rf"(?<!(?!\p{{Han}})\p{{L}})(?i:{'|'.join(map(re.escape, sorted(PHRASES, key=len, reverse=True)))}) ?{PERSON}")),
+    ("NAMED", "", regex.compile(rf"(?<![\p{{L}}\p{{M}}])(?:{'|'.join(map(re.escape, sorted(LISTS, key=len, reverse=True)))})(?: \p{{Lu}}\.)? {CASED}")),
 ]
 HAS_DIGIT = re.compile(r"[0-9]")
 NEED_DIGIT = {"IBAN", "SSN", "IP", "PHONE", "CARD"}
 
 
+def _address(value: str) -> bool:
+    try:
+        return ipaddress.IPv6Address(value).packed[2:] != bytes(14) and HAS_DIGIT.search(value) is not None and len(value.replace(":", "")) > 3
+    except ValueError:
+        return False
+
+
 def detect(text: str) -> list[tuple[int, int, str]]:
     """Entities that don't overlap, by place: start, end, type. The earlier detector wins a place."""
     found = []
@@ -65,7 +102,8 @@ def detect(text: str) -> list[tuple[int, int, str]]:
             continue
         for m in pattern.finditer(text):
             v = "v" if "v" in pattern.groupindex else 0
-            found.append((rank, m.start(v), m.end(v), kind))
+            if kind != "IP6" or _address(m[0]):
+                found.append((rank, m.start(v), m.end(v), "PERSON" if kind == "NAMED" else kind))
     taken: list[tuple[int, int, str]] = []
     covered: list[tuple[int, int]] = []  # of detectors that came before, by place
     for _, s, e, kind in sorted(found):
@@ -76,16 +114,35 @@ def detect(text: str) -> list[tuple[int, int, str]]:
     return sorted(taken)
 
 
+@lru_cache(maxsize=None)
 def alphabet(c: str) -> str:
-    """The letters that may stand for a character; one alone stays as it is."""
-    for letters in (DIGIT, LOWER, UPPER):
+    """The characters that may stand for a letter or digit: those of a fixed class, else the letters of its script, category and block of
+    256 code points that are in no fixed class. Each of them has the same alphabet. Anything else stands alone."""
+    for letters in CLASSES:
         if c in letters:
             return letters
-    return c
+    kind = unicodedata.category(c)
+    if kind[0] not in "LN":
+        return c
+    script = unicodedata.name(c, "").split(" ")[0]
+    block = ord(c) & ~0xFF
+    return "".join(x for x in map(chr, range(block, block + 256)) if unicodedata.category(x) == kind and unicodedata.name(x, "").split(" ")[0] == script and not any(x in y for y in CLASSES))
+
+
+def _feistel(numbers: list[int], sizes: list[int], shape: str, key: bytes, back: bool) -> list[int]:
+    """A keyed permutation of the pairs of numbers below ``sizes``: each is shifted in turn by a keyed hash of the other."""
+    numbers = [*numbers]
+    for r in reversed(range(ROUNDS)) if back else range(ROUNDS):
+        side = r % 2
+        mac = hmac.new(key, f"{shape}|{r}|{numbers[1 - side]}".encode(), hashlib.sha512).digest()
+        by = int.from_bytes(hashlib.shake_256(mac).digest(-(-sizes[side].bit_length() // 8) + 16), "big")
+        numbers[side] = (numbers[side] + (-by if back else by)) % sizes[side]
+    return numbers
 
 
 def permute(value: str, alphabets: list[str], key: bytes, tweak: str) -> str:
-    """A keyed permutation of the strings with these alphabets: both halves are shifted in turn by a keyed hash of the other."""
+    """A keyed permutation without fixed points of the strings with these alphabets: the place of a string in a keyed shuffle is
+    found, and the string at the next place is taken. Where only one string is possible it stays."""
     free = [i for i, a in enumerate(alphabets) if len(a) > 1]
     if not free:
         return value
@@ -97,10 +154,9 @@ def permute(value: str, alphabets: list[str], key: bytes, tweak: str) -> str:
         for i in half:
             n, size = n * len(alphabets[i]) + alphabets[i].index(value[i]), size * len(alphabets[i])
         numbers.append(n), sizes.append(size)
-    for r in range(ROUNDS):
-        side = r % 2
-        mac = hmac.new(key, f"{shape}|{r}|{numbers[1 - side]}".encode(), hashlib.sha512).digest()
-        numbers[side] = (numbers[side] + int.from_bytes(mac + hashlib.sha512(mac).digest(), "big")) % sizes[side]
+    numbers = _feistel(numbers, sizes, shape, key, False)
+    place = (numbers[0] * sizes[1] + numbers[1] + 1) % (sizes[0] * sizes[1])
+    numbers = _feistel([*divmod(place, sizes[1])], sizes, shape, key, True)
     out = list(value)
     for half, n in zip(halves, numbers):
         for i in reversed(half):
@@ -125,7 +181,7 @@ def number(digits: str, kept: int, key: bytes, tweak: str, check: bool) -> str:
 def spread(value: str, digits: str) -> str:
     """New digits in the places of the old ones."""
     it = iter(digits)
-    return "".join(next(it) if c.isdigit() else c for c in value)
+    return "".join(next(it) if c in DIGIT else c for c in value)
 
 
 def recased(value: str, like: str) -> str:
@@ -133,35 +189,28 @@ def recased(value: str, like: str) -> str:
 
 
 def name_word(word: str, key: bytes, ending: str = "") -> str:
-    """A pronounceable word of the same shape: vowels for vowels, consonants for consonants, in the same script; a last letter of ``ending`` stays."""
-    low = word.lower()
-    if len(low) != len(word):
-        return word
-    sets = (VOWELS, CONSONANTS, CYRILLIC_VOWELS, CYRILLIC_CONSONANTS)
-    alphabets = [next((s for s in sets if c in s), c) for c in low]
-    if low[-1:] and low[-1] in ending:
+    """A name that is not listed: a word of the same shape that is not listed either, vowels for vowels and consonants for consonants of
+    the same script; a last letter of ``ending`` stays. A listed name moves within the list of its gender and script, in a keyed order."""
+    if names := LISTS.get(word):
+        order = sorted(names, key=lambda n: hmac.new(key, f"first|{n}".encode(), hashlib.sha256).digest())
+        return order[(order.index(word) + 1) % len(order)]
+    low = word.lower() if len(word.lower()) == len(word) and word.lower().upper() == word.upper() else word
+    alphabets = [next((s for s in NAME_CLASSES if c in s), None) or alphabet(c) for c in low]
+    if low[-1:] in ending and len(low) > 1:
         alphabets[-1] = low[-1]
-    return recased(permute(low, alphabets, key, "surname"), word)
-
-
-def first_name(word: str, key: bytes) -> str:
-    """A listed name moves within its gender's list, whatever the title says of its bearer; any other becomes an unlisted word of its shape with the ending that marks its gender."""
-    script = "cyrillic" if re.match("[а-яё]", word.lower()) else "latin"
-    for gender in ("m", "f"):
-        names = FIRST[gender, script]
-        if word in names:
-            shift = 1 + hmac.new(key, f"{gender}{script}".encode(), hashlib.sha256).digest()[0] % (len(names) - 1)
-            return names[(names.index(word) + shift) % len(names)]
-    listed = {n for names in FIRST.values() for n in names}
-    out = name_word(word, key, GENDERED)
-    while out in listed:
-        out = name_word(out, key, GENDERED)
-    return out
+    out = low
+    while True:
+        out = permute(out, alphabets, key, "name")
+        new = recased(out, word) if low is not word else out
+        if new not in LISTS:
+            return new
 
 
 def canonical(value: str, kind: str) -> str:
     if kind in ("PHONE", "CARD", "SSN", "IBAN"):
         return re.sub(r"[^0-9A-Za-z+]", "", value)
+    if kind == "IP6":
+        return ipaddress.IPv6Address(value).exploded
     return value.lower() if kind == "EMAIL" and len(value.lower()) == len(value) else value
 
 
@@ -173,14 +222,20 @@ def surrogate(value: str, kind: str, key: bytes) -> str:
         local, _, domain = core.rpartition("@")
         host, _, top = domain.rpartition(".")
         whole = f"{local}@{host}"
-        return recased(permute(whole, [alphabet(c) for c in whole], key, kind) + "." + top, value)
+        new = permute(whole, [alphabet(c) for c in whole], key, kind) + "." + top
+        return recased(new, value) if core != value else new
     if kind == "IP":
         parts = [int(p) for p in core.split(".")]
         sets = ["".join(map(chr, range(1, 224))) if 0 < parts[0] < 224 else chr(parts[0]), *["".join(map(chr, range(256)))] * 3]
         return ".".join(str(ord(c)) for c in permute("".join(map(chr, parts)), sets, key, kind))
+    if kind == "IP6":
+        groups = ipaddress.IPv6Address(value).exploded.split(":")
+        low = permute("".join(groups[1:]), [HEX] * 28, key, kind + groups[0])
+        return ":".join([groups[0], *(low[i : i + 4] for i in range(0, 28, 4))])
     if kind == "PHONE":
         digits = core.lstrip("+")
-        return spread(value, number(digits, int(core[0] == "+"), key, kind, False))
+        kept = (1 if digits[0] in "17" else 2 if digits[:2] in TWO_DIGIT_CODES else 3) if core[0] == "+" else int(digits[0] == "0")
+        return spread(value, number(digits, kept, key, kind + core[0] * (core[0] == "+"), False))
     if kind == "CARD":
         return spread(value, number(core, 1, key, kind, True))
     if kind == "SSN":
@@ -193,11 +248,14 @@ def surrogate(value: str, kind: str, key: bytes) -> str:
         return "".join(next(it) if c.isalnum() else c for c in value)
     if kind == "PERSON":
         words = core.split(" ")
-        first = [first_name(words[0], key)] if len(words) > 1 else []
-        return " ".join(first + [name_word(w, key) for w in words[len(first) :]])
+        return " ".join(name_word(w, key, GENDERED if not i and len(words) > 1 else "") for i, w in enumerate(words))
     if kind == "SECRET" and re.fullmatch("[0-9a-f]+", core):
         return permute(core, [HEX] * len(core), key, kind)
-    return permute(core, [alphabet(c) for c in core], key, kind)
+    out = core
+    while True:  # what is no hexadecimal string stays none
+        out = permute(out, [alphabet(c) for c in core], key, kind)
+        if kind != "SECRET" or not re.fullmatch("[0-9a-f]+", out):
+            return out
 
 
 def replaced(text: str, key: bytes, put: Callable = surrogate) -> tuple[str, list[tuple[str, int, str, str]]]:
@@ -212,7 +270,7 @@ def replaced(text: str, key: bytes, put: Callable = surrogate) -> tuple[str, lis
     return ("".join([*out, text[last:]]) if entities else text), entities
 
 
-def entity_table(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataFrame:
+def entity_table(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     """All entities of the corpus as keyed digests, one row for each document and value: kind, original, surrogate."""
     common.small_batches(docs.sparkSession)
 
@@ -226,7 +284,7 @@ def entity_table(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> D
     return docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(scan, "kind string, original long, surrogate long")
 
 
-def collisions(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataFrame:
+def collisions(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     """Surrogates that stand for more than one original, and originals with more than one surrogate: none are expected.
 
     Counts combine on the map side, so an entity in every document is one row per task.
@@ -237,16 +295,19 @@ def collisions(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> Dat
     return one.unionByName(two).filter("n > 1")
 
 
-def surrogates(docs: DataFrame, key: bytes = KEY, text_col: str = "text", check: bool = True) -> DataFrame:
+def surrogates(docs: DataFrame, key: bytes, text_col: str = "text", check: bool = True) -> DataFrame:
     """Every row and column of ``docs``, ``text_col`` with surrogates, plus n_entities, n_values and entities (type, start, surrogate).
 
     Null and empty texts stay as they are, without entities; texts without entities are unchanged; repeated rows get
-    equal surrogates. Columns of ``docs`` named like one of the three are replaced. With ``check``, a first pass counts all
-    entities and raises an error if two values share a surrogate under this key.
+    equal surrogates; an empty table gives no rows. Columns of ``docs`` named like one of the three are replaced. With ``check``, a first
+    pass counts all entities; if two values share a surrogate, the keys derived from this one are tried in turn.
     """
     common.small_batches(docs.sparkSession)
-    if check and (bad := collisions(docs, key, text_col).head(1)):
-        raise ValueError(f"two values of kind {bad[0].kind} share a surrogate; choose another key")
+    tries = 0
+    while check and (bad := collisions(docs, key, text_col).head(1)):
+        key, tries = hmac.new(key, b"next", hashlib.sha256).digest(), tries + 1
+        if tries == TRIES:
+            raise ValueError(f"two values of kind {bad[0].kind} share a surrogate under each of {TRIES} keys")
     docs = docs.drop(*[c for c in docs.columns if c.lower() in {"n_entities", "n_values", "entities"}])
     at = next(i for i, c in enumerate(docs.columns) if c.lower() == text_col.lower())
     names = [*docs.columns, "n_entities", "n_values", "entities"]

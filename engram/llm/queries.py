@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 
 from engram.llm import common, compressclf, decontam, linedup, neardup, packing, pii, rules, suffix, tokens, warc
@@ -16,6 +18,12 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def surrogate_key(spark: SparkSession) -> bytes:
+    """The key of the surrogates: the setting ``spark.engram.surrogateKey``, or one that only this run knows."""
+    given = spark.conf.get("spark.engram.surrogateKey", None)
+    return given.encode() if given else secrets.token_bytes(32)
+
+
 def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.new_path(spark, "warc")
     warc.write_archives(common.table(spark, sf_dir, "pages"), path)
@@ -46,7 +54,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.surrogates(docs).select("doc_id", "n_entities", "n_values", "entities", "text")
+    return pii.surrogates(docs, surrogate_key(spark)).select("doc_id", "n_entities", "n_values", "entities", "text")
 
 
 def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
