@@ -178,17 +178,37 @@ def brute_components(rows, percent=85):
     return {d: (len(sets[d][0]), root(d)) for d in ids}
 
 
-def test_near_duplicates(docs, none):
-    got = neardup.near_duplicates(docs).collect()
+@pytest.mark.parametrize("percent", [85, 80])
+def test_near_duplicates(docs, none, percent):
+    got = neardup.near_duplicates(docs, percent=percent).collect()
     assert len(got) == docs.count()
-    expected = brute_components(rows_of(docs))
+    expected = brute_components(rows_of(docs), percent)
     for r in got:
         if r.doc_id is not None:
             assert (r.n_shingles, r.component_id) == expected[r.doc_id]
             assert r.kept == (r.doc_id == r.component_id)
-    assert neardup.near_duplicates(none).count() == 0
-    with pytest.raises(ValueError):
-        neardup.near_duplicates(docs, percent=50)
+    assert neardup.near_duplicates(none, percent=percent).count() == 0
+
+
+def test_the_radius_follows_the_similarity():
+    rnd = np.random.default_rng(5)
+    assert [neardup.radius_of(p) for p in (100, 85, 80)] == [0, 20, 24]
+    for percent in (80, 85):
+        beyond = sum(int(rnd.binomial(neardup.HASHES, 1 - percent / 100) > neardup.radius_of(percent)) for _ in range(20_000))
+        assert beyond <= 40
+
+
+def test_every_pair_of_different_components_meets(spark, monkeypatch):
+    """Pieces of a bucket with one large and many small components hold all pairs that can matter, and no piece is large."""
+    monkeypatch.setattr(neardup, "BLOCK", 10)
+    comp = [0] * 60 + [*range(60, 90)]
+    rows = spark.createDataFrame([(5, i, c, 90, 0, 30, 1, bytearray(b"x")) for i, c in enumerate(comp)], "key long, node long, comp long, c long, main long, rest long, n long, sig binary")
+    pieces = defaultdict(list)
+    for r in neardup.whole_buckets(rows).collect():
+        pieces[r.i, r.j].append((r.node, r.own))
+    met = {tuple(sorted((a, b))) for (i, j), rs in pieces.items() for a, x in rs for b, y in rs if a != b and (i == j or x != y)}
+    assert {(a, b) for a in range(90) for b in range(a + 1, 90) if comp[a] != comp[b]} <= met
+    assert sum(map(len, pieces.values())) < 90 * 12 and max(map(len, pieces.values())) <= 60
 
 
 def test_a_large_group_of_near_copies(spark, monkeypatch):
@@ -207,10 +227,11 @@ def test_a_large_group_of_near_copies(spark, monkeypatch):
 
 def test_pigeonhole_finds_every_pair_within_the_radius():
     rnd = np.random.default_rng(7)
-    plan = neardup.chunk_plan(24, 7, 5)
-    for _ in range(2000):
-        wrong = set(rnd.choice(24, rnd.integers(0, 8), replace=False).tolist())
-        assert any(not wrong & set(k) for k in plan)
+    for hashes, radius, chunks in ((24, 7, 5), (neardup.HASHES, 24, neardup.CHUNKS), (neardup.HASHES, 20, neardup.CHUNKS)):
+        plan = neardup.chunk_plan(hashes, radius, chunks)
+        for _ in range(2000):
+            wrong = set(rnd.choice(hashes, rnd.integers(0, radius + 1), replace=False).tolist())
+            assert any(not wrong & set(k) for k in plan)
 
 
 def test_parities_bound_the_difference():
