@@ -25,8 +25,8 @@ from engram.llm import common
 DATE = "2024-01-01T00:00:00Z"
 #: Records with a shorter payload are always responses.
 MIN_BYTES = 0
-#: Records of one archive file at most.
-FILE_RECORDS = 10_000
+#: Records of one archive file at most, and the bytes that a file has on average: a file is read into one task's memory.
+FILE_RECORDS, FILE_BYTES = 10_000, 64_000_000
 #: The digits that conv() writes and those of base32.
 DIGITS, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -82,14 +82,17 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     """Write one record per row of ``pages`` to gzipped archives in ``path``.
 
     Null payloads are empty; a null URI has no target line; a null id is a revisit wherever an equal payload has an
-    id, else a response. Rows that repeat the original's id and payload are responses as well. An empty
-    table writes no record.
+    id, else a response. Rows that repeat the original's id and payload are responses as well, under the same record id. An empty
+    table writes no record. Records lie in the order of their digests, so at random, and a file ends after as many as
+    have ``FILE_BYTES`` together by the mean; with that a file of many records is about as large, plus its largest one.
     """
     head = headers(pages, id_col, url_col, html_col)
+    seen = pages.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(F.coalesce(F.col(html_col), F.lit(""))) + F.lit(512)).alias("bytes")).first()
+    per_file = max(1, min(FILE_RECORDS, FILE_BYTES * seen["rows"] // max(1, seen["bytes"] or 1)))
     links = revisits(head, min_bytes).withColumnsRenamed({"id": "id2", "digest": "digest2"})
     joined = head.join(links, (F.col("digest") == F.col("digest2")) & F.col("id").eqNullSafe(F.col("id2")), "left")
     text = joined.select(record(F.when(F.col("refers_to").isNotNull(), "revisit").otherwise("response"), date).alias("value"))
-    text.write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    text.write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
 def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -114,7 +117,8 @@ def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataF
     """Records of the archives in ``path``: record_id, record_type, target_uri, refers_to, payload_digest, payload_bytes, payload.
 
     A response's digest is computed anew and must equal its header. Revisits have no payload; their length is that of
-    their HTTP head. Without ``payload`` that column is null.
+    their HTTP head. Without ``payload`` that column is null. A file is read into memory as it lies (compressed), its records one by one;
+    what other tools have written must fit so too. A folder without archives gives no rows.
     """
 
     def read(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -40,3 +40,14 @@ def test_short_payloads_and_empty_table(spark):
     path = common.new_path(spark, "test-warc")
     warc.write_archives(build(spark, []), path)
     assert warc.read_archives(spark, path).count() == 0
+
+
+def test_files_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 2_000_000)
+    rows = [(i, "u", chr(97 + i % 26) * (1_000_000 + i), None) for i in range(12)] + [(99, "long", "z" * 5_000_000, None)]
+    path = common.new_path(spark, "test-warc")
+    warc.write_archives(build(spark, rows).coalesce(1), path)
+    out = warc.read_archives(spark, path).collect()
+    assert sorted(r.payload_bytes for r in out) == sorted(len(h) for _, _, h, _ in rows)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).count()
+    assert files >= 12
