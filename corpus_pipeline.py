@@ -15,16 +15,24 @@ from engram.llm.queries import tokenizer_path
 
 #: SQL can't express the classifier's stage, so the pipeline is tested against a brute-force version.
 ORACLE_SQL = None
+#: Similarity of word shingles from which documents are near copies.
+SIMILAR_PERCENT = 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier doesn't reject."""
+    """Documents that the compression classifier doesn't reject.
+
+    Null and empty texts are judged as empty ones, repeated rows alike; an empty table stays empty.
+    """
     scored = compressclf.quality_scores(docs, common.table(spark, sf_dir, "labels"))
     return scored.filter("predicted = 1").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later occurrences of three-line windows; n_chars follows the text, and a document left without a word goes."""
+    """Texts without later occurrences of three-line windows; n_chars follows the text, and a document left without a word goes.
+
+    Null, empty and short texts stay as they are; rows that share an id don't clean each other; an empty table stays empty.
+    """
     cleaned = linedup.line_dedup(docs)
     changed = F.col("n_removed") > 0
     kept = cleaned.filter(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
@@ -34,20 +42,26 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest id; rows that share this id are one document and stay."""
-    keep = neardup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    """One document of each group of near-duplicates, that of the smallest id; rows that share this id are one document and stay.
+
+    Documents are linked from a similarity of 0.8 on. Null and empty texts have no links and stay; an empty table stays empty.
+    """
+    keep = neardup.near_duplicates(docs, percent=SIMILAR_PERCENT).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a word in a benchmark window."""
+    """Documents without a word in a benchmark window.
+
+    Null and empty texts have none and stay; with one row of an id all its rows go; an empty table stays empty.
+    """
     found = decontam.contamination(docs, common.table(spark, sf_dir, "benchmark"))
     hit = found.filter("contaminated").select(F.col("doc_id").alias("hit_id")).distinct()
     return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of the remaining documents in sequences of 2048."""
+    """Token pieces of the remaining documents in sequences of 2048; null and empty texts are their end token; an empty table has no pieces."""
     return packing.pack(docs, tokenizer_path())
 
 
