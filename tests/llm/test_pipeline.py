@@ -49,7 +49,7 @@ def test_lines(stages):
 
 def test_near(stages):
     before, after = stages[2]
-    expected = brute_components([(d, t or "") for d, t in pairs(before)])
+    expected = brute_components([(d, t or "") for d, t in pairs(before)], 80)
     assert {d for d, _ in pairs(after)} == {d for d, (_, c) in expected.items() if d == c}
 
 
