@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 
 from engram.llm import common
 
-#: Entries that a worker keeps of pieces and of pairs before it starts anew.
+#: Entries of pieces and of pairs that a worker adds before it lets go of those not used since as many were added.
 CACHE = 400_000
+#: Bytes up to which the prefixes of a piece are kept for others that begin alike.
+SHORT = 64
 #: Fixed value: the pattern by which byte-level BPE of this family splits text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The pieces of three characters whose first two are two pieces.
@@ -42,16 +44,20 @@ def byte_letters() -> dict[str, int]:
 
 
 class _Cache(dict):
-    """A bounded dict that computes what it misses."""
+    """A bounded dict that computes what it misses; what is used again survives a change of generation."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, key):
         if len(self) >= CACHE:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
 
@@ -75,7 +81,7 @@ class PrefixCounter:
         self.longest = max(map(len, self.ids))
         lengths: dict[bytes, set[int]] = {}
         for token in self.ids:
-            lengths.setdefault(token[-2:], {1}).add(len(token))
+            lengths.setdefault(token[-3:], {1, 2} if token[-2:] in self.ids else {1}).add(len(token))
         self.lengths = {end: tuple(sorted(n, reverse=True)) for end, n in lengths.items()}
         self.split = regex.compile(PATTERN)
         self.gap = regex.compile(r"(?<!\s)\s{2,}+(?=\S)")
@@ -85,6 +91,7 @@ class PrefixCounter:
         self.fits = _Cache(self.pair_stays)
         self.steps = _Cache(self.piece_steps)
         self.context: dict[tuple[bytes, bytes], int] = {}
+        self.known: dict[bytes, tuple[int, bytes]] = {}  # prefixes of short pieces: count and last token
 
     def edge(self, token: bytes, side: int) -> list[tuple[bytes, int]]:
         """The parts of a token that stand at its left (0) or right (1) edge as it is merged, each with the rank of the merge that ends it."""
@@ -124,7 +131,7 @@ class PrefixCounter:
                 key = piece[end - 2 * reach : end], bytes(last[end - reach : end])
                 length = context.get(key)
             if length is None:
-                for length in lengths.get(piece[max(0, end - 2) : end], (1,)):
+                for length in lengths.get(piece[max(0, end - 3) : end], (2, 1)):
                     start = end - length
                     if start >= 0 and (token := piece[start:end]) in ids and (not start or fits[piece[start - last[start] : start], token]):
                         break
@@ -138,10 +145,29 @@ class PrefixCounter:
             count[end] = count[end - length] + 1
         return count
 
+    def short_table(self, piece: bytes) -> list[int]:
+        """The same for a short piece, with what is known of its prefixes."""
+        ids, fits, lengths, known = self.ids, self.fits, self.lengths, self.known
+        if len(known) > 2 * CACHE:
+            known.clear()
+        count, last = [0], [b""]
+        for end in range(1, len(piece) + 1):
+            found = known.get(prefix := piece[:end])
+            if found is None:
+                for length in lengths.get(piece[max(0, end - 3) : end], (2, 1)):
+                    start = end - length
+                    if start >= 0 and (token := piece[start:end]) in ids and (not start or fits[last[start], token]):
+                        break
+                else:
+                    raise ValueError("a prefix has no encoding under this vocabulary")
+                found = known[prefix] = count[start] + 1, token
+            count.append(found[0]), last.append(found[1])
+        return count
+
     def piece_steps(self, piece: str) -> bytes:
         """By how much the count changes with each character of a piece, a signed byte each (a token of up to 128 bytes can replace as many)."""
         raw = piece.encode()
-        table = self.piece_table(raw)
+        table = self.short_table(raw) if len(raw) <= SHORT else self.piece_table(raw)
         if piece in CONTRACTIONS:
             table[2] = 2
         if len(raw) > len(piece):  # only the ends of characters count
