@@ -42,9 +42,10 @@ def proposals(turns: DataFrame, text_col: str = "user_message") -> DataFrame:
         _proposal(c.rlike(DECISION), "decision", plain, 0.78, 0.78, "turn_inference", ["decision"]),
         _proposal(c.rlike(IDENTITY) & ~c.rlike(ACTION) & ~question & ~c.rlike(QUOTED) & (F.length(c) <= 100), "identity", plain, 0.76, 0.75, "turn_inference", ["identity"]),
     ))
-    e = t.select("turn_id", F.posexplode(made).alias("ord", "p")).select("turn_id", "ord", "p.*").filter(T.substantive("content"))
-    first = Window.partitionBy("turn_id", "kind", F.lower(T.trim("content"))).orderBy("ord")
-    return e.withColumn("rn", F.row_number().over(first)).filter("rn = 1").drop("rn")
+    real = t.select("turn_id", F.filter(made, lambda p: T.substantive(p["content"])).alias("made"))
+    keys = F.transform("made", lambda p: F.struct(p["kind"], F.lower(T.trim(p["content"]))))
+    first = F.filter("made", lambda p, i: F.array_position(keys, F.struct(p["kind"], F.lower(T.trim(p["content"])))) == i + 1)
+    return real.select("turn_id", F.posexplode(first).alias("ord", "p")).select("turn_id", "ord", "p.*")
 
 
 def coding_proposals(turns: DataFrame, text_col: str = "user_message") -> DataFrame:
@@ -94,9 +95,10 @@ def entities(records: DataFrame, vocabulary: list[tuple[str, str]] = (), strict:
         parts.append(F.filter(quoted, lambda q: F.length(q["name"]).between(2, 40) & ~q["name"].rlike(r"^\d+(\.\d+)*$")))
         pascal = F.transform(F.regexp_extract_all(text_col, F.lit(r"\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\b"), F.lit(1)), lambda p: one(p, F.lit("tech"), 5))
         parts.append(F.filter(pascal, lambda p: ~p["name_key"].isin(*TECH)))
-    e = records.select("id", F.posexplode(F.concat(*parts)).alias("ord", "e")).select("id", "ord", "e.*")
-    first = Window.partitionBy("id", "name_key").orderBy("ord")
-    return e.withColumn("rn", F.row_number().over(first)).filter("rn = 1").drop("rn")
+    found = records.select("id", F.concat(*parts).alias("found"))
+    keys = F.transform("found", lambda e: e["name_key"])
+    first = F.filter("found", lambda e, i: F.array_position(keys, e["name_key"]) == i + 1)
+    return found.select("id", F.posexplode(first).alias("ord", "e")).select("id", "ord", "e.*")
 
 
 def entity_table(found: DataFrame) -> DataFrame:
@@ -111,6 +113,40 @@ def co_occurrences(found: DataFrame) -> DataFrame:
     return a.join(b, "id").filter("source < target").groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
+def node_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with both ends among the nodes (name_key)."""
+    keys = nodes.select("name_key").distinct()
+    return edges.join(keys.select(F.col("name_key").alias("source")), "source", "left_semi").join(keys.select(F.col("name_key").alias("target")), "target", "left_semi")
+
+
+def refreshed_links(links: DataFrame, changed: DataFrame, vocabulary: list[tuple[str, str]] = (), strict: bool = True) -> DataFrame:
+    """Links (id, name_key, kind, ...) after the records ``changed`` (id, content) were written: theirs are found anew, all others stay."""
+    kept = links.join(changed.select("id"), "id", "left_anti")
+    return kept.unionByName(entities(changed, vocabulary, strict).select(*[c for c in links.columns]), allowMissingColumns=False)
+
+
+def forgotten(links: DataFrame, relations: DataFrame, vectors: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links, relations (memory_id: the record that they come from) and vectors without those of forgotten records."""
+    gone = ids.select("id").distinct()
+    return (
+        links.join(gone, "id", "left_anti"), relations.join(gone.select(F.col("id").alias("memory_id")), "memory_id", "left_anti"), vectors.join(gone, "id", "left_anti"),
+    )
+
+
+def upserted_entities(table: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
+    """Entities (name_key, name, aliases, kind, created_at, updated_at) after upserts (ord, name, aliases, kind): a known key or alias takes the
+    aliases and, where one is given, the kind; its name stays. Changes of one batch are applied by ord; a new key is made once."""
+    keys = table.select(F.explode(F.array_union(F.array("name_key"), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), F.lower))).alias("k"), F.col("name_key").alias("known")).groupBy("k").agg(F.min("known").alias("known"))
+    c = changes.withColumn("k", F.lower(T.trim("name"))).filter("k <> ''").join(keys, "k", "left").withColumn("name_key", F.coalesce("known", "k"))
+    g = c.groupBy("name_key").agg(F.min_by(T.trim("name"), "ord").alias("c_name"), F.max_by("kind", F.when(F.col("kind").isNotNull(), F.col("ord"))).alias("c_kind"), F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.coalesce("aliases", F.array().cast("array<string>")).alias("a")))), lambda x: x.a))).alias("c_aliases"))
+    j = table.join(g, "name_key", "full")
+    none = F.array().cast("array<string>")
+    return j.select(
+        "name_key", F.coalesce("name", "c_name").alias("name"), F.array_union(F.coalesce("aliases", none), F.coalesce("c_aliases", none)).alias("aliases"), F.coalesce("c_kind", "kind").alias("kind"),
+        F.coalesce("created_at", now).alias("created_at"), F.when(F.col("c_aliases").isNotNull(), now).otherwise(F.col("updated_at")).alias("updated_at"),
+    )
+
+
 def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges of chosen entities with direction and the other end: two equi-joins."""
     out = edges.join(nodes.select(F.col("name_key").alias("source")), "source").select(F.col("source").alias("entity"), F.lit("out").alias("direction"), F.col("target").alias("other"), "n")
@@ -123,10 +159,24 @@ def newest_relations(relations: DataFrame, n: int = 4) -> DataFrame:
     return relations.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n)
 
 
+#: Letters of the grams by which a part of a name meets the names that contain it.
+GRAM = 3
+
+
 def resolve_names(names: DataFrame, table: DataFrame, n: int = 8) -> DataFrame:
-    """Entities that a name (query_id, name) means: equal key or alias first, then names that contain it."""
-    exact = names.withColumn("name_key", F.lower(T.trim("name"))).join(table.select("name_key"), "name_key").select("query_id", "name_key", F.lit(0).alias("how"))
-    inner = names.select("query_id", F.lower(T.trim("name")).alias("part")).filter("part <> ''").join(F.broadcast(table.select("name_key")), F.contains("name_key", F.col("part"))).select("query_id", "name_key", F.lit(1).alias("how"))
+    """Entities of ``table`` (name_key, aliases if it has them) that a name (query_id, name) means: an equal key or alias first, then keys that contain it.
+
+    Names meet keys on their first ``GRAM`` letters, so both sides are shuffled and neither is sent to all tasks.
+    """
+    asked = names.select("query_id", F.lower(T.trim("name")).alias("part")).filter("part <> ''")
+    keys = table.select("name_key", F.col("name_key").alias("part"))
+    if "aliases" in table.columns:
+        keys = keys.unionByName(table.select("name_key", F.explode("aliases").alias("part")).withColumn("part", F.lower(T.trim("part"))))
+    exact = asked.join(keys.distinct(), "part").select("query_id", "name_key", F.lit(0).alias("how"))
+    size = F.length("name_key")
+    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda g: F.transform(F.sequence(F.lit(1), F.greatest(size - g + 1, F.lit(1))), lambda i: F.substr("name_key", i, g)))))
+    cut = table.select("name_key").distinct().select("name_key", F.explode(grams).alias("gram"))
+    inner = asked.withColumn("gram", F.substring("part", 1, GRAM)).join(cut, "gram").filter(F.contains("name_key", F.col("part"))).select("query_id", "name_key", F.lit(1).alias("how"))
     w = Window.partitionBy("query_id").orderBy("how", "name_key")
     both = exact.unionAll(inner).groupBy("query_id", "name_key").agg(F.min("how").alias("how"))
     return both.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n).drop("rn")

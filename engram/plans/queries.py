@@ -442,11 +442,17 @@ def stop_gate(spark, d):
 
 
 KNOWN = "known AS (SELECT unnest([" + ", ".join(f"{{'n': '{n}', 'k': 'tech', 'p': 1}}" for n in capture.TECH) + ", " + ", ".join(f"{{'n': '{n}', 'k': 'tool', 'p': 2}}" for n in capture.TOOLS if n not in capture.TECH) + "], recursive := true))"
-FOUND = """found AS (SELECT DISTINCT id, n AS name_key, k AS kind FROM memory_items, known WHERE contains(lower(content), n))"""
+NAMED = ", ".join(f"'{n}'" for n in [*capture.TECH, *capture.TOOLS])
+FOUND = r"""ruled AS (SELECT id, n AS name_key, k AS kind, p AS prio FROM memory_items, known WHERE contains(lower(content), n)
+  UNION ALL SELECT id, lower(m), CASE WHEN regexp_matches(m, '(?i)^[a-z0-9-]+(\.[a-z]{2,})+$') THEN 'org' ELSE 'person' END, 3 FROM (SELECT id, unnest(regexp_extract_all(content, '@([A-Za-z0-9_][A-Za-z0-9_.-]*[A-Za-z0-9_]|[A-Za-z0-9_])', 1)) AS m FROM memory_items)
+    WHERE NOT regexp_matches(m, '^\d+(\.\d+)*$') AND lower(m) NOT IN (GENERIC, NAMED)
+  UNION ALL SELECT id, lower(q), 'project', 4 FROM (SELECT id, trim(unnest(regexp_extract_all(content, '"([^"]+?)"', 1)), ' ' || chr(10)) AS q FROM memory_items) WHERE length(q) BETWEEN 2 AND 40 AND NOT regexp_matches(q, '^\d+(\.\d+)*$')
+  UNION ALL SELECT id, lower(w), 'tech', 5 FROM (SELECT id, unnest(regexp_extract_all(content, '\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\b', 1)) AS w FROM memory_items) WHERE lower(w) NOT IN (TECHS)),
+found AS (SELECT id, name_key, arg_min(kind, prio) AS kind FROM ruled GROUP BY 1, 2)""".replace("GENERIC", ", ".join(f"'{n}'" for n in capture.GENERIC_MENTIONS)).replace("NAMED", NAMED).replace("TECHS", ", ".join(f"'{n}'" for n in capture.TECH))
 
 
 def _found(spark, d):
-    return capture.entities(V.memory_items(spark, d)).filter("prio in (1, 2)")
+    return capture.entities(V.memory_items(spark, d))
 
 
 @query("SELECT id, name_key, kind FROM found", M, KNOWN, FOUND)

@@ -19,23 +19,35 @@ def recall_counts(spark, d):
     return recalls.totals(V.read(spark, d, "events").select(F.col("user_id").alias("id"), "ts"))
 
 
-@query(r"""SELECT CAST(doc_id AS VARCHAR) AS path, CAST(i - 1 AS INT) AS ord, trim(x, ' ') AS entry FROM (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, list_filter(string_split(text, '. '), lambda x: regexp_matches(x, '^[A-Za-zÀ-ÿ]+ [A-Za-zÀ-ÿ ]+$')) AS l FROM documents))""")
+def _pieces(text):
+    """A text's parts between full stops, white space folded, that can stand as a line of prose: begun by a letter, not ended by a colon."""
+    parts = F.transform(F.split(text, r"\. "), lambda x: T.collapse(x))
+    return F.filter(parts, lambda x: x.rlike(r"^\p{L}.*[^:：]$"))
+
+
+@query(r"""WITH s AS (SELECT CAST(doc_id AS VARCHAR) AS path, list_filter(list_transform(string_split(text, '. '), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: regexp_matches(x, '^\p{L}.*[^:：]$')) AS l FROM documents WHERE text IS NOT NULL),
+g AS (SELECT path, l, unnest(generate_series(0, CAST(ceil(len(l) / 5.0) AS BIGINT) - 1)) AS k FROM s WHERE len(l) > 0),
+e AS (SELECT path, 3 * k + 0 AS o, 'H' || 5 * k || ' ' || l[5 * k + 1] || coalesce(' - ' || l[5 * k + 2], '') AS entry FROM g UNION ALL SELECT path, 3 * k + 1, 'H' || 5 * k || ' ' || l[5 * k + 3] FROM g UNION ALL SELECT path, 3 * k + 2, 'Lead ' || 5 * k + 3 || ': ' || l[5 * k + 4] || coalesce(' ' || l[5 * k + 5], '') FROM g)
+SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY o) - 1 AS INT) AS ord, entry FROM e WHERE entry IS NOT NULL""")
 def markdown_entries(spark, d):
-    """Documents' plain sentences written as bullet lists and read back."""
-    sentences = F.filter(F.split("text", r"\. "), lambda x: x.rlike("^[A-Za-zÀ-ÿ]+ [A-Za-zÀ-ÿ ]+$"))
-    bullets = F.array_join(F.transform(sentences, lambda x: F.concat(F.lit("- "), x)), "\n")
-    files = V.read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.concat(F.lit("---\nname: x\n---\n# Title\n```\ncode\n```\n"), bullets).alias("text"))
+    """Documents written as markdown (front matter, code, headings, nested items, lead-ins, prose of several lines) and read back."""
+    head = "---\nname: x\n---\n# Title\n```\n- code\n```\n"
+    i = lambda n: n.cast("string")
+    line = lambda x, n: F.when(n % 5 == 0, F.concat(F.lit("\n## H"), i(n), F.lit("\n- "), x)).when(n % 5 == 1, F.concat(F.lit("  - "), x)).when(n % 5 == 2, F.concat(F.lit("* "), x)).when(n % 5 == 3, F.concat(F.lit("\nLead "), i(n), F.lit(":\n"), x)).otherwise(F.concat(F.lit("---\n"), x))
+    text = F.concat(F.lit(head), F.array_join(F.transform(_pieces("text"), line), "\n"))
+    files = V.read(spark, d, "documents").filter("text is not null").select(F.col("doc_id").cast("string").alias("path"), text.alias("text"))
     return markdown.entries(files)
 
 
-@query(r"""WITH l AS (SELECT scope_id AS target, doc_id, '- ' || substr(summary, 1, 70) AS line FROM memory_items WHERE trim(summary) <> ''), u AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY target ORDER BY doc_id DESC) - 1 AS used FROM l)
+@query(r"""WITH l AS (SELECT scope_id AS target, doc_id, '- ' || trim(summary, ' ' || chr(10)) AS line FROM memory_items WHERE trim(summary) <> ''), u AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY target ORDER BY doc_id DESC) - 1 AS used FROM l)
 SELECT target, CAST(count(*) AS BIGINT) AS n, string_agg(rtrim(line), chr(10) ORDER BY doc_id) AS text FROM u WHERE used <= 900 GROUP BY target""", M)
 def markdown_export(spark, d):
-    m = V.memory_items(spark, d).select(F.col("scope_id").alias("target"), F.col("doc_id").alias("ord"), F.substring("summary", 1, 70).alias("item"))
+    m = V.memory_items(spark, d).select(F.col("scope_id").alias("target"), F.col("doc_id").alias("ord"), F.col("summary").alias("item"))
     return markdown.budgeted_list(m, 900)
 
 
-@query("""SELECT lang AS target, sha256(string_agg(CAST(doc_id AS VARCHAR) || chr(0) || text || chr(0), '' ORDER BY CAST(doc_id AS VARCHAR))) AS fingerprint FROM documents WHERE text IS NOT NULL GROUP BY lang""")
+@query("""WITH h AS (SELECT lang AS target, substr(sha256(CAST(doc_id AS VARCHAR)), 1, 3) AS range, CAST(doc_id AS VARCHAR) AS path, sha256(CAST(doc_id AS VARCHAR) || chr(0) || text || chr(0)) AS digest FROM documents WHERE text IS NOT NULL),
+r AS (SELECT target, range, sha256(string_agg(digest, '' ORDER BY path)) AS digest FROM h GROUP BY 1, 2) SELECT target, sha256(string_agg(digest, '' ORDER BY range)) AS fingerprint FROM r GROUP BY 1""")
 def source_fingerprints(spark, d):
     return markdown.fingerprint(V.read(spark, d, "documents").filter("text is not null").select(F.col("lang").alias("target"), F.col("doc_id").cast("string").alias("path"), "text"))
 

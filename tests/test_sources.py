@@ -5,11 +5,41 @@ from pyspark.sql import functions as F
 from engram.sources import markdown, sessions
 
 
-def test_markdown_entries():
-    text = "---\nname: x\n---\n# Title\nfirst line\nsecond line\n\n## Rules\n- one\n  - nested\n- two\n\n---\n**Bold lead**\n1. item\n\nNotes:\n* starred\n```\ncode\n```\n- ---\n\n### Orphan"
-    assert markdown.parse_entries(text) == ["first line second line", "Rules one - nested", "Rules two", "**Bold lead** item", "Notes: starred"]
-    assert markdown.parse_entries("") == []
-    assert markdown.parse_entries("lead:\nprose here\n\nplain") == ["lead: prose here", "plain"]
+FILES = {
+    "---\nname: x\n---\n# Title\nfirst line\nsecond line\n\n## Rules\n- one\n  - nested\n- two\n\n---\n**Bold lead**\n1. item\n\nNotes:\n* starred\n```\ncode\n```\n- ---\n\n### Orphan": ["first line second line", "Rules one - nested", "Rules two", "**Bold lead** item", "Notes: starred"],
+    "": [],
+    "lead:\nprose here\n\nplain": ["lead: prose here", "plain"],
+    "## H\nprose\n- a\n- b\n## I\n- c\nprose\n    - deep\n- d": ["H prose", "a", "b", "I c", "I prose - deep", "d"],
+    "    - deep first\n  - less\n      - more\n- top\n  1. sub": ["deep first", "less - more", "top 1. sub"],
+    "---\nk: v\n---\n---\nmore: y\n\n- not read\n---\n```\n- code\n---\n```\ntext": [],
+    "```\n---\n```\n- hidden": [],
+    "text\n---\nmore\n# Title\nstill": ["text more still"],
+    "-\n\n- \n\n2.x\n\n**b**:\n+ plus\r\n\u3000\n+ blank above": ["-", "-", "2.x", "**b**: plus", "blank above"],
+    "- a:\n\n  - b\nshort lead：\n\n- c": ["a:", "b", "c"],
+}
+
+
+def test_markdown_entries(spark):
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(FILES)] + [("null", None)], "path string, text string")
+    got = {}
+    for r in markdown.entries(df).orderBy("path", "ord").collect():
+        assert r.ord == len(got.setdefault(r.path, []))
+        got[r.path].append(r.entry)
+    for i, (text, expected) in enumerate(FILES.items()):
+        assert got.get(str(i), []) == expected, text
+    assert "null" not in got
+
+
+def test_folders_and_fingerprints(spark, tmp_path):
+    assert markdown.read_folder(spark, str(tmp_path / "none")).count() == 0
+    (tmp_path / "A.MD").write_text("- x")
+    (tmp_path / "b.txt").write_text("- y")
+    assert [r.text for r in markdown.read_folder(spark, str(tmp_path)).collect()] == ["- x"]
+    rows = [("t", f"p{i}", f"text {i}") for i in range(50)] + [("u", "p1", None)]
+    one, other = (markdown.fingerprint(spark.createDataFrame(x, "target string, path string, text string").repartition(3)).collect() for x in (rows, rows[::-1]))
+    assert {tuple(r) for r in one} == {tuple(r) for r in other} and len(one) == 2
+    changed = [("t", "p0", "other"), *rows[1:]]
+    assert {r.fingerprint for r in markdown.fingerprint(spark.createDataFrame(changed, "target string, path string, text string")).collect()} != {r.fingerprint for r in one}
 
 
 def test_budget(spark):
