@@ -1,8 +1,10 @@
-"""Ranked search: many queries against all records in one pass over the records.
+"""Ranked search: many queries against all records, over an index of the records that is built once.
 
-Queries are few and records many, so a block of queries (``BLOCK`` of them, ``BLOCK_BYTES`` of text at most) goes to every task, and each
-task scores its records in Arrow batches and keeps the best of each query; only those meet in a shuffle. More queries take
-more blocks. BM25 needs corpus statistics first: document frequencies of the block's terms, counted over all records.
+``index`` reads every text once and keeps of it, by record, the hashes of its tokens, its hashed vector and the hashes of its full-text terms in
+their order. Queries are few and records many, so a block of queries (``BLOCK`` of them, ``BLOCK_BYTES`` of text at most) goes to
+every task, and each task scores its part of the index in whole arrays and keeps the best of each query; only those meet in a shuffle.
+More queries take more blocks over the same index. BM25 needs corpus statistics first: document frequencies of the block's terms.
+Where all queries of a block name scopes, only records in those are scored.
 
 score = validity * (0.45 lexical + 0.35 hash + 0.08 recency + 0.07 importance + 0.05 scope + 0.18 entity + 0.22 fts + 0.10 principle)
 """
@@ -12,23 +14,24 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.functions import text as T
+from engram.operators import storage
 from engram.operators.records import past_validity
 from engram.plans.views import hot_keys
 
 BLOCK, BLOCK_BYTES = 512, 2_000_000
-#: Records that are scored at once, which bounds the matrices of a task.
-SLICE = 512
+#: Records that are scored at once, and texts that are read at once, which bounds the arrays of a task.
+SLICE, SLICE_BYTES = 512, 4_000_000
 #: The signals' weights, the index's ranks and its constants.
 WEIGHTS = {"lexical": 0.45, "hash": 0.35, "recency": 0.08, "importance": 0.07, "scope": 0.05, "entity": 0.18, "fts": 0.22, "principle": 0.10}
 FTS_RANKS, FTS_STEP, FTS_LEAST = 30, 0.022, 0.3
@@ -83,27 +86,111 @@ def phrases(query: str) -> list[tuple[str, ...]]:
     return [p for p in out if p]
 
 
-class Block:
-    """What a task needs of a block of queries."""
+class _Ids(dict):
+    """64-bit ids of tokens and terms, kept up to a bound."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        value = self[token] = xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass")) - (1 << 63)
+        return value
+
+
+IDS = _Ids()
+INDEX = "id string, tokens array<long>, vector array<float>, terms array<long>"
+
+
+def index(records: DataFrame) -> DataFrame:
+    """The index of records: id, ids of the distinct tokens, the hashed vector, ids of the full-text terms in order. One pass over the texts."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split(" ")[0] for f in INDEX.split(", ")]
+
+        def lists(rows: list, kind: pa.DataType) -> pa.Array:
+            ends = np.cumsum([0, *map(len, rows)])
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows) if rows else [], kind))
+
+        for b in batches:
+            tokens, vectors, term_rows, ids, held = [], [], [], [], 0
+            for i, text, whole in zip(*(c.to_pylist() for c in b.columns)):
+                found = words(text)
+                ids.append(i)
+                tokens.append(np.unique(np.array([IDS[t] for t in found], np.int64)))
+                vectors.append(hash_vector(found).astype(np.float32))
+                term_rows.append(np.array([IDS[t] for t in terms(whole)], np.int64))
+                held += len(whole)
+                if held > SLICE_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), lists(tokens, pa.int64()), lists(vectors, pa.float32()), lists(term_rows, pa.int64())], names)
+                    tokens, vectors, term_rows, ids, held = [], [], [], [], 0
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), lists(tokens, pa.int64()), lists(vectors, pa.float32()), lists(term_rows, pa.int64())], names)
+
+    return records.select("id", T.search_text().alias("t"), _index_text().alias("w")).mapInArrow(read, INDEX)
+
+
+def live(indexed: DataFrame, records: DataFrame) -> DataFrame:
+    """Index rows of records that exist, without those of forgotten ones."""
+    return indexed.join(records.select("id"), "id", "left_semi")
+
+
+def reindexed(indexed: DataFrame, changed: DataFrame, ids: DataFrame) -> DataFrame:
+    """The index after records were written (``changed``) or forgotten (``ids`` has both): theirs is made anew, all other rows stay."""
+    return indexed.join(ids.select("id").distinct(), "id", "left_anti").unionByName(index(changed))
 
-    def __init__(self, rows: list[tuple[str, str]], requested: dict[str, list[tuple[str, str, float]]] | None):
-        self.ids = [q for q, _ in rows]
-        tokens = [[*dict.fromkeys(words(t.strip()))] for _, t in rows]
-        self.vocab = {t: i for i, t in enumerate(dict.fromkeys(t for q in tokens for t in q))}
-        self.member = np.zeros((len(self.vocab), len(rows)), np.float32)
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column, and the row of each."""
+    ends = column.offsets.to_numpy()
+    return column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(column)), np.diff(ends))
+
+
+class Lookup:
+    """Places of ids among sorted known ones."""
+
+    def __init__(self, ids: list[int]):
+        self.order = np.argsort(np.array(ids, np.int64))
+        self.sorted = np.array(ids, np.int64)[self.order]
+
+    def find(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which values are known, and the place of each."""
+        if not len(self.sorted):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.sorted, values), len(self.sorted) - 1)
+        hit = np.flatnonzero(self.sorted[at] == values)
+        return hit, self.order[at[hit]]
+
+
+class Block:
+    """What a task needs of a block of queries (id, text, scopes asked for)."""
+
+    def __init__(self, rows: list[tuple[str, str, list[tuple[str, str, float]]]], scoped: bool):
+        self.ids = [q for q, _, _ in rows]
+        tokens = [[*dict.fromkeys(words(t.strip()))] for _, t, _ in rows]
+        vocab = {t: i for i, t in enumerate(dict.fromkeys(t for q in tokens for t in q))}
+        self.vocab = Lookup([IDS[t] for t in vocab])
+        self.member = np.zeros((len(vocab), len(rows)), np.float32)
         for q, ts in enumerate(tokens):
-            self.member[[self.vocab[t] for t in ts], q] = 1
+            self.member[[vocab[t] for t in ts], q] = 1
         self.size = np.array([len(t) for t in tokens], float)
-        v = np.stack([hash_vector(words(t.strip())) for _, t in rows]) if rows else np.zeros((0, DIMS))
+        v = np.stack([hash_vector(words(t.strip())) for _, t, _ in rows]) if rows else np.zeros((0, DIMS))
         self.vectors, self.norms = v, np.sqrt((v * v).sum(1))
-        self.phrases = [phrases(t) for _, t in rows]
+        self.phrases = [phrases(t) for _, t, _ in rows]
         self.phrase_ids = {p: i for i, p in enumerate(dict.fromkeys(p for q in self.phrases for p in q))}
-        self.starts: dict[str, list[tuple[str, ...]]] = {}
-        for p in self.phrase_ids:
-            self.starts.setdefault(p[0], []).append(p)
-        self.requested = None if requested is None else [requested.get(q, []) for q in self.ids]
+        single = [(p, i) for p, i in self.phrase_ids.items() if len(p) == 1]
+        self.single, self.single_at = Lookup([IDS[p[0]] for p, _ in single]), np.array([i for _, i in single], np.int64)
+        self.longer = [(np.array([IDS[t] for t in p], np.int64), i) for p, i in self.phrase_ids.items() if len(p) > 1]
+        self.first = Lookup([*{int(p[0]) for p, _ in self.longer}])
+        self.requested = [asked for _, _, asked in rows] if scoped else None
         self.scopes: dict[str, np.ndarray] = {}
 
+    def only(self) -> Column | None:
+        """The scopes that can have hits; none where a query asks for all."""
+        if self.requested is None or not all(self.requested):
+            return None
+        every = {x for asked in self.requested for x in asked}
+        keys = {f"{t}:{i}".lower() for t, i, _ in every if i != "*"} | {f"{t}:{i}".lower() for t, i, _ in every}
+        return F.col("scope_key").isin(*keys) | F.col("scope_type").isin(*{t for t, i, _ in every if i == "*"})
+
     def scope(self, kind: str, key: str) -> np.ndarray:
         """Each query's scope signal for a record's scope; NaN where it isn't asked for."""
         if self.requested is None:
@@ -117,116 +204,111 @@ class Block:
                     if t == kind and (i == "*" or f"{t}:{i}".lower() == key):
                         out[q] = min(max(w, 0.0), 1.5) / 1.5
                         break
+            if len(self.scopes) > 10_000:
+                self.scopes.clear()
             self.scopes[key] = out
         return self.scopes[key]
 
-    def frequencies(self, found: list[str]) -> Counter:
-        """How often each phrase stands in a row of terms."""
-        out: Counter = Counter()
-        for i, t in enumerate(found):
-            for p in self.starts.get(t, ()):
-                if len(p) == 1 or tuple(found[i : i + len(p)]) == p:
-                    out[self.phrase_ids[p]] += 1
-        return out
+    def frequencies(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How often phrases stand in rows of terms: row, phrase, count."""
+        values, row = _flat(column)
+        hit, at = self.single.find(values)
+        rows, found = [row[hit]], [self.single_at[at]]
+        if self.longer:
+            starts, _ = self.first.find(values)
+            by_first = values[starts]
+            for phrase, i in self.longer:
+                s = starts[by_first == phrase[0]]
+                for o, term in enumerate(phrase[1:], 1):
+                    s = s[s + o < len(values)]
+                    s = s[(values[s + o] == term) & (row[s + o] == row[s])]
+                rows.append(row[s]), found.append(np.full(len(s), i, np.int64))
+        key, n = np.unique(np.concatenate(rows) * max(1, len(self.phrase_ids)) + np.concatenate(found), return_counts=True)
+        return *np.divmod(key, max(1, len(self.phrase_ids))), n
 
 
 def blocks(queries: DataFrame, requested: DataFrame | None) -> list[Block]:
-    """Queries (query_id, text) in blocks of bounded size; they are parameters, so they pass through the driver block by block."""
-    asked = None
+    """Queries (query_id, text), with the scopes asked for, in blocks of bounded size; they are parameters, so they pass through the driver block by block."""
+    q = queries.select(F.col("query_id").cast("string").alias("query_id"), "text").filter(T.trim("text") != "")
     if requested is not None:
-        asked = {}
-        for r in requested.orderBy("query_id", "ord").collect():
-            asked.setdefault(r.query_id, []).append((r.scope_type, r.scope_id.strip(), 1.0 if r.weight is None else r.weight))
+        weight = F.coalesce(F.col("weight").cast("double"), F.lit(1.0))
+        asked = requested.groupBy(F.col("query_id").cast("string").alias("query_id")).agg(F.array_sort(F.collect_list(F.struct("ord", "scope_type", T.trim("scope_id").alias("scope_id"), weight.alias("weight")))).alias("asked"))
+        q = q.join(asked, "query_id", "left")
     out, rows, held = [], [], 0
-    for r in queries.select(F.col("query_id").cast("string").alias("query_id"), "text").filter(T.trim("text") != "").orderBy("query_id").toLocalIterator():
-        rows.append((r.query_id, r.text))
+    for r in q.orderBy("query_id").toLocalIterator():
+        rows.append((r.query_id, r.text, [(x.scope_type, x.scope_id, x.weight) for x in r.asked or ()] if requested is not None else []))
         held += len(r.text)
         if len(rows) == BLOCK or held > BLOCK_BYTES:
-            out.append(Block(rows, asked))
+            out.append(Block(rows, requested is not None))
             rows, held = [], 0
-    return [*out, Block(rows, asked)] if rows or not out else out
+    return [*out, Block(rows, requested is not None)] if rows or not out else out
 
 
 def _index_text() -> Column:
     return F.concat_ws("\n", "kind", "content", "summary", F.array_join("tags", " "), F.concat_ws(":", "scope_type", "scope_id"))
 
 
-def full_text_ranks(records: DataFrame, block: Block, most: int = FTS_RANKS) -> DataFrame:
-    """(query_id, id, rank from 0) of the best records by BM25 over the index text; a query is the union of its phrases."""
-    spark = records.sparkSession
-    shared = spark.sparkContext.broadcast(block)
+def full_text_ranks(indexed: DataFrame, block: Block, most: int = FTS_RANKS) -> DataFrame:
+    """(query_id, id, rank from 0) of the best records by BM25 over the index; a query is the union of its phrases."""
+    shared = indexed.sparkSession.sparkContext.broadcast(block)
 
-    def tally(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df: Counter = Counter()
-        for b in rows:
-            for text in b.column(0).to_pylist():
-                found = terms(text)
-                df.update({*shared.value.frequencies(found)})
-                df[-1] += 1
-                df[-2] += len(found)
-        yield pa.RecordBatch.from_arrays([pa.array(df.keys(), pa.int64()), pa.array(df.values(), pa.int64())], ["p", "n"])
-
-    text = _index_text().alias("t")
-    stats = {r.p: r.n for r in records.select(text).mapInArrow(tally, "p long, n long").groupBy("p").agg(F.sum("n").alias("n")).collect()}  # as many rows as the block has phrases
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, total, length = np.zeros(len(shared.value.phrase_ids), np.int64), 0, 0
+        for b in batches:
+            df += np.bincount(shared.value.frequencies(b.column(0))[1], minlength=len(df))
+            total, length = total + b.num_rows, length + len(b.column(0).flatten())
+        yield pa.RecordBatch.from_arrays([pa.array([-1, -2, *range(len(df))], pa.int64()), pa.array([total, length, *df], pa.int64())], ["p", "n"])
+
+    stats = {r.p: r.n for r in indexed.select("terms").mapInArrow(tally, "p long, n long").groupBy("p").agg(F.sum("n").alias("n")).collect()}  # as many rows as the block has phrases
     total, length = stats.get(-1, 0), stats.get(-2, 0) / max(1, stats.get(-1, 0))
-    idf = {p: max(BM25_LEAST_IDF, math.log((total - stats.get(p, 0) + 0.5) / (stats.get(p, 0) + 0.5))) for p in block.phrase_ids.values()}
+    idf = [max(BM25_LEAST_IDF, math.log((total - stats.get(p, 0) + 0.5) / (stats.get(p, 0) + 0.5))) for p in range(len(block.phrase_ids))]
 
-    def rank(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b_ = shared.value
         weights = np.zeros((len(b_.phrase_ids), len(b_.ids)))
         for q, ps in enumerate(b_.phrases):
             for p in ps:
                 weights[b_.phrase_ids[p], q] = idf[b_.phrase_ids[p]]
         best = _Best(b_.ids, most)
-        for b in (whole.slice(lo, SLICE) for whole in rows for lo in range(0, whole.num_rows, SLICE)):
+        for b in (whole.slice(lo, SLICE) for whole in batches for lo in range(0, whole.num_rows, SLICE)):
+            row, phrase, n = b_.frequencies(b.column(1))
+            size = np.diff(b.column(1).offsets.to_numpy())[row]
             tf = np.zeros((b.num_rows, len(b_.phrase_ids)))
-            for i, t in enumerate(b.column(1).to_pylist()):
-                found = terms(t)
-                freq = b_.frequencies(found)
-                for p, n in freq.items():
-                    tf[i, p] = n * (BM25_K1 + 1) / (n + BM25_K1 * (1 - BM25_B + BM25_B * len(found) / length))
+            tf[row, phrase] = n * (BM25_K1 + 1) / (n + BM25_K1 * (1 - BM25_B + BM25_B * size / max(length, 1e-9)))
             score = tf @ weights
-            best.add(np.where(score > 0, score, -np.inf), b.column(0).to_pylist(), [()] * b.num_rows)
+            best.add(np.where(score > 0, score, -np.inf), b.column(0).to_pylist(), None, lambda i, q: ())
         yield best.batch(["query_id", "id", "score"])
 
-    found = records.select("id", text).mapInArrow(rank, "query_id string, id string, score double")
+    found = indexed.select("id", "terms").mapInArrow(rank, "query_id string, id string, score double")
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "id")
     return found.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < most).select("query_id", "id", "rank")
 
 
 class _Best:
-    """The best ``most`` records of each query so far, ties at the border kept."""
+    """The best ``most`` records of each query so far, by score (to nine digits), then birth, then id: never more, however many are equal."""
 
     def __init__(self, ids: list[str], most: int):
         self.ids, self.most = ids, most
         self.rows: list[list[tuple]] = [[] for _ in ids]
 
-    def add(self, score: np.ndarray, keys: list, extra: list, least: float = -np.inf) -> None:
-        """score: a row for each record, a column for each query; extra(record) or extra[record] goes with it."""
+    def add(self, score: np.ndarray, keys: list, born: np.ndarray | None, extra) -> None:
+        """score: a row for each record, a column for each query; extra(record, query) goes with it."""
         n = len(keys)
         for q in range(len(self.ids)):
-            s = score[:, q]
-            cut = least
+            s, kept = score[:, q], self.rows[q]
+            cut = -np.inf
             if n > self.most:
-                cut = max(cut, np.partition(s, n - self.most)[n - self.most])
+                cut = np.partition(s, n - self.most)[n - self.most] - 1e-9
+            if len(kept) == self.most:
+                cut = max(cut, -kept[-1][0] - 1e-9)
             for i in np.flatnonzero((s >= cut) & (s > -np.inf)):
-                self.rows[q].append((float(s[i]), keys[i], extra[i] if isinstance(extra, list) else extra(i, q)))
-            if len(self.rows[q]) > 4 * self.most:
-                self.prune(q)
-
-    def prune(self, q: int) -> None:
-        rows = sorted(self.rows[q], key=lambda r: -r[0])
-        if len(rows) > self.most:
-            border = rows[self.most - 1][0] - 1e-9
-            rows = [r for r in rows if r[0] >= border]
-        self.rows[q] = rows
+                kept.append((-round(float(s[i]), 9), 0 if born is None else int(born[i]), keys[i], float(s[i]), extra(i, q)))
+            if len(kept) > self.most:
+                kept.sort(key=lambda r: r[:3])
+                del kept[self.most :]
 
     def batch(self, names: list[str]) -> pa.RecordBatch:
-        out = []
-        for q, i in enumerate(self.ids):
-            self.prune(q)
-            out += [(i, key, s, *extra) for s, key, extra in self.rows[q]]
-        cols = list(zip(*out)) or [()] * len(names)
+        cols = list(zip(*((i, key, s, *extra) for q, i in enumerate(self.ids) for _, _, key, s, extra in self.rows[q]))) or [()] * len(names)
         kinds = [pa.string(), pa.string(), *[pa.float64()] * (len(names) - 2)]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
@@ -239,13 +321,15 @@ def _boosts(records: DataFrame, given: DataFrame | None, name: str) -> DataFrame
     return records.join(by_id, "id", "left")
 
 
-def search(records: DataFrame, queries: DataFrame, now: Column, requested: DataFrame | None = None, entity: DataFrame | None = None, fts: bool = True, most: int = 8, least: float = 0.18, weights: dict | None = None) -> DataFrame:
+def search(records: DataFrame, queries: DataFrame, now: Column, requested: DataFrame | None = None, entity: DataFrame | None = None, fts: bool = True, most: int = 8, least: float = 0.18, weights: dict | None = None, indexed: DataFrame | None = None) -> DataFrame:
     """The best records of each query: query_id, rank, id, score and its eight signals.
 
-    ``requested`` has the scopes of each query (query_id, ord, scope_type, scope_id, weight); without it everything is in scope. Blank
-    queries have no hits. Equal scores go by creation time, then id.
+    ``indexed`` is the index of the records, where one is kept; otherwise it is made for this search. ``requested`` has the
+    scopes of each query (query_id, ord, scope_type, scope_id, weight); without it everything is in scope. Blank queries have no
+    hits. Equal scores go by creation time, then id.
     """
-    found = [_search(records, b, now, entity, fts, most, least, WEIGHTS | (weights or {})) for b in blocks(queries, requested)]
+    ix = storage.written(index(records), "index") if indexed is None else live(indexed, records)
+    found = [_search(records, ix, b, now, entity, fts, most, least, WEIGHTS | (weights or {})) for b in blocks(queries, requested)]
     out = reduce(DataFrame.unionByName, found)
     born = records.select("id", "created_at")
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "created_at", "id")
@@ -253,28 +337,27 @@ def search(records: DataFrame, queries: DataFrame, now: Column, requested: DataF
     return best.select("query_id", "rank", "id", "score", *REASONS)
 
 
-def _search(records: DataFrame, block: Block, now: Column, entity: DataFrame | None, fts: bool, most: int, least: float, w: dict) -> DataFrame:
-    spark = records.sparkSession
-    shared = spark.sparkContext.broadcast(block)
-    ranks = full_text_ranks(records, block).select("query_id", "id", F.greatest(F.lit(FTS_LEAST), 1 - F.col("rank") * FTS_STEP).alias("fts")) if fts and block.phrase_ids else None
-    r = hot_keys(records)
+def _search(records: DataFrame, ix: DataFrame, block: Block, now: Column, entity: DataFrame | None, fts: bool, most: int, least: float, w: dict) -> DataFrame:
+    shared = records.sparkSession.sparkContext.broadcast(block)
+    ranks = full_text_ranks(ix, block).select("query_id", "id", F.greatest(F.lit(FTS_LEAST), 1 - F.col("rank") * FTS_STEP).alias("fts")) if fts and block.phrase_ids else None
+    only = block.only()
+    r = hot_keys(records if only is None else records.filter(only))
     age = F.greatest(F.lit(0), F.unix_timestamp(now) - F.unix_timestamp("updated_at")) / 86400
-    r = r.select("id", T.search_text().alias("t"), "scope_type", "scope_key", F.coalesce(1 / (1 + age / 30), F.lit(0.0)).alias("recency"), "importance", (F.col("kind") == "principle").cast("double").alias("principle"), F.when(past_validity(now), 0.5).otherwise(1.0).alias("validity"))
-    r = _boosts(_boosts(r, entity, "entity"), ranks, "fts")
+    r = r.select("id", "scope_type", "scope_key", F.coalesce(1 / (1 + age / 30), F.lit(0.0)).alias("recency"), "importance", (F.col("kind") == "principle").cast("double").alias("principle"), F.when(past_validity(now), 0.5).otherwise(1.0).alias("validity"), F.unix_micros(F.col("created_at").cast("timestamp")).alias("born"))
+    r = _boosts(_boosts(r, entity, "entity"), ranks, "fts").join(ix.select("id", "tokens", "vector"), "id")
 
-    def score(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b_ = shared.value
         at = {q: i for i, q in enumerate(b_.ids)}
         best = _Best(b_.ids, most)
-        for b in (whole.slice(lo, SLICE) for whole in rows for lo in range(0, whole.num_rows, SLICE)):
+        for b in (whole.slice(lo, SLICE) for whole in batches for lo in range(0, whole.num_rows, SLICE)):
             c = {n: b.column(i) for i, n in enumerate(b.schema.names)}
             n = b.num_rows
-            has, vec = np.zeros((n, len(b_.vocab)), np.float32), np.zeros((n, DIMS))
-            for i, t in enumerate(c["t"].to_pylist()):
-                ws = words(t)
-                known = {b_.vocab[x] for x in ws if x in b_.vocab}
-                has[i, [*known]] = 1
-                vec[i] = hash_vector(ws)
+            has = np.zeros((n, len(b_.member)), np.float32)
+            values, row = _flat(c["tokens"])
+            hit, known = b_.vocab.find(values)
+            has[row[hit], known] = 1
+            vec = c["vector"].flatten().to_numpy(zero_copy_only=False).reshape(n, DIMS).astype(float)
             lexical = (has @ b_.member) / np.maximum(b_.size, 1)
             norm = np.sqrt((vec * vec).sum(1))[:, None] * b_.norms
             hashed = np.clip(np.divide(vec @ b_.vectors.T, norm, out=np.zeros_like(norm), where=norm > 0), 0, 1)
@@ -289,7 +372,8 @@ def _search(records: DataFrame, block: Block, now: Column, entity: DataFrame | N
             all_of = {"lexical": lexical, "hash": hashed, "scope": scope, **flat, **boost}
             total = sum(w[k] * all_of[k] for k in REASONS) * c["validity"].to_numpy(zero_copy_only=False)[:, None]
             total = np.where(np.isnan(scope) | (total < least), -np.inf, total)
-            best.add(total, c["id"].to_pylist(), lambda i, q: tuple(float(all_of[k][i, q]) for k in REASONS))
+            born = c["born"].fill_null(1 << 62).to_numpy()
+            best.add(total, c["id"].to_pylist(), born, lambda i, q: tuple(float(all_of[k][i, q]) for k in REASONS))
         yield best.batch(["query_id", "id", "score", *REASONS])
 
     return r.mapInArrow(score, "query_id string, id string, score double, " + ", ".join(f"{k} double" for k in REASONS))
@@ -328,6 +412,23 @@ def snippet(content: str, tokens: list[str]) -> str:
     return ("..." if start else "") + s[start:end] + ("..." if end < len(s) else "")
 
 
+def containing(queries: DataFrame, records: DataFrame) -> DataFrame:
+    """(query_id, id) of records whose content contains the query's text, by an equi-join on the rarest word inside each text.
+
+    Words are what single blanks separate; those at the ends may be cut, so texts of fewer than three words have none inside and are
+    compared with every record.
+    """
+    q = queries.select("query_id", "text").filter("text <> ''").withColumn("inner", F.array_distinct(F.slice(F.split("text", " "), 2, F.greatest(F.size(F.split("text", " ")) - 2, F.lit(0)))))
+    asked = q.select("query_id", F.explode("inner").alias("w"))
+    held = records.select("id", F.explode(F.array_distinct(F.split("content", " "))).alias("w")).join(asked.select("w").distinct(), "w", "left_semi")
+    df = held.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    rarest = asked.join(df, "w").groupBy("query_id").agg(F.min(F.struct("df", "w")).alias("r"), F.count(F.lit(1)).alias("n"))
+    whole = rarest.join(q.select("query_id", "text", F.size("inner").alias("size")), "query_id").filter("n = size").select("query_id", "text", F.col("r.w").alias("w"))
+    met = whole.join(held, "w").join(records.select("id", "content"), "id").filter(F.contains("content", F.col("text"))).select("query_id", "id")
+    short = q.filter(F.size("inner") == 0).select("query_id", "text").join(records.select("id", "content"), F.contains("content", F.col("text"))).select("query_id", "id")
+    return met.unionAll(short)
+
+
 # -- recall
 
 
@@ -386,7 +487,7 @@ def vector_search(vectors: DataFrame, queries: DataFrame, most: int = 10, least:
                 v = np.array([lists[i] for i in ok], float)
                 norm = np.linalg.norm(v, axis=1, keepdims=True)
                 s = np.clip(np.divide(v, norm, out=np.zeros_like(v), where=norm > 0) @ m.T, 0, 1)
-                best.add(np.where(s >= least, s, -np.inf), [keys[i] for i in ok], [()] * len(ok))
+                best.add(np.where(s >= least, s, -np.inf), [keys[i] for i in ok], None, lambda i, q: ())
             yield best.batch(["query_id", "id", "score"])
 
         return vectors.select(F.col(id_col).cast("string").alias("id"), vector_col).mapInArrow(score, "query_id string, id string, score double")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engram.operators import cloud, search
+from engram.operators import cloud, search, storage
 from engram.plans import views as V
 from engram.plans.queries import now, query
 
@@ -62,8 +62,8 @@ def search_scoped(spark, d):
 
 @query("SELECT query_id, id, CAST(rk AS INT) AS rank FROM fts", M, SIGNALS)
 def search_full_text(spark, d):
-    m = V.memory_items(spark, d)
-    return reduce(DataFrame.unionByName, [search.full_text_ranks(m, b) for b in search.blocks(_queries(spark, d), None)])
+    ix = storage.written(search.index(V.memory_items(spark, d)), "index")
+    return reduce(DataFrame.unionByName, [search.full_text_ranks(ix, b) for b in search.blocks(_queries(spark, d), None)])
 
 
 @query("""WITH t AS (SELECT CAST(item_id AS VARCHAR) AS query_id, 'doc-' || doc_id AS id, CAST(item_id % 3 AS VARCHAR) AS category FROM benchmark b, documents d WHERE contains(d.text, b.text)), s AS (SELECT *, validity * (0.45 * lexical + 0.35 * hash + 0.08 * recency + 0.07 * importance + 0.025 + 0.22 * fts + 0.10 * principle) AS score FROM sc),
@@ -72,7 +72,7 @@ SELECT coalesce(category, 'all') AS category, CAST(count(*) AS BIGINT) AS questi
 def retrieval_quality(spark, d):
     m, q = V.memory_items(spark, d), _queries(spark, d)
     hits = search.search(m, q, now(), most=10, least=0.0)
-    truth = F.broadcast(q).join(m.select("id", "content"), F.contains("content", F.col("text"))).select("query_id", "id", (F.col("query_id").cast("long") % 3).cast("string").alias("category"))
+    truth = search.containing(q, m).select("query_id", "id", (F.col("query_id").cast("long") % 3).cast("string").alias("category"))
     out = cloud.retrieval_metrics(hits, truth)
     return out.select("category", "questions", *[F.round(c, 6).alias(c) for c in ("recall_5", "recall_10", "ndcg_10")])
 
