@@ -96,36 +96,71 @@ class _Ids(dict):
         return value
 
 
-IDS = _Ids()
+class _Words:
+    """What the index keeps of a word, in arrays by the word's number: its id, its place and sign in the vector, and the id of its term."""
+
+    def __init__(self):
+        self.numbers: dict[str, int] = {}
+        self.table = np.zeros((1 << 16, 5), np.int64)
+
+    def of(self, found: list[str]) -> np.ndarray:
+        """A row (id, bucket, sign, term, whether it is a token) for each word."""
+        if len(self.numbers) > 500_000:
+            self.numbers.clear()
+        numbers = self.numbers
+        for w in found:
+            if w in numbers:
+                continue
+            n = numbers[w] = len(numbers)
+            if n == len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            h = HASHED[w]
+            self.table[n] = IDS[w], h % DIMS, 1 if h % 2 == 0 else -1, IDS["".join(terms(w))], len(w) > 1
+        return self.table[[numbers[w] for w in found]]
+
+
+IDS, WORDS = _Ids(), _Words()
+MARK = regex.compile(r"\p{M}")
 INDEX = "id string, tokens array<long>, vector array<float>, terms array<long>"
 
 
+def _indexed(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of the distinct tokens, the vector and the ids of the terms of an index text; its words are those of the search text in another order."""
+    rows = WORDS.of(WORD.findall(text.lower()))
+    term_ids = rows[:, 3]
+    if MARK.search(text):  # a mark cuts words, but not terms
+        term_ids = np.array([IDS[t] for t in terms(text)], np.int64)
+    if CJK.search(text):
+        rows = WORDS.of(words(text))
+        rows[:, 4] = 1
+    rows = rows[rows[:, 4] == 1]
+    return np.unique(rows[:, 0]), np.bincount(rows[:, 1], rows[:, 2], DIMS).astype(np.float32), term_ids
+
+
 def index(records: DataFrame) -> DataFrame:
     """The index of records: id, ids of the distinct tokens, the hashed vector, ids of the full-text terms in order. One pass over the texts."""
+    names = [f.split(" ")[0] for f in INDEX.split(", ")]
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split(" ")[0] for f in INDEX.split(", ")]
+    def lists(rows, kind: pa.DataType) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate(rows), kind))
 
-        def lists(rows: list, kind: pa.DataType) -> pa.Array:
-            ends = np.cumsum([0, *map(len, rows)])
-            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows) if rows else [], kind))
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(ids: list, found: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), *(lists(c, k) for c, k in zip(zip(*found), (pa.int64(), pa.float32(), pa.int64())))], names)
 
         for b in batches:
-            tokens, vectors, term_rows, ids, held = [], [], [], [], 0
-            for i, text, whole in zip(*(c.to_pylist() for c in b.columns)):
-                found = words(text)
+            ids, found, held = [], [], 0
+            for i, text in zip(*(c.to_pylist() for c in b.columns)):
                 ids.append(i)
-                tokens.append(np.unique(np.array([IDS[t] for t in found], np.int64)))
-                vectors.append(hash_vector(found).astype(np.float32))
-                term_rows.append(np.array([IDS[t] for t in terms(whole)], np.int64))
-                held += len(whole)
+                found.append(_indexed(text))
+                held += len(text)
                 if held > SLICE_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), lists(tokens, pa.int64()), lists(vectors, pa.float32()), lists(term_rows, pa.int64())], names)
-                    tokens, vectors, term_rows, ids, held = [], [], [], [], 0
+                    yield batch(ids, found)
+                    ids, found, held = [], [], 0
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), lists(tokens, pa.int64()), lists(vectors, pa.float32()), lists(term_rows, pa.int64())], names)
+                yield batch(ids, found)
 
-    return records.select("id", T.search_text().alias("t"), _index_text().alias("w")).mapInArrow(read, INDEX)
+    return records.select("id", _index_text().alias("w")).mapInArrow(read, INDEX)
 
 
 def live(indexed: DataFrame, records: DataFrame) -> DataFrame:
