@@ -1,31 +1,39 @@
-"""Duplicate-aware writes: a batch of inputs against the stored records.
+"""Duplicate-aware writes: a batch of inputs against the stored records, and against each other.
 
 Inputs meet records of their scope and kind on shared rare tokens only. The similarity is half token overlap (over the
 input's tokens) and half (1 + cosine) / 2 of the hashed vectors; as the cosine of these vectors is never above 1, a pair
-below ``2 * cut - 1`` overlap cannot reach the cut, and its vectors are never compared. Inputs of one batch are decided
-against the records as they stood before it; where several hit one record, the last one's text stays.
+below ``2 * cut - 1`` overlap cannot reach the cut, and its vectors are never compared.
+
+``decisions`` judges each input against the records as they stand. ``remember`` writes a whole batch one input after the other, as
+its order says: inputs and records that are linked by similarity form groups, and only within a group does one write bear on the
+next. Groups are folded in parallel, each as a stream of its rows; what is linked to nothing is added set at a time.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from datetime import datetime
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engram.functions import text as T
-from engram.operators.search import hash_vector, words
+from engram.operators import storage
+from engram.operators.groups import groups
+from engram.operators.search import DIMS, _indexed
 
 THRESHOLD, CANDIDATE_SHARE, EVALUATED = 0.85, 0.7, 0.7
-DIMS = 128
+MODES = ("threshold", "rules", "conservative")
 
 
 def features(rows: DataFrame, key: str) -> DataFrame:
-    """What similarity needs of records or inputs: key, scope_key, kind, distinct tokens, and the hashed vector scaled to length 1.
+    """What similarity needs of records or inputs: key, scope_key, kind, ids of the distinct tokens, and the hashed vector scaled to length 1.
 
-    One Arrow pass, in which each worker hashes a token once; scores agree with the column functions of ``engram.functions.text``.
+    One Arrow pass; scores agree with the column functions of ``engram.functions.text``.
     """
     key_type = rows.schema[key].dataType.simpleString()
 
@@ -33,26 +41,32 @@ def features(rows: DataFrame, key: str) -> DataFrame:
         for b in batches:
             tokens, vectors = [], []
             for t in b.column(3).to_pylist():
-                found = words(t)
-                v = hash_vector(found, DIMS)
-                tokens.append([*dict.fromkeys(found)]), vectors.append(v / (np.sqrt(v @ v) or 1.0))
-            flat = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(vectors) if vectors else np.zeros(0)), DIMS).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(tokens, pa.list_(pa.string())), flat], ["key", "scope_key", "kind", "tokens", "v"])
+                ids, v = scaled(t)
+                tokens.append(ids), vectors.append(v)
+            lists = lambda rows, kind: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate(rows) if rows else [], kind))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], lists(tokens, pa.int64()), lists(vectors, pa.float64())], ["key", "scope_key", "kind", "tokens", "v"])
 
     picked = rows.select(F.col(key).alias("key"), "scope_key", "kind", T.search_text())
-    return picked.mapInArrow(read, f"key {key_type}, scope_key string, kind string, tokens array<string>, v array<double>")
+    return picked.mapInArrow(read, f"key {key_type}, scope_key string, kind string, tokens array<long>, v array<double>")
+
+
+def scaled(text: str) -> tuple[np.ndarray, np.ndarray]:
+    ids, v, _ = _indexed(text)
+    v = v.astype(float)
+    return ids, v / (np.sqrt(v @ v) or 1.0)
 
 
-def similarities(inputs: DataFrame, records: DataFrame, cut: float) -> DataFrame:
+def similarities(inputs: DataFrame, records: DataFrame, cut: float, id_col: str = "id") -> DataFrame:
     """(ord, id, overlap, similarity) of inputs (ord, ...) and records with the same scope and kind, from ``cut`` on.
 
     A record that shares a part t of an input's n tokens has at least one of any n - ceil(t * n) + 1 of them, so an input is looked up
-    by that many of its rarest tokens only; frequent words join nothing, whatever the size of a scope.
+    by that many of its rarest tokens only; frequent words join nothing, whatever the size of a scope. Tokens are compared for the
+    pairs found so, vectors for those that share enough of them.
     """
     least = 2 * cut - 1
     if least <= 0:
         raise ValueError("a cut of one half or less would admit pairs without a common token")
-    a, b = features(inputs, "ord").persist(), features(records, "id").persist()  # each is read several times; lost parts are computed again
+    a, b = storage.written(features(inputs, "ord"), "inputs"), storage.written(features(records, id_col), "records")
     right = b.select(F.col("key").alias("id"), "scope_key", "kind", F.explode("tokens").alias("x"))
     df = right.groupBy("x").agg(F.count(F.lit(1)).alias("df"))
     flat = a.select("key", "scope_key", "kind", F.explode("tokens").alias("x")).join(df, "x", "left")
@@ -60,13 +74,20 @@ def similarities(inputs: DataFrame, records: DataFrame, cut: float) -> DataFrame
     n = F.size("ts")
     prefix = ranked.select(F.col("key").alias("ord"), "scope_key", "kind", F.explode(F.slice("ts", 1, n - F.ceil(n * F.lit(least) - 1e-9).cast("int") + 1)).alias("t")).select("ord", "scope_key", "kind", F.col("t.x").alias("x"))
     pairs = prefix.join(right, ["scope_key", "kind", "x"]).select("ord", "id").distinct()
-    both = pairs.join(a.select(F.col("key").alias("ord"), F.col("tokens").alias("ta"), F.col("v").alias("va")), "ord").join(b.select(F.col("key").alias("id"), F.col("tokens").alias("tb"), F.col("v").alias("vb")), "id")
-    near = both.withColumn("overlap", T.overlap("ta", "tb")).filter(F.col("overlap") >= least - 1e-9)
+    both = pairs.join(a.select(F.col("key").alias("ord"), F.col("tokens").alias("ta")), "ord").join(b.select(F.col("key").alias("id"), F.col("tokens").alias("tb")), "id")
+    near = both.withColumn("overlap", T.overlap("ta", "tb")).filter(F.col("overlap") >= least - 1e-9).select("ord", "id", "overlap")
+    near = near.join(a.select(F.col("key").alias("ord"), F.col("v").alias("va")), "ord").join(b.select(F.col("key").alias("id"), F.col("v").alias("vb")), "id")
     cos = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     j = near.withColumn("similarity", 0.5 * F.col("overlap") + 0.5 * T.clamp((cos + 1) / 2, 0, 1))
     return j.filter(F.col("similarity") >= cut - 1e-12).select("ord", "id", "overlap", "similarity")
 
 
+def candidate_cut(mode: str, threshold: float = THRESHOLD) -> float:
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode!r}")
+    return CANDIDATE_SHARE * threshold if mode == "threshold" else EVALUATED
+
+
 def decisions(inputs: DataFrame, records: DataFrame, mode: str = "threshold", threshold: float = THRESHOLD, prefix: int = 80) -> DataFrame:
     """What becomes of each input: ord, action (add, ignore, update, contradict), target, similarity.
 
@@ -74,9 +95,7 @@ def decisions(inputs: DataFrame, records: DataFrame, mode: str = "threshold", th
     marks a change of state and shares 0.3 of its content's tokens, else update. conservative: ignore from 0.95, or where a candidate
     shares the head of a text with front matter.
     """
-    if mode not in ("threshold", "rules", "conservative"):
-        raise ValueError(f"unknown mode {mode!r}")
-    cut = CANDIDATE_SHARE * threshold if mode == "threshold" else EVALUATED
+    cut = candidate_cut(mode, threshold)
     found = similarities(inputs, records, cut).join(records.select("id", "created_at", F.col("content").alias("r_content")), "id")
     best = found.groupBy("ord").agg(F.max_by(F.struct("id", "similarity", "r_content"), F.struct(F.round("similarity", 12), -F.unix_micros("created_at"))).alias("b"), F.collect_set(F.substring(T.normalize("r_content"), 1, prefix)).alias("heads"))
     j = inputs.select("ord", "content").join(best, "ord", "left").select("ord", "content", F.col("b.id").alias("target"), F.col("b.similarity").alias("similarity"), F.col("b.r_content").alias("old"), "heads")
@@ -118,3 +137,200 @@ def remembered(inputs: DataFrame, records: DataFrame, decided: DataFrame, now: C
     )
     keep = ["id", "scope_type", "scope_id", "scope_key", "kind", "content", "summary", "confidence", "importance", "tags", "created_at", "updated_at", "previous_content"]
     return out.select(*keep).unionByName(added.select(*keep))
+
+
+# -- a batch in its order
+
+
+def _object(text: str | None) -> dict | None:
+    try:
+        value = json.loads(text) if text else None
+    except ValueError:
+        return None
+    return value if isinstance(value, dict) else None
+
+
+def _strings(value) -> list[str]:
+    return [x for x in value if isinstance(x, str) and x.strip()] if isinstance(value, list) else []
+
+
+def marked(metadata: dict | None, source: str | None, tags: list[str], given: dict | None, given_source: str | None) -> dict | None:
+    """A record's metadata after an input's markers: keys that it lacks are taken over, what differs goes to ``markerHistory``, and another
+    source to ``sourceHistory``; nothing that it has is lost."""
+    other = bool(given_source) and given_source != source
+    if given is None and not other:
+        return metadata
+    before = metadata or {}
+    out = {**{k: v for k, v in (given or {}).items() if k not in before}, **before}
+    out = {k: out[k] for k in [*before, *(k for k in given or {} if k not in before)]}
+    conflict = any(k in before and json.dumps(before[k]) != json.dumps(v) for k, v in (given or {}).items())
+    if other:
+        history = [source, *_strings(before.get("sourceHistory")), *_strings((given or {}).get("sourceHistory")), given_source]
+        out["sourceHistory"] = [*dict.fromkeys(x for x in history if x)]
+    if other or conflict:
+        kept = [x for x in before.get("markerHistory") or [] if isinstance(x, dict)] if isinstance(before.get("markerHistory"), list) else []
+        out["markerHistory"] = [*kept, {"source": given_source or "manual", "tags": tags, "metadata": given or {}}]
+    return out
+
+
+def contradicted(metadata: dict | None, content: str, date: str) -> dict:
+    """A record's metadata after a contradiction: the old content and an entry in the changelog, all else as it was."""
+    before = metadata or {}
+    log = before["changelog"] if isinstance(before.get("changelog"), list) else []
+    return {**before, "contradicted": True, "previousContent": content, "changelog": [*log, {"date": date, "action": "contradict", "reason": "contradicted by a later input; the content before is kept"}]}
+
+
+def _summary(content: str) -> str:
+    s = _folded(content)
+    return s if len(s) <= 120 else s[:117] + "..."
+
+
+def _folded(text: str) -> str:
+    return regex.sub(f"{T.WS}+", " ", text).strip(T.BLANKS)
+
+
+def _tags(tags: list[str] | None) -> list[str]:
+    return [*dict.fromkeys(x for x in (_folded(t.lower()) for t in tags or ()) if x)]
+
+
+def _clamp(x: float, low: float, high: float) -> float:
+    return max(low, min(high, x))
+
+
+ROW = ["id", "scope_type", "scope_id", "scope_key", "kind", "content", "summary", "confidence", "importance", "source", "tags", "metadata", "created_at", "updated_at"]
+
+
+class Fold:
+    """The records of one group while inputs are written to it in their order."""
+
+    def __init__(self, mode: str, threshold: float, prefix: int, now: datetime):
+        self.mode, self.threshold, self.prefix, self.now = mode, threshold, prefix, now
+        self.cut = candidate_cut(mode, threshold)
+        self.temporal = regex.compile(T.TEMPORAL)
+        self.rows: list[dict] = []
+        self.features: list[tuple[set[int], np.ndarray]] = []
+
+    @staticmethod
+    def text(r: dict) -> str:
+        return "\n".join(x for x in (r["kind"], r["summary"], r["content"], " ".join(r["tags"] or ()), r["scope_type"], r["scope_id"]) if x)
+
+    def put(self, r: dict, at: int | None = None) -> None:
+        ids, v = scaled(self.text(r))
+        entry = {*ids.tolist()}, v
+        if at is None:
+            self.rows.append(r), self.features.append(entry)
+        else:
+            self.features[at] = entry
+
+    def candidates(self, r: dict) -> list[tuple[float, int]]:
+        ids, v = scaled(self.text(r))
+        mine, out = {*ids.tolist()}, []
+        for i, (r2, (theirs, w)) in enumerate(zip(self.rows, self.features)):
+            if r2["scope_key"] != r["scope_key"] or r2["kind"] != r["kind"]:
+                continue
+            overlap = len(mine & theirs) / len(mine) if mine and theirs else 0.0
+            s = 0.5 * overlap + 0.5 * _clamp((float(v @ w) + 1) / 2, 0, 1)
+            if s >= self.cut - 1e-12:
+                out.append((s, i))
+        return sorted(out, key=lambda x: (-round(x[0], 12), x[1]))
+
+    def action(self, r: dict, found: list[tuple[float, int]]) -> str:
+        s, best = found[0]
+        if self.mode == "threshold":
+            return "update" if s >= self.threshold else "add"
+        if s >= 0.95:
+            return "ignore"
+        if self.mode == "conservative":
+            head = _folded(r["content"].lower())[: self.prefix]
+            heads = {_folded(self.rows[i]["content"].lower())[: self.prefix] for _, i in found}
+            return "ignore" if r["content"].strip(T.BLANKS).startswith("---") and len(head) >= self.prefix and head in heads else "add"
+        if s < 0.75:
+            return "add"
+        mine, theirs = ({*scaled(x)[0].tolist()} for x in (r["content"], self.rows[best]["content"]))
+        changed = self.temporal.search(r["content"]) and mine and len(mine & theirs) / len(mine) >= 0.3
+        return "contradict" if changed else "update"
+
+    def write(self, r: dict) -> None:
+        found = self.candidates(r)
+        action = self.action(r, found) if found else "add"
+        importance, confidence = (d if r[k] is None else r[k] for k, d in (("importance", 0.5), ("confidence", 0.7)))
+        tags, given, source = _tags(r["tags"]), _object(r["metadata"]), (r["source"] or "").strip(T.BLANKS) or None
+        content = r["content"].strip(T.BLANKS)
+        summary = (r["summary"] or "").strip(T.BLANKS) or _summary(content)
+        if action == "add":
+            new = {**r, "content": content, "summary": summary, "confidence": _clamp(confidence, 0.05, 1), "importance": _clamp(importance, 0, 1), "source": source or "manual", "tags": tags, "created_at": self.now, "updated_at": self.now}
+            self.put(new)
+            return
+        at = found[0][1]
+        old = self.rows[at]
+        meta = _object(old["metadata"])
+        if action == "contradict":
+            meta = contradicted(meta, old["content"], self.now.strftime("%Y-%m-%dT%H:%M:%S.000Z"))
+            old.update(importance=_clamp(importance, 0, 1), confidence=_clamp(confidence, 0.05, 1))
+        elif action == "update":
+            old.update(importance=_clamp(max(old["importance"], importance), 0, 1), confidence=_clamp(max(old["confidence"], confidence), 0.05, 1))
+        if action != "ignore":
+            old.update(content=content, summary=summary if self.mode == "threshold" else _summary(content))
+        after = marked(meta, old["source"], tags, given, source)
+        if action == "contradict" or after is not meta:
+            old["metadata"] = json.dumps(after, ensure_ascii=False, separators=(",", ":"))
+        old.update(tags=[*dict.fromkeys([*(old["tags"] or ()), *tags])], updated_at=self.now)
+        self.put(old, at)
+
+
+def remember(inputs: DataFrame, records: DataFrame, now: Column, mode: str = "threshold", threshold: float = THRESHOLD, prefix: int = 80) -> DataFrame:
+    """The records (columns of ``ROW``) after the inputs (ord, and the columns of a record; id, times and null scores are made) were written one after the other.
+
+    Equal texts are one node while links are looked for, so copies link nothing but themselves. A group's rows are streamed in order; its
+    records are held. Records are looked up in the order of their creation, new ones last. Links go by the texts as they are
+    given and stored: tags and texts that a write moves from one input to a record count within a group only.
+    """
+    cut = candidate_cut(mode, threshold)
+    for c, kind in (("source", "string"), ("metadata", "string"), ("importance", "double"), ("confidence", "double"), ("summary", "string")):
+        inputs = inputs if c in inputs.columns else inputs.withColumn(c, F.lit(None).cast(kind))
+    inputs = inputs.withColumn("scope_key", T.scope_key()).withColumn("mark", F.sha2(F.concat_ws("|", T.scope_key(), "kind", T.search_text()), 256))
+    inputs = storage.written(inputs.withColumn("id", F.sha2(F.concat_ws("|", "scope_key", "kind", "content", F.col("ord").cast("string")), 256)), "batch")
+    first = storage.written(inputs.groupBy("mark").agg(F.min_by(F.struct("ord", "scope_type", "scope_id", "scope_key", "kind", "content", "summary", "tags"), "ord").alias("r"), F.count(F.lit(1)).alias("n")).select("mark", "n", "r.*"), "texts")
+    node = F.concat(F.lit("i:"), "ord")
+    to_records = similarities(first, records, cut).select(node.alias("u"), F.concat(F.lit("r:"), "id").alias("v"))
+    to_inputs = similarities(first, first.withColumn("id", F.col("ord").cast("string")), cut).select(node.alias("u"), F.concat(F.lit("i:"), "id").alias("v"))
+    copies = first.filter("n > 1").select(node.alias("u"), F.concat(F.lit("c:"), "ord").alias("v"))
+    linked = storage.written(groups(to_records.unionAll(to_inputs).unionAll(copies)), "groups")
+
+    of_inputs = inputs.join(first.select("mark", node.alias("node")), "mark").join(linked, "node", "left")
+    of_records = records.select(*ROW).join(linked.filter("node like 'r:%'").select(F.substring("node", 3, 1 << 20).alias("id"), "group"), "id", "left")
+    when = now.cast("timestamp")
+    order = F.struct(F.col("ord").isNotNull().alias("input"), F.col("ord"), F.when(F.col("ord").isNull(), F.col("created_at")).alias("at"), "id")
+    times = [F.lit(None).cast("timestamp").alias(c) for c in ("created_at", "updated_at")]
+    rows = of_records.filter("group is not null").select("group", F.lit(None).cast("long").alias("ord"), *ROW).unionByName(of_inputs.filter("group is not null").select("group", F.col("ord").cast("long"), *[c for c in ROW if not c.endswith("_at")], *times)).withColumn("now", when)
+    schema = ", ".join(f"{c} {records.schema[c].dataType.simpleString()}" for c in ROW)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state, kinds = None, None, None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if state is not None:
+                for lo in range(0, len(state.rows), 500):
+                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in state.rows[lo : lo + 500]], kinds.field(c).type) for c in ROW], ROW)
+
+        for b in batches:
+            kinds = b.schema
+            for r in b.to_pylist():
+                if r["group"] != at:
+                    yield from done()
+                    at, state = r["group"], Fold(mode, threshold, prefix, r["now"])
+                row = {c: r[c] for c in ROW}
+                if r["ord"] is None:
+                    state.put(row)
+                else:
+                    state.write(row)
+        yield from done()
+
+    folded = rows.repartition("group").sortWithinPartitions("group", order).mapInArrow(fold, schema)
+    alone = of_inputs.filter("group is null")
+    source = F.coalesce(F.when(T.trim("source") != "", T.trim("source")), F.lit("manual"))
+    added = alone.select(
+        "id", "scope_type", "scope_id", "scope_key", "kind", T.trim("content").alias("content"), F.when(F.coalesce(T.trim("summary"), F.lit("")) != "", T.trim("summary")).otherwise(T.summarize("content")).alias("summary"),
+        T.clamp(F.coalesce("confidence", F.lit(0.7)), 0.05, 1).alias("confidence"), T.clamp(F.coalesce("importance", F.lit(0.5)), 0, 1).alias("importance"), source.alias("source"), T.tags("tags").alias("tags"), "metadata", when.alias("created_at"), when.alias("updated_at"),
+    )
+    return of_records.filter("group is null").select(*ROW).unionByName(folded).unionByName(added)

@@ -1,7 +1,9 @@
 """Scenarios of records, search and writes."""
 
+import json
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from engram.functions import text as T
@@ -137,6 +139,45 @@ def test_remember_conservative(spark):
     assert remember.decisions(i, r, "conservative").first().action == "ignore"
 
 
+def sequential(records_, inputs_, mode):
+    """One write after the other over all records, without groups."""
+    fold = remember.Fold(mode, 0.85, 80, NOW)
+    for r in sorted(records_, key=lambda r: (r["created_at"], r["id"])):
+        fold.put({c: r[c] for c in remember.ROW})
+    for i in sorted(inputs_, key=lambda r: r["ord"]):
+        fold.write({c: i.get(c) for c in remember.ROW})
+    return sorted((r["scope_key"], r["kind"], r["content"], r["summary"], round(r["importance"], 6), round(r["confidence"], 6), tuple(r["tags"]), r["source"], r["metadata"]) for r in fold.rows)
+
+
+@pytest.mark.parametrize("mode", remember.MODES)
+def test_a_batch_is_written_in_its_order(spark, mode):
+    deploy = "we deploy the service with docker compose on the {} server in the {} room"
+    r = rows(spark, {"content": deploy.format("old", "first"), "metadata": '{"supports":["a"],"recallCount":3}'}, {"content": "lunch is at noon every day of the working week", "tags": ["food"]}, {"content": deploy.format("old", "first"), "scope_id": "u2"})
+    said = [
+        {"content": "the team meets on tuesday morning at nine in the large hall", "tags": ["B"], "metadata": '{"k":1}'}, {"content": "the team meets on tuesday morning at nine in the large hall", "source": "hook", "metadata": '{"k":2,"m":"x\\"y"}'},
+        {"content": "now " + deploy.format("big", "first")}, {"content": deploy.format("big", "second"), "importance": 0.9}, {"content": deploy.format("big", "second")},
+        {"content": "lunch is at noon every day of the working week", "tags": ["Food", "new"], "source": "import"}, {"content": "something quite different here"}, {"content": "now the team meets on tuesday morning at ten in the large hall"}, {"content": "  "},
+    ]
+    data = [{"confidence": None, "importance": None, "source": None, **x} for x in said]
+    i = rows(spark, *data).withColumn("ord", F.col("id").cast("long")).drop("id")
+    out = remember.remember(i, r, now(), mode)
+    got = sorted((x.scope_key, x.kind, x.content, x.summary, round(x.importance, 6), round(x.confidence, 6), tuple(x.tags), x.source, x.metadata) for x in out.collect())
+    expected = sequential([x.asDict() for x in r.collect()], [x.asDict() for x in i.collect()], mode)
+    assert got == expected
+    if mode == "threshold":
+        meets = [x for x in got if "team meets" in x[2]]
+        assert len(meets) == 1 and json.loads(meets[0][8])["markerHistory"][0]["metadata"] == {"k": 2, "m": 'x"y'} and json.loads(meets[0][8])["sourceHistory"] == ["manual", "hook"]
+    if mode == "rules":
+        old = next(json.loads(x[8]) for x in got if x[8] and "supports" in x[8])
+        assert old["supports"] == ["a"] and old["recallCount"] == 3 and len(old["changelog"]) == 1 and old["previousContent"].startswith("we deploy")
+
+
+def test_markers():
+    assert remember.marked(None, "a", [], None, None) is None and remember.marked({"x": 1}, "a", [], None, "a") == {"x": 1}
+    assert remember.marked({"x": 1}, "a", ["t"], {"x": 2, "y": 3}, None) == {"x": 1, "y": 3, "markerHistory": [{"source": "manual", "tags": ["t"], "metadata": {"x": 2, "y": 3}}]}
+    assert remember.marked({"sourceHistory": ["z"]}, "a", [], None, "b")["sourceHistory"] == ["a", "z", "b"]
+
+
 def test_windows_modes(spark):
     t = spark.createDataFrame([("t", "sum")], "task_id string, rolling_summary string")
     e = spark.createDataFrame([("t", i, "user", f"m{i}") for i in range(1, 5)], "task_id string, sequence long, role string, content string")
