@@ -6,11 +6,11 @@ see the old or the new state, never a mixture; nothing is overwritten while it i
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.functions import text as T
-from engram.operators import records, remember, scopes, search
+from engram.operators import cloud, governance, records, remember, scopes, search
 
 SCHEMA = "id string, scope_type string, scope_id string, scope_key string, kind string, content string, summary string, confidence double, importance double, source string, tags array<string>, metadata string, created_at timestamp, updated_at timestamp"
 
@@ -65,27 +65,15 @@ class Memory:
     # -- write
 
     def remember(self, inputs: DataFrame, now: Column, mode: str = "threshold") -> int:
-        """Inputs (ord, scope_type, scope_id, kind, content, summary, tags, importance, confidence) written as one batch."""
-        keyed = inputs.withColumn("scope_key", T.scope_key())
-        r = self.items()
-        after = remember.remembered(keyed, r, remember.decisions(keyed, r, mode), now)
-        kept = r.select("id", "source", "metadata")
-        old = F.to_json(F.struct(F.lit(True).alias("contradicted"), F.col("previous_content").alias("previousContent")))
-        out = after.join(kept, "id", "left").withColumn("source", F.coalesce("source", F.lit("manual"))).withColumn("metadata", F.when(F.col("previous_content").isNotNull(), old).otherwise(F.col("metadata")))
-        return self.save(out)
+        """Inputs (ord, scope_type, scope_id, kind, content, summary, tags, importance, confidence, source, metadata) written in their order."""
+        return self.save(remember.remember(inputs, self.items(), now, mode))
 
     def update(self, patches: DataFrame, now: Column) -> int:
         return self.save(records.update(self.items(), patches, now))
 
     def forget(self, ids: DataFrame) -> int:
         """Records gone for good, and gone from the supports of others."""
-        out = records.forget(self.items(), ids)
-        rest = F.from_json("metadata", "map<string,string>")
-        supports = F.to_json("supports")
-        meta = F.when(F.col("supports").isNotNull(), F.to_json(F.map_concat(F.map_filter(rest, lambda k, v: k != "supports"), F.map_from_arrays(F.array(F.lit("supports")), F.array(supports))))).otherwise(F.col("metadata"))
-        # the supports stay a JSON array: the quoted form that a map of strings gives is taken apart again
-        meta = F.regexp_replace(F.regexp_replace(meta, r'"supports":"\[(.*?)\]"', r'"supports":[$1]'), r'\\"', '"')
-        return self.save(out.withColumn("metadata", meta))
+        return self.save(records.forget(self.items(), ids))
 
     # -- organise and govern
 
@@ -100,5 +88,47 @@ class Memory:
         hit = records.attributed(self.items(), ids).select("id", F.col("importance").alias("raised"))
         return self.save(self.items().join(hit, "id", "left").withColumn("importance", F.coalesce("raised", "importance")).drop("raised"))
 
+    def reflect(self, documents: DataFrame, texts: DataFrame, scope: tuple[str, str], now: Column, **how) -> int:
+        """Principles of clusters (texts by tag, from a model) written; nothing while the scope's document is fresh."""
+        made = records.reflected(self.items(), documents, texts, scope, now, **how)
+        return self.save(remember.remember(made, self.items(), now))
+
+    def consolidate(self, plan: DataFrame, now: Column, mode: str = "weekly") -> int:
+        """A consolidation; an error, and the old snapshot, if it would lose a protected record."""
+        before = self.items()
+        after = records.consolidated(before, plan, now, mode)
+        if not records.lost_protected(before, after).isEmpty():
+            raise ValueError("the merge plan would lose protected records")
+        return self.save(governance.with_pruned_supports(after, now))
+
+    def edit(self, edits: DataFrame, now: Column) -> int:
+        return self.save(governance.edited(self.items(), edits, now))
+
+    def pull(self, remote: DataFrame, since: Column) -> int:
+        """Newer remote records (columns of the items, sync_version and deleted_at) taken over."""
+        local = self.items().withColumn("sync_version", F.lit(0).cast("long"))
+        return self.save(cloud.pull_applied(local, remote, since))
+
+    def export(self, rules: list[tuple[str, list[str], list[str]]], folder: str) -> None:
+        """The records as Parquet, a folder for each projection target."""
+        self.items().withColumn("target", records.classify(rules)).write.mode("overwrite").partitionBy("target").parquet(folder)
+
+    def index(self) -> DataFrame:
+        """The search index of the newest snapshot, made where it isn't there yet."""
+        n = self._current()
+        path = f"{self.folder}/index-{n}"
+        try:
+            return self.spark.read.schema(search.INDEX).parquet(path)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+        search.index(self.items()).write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(search.INDEX).parquet(path)
+
+    def versions(self, keep: int | None = None) -> list[int]:
+        """The numbers of the snapshots, newest first; with ``keep`` only those to be kept, so that a clean-up knows the others."""
+        n = self._current()
+        return [*range(n, max(0, n - keep) if keep is not None else 0, -1)]
+
     def statistics(self) -> DataFrame:
         return records.statistics(self.items())

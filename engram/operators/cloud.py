@@ -56,6 +56,33 @@ def pulled(local: DataFrame, remote: DataFrame, since: Column) -> DataFrame:
     return j.select("id", action.alias("action"), "sync_version")
 
 
+def pull_applied(local: DataFrame, remote: DataFrame, since: Column) -> DataFrame:
+    """The local records after a pull of the remote ones (same columns, and deleted_at): what ``pulled`` decides is carried out."""
+    names = [c for c in local.columns if c != "sync_version"]
+    does = pulled(local, remote, since)
+    kept = local.join(does.filter("action = 'keep'").select("id"), "id", "left_semi")
+    taken = remote.join(does.filter("action in ('insert', 'replace')").select("id"), "id", "left_semi")
+    return kept.select(*names, "sync_version").unionByName(taken.select(*names, "sync_version"))
+
+
+def push_applied(local: DataFrame, remote: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides (project_id, id, ord, sync_version, ...) after a push: local records without a version get the next ones of their project and
+    stand on the remote side as well. A record that was synchronised keeps its version, whatever became of its text."""
+    new = numbered(pushable(local).drop("sync_version"), remote)
+    versions = new.select("id", F.col("sync_version").alias("pushed"))
+    after = local.join(versions, "id", "left").withColumn("sync_version", F.coalesce("pushed", "sync_version")).drop("pushed")
+    return after, upserted(remote, new.select(*remote.columns))
+
+
+def upserted(table: DataFrame, rows: DataFrame) -> DataFrame:
+    return table.join(rows.select("id"), "id", "left_anti").unionByName(rows)
+
+
+def cursors(state: DataFrame, seen: DataFrame) -> DataFrame:
+    """The cursor of each project (project_id, last_version) after records with these versions were pulled or pushed; it never goes back."""
+    return state.unionByName(seen.groupBy("project_id").agg(F.max("sync_version").alias("last_version"))).groupBy("project_id").agg(F.max("last_version").alias("last_version"))
+
+
 def visible(rows: DataFrame, owners: DataFrame, members: DataFrame) -> DataFrame:
     """Rows (project_id) that each user may see: as owner or member; union of keys, then a semi-join."""
     keys = owners.select("user_id", "project_id").unionAll(members.select("user_id", "project_id")).distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from engram.functions import json as J
 from engram.functions import text as T
 from engram.operators.records import DAY
 
@@ -44,6 +45,18 @@ def pruned_supports(records: DataFrame, now: Column) -> DataFrame:
     return g.filter("dropped > 0").withColumn("pruned_at", now)
 
 
+def with_pruned_supports(records: DataFrame, now: Column) -> DataFrame:
+    """The records after that: principles keep the supports that exist, and say when and why others went."""
+    s = records.filter("kind = 'principle'").select("id", F.posexplode(F.from_json(F.get_json_object("metadata", "$.supports"), "array<string>")).alias("ord", "s"))
+    live = records.select(F.col("id").alias("s"), F.lit(True).alias("live"))
+    kept = F.transform(F.array_sort(F.collect_list(F.when(F.col("live"), F.struct("ord", "s")))), lambda x: x.s)
+    g = s.join(live, "s", "left").groupBy("id").agg(kept.alias("kept"), F.count_if(F.col("live").isNull()).alias("dropped")).filter("dropped > 0")
+    reason = F.concat(F.lit("removed "), F.col("dropped"), F.lit(" support record(s)"))
+    iso = F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    meta = J.with_keys("metadata", {"supports": J.variants("kept"), "supportsPrunedAt": J.variant(iso), "supportsPruneReason": J.variant(reason)})
+    return records.join(g, "id", "left").withColumn("metadata", F.when(F.col("dropped") > 0, meta).otherwise(F.col("metadata"))).drop("kept", "dropped")
+
+
 def reflect_marks(records: DataFrame) -> DataFrame:
     """When each scope last reflected: the newest of its principles that say so, else their time of writing."""
     p = records.filter("kind = 'principle'")
@@ -58,6 +71,24 @@ def replaced_text(records: DataFrame, edits: DataFrame) -> DataFrame:
     return edits.select("edit_id").join(best, "edit_id", "left")
 
 
+def edited(records: DataFrame, edits: DataFrame, now: Column) -> DataFrame:
+    """The records after edits (edit_id, scope_key, part, op, text): the newest record of the scope that contains the part takes the text
+    (op replace) or goes (op remove). Of several edits of one record that with the greatest id counts; a replace without a match is for
+    ``unmatched``."""
+    at = replaced_text(records, edits).filter("id is not null").join(edits.select("edit_id", "op", "text"), "edit_id")
+    last = at.groupBy("id").agg(F.max_by(F.struct("op", "text"), "edit_id").alias("e")).select("id", "e.op", "e.text")
+    j = records.join(last, "id", "left").filter(F.coalesce(F.col("op") != "remove", F.lit(True)))
+    hit = F.coalesce(F.col("op") == "replace", F.lit(False))
+    out = j.withColumn("content", F.when(hit, T.trim("text")).otherwise(F.col("content"))).withColumn("summary", F.when(hit, T.summarize("content")).otherwise(F.col("summary")))
+    return out.withColumn("updated_at", F.when(hit, now).otherwise(F.col("updated_at"))).drop("op", "text")
+
+
+def unmatched(records: DataFrame, edits: DataFrame) -> DataFrame:
+    """Replacements that match nothing, and additions: edit_id, scope_key, text, to be remembered."""
+    none = replaced_text(records, edits).filter("id is null").select("edit_id")
+    return edits.filter("op = 'add'").unionByName(edits.filter("op = 'replace'").join(none, "edit_id", "left_semi")).select("edit_id", "scope_key", "text")
+
+
 def maintenance_requests(records: DataFrame, documents: DataFrame, now: Column, n: int = 12, hours: int = 24, chars: int = 700) -> DataFrame:
     """Per scope that is due the newest records for its host to look at: scope_key, rn, id, content cut to ``chars``."""
     mark = F.try_to_timestamp(F.get_json_object("metadata", "$.lastDeepGovernedAt"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from engram.functions import json as J
 from engram.functions import text as T
 from engram.plans.views import hot_keys
 
@@ -13,6 +14,16 @@ DAY = 86_400
 GENERIC_TAGS = ("p0", "p1", "sop", "pinned", "session")
 
 
+def metadata_is(key: str, value) -> Column:
+    """Whether a record's metadata has this value under the key, of the same JSON type: 5 is not "5"."""
+    held = F.try_element_at(F.from_json("metadata", J.VALUES), F.lit(key))
+    kind = "string" if isinstance(value, str) else "boolean" if isinstance(value, bool) else "number"
+    of = F.schema_of_variant(held)
+    same = {"string": of == "STRING", "boolean": of == "BOOLEAN", "number": ~of.isin("STRING", "BOOLEAN", "VOID") & ~of.rlike("^(OBJECT|ARRAY)")}[kind]
+    read = F.try_variant_get(held, "$", {"string": "string", "boolean": "boolean", "number": "double"}[kind])
+    return F.coalesce(same & (read == F.lit(value)), F.lit(False))
+
+
 def listing(records: DataFrame, kinds=None, tags=None, metadata: dict | None = None, cursor: str | None = None, offset: int = 0, limit: int | None = None, by: str = "updated_at") -> DataFrame:
     """Newest first: kinds, any of the tags (whatever case), equal string metadata, then what follows the cursor, then the limit; an unknown cursor is ignored."""
     out = records
@@ -21,7 +32,7 @@ def listing(records: DataFrame, kinds=None, tags=None, metadata: dict | None = N
     if tags:
         out = out.filter(F.arrays_overlap(F.transform("tags", F.lower), F.array(*[F.lit(t.lower()) for t in tags])))
     for k, v in (metadata or {}).items():
-        out = out.filter(F.get_json_object("metadata", f"$.{k}") == v)
+        out = out.filter(metadata_is(k, v))
     order = [F.col(by).desc(), F.col("created_at"), F.col("id")]
     if cursor is not None:  # keyset paging: no numbering of all rows
         at = out.filter(F.col("id") == cursor).select(F.col(by).alias("c_by"), F.col("created_at").alias("c_at"), F.col("id").alias("c_id")).limit(1)
@@ -50,11 +61,12 @@ def classify(rules: list[tuple[str, list[str], list[str]]], default: str = "memo
     return out.otherwise(default)
 
 
-def compact(records: DataFrame, most: int = 1000) -> DataFrame:
-    """Records for an answer: large metadata is cut to its hot keys and marked."""
+def compact(records: DataFrame, most: int = 1000, content: bool = True) -> DataFrame:
+    """Records for an answer: large metadata is cut to its hot keys and marked; without ``content`` the text is left to a later exact read."""
     keys = ("taskId", "sessionId", "supports", "recallCount", "lastRecalledAt", "validUntil")
     small = F.to_json(F.struct(*[F.get_json_object("metadata", f"$.{k}").alias(k) for k in keys], F.lit(True).alias("truncated")))
-    return records.withColumn("metadata", F.when(F.length("metadata") > most, small).otherwise(F.col("metadata")))
+    out = records.withColumn("metadata", F.when(F.length("metadata") > most, small).otherwise(F.col("metadata")))
+    return out if content else out.drop("content")
 
 
 def decay(records: DataFrame, now: Column, age_days: int = 180, fresh_days: int = 90, target: float = 0.3) -> DataFrame:
@@ -89,11 +101,12 @@ def update(records: DataFrame, patches: DataFrame, now: Column) -> DataFrame:
 
 
 def forget(records: DataFrame, ids: DataFrame) -> DataFrame:
-    """Records without the given ids, and without these in anyone's supports."""
+    """Records without the given ids, and without these in anyone's supports: in their metadata, all else of which stays, and as ``supports``."""
     kept = records.join(ids.select("id").distinct(), "id", "left_anti")
     supports = F.from_json(F.get_json_object("metadata", "$.supports"), "array<string>")
     lost = kept.select("id", F.explode(supports).alias("s")).join(ids.select(F.col("id").alias("s")).distinct(), "s", "left_semi").groupBy("id").agg(F.collect_set("s").alias("lost"))
-    return kept.join(lost, "id", "left").withColumn("supports", F.when(F.col("lost").isNull(), supports).otherwise(F.filter(supports, lambda s: ~F.array_contains("lost", s)))).drop("lost")
+    out = kept.join(lost, "id", "left").withColumn("supports", F.when(F.col("lost").isNull(), supports).otherwise(F.filter(supports, lambda s: ~F.array_contains("lost", s))))
+    return out.withColumn("metadata", F.when(F.col("lost").isNull(), F.col("metadata")).otherwise(J.with_keys("metadata", {"supports": J.variants("supports")}))).drop("lost")
 
 
 def dangling_supports(records: DataFrame) -> DataFrame:
@@ -109,9 +122,10 @@ def pinned(records: DataFrame, ids: DataFrame, pin: bool = True) -> DataFrame:
     return hit.withColumn("tags", F.when(F.coalesce("hit", F.lit(False)), on if pin else F.array_remove("tags", "pinned")).otherwise(F.col("tags"))).drop("hit")
 
 
-def attributed(records: DataFrame, ids: DataFrame, step: float = 0.05, top: float = 0.95) -> DataFrame:
-    """Importance after attribution: raised by a step up to the top, never lowered."""
-    hit = records.join(ids.select("id").distinct(), "id", "left_semi")
+def attributed(records: DataFrame, ids: DataFrame, step: float = 0.05, top: float = 0.95, most: int | None = None) -> DataFrame:
+    """Importance after attribution: raised by a step up to the top, never lowered. With ``most`` only the first ids (by ``ord``) of a call count."""
+    asked = ids.groupBy("id").agg(F.min("ord").alias("ord")).orderBy("ord", "id").limit(most) if most is not None else ids.select("id").distinct()
+    hit = records.join(asked.select("id"), "id", "left_semi")
     return hit.select("id", F.col("importance").alias("importance_from"), F.greatest("importance", F.least(F.col("importance") + step, F.lit(top))).alias("importance"))
 
 
@@ -128,6 +142,12 @@ def governance(records: DataFrame) -> DataFrame:
     return r.agg(F.count_if(principle).alias("principles"), F.coalesce(F.sum(F.when(principle, F.size(F.coalesce("supports", F.array().cast("array<string>"))))), F.lit(0)).cast("long").alias("supports"), F.sum("recall_count").alias("recalls"), F.count_if(F.col("recall_count") > 0).alias("recalled"), F.avg("importance").alias("mean_importance"))
 
 
+def principles(records: DataFrame) -> DataFrame:
+    """The principles with what supports them, newest first: id, summary, supports, updated_at."""
+    p = hot_keys(records.filter("kind = 'principle'"))
+    return p.select("id", F.coalesce("summary", "content").alias("summary"), F.size(F.coalesce("supports", F.array().cast("array<string>"))).alias("supports"), "updated_at").orderBy(F.col("updated_at").desc(), "id")
+
+
 def hot_records(records: DataFrame, n: int = 10) -> DataFrame:
     return hot_keys(records).filter("recall_count > 0").orderBy(F.col("recall_count").desc(), "created_at", "id").limit(n).select("id", "recall_count", F.substring(F.coalesce("summary", "content"), 1, 40).alias("head"))
 
@@ -136,27 +156,52 @@ def primary_tag(tags: Column, generic=GENERIC_TAGS) -> Column:
     return F.lower(F.get(F.filter(tags, lambda t: ~F.lower(t).isin(*generic)), F.lit(0)))
 
 
-def reflect_clusters(records: DataFrame, now: Column, since_days: int = 14, size: int = 3, most: int = 6) -> DataFrame:
+def reflect_clusters(records: DataFrame, now: Column, since_days: int = 14, size: int = 3, most: int = 6, generic=GENERIC_TAGS) -> DataFrame:
     """Clusters of recent lessons, decisions and notes by primary tag: tag, size. The members stay where they are."""
     pool = records.filter(F.col("kind").isin("lesson", "decision", "note") & ~F.array_contains("tags", "pinned") & (F.unix_timestamp("updated_at") >= F.unix_timestamp(now) - since_days * DAY))
-    tagged = pool.withColumn("tag", primary_tag(F.col("tags"))).filter(F.col("tag").isNotNull())
+    tagged = pool.withColumn("tag", primary_tag(F.col("tags"), generic)).filter(F.col("tag").isNotNull())
     return tagged.groupBy("tag").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("created_at", "id")).alias("first")).filter(F.col("size") >= size).orderBy(F.col("size").desc(), "first").limit(most).select("tag", "size")
 
 
+def reflected(records: DataFrame, documents: DataFrame, texts: DataFrame, scope: tuple[str, str], now: Column, since_days: int = 14, size: int = 3, most: int = 6, interval_days: float = 6, generic=GENERIC_TAGS) -> DataFrame:
+    """The principles that a reflection writes (inputs for ``remember``): one for each cluster with a text (tag, text; from a model), with its members as supports.
+
+    Nothing while the scope's context document (scope_key, kind, metadata) says that it reflected within the interval.
+    """
+    key = f"{scope[0]}:{scope[1]}".lower()
+    mark = F.try_to_timestamp(F.get_json_object("metadata", "$.lastReflectAt"))
+    fresh = documents.filter((F.col("kind") == "context") & (F.col("scope_key") == key) & (F.unix_timestamp(now) - F.unix_timestamp(mark) < interval_days * DAY)).select(F.lit(1).alias("fresh"))
+    clusters = reflect_clusters(records, now, since_days, size, most, generic)
+    pool = records.filter(F.col("kind").isin("lesson", "decision", "note") & ~F.array_contains("tags", "pinned") & (F.unix_timestamp("updated_at") >= F.unix_timestamp(now) - since_days * DAY)).withColumn("tag", primary_tag(F.col("tags"), generic))
+    members = pool.join(clusters.select("tag"), "tag").groupBy("tag").agg(F.transform(F.array_sort(F.collect_list(F.struct("created_at", "id"))), lambda x: x.id).alias("supports"))
+    made = members.join(texts.filter(T.trim("text") != ""), "tag").join(fresh, F.lit(True), "left_anti")
+    iso = F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    meta = F.to_json(F.struct("supports", F.col("tag").alias("reflectTag"), iso.alias("reflectedAt"), iso.alias("lastRefreshedAt")))
+    return made.select(
+        F.xxhash64("tag").alias("ord"), F.lit(scope[0]).alias("scope_type"), F.lit(scope[1]).alias("scope_id"), F.lit(key).alias("scope_key"), F.lit("principle").alias("kind"), T.trim("text").alias("content"),
+        F.lit(None).cast("string").alias("summary"), F.lit(0.75).alias("confidence"), F.lit(0.85).alias("importance"), F.lit("reflect").alias("source"), F.array("tag", F.lit("principle"), F.lit("reflected")).alias("tags"), meta.alias("metadata"),
+    )
+
+
 def profile_sources(records: DataFrame, n: int = 40) -> DataFrame:
     """The weightiest preferences and identities, from which a profile is written."""
     return records.filter(F.col("kind").isin("preference", "identity") & (F.col("importance") >= 0.6)).orderBy(F.col("importance").desc(), "created_at", "id").limit(n).select("id", "kind", "importance", F.substring(F.regexp_replace(F.coalesce("summary", "content"), f"{T.WS}+", " "), 1, 300).alias("digest"))
 
 
+#: What in a record's content raises its importance.
+COMMANDS, LONG_NUMBERS, LESSONS = "`[^`]+`", "[0-9]{4,}", "教训|根因|修复|解法|正确.*做法|错误.*做法|原因.*是"
+RECURRENT, DAMAGE, VERIFIED = r"重复.*踩坑|再犯|≥\s*2|多次.*同样|又.*出现.*问题", "误删|丢失.*数据|崩溃|不可逆|回滚.*恢复|全部.*删除", "✅|已验证|验证通过|确认.*生效|实测.*通过"
+
+
 def rescored(records: DataFrame) -> DataFrame:
     """Importance by signals in the content; only those that rise: commands, long numbers and lesson words, recurrence, damage, verification."""
     c = F.col("content")
-    commands, numbers, lessons = F.regexp_count(c, F.lit("`[^`]+`")), F.regexp_count(c, F.lit("[0-9]{4,}")), F.regexp_count(c, F.lit("教训|根因|修复|解法|正确.*做法|错误.*做法|原因.*是"))
+    commands, numbers, lessons = (F.regexp_count(c, F.lit(p)) for p in (COMMANDS, LONG_NUMBERS, LESSONS))
     imp = F.col("importance")
     new = F.when((commands + numbers + lessons >= 3) & (imp >= 0.6), F.greatest(imp, F.when(numbers >= 3, 0.85).otherwise(0.8))).otherwise(imp)
-    new = F.when(c.rlike(r"重复.*踩坑|再犯|≥\s*2|多次.*同样|又.*出现.*问题"), F.greatest(new, F.lit(0.9))).otherwise(new)
-    new = F.when(c.rlike("误删|丢失.*数据|崩溃|不可逆|回滚.*恢复|全部.*删除"), F.greatest(new, F.lit(0.9))).otherwise(new)
-    new = F.when(c.rlike("✅|已验证|验证通过|确认.*生效|实测.*通过"), F.least(new + 0.1, F.lit(0.9))).otherwise(new)
+    new = F.when(c.rlike(RECURRENT), F.greatest(new, F.lit(0.9))).otherwise(new)
+    new = F.when(c.rlike(DAMAGE), F.greatest(new, F.lit(0.9))).otherwise(new)
+    new = F.when(c.rlike(VERIFIED), F.least(new + 0.1, F.lit(0.9))).otherwise(new)
     open_ = ~F.col("kind").isin("preference", "principle") & (imp < 0.9)
     return records.filter(open_).withColumn("new", new).filter(F.col("new") > imp).select("id", imp.alias("importance_from"), F.round("new", 2).alias("importance"))
 
@@ -192,6 +237,37 @@ def kind_digest(records: DataFrame, chars: int = 150) -> DataFrame:
     return records.withColumn("line", T.trim(line)).filter("line <> ''").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("line")).alias("chars"))
 
 
+def merged_groups(records: DataFrame, plan: DataFrame, now: Column, chars: int = 300, summary_chars: int = 200) -> DataFrame:
+    """The records after a merge plan (keep, drop): kept ones hold the head of their summary, dropped ones are forgotten, and supports follow."""
+    kept = plan.select(F.col("keep").alias("id"), F.lit(True).alias("merged")).distinct()
+    gone = plan.select(F.col("drop").alias("id")).distinct().join(kept.select("id"), "id", "left_anti")
+    after = forget(records, gone).drop("supports").join(kept, "id", "left")
+    text = F.substring(F.coalesce(F.when(T.trim("summary") != "", F.col("summary")), "content"), 1, chars)
+    hit = F.coalesce("merged", F.lit(False))
+    out = after.withColumn("content", F.when(hit, text).otherwise(F.col("content"))).withColumn("summary", F.when(hit, F.substring("content", 1, summary_chars)).otherwise(F.col("summary")))
+    return out.withColumn("updated_at", F.when(hit, now).otherwise(F.col("updated_at"))).drop("merged")
+
+
+def lost_protected(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Protected records that a job has lost: none are expected."""
+    return protected(before).join(after.select("id"), "id", "left_anti")
+
+
+def consolidated(records: DataFrame, plan: DataFrame, now: Column, mode: str = "weekly") -> DataFrame:
+    """A consolidation from end to end: importance by content, archive of old and light records (mode archive), merges, pruned supports."""
+    better = rescored(records).select("id", F.col("importance").alias("better"))
+    out = records.join(better, "id", "left").withColumn("importance", F.coalesce("better", "importance")).drop("better")
+    if mode == "archive":
+        low = archived(out, now).select("id", F.col("importance").alias("low"))
+        out = out.join(low, "id", "left").withColumn("importance", F.coalesce("low", "importance")).drop("low")
+    return merged_groups(out, plan, now)
+
+
+def next_first_monday(day: Column) -> Column:
+    """The first Monday of the month after the day's."""
+    return F.next_day(F.last_day(day), "MON")
+
+
 def true_duplicates(records: DataFrame) -> DataFrame:
     """Records whose whole text, white space aside, another one has: all but the weightiest, then newest; id, keep."""
     h = records.select("id", "importance", "updated_at", F.sha2(T.collapse("content"), 256).alias("h"))

@@ -59,6 +59,34 @@ def durable_scope(kind: Column, user: Column, task: Column, write: Column) -> Co
     return F.when(kind.isin("preference", "identity") & user.isNotNull(), F.concat(F.lit("user:"), user)).when((kind == "decision") & task.isNotNull(), F.concat(F.lit("task:"), task)).otherwise(write)
 
 
+def of_types(scopes: DataFrame, *types: str) -> DataFrame:
+    """Only the scopes of these types."""
+    return scopes.filter(F.col("scope_type").isin(*map(check_scope_type, types)))
+
+
+def allowed(records: DataFrame, requested: DataFrame) -> DataFrame:
+    """Whether each record (id) is in the requested scopes, by key or wildcard: id, allowed."""
+    hit = in_scopes(records, requested).select("id", F.lit(True).alias("allowed"))
+    return records.select("id").join(hit, "id", "left").select("id", F.coalesce("allowed", F.lit(False)).alias("allowed"))
+
+
+def context_of_url(scope: str | None, view: str | None = None, agents: tuple[str, ...] = ()) -> dict:
+    """The context that the parameters ``scope`` and ``view`` of a request ask for, in the columns of ``recall_scopes``.
+
+    ``all`` asks for everything, ``type:id`` for one scope, a bare name for the agent of that name, ``shared`` (as view) for all known agents and any user.
+    """
+    scope, view = (scope or "").strip(), (view or "").strip()
+    none = {"user_id": None, "agent_ids": None, "all_scopes": False, "any_type": None, "any_id": None}
+    if "all" in (scope, view):
+        return none | {"all_scopes": True}
+    kind, _, ident = scope.partition(":")
+    if scope and ":" not in scope:
+        return none | {"any_type": "agent", "any_id": scope.lower()}
+    if ident.strip() and kind.lower() in SCOPE_TYPES:
+        return none | {"any_type": kind.lower(), "any_id": ident.strip()}
+    return none | ({"agent_ids": [*agents], "user_id": "*"} if view == "shared" else {})
+
+
 def in_scopes(records: DataFrame, requested: DataFrame) -> DataFrame:
     """Records of the requested scopes (scope_type, scope_id): equal keys, or any id of a type where ``*`` is asked for.
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from engram.functions import json as J
 from engram.functions import text as T
 
+ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
+
 
 def appended(entries: DataFrame, incoming: DataFrame, tasks: DataFrame) -> DataFrame:
     """Incoming entries (task_id, ord, role, content) of existing tasks with their sequence numbers: one past the task's greatest, in order.
@@ -19,6 +22,33 @@ def appended(entries: DataFrame, incoming: DataFrame, tasks: DataFrame) -> DataF
     return new.withColumn("sequence", (F.coalesce("last", F.lit(0)) + F.row_number().over(Window.partitionBy("task_id").orderBy("ord"))).cast("long")).select("task_id", "sequence", role.alias("role"), "content", T.estimate_tokens("content").alias("token_count"))
 
 
+STATUSES = ("active", "paused", "completed", "archived")
+
+
+def with_changes(tasks: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
+    """Tasks (task_id, scope_key, title, status, created_at, updated_at) after changes (ord, task_id, scope_key, title, status; null: unchanged) in their order.
+
+    An unknown task is made, with its id for want of a title; an unknown status counts as active.
+    """
+    known = F.when(F.col("status").isin(*STATUSES), F.col("status")).when(F.col("status").isNotNull(), "active")
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ord"))).alias(f"c_{c}")
+    c = changes.withColumn("status", known).withColumn("title", F.when(T.trim("title") != "", T.trim("title"))).groupBy("task_id").agg(last("scope_key"), last("title"), last("status"), F.lit(True).alias("hit"))
+    j = tasks.join(c, "task_id", "full")
+    return j.select(
+        "task_id", F.coalesce("scope_key", "c_scope_key").alias("scope_key"), F.coalesce("c_title", "title", "task_id").alias("title"), F.coalesce("c_status", "status", F.lit("active")).alias("status"),
+        F.coalesce("created_at", now).alias("created_at"), F.when(F.col("hit"), now).otherwise(F.col("updated_at")).alias("updated_at"),
+    )
+
+
+def summarised(entries: DataFrame, pending: int = 48) -> DataFrame:
+    """Entries after a fold of summaries: a task's first ``pending`` open ones are marked, with their text as summary where they had none."""
+    w = Window.partitionBy("task_id").orderBy("sequence")
+    todo = entries.filter(~F.col("summarized")).select("task_id", "sequence").withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= pending).select("task_id", "sequence", F.lit(True).alias("done"))
+    j = entries.join(todo, ["task_id", "sequence"], "left")
+    done = F.coalesce("done", F.lit(False))
+    return j.withColumn("summary", F.when(done & (F.coalesce(T.trim("summary"), F.lit("")) == ""), T.trim("content")).otherwise(F.col("summary"))).withColumn("summarized", F.col("summarized") | done).drop("done")
+
+
 def cascade(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
     """All task tables without the tasks that go."""
     return {k: t.join(gone.select("task_id").distinct(), "task_id", "left_anti") for k, t in tables.items()}
@@ -85,6 +115,49 @@ def attribution(entries: DataFrame, responses: DataFrame, least: float = 0.12, n
     return both.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n).select("response_id", "entry_id", "rn", "confidence")
 
 
+STATS = "array<struct<id:string,text:string,activationCount:bigint,positiveCount:bigint,firstSeenAt:string,lastActivatedAt:string>>"
+
+
+def entry_stats(documents: DataFrame) -> DataFrame:
+    """The counters that experience documents keep in their metadata: scope_key, entry_id, text, activations, positives, first_seen, last_activated, ord."""
+    s = documents.select("scope_key", F.posexplode(F.from_json(F.get_json_object("metadata", "$.entryStats"), STATS)).alias("ord", "s"))
+    return s.select("scope_key", F.col("s.id").alias("entry_id"), F.col("s.text").alias("text"), F.coalesce("s.activationCount", F.lit(0)).alias("activations"), F.coalesce("s.positiveCount", F.lit(0)).alias("positives"), F.col("s.firstSeenAt").alias("first_seen"), F.col("s.lastActivatedAt").alias("last_activated"), "ord")
+
+
+def merged_stats(entries: DataFrame, stats: DataFrame, now: Column) -> DataFrame:
+    """Counters after a document has these entries: known ones keep their counts and take the new text, new ones start at 0, gone ones stay."""
+    e = entries.groupBy("scope_key", "entry_id").agg(F.min_by("text", "ord").alias("new_text"), F.min("ord").alias("new_ord"))
+    j = stats.join(e, ["scope_key", "entry_id"], "full")
+    return j.select(
+        "scope_key", "entry_id", F.coalesce("new_text", "text").alias("text"), F.coalesce("activations", F.lit(0)).alias("activations"), F.coalesce("positives", F.lit(0)).alias("positives"), F.coalesce("first_seen", F.date_format(now, ISO)).alias("first_seen"),
+        "last_activated", F.coalesce("ord", F.col("new_ord") + 1_000_000).alias("ord"),
+    )
+
+
+def activated(stats: DataFrame, hits: DataFrame, now: Column) -> DataFrame:
+    """Counters after responses drew on entries (scope_key, entry_id, outcome): +1 each, +1 positive where the outcome was."""
+    h = hits.groupBy("scope_key", "entry_id").agg(F.count(F.lit(1)).alias("more"), F.count_if(F.col("outcome") == "positive").alias("good"))
+    j = stats.join(h, ["scope_key", "entry_id"], "left")
+    out = j.withColumn("activations", F.col("activations") + F.coalesce("more", F.lit(0))).withColumn("positives", F.col("positives") + F.coalesce("good", F.lit(0)))
+    return out.withColumn("last_activated", F.when(F.col("more") > 0, F.date_format(now, ISO)).otherwise(F.col("last_activated"))).drop("more", "good")
+
+
+def with_stats(documents: DataFrame, stats: DataFrame) -> DataFrame:
+    """Documents with these counters in their metadata; all else of that stays."""
+    one = F.struct(F.col("ord"), F.struct(F.col("entry_id").alias("id"), "text", F.col("activations").alias("activationCount"), F.col("positives").alias("positiveCount"), F.col("first_seen").alias("firstSeenAt"), F.col("last_activated").alias("lastActivatedAt")).alias("s"))
+    g = stats.groupBy("scope_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "entry_id", one.alias("one")))), lambda x: x.one.s).alias("kept"))
+    j = documents.join(g, "scope_key", "left")
+    return j.withColumn("metadata", F.when(F.col("kept").isNotNull(), J.with_keys("metadata", {"entryStats": J.variants("kept")})).otherwise(F.col("metadata"))).drop("kept")
+
+
+def calibrated(documents: DataFrame, verdicts: DataFrame, now: Column) -> DataFrame:
+    """Documents without the lines whose entries are zombies or harmful; the mark of the calibration is set."""
+    e = experience_entries(documents).join(verdicts.filter(F.col("verdict").isin("zombie", "harmful")).select("scope_key", "entry_id").distinct(), ["scope_key", "entry_id"], "left_anti")
+    text = e.groupBy("scope_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: F.concat(F.lit("- "), x.text)), "\n").alias("new"))
+    j = documents.join(text, "scope_key", "left").withColumn("content", F.coalesce("new", F.lit(""))).drop("new")
+    return j.withColumn("metadata", J.with_keys("metadata", {"lastCalibrationAt": J.variant(F.date_format(now, ISO))}))
+
+
 def calibration(stats: DataFrame, fragments: DataFrame) -> DataFrame:
     """A verdict on each entry (scope_key, entry_id, text, activations, positives): zombie, harmful, core or kept.
 
@@ -136,3 +209,43 @@ def profile_merge(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     j = e.join(i, ["scope_key", "title"], "full")
     w = Window.partitionBy("scope_key").orderBy(F.col("e_ord").asc_nulls_last(), "i_ord")
     return j.select("scope_key", F.row_number().over(w).alias("ord"), "title", F.coalesce("i_body", "e_body").alias("body"))
+
+
+OPS = "array<struct<op:string,section:string,content:string>>"
+
+
+def profile_ops(answers: DataFrame) -> DataFrame:
+    """The operations that a model's answer (scope_key, text) names: scope_key, ord, op, title, body. The first bracket span is read as
+    JSON; what is no operation, or has no section or content, is left out, and an answer that isn't JSON has none."""
+    e = answers.select("scope_key", F.posexplode(F.from_json(F.regexp_extract("text", r"(?s)\[.*\]", 0), OPS)).alias("ord", "o"))
+    e = e.select("scope_key", "ord", "o.op", T.trim("o.section").alias("title"), T.trim("o.content").alias("body"))
+    return e.filter((F.coalesce("title", F.lit("")) != "") & ((F.col("op") == "remove_section") | F.col("op").isin("set_section", "append_to_section") & (F.coalesce("body", F.lit("")) != "")))
+
+
+def profile_changed(existing: DataFrame, ops: DataFrame) -> DataFrame:
+    """Sections (scope_key, ord, title, body) after operations in their order; sections that none names stay as they are.
+
+    An operation bears on its own section only, so each section folds its own: from the last that sets or removes it on.
+    """
+    e = existing.filter("title is not null").groupBy("scope_key", "title").agg(F.min("ord").alias("e_ord"), F.min_by("body", "ord").alias("e_body"))
+    g = ops.groupBy("scope_key", "title").agg(F.array_sort(F.collect_list(F.struct("ord", "op", "body"))).alias("ops"))
+    j = e.join(g, ["scope_key", "title"], "full")
+    kind = "struct<there:boolean,at:bigint,body:string>"
+    start = F.struct(F.col("e_ord").isNotNull().alias("there"), F.coalesce(F.col("e_ord"), F.lit(0)).cast("bigint").alias("at"), F.coalesce("e_body", F.lit("")).alias("body")).cast(kind)
+    at = lambda s, o: F.when(s.there, s.at).otherwise(o.ord.cast("bigint") + 1_000_000)
+    more = lambda s, o: F.when(s.there, F.regexp_replace(F.concat(F.regexp_replace(s.body, r"\n+$", ""), F.lit("\n"), o.body), r"^\n+", "")).otherwise(o.body)
+    step = lambda s, o: F.when(o.op == "remove_section", F.struct(F.lit(False).alias("there"), F.lit(0).cast("bigint").alias("at"), F.lit("").alias("body")).cast(kind)).otherwise(
+        F.struct(F.lit(True).alias("there"), at(s, o).alias("at"), F.when(o.op == "set_section", o.body).otherwise(more(s, o)).alias("body")).cast(kind)
+    )
+    none = F.array().cast("array<struct<ord:int,op:string,body:string>>")
+    out = j.withColumn("s", F.aggregate(F.coalesce("ops", none), start, step)).filter("s.there")
+    return out.select("scope_key", F.row_number().over(Window.partitionBy("scope_key").orderBy("s.at")).alias("ord"), "title", F.col("s.body").alias("body"))
+
+
+def profile_text(sections: DataFrame, preambles: DataFrame) -> DataFrame:
+    """Profile documents from their sections and preambles (scope_key, body): scope_key, content."""
+    part = F.concat(F.lit("## "), "title", F.lit("\n"), F.regexp_replace("body", r"\n+$", ""))
+    s = sections.groupBy("scope_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", part.alias("part")))), lambda x: x.part).alias("parts"))
+    j = s.join(preambles.filter(T.trim("body") != "").select("scope_key", T.rtrim("body").alias("head")), "scope_key", "full")
+    none = F.array().cast("array<string>")
+    return j.select("scope_key", F.concat(F.array_join(F.concat(F.array_compact(F.array("head")), F.coalesce("parts", none)), "\n\n"), F.lit("\n")).alias("content"))
