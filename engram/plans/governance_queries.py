@@ -99,11 +99,12 @@ def active_contexts(spark, d):
     return governance.active_context(tasks.latest_documents(m).withColumn("kind", kind))
 
 
-@query("SELECT id, 'whole' AS kept FROM memory_items", M)
+@query("""SELECT id, CASE WHEN doc_id % 3 = 2 THEN '{"taskId":"' || id || '","truncated":true}' ELSE '{"pad":"' || repeat('x', CAST(doc_id % 3 * 600 AS INT)) || '","taskId":"' || id || '"}' END AS metadata FROM memory_items""", M)
 def compact_results(spark, d):
+    """Metadata of three sizes, the largest of which is cut to its hot keys; contents stay behind."""
     m = V.memory_items(spark, d)
-    out = records.compact(m)
-    return out.select("id", F.when(F.get_json_object("metadata", "$.truncated").isNotNull(), "cut").otherwise("whole").alias("kept"))
+    pad = F.expr("repeat('x', int(doc_id % 3 * 600))")
+    return records.compact(m.withColumn("metadata", F.to_json(F.struct(pad.alias("pad"), F.col("id").alias("taskId")))), content=False).select("id", "metadata")
 
 
 @query("""SELECT t.task_id, t.scope_key, coalesce(e.n, 0) AS entries, coalesce(length(rolling_summary), 0) AS summary_chars FROM tasks t LEFT JOIN (SELECT task_id, CAST(count(*) AS BIGINT) AS n FROM task_entries GROUP BY 1) e USING (task_id)""", V.TASKS, V.TASK_ENTRIES)
@@ -121,8 +122,8 @@ def entity_records(spark, d):
     return j.withColumn("rn", F.row_number().over(w)).filter("rn <= 60").select("name_key", "id", "summary")
 
 
-@query(r"""WITH p AS (SELECT scope_key, list_transform(range(1, 4), lambda i: {'t': 'T' || i, 'b': substr(content, i * 10, 10)}) AS s FROM docs) SELECT scope_key, CAST(i AS INT) AS ord, s[i].t AS title, regexp_replace(s[i].b, '\n+$', '') AS body FROM (SELECT scope_key, s, unnest(range(1, 4)) AS i FROM p)""", M, DOCS)
+@query(r"""WITH p AS (SELECT scope_key, [{'t': 'T1', 'b': content}, {'t': 'T2', 'b': lower(content)}, {'t': 'T3', 'b': ''}] AS s FROM docs) SELECT scope_key, CAST(i AS INT) AS ord, s[i].t AS title, regexp_replace(s[i].b, '\n+$', '') AS body FROM (SELECT scope_key, s, unnest(range(1, 4)) AS i FROM p)""", M, DOCS)
 def profile_sections(spark, d):
-    parts = [F.concat(F.lit(f"## T{i}\n"), F.substring("content", i * 10, 10), F.lit("\n")) for i in (1, 2, 3)]
+    parts = [F.concat(F.lit(f"## T{i}\n"), body, F.lit("\n")) for i, body in enumerate((F.col("content"), F.lower("content"), F.lit("")), 1)]
     docs = _documents(spark, d).select("scope_key", F.concat(*parts).alias("content"))
     return tasks.profile_sections(docs).filter("title is not null")

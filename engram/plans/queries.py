@@ -206,10 +206,10 @@ def hot_records(spark, d):
     return records.hot_records(V.memory_items(spark, d))
 
 
-@query("""SELECT tag, CAST(count(*) AS BIGINT) AS size FROM (SELECT *, lower(list_filter(tags, lambda t: t NOT IN ('p0', 'p1', 'sop', 'pinned', 'session'))[1]) AS tag FROM memory_items WHERE kind IN ('lesson', 'decision', 'note') AND NOT list_contains(tags, 'pinned') AND updated_at >= TIMESTAMP '2024-05-18 00:00:00')
+@query("""SELECT tag, CAST(count(*) AS BIGINT) AS size FROM (SELECT *, lower(list_filter(tags, lambda t: t NOT IN ('p0', 'p1', 'sop', 'pinned', 'session'))[1]) AS tag FROM memory_items WHERE kind IN ('lesson', 'decision', 'note') AND NOT list_contains(tags, 'pinned') AND updated_at >= TIMESTAMP '2024-01-05 00:00:00')
 WHERE tag IS NOT NULL GROUP BY tag HAVING count(*) >= 3 ORDER BY count(*) DESC, min((created_at, id)) LIMIT 6""", M)
 def reflect_clusters(spark, d):
-    return records.reflect_clusters(V.memory_items(spark, d), F.lit("2024-06-01 00:00:00").cast("timestamp"))
+    return records.reflect_clusters(V.memory_items(spark, d), F.lit("2024-01-19 00:00:00").cast("timestamp"))
 
 
 @query(r"SELECT id, kind, importance, substr(regexp_replace(summary, '\s+', ' ', 'g'), 1, 300) AS digest FROM memory_items WHERE kind IN ('preference', 'identity') AND importance >= 0.6 ORDER BY importance DESC, created_at, id LIMIT 40", M)
@@ -245,9 +245,10 @@ def true_duplicates(spark, d):
     return records.true_duplicates(V.memory_items(spark, d))
 
 
-@query("SELECT CAST(created_at AS DATE) AS day, scope_key, CAST(count(*) AS BIGINT) AS n FROM memory_items GROUP BY 1, 2 HAVING count(*) >= 3 ORDER BY n DESC, day, scope_key LIMIT 10", M)
+@query("SELECT CAST(created_at AS DATE) AS day, scope_id AS scope_key, CAST(count(*) AS BIGINT) AS n FROM memory_items GROUP BY 1, 2 HAVING count(*) >= 3 ORDER BY n DESC, day, scope_key LIMIT 10", M)
 def fragment_clusters(spark, d):
-    return records.fragment_clusters(V.memory_items(spark, d))
+    """Days and sources with several records."""
+    return records.fragment_clusters(V.memory_items(spark, d).withColumn("scope_key", F.col("scope_id")))
 
 
 @query("SELECT CAST(count_if(scope_type <> 'agent') AS BIGINT) AS drifted, CAST(count(DISTINCT CASE WHEN scope_type = 'agent' THEN scope_key END) AS BIGINT) AS scopes FROM memory_items", M)
@@ -293,15 +294,16 @@ def task_rolling_summaries(spark, d):
 
 def _windows(order: str) -> str:
     return f"""WITH e AS (SELECT task_id, string_agg(role || ': ' || trim(content, ' ' || chr(10)), chr(10) ORDER BY sequence) AS entries, sum(length(trim(content, ' ' || chr(10)))) AS entry_chars FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY sequence {order}) AS rn FROM task_entries) WHERE rn <= 2 GROUP BY task_id),
-w AS (SELECT task_id, array_to_string(list_filter([CASE WHEN rolling_summary IS NOT NULL THEN 'Task summary:' || chr(10) || rolling_summary END, 'Recent task entries:' || chr(10) || entries, 'Current query:' || chr(10) || 'what next?'], lambda x: x IS NOT NULL), chr(10) || chr(10)) AS t, entry_chars FROM tasks JOIN e USING (task_id))
-SELECT task_id, CASE WHEN length(t) <= 500 THEN t ELSE rtrim(substr(t, 1, 500), ' ' || chr(10)) END AS "window", CAST(0 AS BIGINT) AS decision_chars, CAST(entry_chars AS BIGINT) AS entry_chars, CAST(length(CASE WHEN length(t) <= 500 THEN t ELSE rtrim(substr(t, 1, 500), ' ' || chr(10)) END) AS BIGINT) AS total, CAST(500 AS BIGINT) AS budget FROM w"""
+k AS (SELECT task_id, string_agg('- ' || c, chr(10) ORDER BY rn) FILTER (rn <= 12) AS ds, sum(length(c)) AS dc FROM (SELECT task_id, trim(content, ' ' || chr(10)) AS c, row_number() OVER (PARTITION BY task_id ORDER BY sequence DESC) AS rn FROM task_entries WHERE sequence % 2 = 1) GROUP BY task_id),
+w AS (SELECT task_id, dc, array_to_string(list_filter([CASE WHEN rolling_summary IS NOT NULL THEN 'Task summary:' || chr(10) || rolling_summary END, CASE WHEN ds IS NOT NULL THEN 'Key decisions:' || chr(10) || ds END, 'Recent task entries:' || chr(10) || entries, 'Current query:' || chr(10) || 'what next?'], lambda x: x IS NOT NULL), chr(10) || chr(10)) AS t, entry_chars FROM tasks JOIN e USING (task_id) LEFT JOIN k USING (task_id))
+SELECT task_id, CASE WHEN length(t) <= 1500 THEN t ELSE rtrim(substr(t, 1, 1500), ' ' || chr(10)) END AS "window", CAST(coalesce(dc, 0) AS BIGINT) AS decision_chars, CAST(entry_chars AS BIGINT) AS entry_chars, CAST(length(CASE WHEN length(t) <= 1500 THEN t ELSE rtrim(substr(t, 1, 1500), ' ' || chr(10)) END) AS BIGINT) AS total, CAST(1500 AS BIGINT) AS budget FROM w"""
 
 
 def _task_windows(spark, d, mode):
     t = V.tasks(spark, d)
-    none = t.limit(0).select("task_id", F.lit("").alias("id"), F.lit("").alias("content"), "updated_at").withColumnRenamed("updated_at", "created_at")
+    said = V.task_entries(spark, d).filter("sequence % 2 = 1").select("task_id", F.col("sequence").cast("string").alias("id"), "content", F.timestamp_seconds(F.col("sequence") * 60).alias("created_at"))
     asked = t.select("task_id", F.lit("what next? ").alias("query"), F.lit(None).cast("string").alias("tool_context"))
-    return tasks.windows(t, V.task_entries(spark, d), none, asked, most=100, recent=2, mode=mode)
+    return tasks.windows(t, V.task_entries(spark, d), said, asked, most=1500, recent=2, mode=mode)
 
 
 @query(_windows("ASC"), V.TASK_ENTRIES, V.TASKS)
@@ -342,13 +344,13 @@ def task_delete_cascade(spark, d):
 
 # -- active documents and experience
 
-DOCS = r"""docs AS (SELECT scope_key, string_agg(CASE WHEN doc_id % 2 = 0 THEN '- ' ELSE '' END || substr(summary, 1, 60), chr(10) ORDER BY doc_id) AS content FROM memory_items WHERE kind = 'experience' GROUP BY scope_key)"""
+DOCS = r"""docs AS (SELECT scope_key, string_agg(CASE WHEN doc_id % 2 = 0 THEN '- ' ELSE '' END || summary, chr(10) ORDER BY doc_id) AS content FROM memory_items WHERE kind = 'experience' GROUP BY scope_key)"""
 ENTRIES = r"""entries AS (SELECT scope_key, CAST(ord AS INT) AS ord, text FROM (SELECT scope_key, unnest(list_transform(string_split(content, chr(10)), lambda x: regexp_replace(trim(x), '^[-*]\s+', ''))) AS text, generate_subscripts(string_split(content, chr(10)), 1) - 1 AS ord FROM docs) WHERE text <> '')"""
 
 
 def _documents(spark, d):
     m = V.memory_items(spark, d).filter("kind = 'experience'")
-    line = F.concat(F.when(F.col("doc_id") % 2 == 0, "- ").otherwise(""), F.substring("summary", 1, 60))
+    line = F.concat(F.when(F.col("doc_id") % 2 == 0, "- ").otherwise(""), "summary")
     return m.groupBy("scope_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", line.alias("l")))), lambda x: x.l), "\n").alias("content"))
 
 

@@ -77,14 +77,21 @@ def retrieval_quality(spark, d):
     return out.select("category", "questions", *[F.round(c, 6).alias(c) for c in ("recall_5", "recall_10", "ndcg_10")])
 
 
+#: Metadata as the records have it, in SQL.
+METADATA = """'{' || array_to_string(list_filter([CASE WHEN recall_count IS NOT NULL THEN '"recallCount":' || recall_count END, CASE WHEN last_recalled IS NOT NULL THEN '"lastRecalledAt":"' || strftime(last_recalled, '%Y-%m-%dT%H:%M:%SZ') || '"' END, CASE WHEN valid_until IS NOT NULL THEN '"validUntil":"' || strftime(valid_until, '%Y-%m-%dT%H:%M:%SZ') || '"' END,
+  CASE WHEN superseded_by IS NOT NULL THEN '"supersededBy":"' || superseded_by || '"' END, CASE WHEN task_id IS NOT NULL THEN '"taskId":"' || task_id || '"' END, CASE WHEN supports IS NOT NULL THEN '"supports":["' || array_to_string(supports, '","') || '"]' END], lambda x: x IS NOT NULL), ',') || '}'"""
+
+
+@query(f"""WITH hits AS ({_ranked("0.5")}), s AS (SELECT *, validity * (0.45 * lexical + 0.35 * hash + 0.08 * recency + 0.07 * importance + 0.025 + 0.22 * fts + 0.10 * principle) AS raw FROM sc),
+b AS (SELECT h.query_id, h.rank, '- [' || m.kind || '] ' || m.scope_type || ':' || m.scope_id || ' (score ' || printf('%.2f', s.raw) || ')' || chr(10) || '  markers: id: ' || m.id || '; source: ' || m.source || CASE WHEN len(m.tags) > 0 THEN '; tags: ' || array_to_string(m.tags, ', ') ELSE '' END || '; metadata: ' || {METADATA.replace("recall_count", "m.recall_count").replace("task_id", "m.task_id").replace("last_recalled,", "m.last_recalled,")} || chr(10) || '  ' || trim(m.content, ' ' || chr(10)) AS block
+  FROM hits h JOIN memory_items m USING (id) JOIN s ON s.query_id = h.query_id AND s.id = h.id),
+u AS (SELECT *, 73 + sum(length(block) + 1) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM b), f AS (SELECT query_id, min(CASE WHEN used > 4000 THEN rank END) AS over FROM u GROUP BY 1)
+SELECT query_id, CAST(count(*) FILTER (over IS NULL OR rank < over) AS BIGINT) AS blocks, 'Relevant long-term memory:' || chr(10) || 'Use these memories as supporting context.' || chr(10) || coalesce(chr(10) || string_agg(block, chr(10) ORDER BY rank) FILTER (over IS NULL OR rank < over), '') AS context FROM u JOIN f USING (query_id) GROUP BY query_id""", M, SIGNALS)
 def recall_contexts(spark, d):
     m, q = V.memory_items(spark, d), _queries(spark, d)
     return search.recall_context(search.search(m, q, now()), m)
 
 
-query()(recall_contexts)
-
-
 def recall_snippets(spark, d):
     m, q = V.memory_items(spark, d), _queries(spark, d)
     return search.with_snippets(search.search(m, q, now()).select("query_id", "rank", "id"), m, q)
@@ -105,7 +112,7 @@ def recall_navigation(spark, d):
     return search.navigation(V.memory_items(spark, d))
 
 
-VECTORS = """cos AS (SELECT CAST(q.vec_id AS VARCHAR) AS query_id, CAST(v.vec_id AS VARCHAR) AS id, v.label, q.label AS ql, greatest(0, least(1, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])))))) AS s FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0)"""
+VECTORS = """cos AS (SELECT CAST(q.vec_id AS VARCHAR) AS query_id, CAST(v.vec_id AS VARCHAR) AS id, list_dot_product(CAST(q.embedding[1:8] AS DOUBLE[]), CAST(v.embedding[1:8] AS DOUBLE[])) AS head, v.label, q.label AS ql, greatest(0, least(1, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])))))) AS s FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0)"""
 
 
 def _vectors(spark, d):
@@ -113,6 +120,12 @@ def _vectors(spark, d):
     return v, v.filter(F.col("id").cast("long") % 100 == 0).select(F.col("id").alias("query_id"), "vector", "label")
 
 
+def _heads(pairs, v, q):
+    """A second opinion on pairs, as a reranker or another embedding gives: the product of the vectors' first eight numbers."""
+    j = pairs.select("query_id", "id").join(v.select("id", F.slice("vector", 1, 8).alias("a")), "id").join(q.select("query_id", F.slice("vector", 1, 8).alias("b")), "query_id")
+    return j.select("query_id", "id", F.aggregate(F.zip_with("a", "b", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x).alias("head"))
+
+
 @query("SELECT query_id, CAST(rank AS INT) AS rank, id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) AS rank FROM cos) WHERE rank <= 10", VECTORS)
 def vector_top_k(spark, d):
     v, q = _vectors(spark, d)
@@ -126,18 +139,18 @@ def vector_merged_filters(spark, d):
     return search.merged_scopes(both.drop("rank"), 5).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
-@query("""WITH b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) AS rank, max(s) OVER (PARTITION BY query_id) AS top FROM cos), r AS (SELECT *, 0.6 * CASE WHEN CAST(id AS BIGINT) % 9 = 0 THEN -1 ELSE (CAST(id AS BIGINT) % 7) / 7.0 END + 0.4 * s / top AS f FROM b WHERE rank <= 40)
+@query("""WITH b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) AS rank, max(s) OVER (PARTITION BY query_id) AS top FROM cos), r AS (SELECT *, 0.6 * CASE WHEN CAST(id AS BIGINT) % 9 = 0 THEN -1 ELSE head END + 0.4 * s / top AS f FROM b WHERE rank <= 40)
 SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(f, 9) DESC, rank) AS INT) AS rank, round(f, 6) AS score FROM r""", VECTORS)
 def rerank_fusion(spark, d):
     v, q = _vectors(spark, d)
     hits = search.vector_search(v, q, 60)
-    scores = hits.filter(F.col("id").cast("long") % 9 != 0).select("query_id", "id", ((F.col("id").cast("long") % 7) / 7.0).alias("rerank"))
+    scores = _heads(hits.filter(F.col("id").cast("long") % 9 != 0), v, q).withColumnRenamed("head", "rerank")
     return search.reranked(hits, scores).withColumn("score", F.round("score", 6))
 
 
 @query("""WITH b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) AS rank FROM cos)
-SELECT query_id, id, round(0.65 * s + 0.35 * CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN 0.9 ELSE 0 END, 6) AS score FROM b WHERE rank <= 20""", VECTORS)
+SELECT query_id, id, round(0.65 * s + 0.35 * CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN greatest(0, least(1, head)) ELSE 0 END, 6) AS score FROM b WHERE rank <= 20""", VECTORS)
 def embedding_fusion(spark, d):
     v, q = _vectors(spark, d)
     hits = search.vector_search(v, q, 20)
-    return search.fused(hits, hits.filter(F.col("id").cast("long") % 2 == 0).select("query_id", "id", F.lit(0.9).alias("similarity"))).select("query_id", "id", F.round("score", 6).alias("score"))
+    return search.fused(hits, _heads(hits.filter(F.col("id").cast("long") % 2 == 0), v, q).withColumnRenamed("head", "similarity")).select("query_id", "id", F.round("score", 6).alias("score"))

@@ -46,3 +46,34 @@ def test_event_windows_and_audit(spark, tmp_path):
     assert {r.n for r in spark.table("windows").collect()} == {3}
     q = s.writeStream.foreachBatch(pipelines.audit_sink(str(tmp_path / "audit"))).trigger(availableNow=True).start()
     assert q.awaitTermination(120) and spark.read.parquet(str(tmp_path / "audit")).count() == 12
+
+
+def test_flush_webhook_and_sync(spark, tmp_path):
+    m = [("a", T0 + timedelta(minutes=i), i, "user", f" m{i} ") for i in range(30)] + [("b", T0 + timedelta(hours=9), 0, "user", "late")]
+    schema = "session_id string, ts timestamp, ord long, role string, content string"
+    for k, part in enumerate((m[:20], m[20:30], m[30:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "m"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "m"))
+    run(pipelines.flushed_sessions(stream, chars=12), "append", "flushed")
+    flushed = spark.table("flushed").collect()
+    assert [(r.session_id, r.messages, len(r.buffer)) for r in flushed] == [("a", 30, 12)] and flushed[0].buffer.endswith("user: m29")
+
+    out = str(tmp_path / "posted")
+
+    def post(texts):
+        import os
+        import uuid
+
+        os.makedirs(out, exist_ok=True)
+        with open(f"{out}/{uuid.uuid4().hex}", "w") as f:
+            f.write("\n".join(texts))
+
+    events = spark.createDataFrame([(1, "recall"), (2, "write"), (3, "recall")], "event_id long, type string")
+    pipelines.webhook_sink(post, {"recall"}, rows=1)(events, 0)
+    assert sorted(p.read_text() for p in (tmp_path / "posted").iterdir()) == ['{"event_id":1,"type":"recall"}', '{"event_id":3,"type":"recall"}']
+
+    table = {"now": spark.createDataFrame([("a", T0, "old", 1), ("b", T0, "gone", 1)], "id string, updated_at timestamp, content string, sync_version long")}
+    later = T0 + timedelta(days=1)
+    remote = spark.createDataFrame([("a", later, "mid", 2, None), ("a", later, "new", 3, None), ("b", later, "gone", 4, later), ("c", T0, "fresh", 5, None)], "id string, updated_at timestamp, content string, sync_version long, deleted_at timestamp")
+    pipelines.sync_sink(lambda: table["now"], lambda t: table.update(now=t))(remote, 0)
+    assert {(r.id, r.content) for r in table["now"].collect()} == {("a", "new"), ("c", "fresh")}
