@@ -23,6 +23,7 @@ from bisect import bisect
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -86,6 +87,24 @@ HAS_DIGIT = re.compile(r"[0-9]")
 NEED_DIGIT = {"IBAN", "SSN", "IP", "PHONE", "CARD"}
 
 
+@lru_cache(maxsize=None)
+def _triggers() -> tuple[ahocorasick.Automaton, ahocorasick.Automaton]:
+    """Titles and first names with what must follow them, and phrases in lower case: a text with none of these has no person to find."""
+    out = []
+    for words in ([w + end for w in TITLES for end in (" ", ". ")] + [n + " " for n in LISTS], [p.lower() for p in PHRASES]):
+        found = ahocorasick.Automaton()
+        for w in words:
+            found.add_word(w, w)
+        found.make_automaton()
+        out.append(found)
+    return out[0], out[1]
+
+
+def persons_possible(text: str) -> bool:
+    names, phrases = _triggers()
+    return next(names.iter(text), None) is not None or next(phrases.iter(text.lower()), None) is not None
+
+
 def _address(value: str) -> bool:
     try:
         return ipaddress.IPv6Address(value).packed[2:] != bytes(14) and HAS_DIGIT.search(value) is not None and len(value.replace(":", "")) > 3
@@ -96,9 +115,9 @@ def _address(value: str) -> bool:
 def detect(text: str) -> list[tuple[int, int, str]]:
     """Entities that don't overlap, by place: start, end, type. The earlier detector wins a place."""
     found = []
-    digits = bool(HAS_DIGIT.search(text))
+    digits, persons = bool(HAS_DIGIT.search(text)), persons_possible(text)
     for rank, (kind, needs, pattern) in enumerate(DETECTORS):
-        if kind in NEED_DIGIT and not digits or needs and not (needs in text if kind == "KEY" else any(c in text for c in needs)):
+        if kind in NEED_DIGIT and not digits or kind in ("PERSON", "NAMED") and not persons or needs and not (needs in text if kind == "KEY" else any(c in text for c in needs)):
             continue
         for m in pattern.finditer(text):
             v = "v" if "v" in pattern.groupindex else 0
