@@ -46,8 +46,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents are linked from a similarity of 0.8 on. Null and empty texts have no links and stay; an empty table stays empty.
     """
-    keep = neardup.near_duplicates(docs, percent=SIMILAR_PERCENT).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    (key,) = common.fresh(docs, "kept_id")
+    keep = neardup.near_duplicates(docs, percent=SIMILAR_PERCENT).filter("kept").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col(key)), "left_semi")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +57,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and empty texts have none and stay; with one row of an id all its rows go; an empty table stays empty.
     """
     found = decontam.contamination(docs, common.table(spark, sf_dir, "benchmark"))
-    hit = found.filter("contaminated").select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti")
+    (key,) = common.fresh(docs, "hit_id")
+    hit = found.filter("contaminated").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col(key)), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
