@@ -1,8 +1,13 @@
+import math
+import random
 import re
 from collections import Counter
 from zlib import crc32
 
+import numpy as np
 import pytest
+import xxhash
+import zstandard
 
 from engram.llm import common, compressclf, rules
 
@@ -58,6 +63,64 @@ def test_compression_holds_out(labelled, docs, none):
     assert compressclf.quality_scores(none, labels).count() == 0
 
 
+def plain_score(model, text):
+    """The score of one text, step by step: both compressors block by block, the prior, the straight line between two calibrated points."""
+    kind = zstandard.DICT_TYPE_RAWCONTENT if model.raw else zstandard.DICT_TYPE_FULLDICT
+    sizes = [sum(len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d, dict_type=kind), write_content_size=False, write_checksum=False, write_dict_id=False).compress(text[i : i + 1024])) for i in range(0, len(text), 1024)) for d in (model.bad, model.good)]
+    margin = (sizes[0] - sizes[1] + model.typical * 128) / (len(text) + 128)
+    x, y = model.margins, model.shares
+    if margin <= x[0] or len(x) == 1:
+        share = y[0]
+    elif margin >= x[-1]:
+        share = y[-1]
+    else:
+        k = max(i for i in range(len(x) - 1) if x[i] <= margin)
+        share = y[k + 1] if x[k] == x[k + 1] else y[k] + (y[k + 1] - y[k]) * (margin - x[k]) / (x[k + 1] - x[k])
+    return 0.99 * share + 0.01 / (1 + math.exp(-margin / model.spread))
+
+
+def test_scores_by_brute_force(spark, labelled):
+    d, labels = labelled
+    model = compressclf.fit(d, labels)
+    text = {r.doc_id: (r.text or "").encode() for r in d.collect()}
+    for r in compressclf.quality_scores(d, labels).filter("doc_id % 4 = 0").collect():
+        assert r.score == pytest.approx(plain_score(model, text[r.doc_id]), abs=1e-9)
+
+
+def test_calibration_is_isotonic_regression():
+    """Pooled shares against the max-min formula over all intervals."""
+    rnd = random.Random(8)
+    margin = np.array(sorted(rnd.sample(range(1000), 60)), float)
+    label = np.array([float(rnd.random() < m / 1000) for m in margin])
+    points, shares = compressclf.calibration(margin, label)
+    mean = lambda i, j: label[i : j + 1].mean()
+    best = [max(min(mean(i, j) for j in range(k, 60)) for i in range(k + 1)) for k in range(60)]
+    groups = [[0]]
+    for k in range(1, 60):
+        groups.append([k]) if best[k] > best[k - 1] + 1e-12 else groups[-1].append(k)
+    assert points.tolist() == [x for g in groups for x in (margin[g[0]], margin[g[-1]])]
+    expected = np.maximum.accumulate([(label[g].sum() + 0.5) / (len(g) + 1) for g in groups])
+    assert shares[::2] == pytest.approx(expected) and shares[1::2] == pytest.approx(expected)
+
+
+def test_verdicts_by_brute_force(spark, labelled):
+    """Each kept flag and probability from the fitted weights, n-gram by n-gram."""
+    d, labels = labelled
+    model = rules.fit(d, labels)
+    text = {r.doc_id: r.text or "" for r in d.collect()}
+    rows = rules.quality_rules(d, labels).filter("doc_id % 5 = 0").collect()
+    for r in rows:
+        t = text[r.doc_id]
+        h = [xxhash.xxh3_64_intdigest(w) for w in t.encode().split()]
+        big, small = (1 << 64) - 1, (1 << 32) - 1
+        grams = [x >> 47 for x in h] + [((((a * 0x9E3779B97F4A7C15 & big) ^ b) * 0xD6E8FEB86659FD93) & big) >> 47 for a, b in zip(h, h[1:])]
+        c = [*map(ord, t)]
+        chars = [(((((x * 0x9E3779B1 & small) ^ (y * 0x85EBCA77 & small) ^ (z * 0xC2B2AE3D & small)) * 0x27D4EB2F) & small) >> 15) + (1 << 17) for x, y, z in zip(c, c[1:], c[2:])]
+        margin = model.bias + 8 * sum(float(np.mean(model.weights[g])) for g in (grams, chars) if g)
+        p = 0.99 * np.interp(margin, model.margins, model.shares) + 0.01 / (1 + math.exp(-margin))
+        assert r.probability == pytest.approx(p, abs=1e-4) and r.kept == (not r.base_failed and r.probability >= 0.3)
+
+
 def test_without_labels(spark, docs, labelled):
     no = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {round(r.score, 2) for r in compressclf.quality_scores(docs, no).collect()} <= {0.5, 0.51, 0.49}

@@ -6,4 +6,4 @@ from pathlib import Path
 _spec = importlib.util.spec_from_file_location("llm_conftest", Path(__file__).with_name("conftest.py"))
 _module = importlib.util.module_from_spec(_spec)
 _spec.loader.exec_module(_module)
-prose = _module.prose
+prose, ODD = _module.prose, _module.ODD
