@@ -114,18 +114,27 @@ def train(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, float]:
             at, n = np.unique(x, return_counts=True)
             rows.append(np.full(len(at), i, np.int32)), cols.append(at.astype(np.int32)), vals.append((SCALE * n / max(1, len(x))).astype(np.float32))
     row, col, val = np.concatenate(rows), np.concatenate(cols), np.concatenate(vals)
-    size = 2 << BITS
+    seen, col = np.unique(col, return_inverse=True)  # n-grams that no text has keep weight 0
+    of_row = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    by_col = np.argsort(col, kind="stable")
+    of_col, row_c, val_c = np.flatnonzero(np.r_[True, np.diff(col[by_col]) != 0]), row[by_col], val[by_col]
     share = np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum()))
-    w, b = np.zeros(size), 0.0
-    m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
+    w, b = np.zeros(len(seen)), 0.0
+    m, v, mb, vb = np.zeros(len(seen)), np.zeros(len(seen)), 0.0, 0.0
+    with_grams = row[of_row]
     for step in range(1, STEPS + 1):
-        error = (sigmoid(np.bincount(row, val * w[col], len(texts)) + b) - labels) * share
-        g, gb = np.bincount(col, val * error[row], size) + DECAY * w, error.sum()
+        margin = np.zeros(len(texts))
+        margin[with_grams] = np.add.reduceat(val * w[col], of_row) if len(row) else 0
+        error = (sigmoid(margin + b) - labels) * share
+        g = (np.add.reduceat(val_c * error[row_c], of_col) if len(row) else np.zeros(0)) + DECAY * w
+        gb = error.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         grow, settle = 1 - 0.9**step, 1 - 0.99**step
         w -= RATE * (m / grow) / (np.sqrt(v / settle) + 1e-8)
         b -= RATE * (mb / grow) / (np.sqrt(vb / settle) + 1e-8)
-    return w.astype(np.float32), float(b)
+    out = np.zeros(2 << BITS, np.float32)
+    out[seen] = w
+    return out, float(b)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
