@@ -82,7 +82,8 @@ def entities(records: DataFrame, vocabulary: list[tuple[str, str]] = (), strict:
     Rules: vocabulary, known technologies, known tools, @mentions (domains are organisations), quoted names, joined capitalised
     words; the last two not with ``strict``. Dictionary names match as substrings unless ``whole_words``.
     """
-    low = F.lower(F.col(text_col))
+    records = records.select("id", text_col, F.lower(F.col(text_col)).alias("low_text"))  # once a row, as it is asked for each name
+    low = F.col("low_text")
     border = "" if not whole_words else r"(?<![a-z0-9])"
     has = lambda name: F.contains(low, F.lit(name.lower())) if not whole_words else low.rlike(border + "\\Q" + name.lower() + "\\E(?![a-z0-9])")
     one = lambda name, kind, prio: F.struct(name.alias("name"), F.lower(name).alias("name_key"), kind.alias("kind"), F.lit(prio).alias("prio"))

@@ -343,8 +343,10 @@ class _Best:
                 del kept[self.most :]
 
     def batch(self, names: list[str]) -> pa.RecordBatch:
-        cols = list(zip(*((i, key, s, *extra) for q, i in enumerate(self.ids) for _, _, key, s, extra in self.rows[q]))) or [()] * len(names)
-        kinds = [pa.string(), pa.string(), *[pa.float64()] * (len(names) - 2)]
+        """What is held, as query_id, id, score and what goes with it; a column named born is the birth."""
+        born = "born" in names
+        cols = list(zip(*((i, key, *([at] if born else []), s, *extra) for q, i in enumerate(self.ids) for _, at, key, s, extra in self.rows[q]))) or [()] * len(names)
+        kinds = [pa.string(), pa.string(), *([pa.int64()] if born else []), *[pa.float64()] * (len(names) - 2 - born)]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
 
@@ -366,9 +368,8 @@ def search(records: DataFrame, queries: DataFrame, now: Column, requested: DataF
     ix = storage.written(index(records), "index") if indexed is None else live(indexed, records)
     found = [_search(records, ix, b, now, entity, fts, most, least, WEIGHTS | (weights or {})) for b in blocks(queries, requested)]
     out = reduce(DataFrame.unionByName, found)
-    born = records.select("id", "created_at")
-    w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "created_at", "id")
-    best = out.join(born, "id").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
+    w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "born", "id")
+    best = out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
     return best.select("query_id", "rank", "id", "score", *REASONS)
 
 
@@ -409,9 +410,9 @@ def _search(records: DataFrame, ix: DataFrame, block: Block, now: Column, entity
             total = np.where(np.isnan(scope) | (total < least), -np.inf, total)
             born = c["born"].fill_null(1 << 62).to_numpy()
             best.add(total, c["id"].to_pylist(), born, lambda i, q: tuple(float(all_of[k][i, q]) for k in REASONS))
-        yield best.batch(["query_id", "id", "score", *REASONS])
+        yield best.batch(["query_id", "id", "born", "score", *REASONS])
 
-    return r.mapInArrow(score, "query_id string, id string, score double, " + ", ".join(f"{k} double" for k in REASONS))
+    return r.mapInArrow(score, "query_id string, id string, born long, score double, " + ", ".join(f"{k} double" for k in REASONS))
 
 
 def with_snippets(hits: DataFrame, records: DataFrame, queries: DataFrame) -> DataFrame:

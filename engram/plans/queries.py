@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.functions import text as T
-from engram.operators import capture, cloud, records, scopes, tasks
+from engram.operators import capture, cloud, records, scopes, storage, tasks
 from engram.plans import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -454,7 +454,8 @@ found AS (SELECT id, name_key, arg_min(kind, prio) AS kind FROM ruled GROUP BY 1
 
 
 def _found(spark, d):
-    return capture.entities(V.memory_items(spark, d))
+    """The entities of all records, written once, as most queries read them several times."""
+    return storage.written(capture.entities(V.memory_items(spark, d)), "entities")
 
 
 @query("SELECT id, name_key, kind FROM found", M, KNOWN, FOUND)
