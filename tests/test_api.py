@@ -47,6 +47,8 @@ def test_plugins(spark):
     p = spark.createDataFrame([("p", "plain")], "prompt string, plain string")
     assert plugins.answered(p, broken, "plain").first().answer == "plain"
     assert plugins.answered(p, lambda t: ["model"] * len(t), "plain").first().answer == "model"
+    assert [(r.error, r.n) for r in plugins.failures(plugins.answered(p, broken, "plain")).collect()] == [("OSError: no network", 1)]
+    assert len(plugins.embedded(df, "document", broken, plugins.hash_embedding).first().vector) == 128 and plugins.embedded(df, "document", broken).first().vector is None
     v = plugins.embedded(df, "document").collect()
     assert len(v[0].vector) == 128 and abs(sum(x * x for x in v[0].vector) - 1) < 1e-9 and sum(map(abs, v[1].vector)) == 0
     assert search.hash_vector([]).sum() == 0

@@ -206,3 +206,30 @@ def test_host_files(spark):
     assert {(r.path, r.content, r.uid, r.version) for r in found.collect()} == {("a", "block", "u", 2.0), ("b", "plain  text", None, None)}
     r = rows(spark, {"content": "block", "metadata": '{"nativeMemoryPath":"a"}'})
     assert {(x.path, x.action) for x in hosts.native_changes(found, r).collect()} == {("a", "keep"), ("b", "add")}
+
+
+def test_sentinels(spark):
+    totals = spark.createDataFrame([(1, 10), (2, 8), (3, 9)], "day int, total long")
+    assert [(r.day, r.lost) for r in governance.fresh_drop(totals).collect()] == [(2, 2)]
+    r = rows(spark, {"updated_at": NOW - timedelta(hours=1)}, {"updated_at": NOW - timedelta(hours=3), "scope_id": "u2"})
+    assert [x.scope_key for x in governance.recent_sessions(r, now()).collect()] == ["user:u1"]
+    t = spark.createDataFrame([("a", "active", NOW - timedelta(days=8)), ("b", "active", NOW), ("c", "archived", NOW - timedelta(days=9))], "task_id string, status string, updated_at timestamp")
+    assert [x.task_id for x in governance.stale_tasks(t, now()).collect()] == ["a"]
+
+
+def test_ties_are_bounded_in_a_task():
+    import numpy as np
+
+    best = search._Best(["q"], 3)
+    for lo in range(0, 5000, 500):
+        best.add(np.ones((500, 1)), [f"r{i:05d}" for i in range(lo, lo + 500)], np.arange(5000 - lo, 4500 - lo, -1), lambda i, q: ())
+        assert len(best.rows[0]) <= 3
+    assert best.batch(["query_id", "id", "score"]).column(1).to_pylist() == ["r04999", "r04998", "r04997"]
+
+
+def test_containing_is_exact(spark):
+    texts = ["alpha beta gamma delta", "beta gamma", "x", "a\nb c d e", "beta gamma delta"]
+    held = ["zz alpha beta gamma deltas", "beta gamma", "no", "xa\nb c d ef", None]
+    q = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "query_id string, text string")
+    r = spark.createDataFrame([(str(i), t) for i, t in enumerate(held)], "id string, content string")
+    assert {(x.query_id, x.id) for x in search.containing(q, r).collect()} == {(str(i), str(j)) for i, t in enumerate(texts) for j, h in enumerate(held) if h and t in h}
