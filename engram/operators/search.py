@@ -338,8 +338,8 @@ class _Best:
                 cut = max(cut, -kept[-1][0] - 1e-9)
             for i in np.flatnonzero((s >= cut) & (s > -np.inf)):
                 kept.append((-round(float(s[i]), 9), 0 if born is None else int(born[i]), keys[i], float(s[i]), extra(i, q)))
-            if len(kept) > self.most:
-                kept.sort(key=lambda r: r[:3])
+            if len(kept) >= self.most:
+                kept.sort(key=lambda r: r[:3])  # the last held is the worst, by which the next are cut
                 del kept[self.most :]
 
     def batch(self, names: list[str]) -> pa.RecordBatch:

@@ -233,3 +233,15 @@ def test_containing_is_exact(spark):
     q = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "query_id string, text string")
     r = spark.createDataFrame([(str(i), t) for i, t in enumerate(held)], "id string, content string")
     assert {(x.query_id, x.id) for x in search.containing(q, r).collect()} == {(str(i), str(j)) for i, t in enumerate(texts) for j, h in enumerate(held) if h and t in h}
+
+
+def test_the_best_of_shuffled_batches():
+    import numpy as np
+
+    rnd = np.random.default_rng(4)
+    score = np.round(rnd.random((600, 3)), 2)
+    best = search._Best(["a", "b", "c"], 7)
+    for lo in range(0, 600, 7):
+        best.add(score[lo : lo + 7], [f"{i:03d}" for i in range(lo, min(lo + 7, 600))], None, lambda i, q: ())
+    got = {q: [x[2] for x in best.rows[k]] for k, q in enumerate("abc")}
+    assert got == {q: [f"{i:03d}" for i in sorted(range(600), key=lambda i: (-score[i, k], i))[:7]] for k, q in enumerate("abc")}
