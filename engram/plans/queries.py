@@ -245,10 +245,10 @@ def true_duplicates(spark, d):
     return records.true_duplicates(V.memory_items(spark, d))
 
 
-@query("SELECT CAST(created_at AS DATE) AS day, scope_id AS scope_key, CAST(count(*) AS BIGINT) AS n FROM memory_items GROUP BY 1, 2 HAVING count(*) >= 3 ORDER BY n DESC, day, scope_key LIMIT 10", M)
+@query("SELECT CAST(created_at AS DATE) AS day, scope_type AS scope_key, CAST(count(*) AS BIGINT) AS n FROM memory_items GROUP BY 1, 2 HAVING count(*) >= 3 ORDER BY n DESC, day, scope_key LIMIT 10", M)
 def fragment_clusters(spark, d):
-    """Days and sources with several records."""
-    return records.fragment_clusters(V.memory_items(spark, d).withColumn("scope_key", F.col("scope_id")))
+    """Days and scope types with several records."""
+    return records.fragment_clusters(V.memory_items(spark, d).withColumn("scope_key", F.col("scope_type")))
 
 
 @query("SELECT CAST(count_if(scope_type <> 'agent') AS BIGINT) AS drifted, CAST(count(DISTINCT CASE WHEN scope_type = 'agent' THEN scope_key END) AS BIGINT) AS scopes FROM memory_items", M)
