@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from engram.operators import numbering
+
 #: Limits by plan (null: none) and features.
 PLANS = [
     # plan, per period, total, agents, seats, sync, embedding, console, rbac, marketplace, dashboard
@@ -37,10 +39,10 @@ def gates(used: DataFrame, plan_table: DataFrame) -> DataFrame:
 
 
 def numbered(changes: DataFrame, current: DataFrame) -> DataFrame:
-    """Changes with sync versions: past the project's greatest, in order."""
+    """Changes (of one row an id) with sync versions: past the project's greatest, in order. A project of any size is numbered by ranges."""
     top = current.groupBy("project_id").agg(F.max("sync_version").alias("top"))
-    w = Window.partitionBy("project_id").orderBy("ord", "id")
-    return changes.join(top, "project_id", "left").withColumn("sync_version", (F.coalesce("top", F.lit(0)) + F.row_number().over(w)).cast("long")).drop("top")
+    counted = numbering.numbered(changes, ["project_id"], [F.col("ord"), F.col("id")], "_number")
+    return counted.join(top, "project_id", "left").withColumn("sync_version", (F.coalesce("top", F.lit(0)) + F.col("_number")).cast("long")).drop("top", "_number")
 
 
 def pushable(local: DataFrame) -> DataFrame:
