@@ -5,8 +5,9 @@ from __future__ import annotations
 import secrets
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from engram.llm import collocations, common, compressclf, decontam, divergence, linedup, neardup, packing, pii, rules, suffix, tokens, warc
+from engram.llm import collocations, common, compressclf, decontam, divergence, linedup, neardup, packing, passages, pii, rules, suffix, tokens, warc
 
 #: Parameter: the tokenizer that the token operators use.
 TOKENIZER = "byte_bpe_50k.json"
@@ -70,6 +71,11 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(common.table(spark, sf_dir, "documents"))
 
 
+def op11_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.repeated_passages(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(common.utf8("text"), 256).alias("kept_sha256"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(common.table(spark, sf_dir, "documents"))
 
@@ -79,6 +85,7 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op11_passage_dedup": op11_passage_dedup,
     "op12_collocations": op12_collocations,
     "op13_source_divergence": op13_source_divergence,
     "op5_substring_dedup": op5_substring_dedup,
@@ -169,4 +176,13 @@ terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM
 SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
 FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
 WHERE part = 'pair' OR rank <= 50""",
+    "op11_passage_dedup": r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (SELECT doc_id, i, sha256(array_to_string(words[i : i + 49], ' ')) AS win FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 49)) AS i FROM w WHERE len(words) >= 50)),
+m AS (SELECT win, min(doc_id) AS owner FROM s GROUP BY win),
+g AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 49)) AS p FROM s JOIN m USING (win) WHERE owner < doc_id),
+p AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM w),
+k AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text FROM p ANTI JOIN g USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)""",
 }
