@@ -358,7 +358,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
     order, kind = _order(docs, id_col)
     row = F.xxhash64(F.col(text_col))
     keyed = docs.select(order.alias("ord"), row.alias("row"), common.utf8(text_col).alias("text")).filter(F.octet_length("text") >= 2 * window - 1)
-    seen = _anchors(keyed, kind, window, anchor)
+    seen = common.written(_anchors(keyed, kind, window, anchor), "anchors")
     counted = seen.groupBy("h").agg(F.min("ord").alias("first"), F.max("ord").alias("last"), F.min("ctx").alias("c1"), F.max("ctx").alias("c2")).filter("first < last")
     again = common.written(counted.select("h", "first", (F.col("c1") == F.col("c2")).alias("same")), "repeated-anchors")
     found = seen.select("h", "ord").join(again, "h").groupBy("ord").agg(F.collect_list(F.struct("h", "first", "same")).alias("found"))
