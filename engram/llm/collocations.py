@@ -218,9 +218,9 @@ def phrases(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST, lang_col: s
     share = max(1, (totals.agg(F.sum("n")).first()[0] or 0) // (4 * parts))
     hot = words.filter(F.col("n") > share).select("lang", F.col("suffix").alias("first"), F.ceil(F.col("n") / share).cast("int").alias("tasks"))  # 4 * parts rows at most
     first = F.substring_index("suffix", SEP.decode(), 1)
-    found = _mapped(texts, max_n, frequent).withColumn("first", first).join(F.broadcast(hot), ["lang", "first"], "left")
+    found = _mapped(texts, max_n, frequent).withColumn("first", first).join(F.broadcast(hot), ["lang", "first"], "left").select("lang", "suffix", "n", "tasks")
     salt = F.when(F.col("tasks").isNotNull(), F.pmod(F.xxhash64("suffix"), "tasks"))
-    dealt = found.repartition("lang", "first", salt).select("lang", "suffix", "n", F.col("tasks").isNotNull().alias("dealt")).sortWithinPartitions("lang", F.desc("suffix"))
+    dealt = found.repartition(F.col("lang"), first, salt).select("lang", "suffix", "n", F.col("tasks").isNotNull().alias("dealt")).sortWithinPartitions("lang", F.desc("suffix"))
     f = _counted(dealt, max_n, least).groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
     return common.written(single.unionByName(f), "phrases"), totals
 
