@@ -1,9 +1,10 @@
 """Ranked search: many queries against all records, over an index of the records that is built once.
 
 ``index`` reads every text once and keeps of it, by record, the hashes of its tokens, its hashed vector and the hashes of its full-text terms in
-their order. Queries are few and records many, so a block of queries (``BLOCK`` of them, ``BLOCK_BYTES`` of text at most) goes to
+their order. What else the score needs of a record stands beside it, so a pass over the index joins nothing.
+Queries are few and records many, so a block of queries (``BLOCK`` of them, ``BLOCK_BYTES`` of text at most) goes to
 every task, and each task scores its part of the index in whole arrays and keeps the best of each query; only those meet in a shuffle.
-More queries take more blocks over the same index. BM25 needs corpus statistics first: document frequencies of the block's terms.
+More queries take more blocks over the same index. A block's full-text ranks (``FTS_RANKS`` a query) go to every task too. BM25 needs corpus statistics first: document frequencies of the block's terms.
 Where all queries of a block name scopes, only records in those are scored.
 
 score = validity * (0.45 lexical + 0.35 hash + 0.08 recency + 0.07 importance + 0.05 scope + 0.18 entity + 0.22 fts + 0.10 principle)
@@ -137,30 +138,31 @@ def _indexed(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.unique(rows[:, 0]), np.bincount(rows[:, 1], rows[:, 2], DIMS).astype(np.float32), term_ids
 
 
-def index(records: DataFrame) -> DataFrame:
-    """The index of records: id, ids of the distinct tokens, the hashed vector, ids of the full-text terms in order. One pass over the texts."""
-    names = [f.split(" ")[0] for f in INDEX.split(", ")]
+def index(records: DataFrame, beside: tuple[str, ...] = ()) -> DataFrame:
+    """The index of records: id, ids of the distinct tokens, the hashed vector, ids of the full-text terms in order, and the columns ``beside``. One pass over the
+    texts."""
+    names = [*(f.split(" ")[0] for f in INDEX.split(", ")), *beside]
 
     def lists(rows, kind: pa.DataType) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate(rows), kind))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch(ids: list, found: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), *(lists(c, k) for c, k in zip(zip(*found), (pa.int64(), pa.float32(), pa.int64())))], names)
+        def batch(rows: pa.RecordBatch, found: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([rows.column(0), *(lists(c, k) for c, k in zip(zip(*found), (pa.int64(), pa.float32(), pa.int64()))), *rows.columns[2:]], names)
 
         for b in batches:
-            ids, found, held = [], [], 0
-            for i, text in zip(*(c.to_pylist() for c in b.columns)):
-                ids.append(i)
+            begin, found, held = 0, [], 0
+            for text in b.column(1).to_pylist():
                 found.append(_indexed(text))
                 held += len(text)
                 if held > SLICE_BYTES:
-                    yield batch(ids, found)
-                    ids, found, held = [], [], 0
-            if ids:
-                yield batch(ids, found)
+                    yield batch(b.slice(begin, len(found)), found)
+                    begin, found, held = begin + len(found), [], 0
+            if found:
+                yield batch(b.slice(begin), found)
 
-    return records.select("id", _index_text().alias("w")).mapInArrow(read, INDEX)
+    kinds = "".join(f", `{c}` {records.schema[c].dataType.simpleString()}" for c in beside)
+    return records.select("id", _index_text().alias("_text"), *beside).mapInArrow(read, INDEX + kinds)
 
 
 def live(indexed: DataFrame, records: DataFrame) -> DataFrame:
@@ -217,6 +219,16 @@ class Block:
         self.first = Lookup([*{int(p[0]) for p, _ in self.longer}])
         self.requested = [asked for _, _, asked in rows] if scoped else None
         self.scopes: dict[str, np.ndarray] = {}
+        self.literal = None if not scoped else [{f"{t}:{i}" for t, i, _ in asked} for _, _, asked in rows]
+        self.within: dict[str, np.ndarray] = {}
+
+    def outside(self, scope: str) -> np.ndarray:
+        """For which queries full-text ranks leave out records of ``scope`` (type:id): those that ask for scopes, but not literally for this one."""
+        if scope not in self.within:
+            if len(self.within) > 10_000:
+                self.within.clear()
+            self.within[scope] = np.array([bool(asked) and scope not in asked for asked in self.literal])
+        return self.within[scope]
 
     def only(self) -> Column | None:
         """The scopes that can have hits; none where a query asks for all."""
@@ -284,7 +296,12 @@ def _index_text() -> Column:
 
 
 def full_text_ranks(indexed: DataFrame, block: Block, most: int = FTS_RANKS) -> DataFrame:
-    """(query_id, id, rank from 0) of the best records by BM25 over the index; a query is the union of its phrases."""
+    """(query_id, id, rank from 0) of the best records by BM25 over the index; a query is the union of its phrases.
+
+    A query that asks for scopes ranks the records of those only (``indexed`` then has their ``scope``, type:id), by statistics of the whole index. Scopes are
+    compared as they are written: another case is another scope, and a wildcard finds nothing, so such a query has no full-text signal.
+    """
+    scoped = block.requested is not None
     shared = indexed.sparkSession.sparkContext.broadcast(block)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,10 +328,12 @@ def full_text_ranks(indexed: DataFrame, block: Block, most: int = FTS_RANKS) ->
             tf = np.zeros((b.num_rows, len(b_.phrase_ids)))
             tf[row, phrase] = n * (BM25_K1 + 1) / (n + BM25_K1 * (1 - BM25_B + BM25_B * size / max(length, 1e-9)))
             score = tf @ weights
+            if scoped and b.num_rows:
+                score[np.stack([b_.outside(x) for x in b.column(2).to_pylist()])] = 0
             best.add(np.where(score > 0, score, -np.inf), b.column(0).to_pylist(), None, lambda i, q: ())
         yield best.batch(["query_id", "id", "score"])
 
-    found = indexed.select("id", "terms").mapInArrow(rank, "query_id string, id string, score double")
+    found = indexed.select("id", "terms", *(["scope"] if scoped else [])).mapInArrow(rank, "query_id string, id string, score double")
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "id")
     return found.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < most).select("query_id", "id", "rank")
 
@@ -350,14 +369,26 @@ class _Best:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
 
-def _boosts(records: DataFrame, given: DataFrame | None, name: str) -> DataFrame:
-    """Records with a map of each query's boost; ``given`` is (query_id, id, ``name``)."""
+def _boosts(records: DataFrame, given: DataFrame | None, block: Block) -> DataFrame:
+    """Records with a map of the boosts that the block's queries give them; ``given`` is (query_id, id, entity)."""
     if given is None:
-        return records.withColumn(name, F.lit(None).cast("map<string,double>"))
-    by_id = given.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("query_id").cast("string"), F.col(name).cast("double")))).alias(name))
+        return records.withColumn("entity", F.lit(None).cast("map<string,double>"))
+    by_id = given.filter(F.col("query_id").cast("string").isin(block.ids)).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("query_id").cast("string"), F.col("entity").cast("double")))).alias("entity"))
     return records.join(by_id, "id", "left")
 
 
+#: What stands beside a record's index while it is searched.
+BESIDE = ("scope", "scope_type", "scope_key", "recency", "importance", "principle", "validity", "born")
+
+
+def _beside(records: DataFrame, now: Column) -> DataFrame:
+    """Records with the columns ``BESIDE``."""
+    age = F.greatest(F.lit(0), F.unix_timestamp(now) - F.unix_timestamp("updated_at")) / 86400
+    r = hot_keys(records).withColumn("scope", F.concat_ws(":", "scope_type", "scope_id")).withColumn("recency", F.coalesce(1 / (1 + age / 30), F.lit(0.0)))
+    r = r.withColumn("principle", (F.col("kind") == "principle").cast("double")).withColumn("validity", F.when(past_validity(now), 0.5).otherwise(1.0))
+    return r.withColumn("born", F.unix_micros(F.col("created_at").cast("timestamp")))
+
+
 def search(records: DataFrame, queries: DataFrame, now: Column, requested: DataFrame | None = None, entity: DataFrame | None = None, fts: bool = True, most: int = 8, least: float = 0.18, weights: dict | None = None, indexed: DataFrame | None = None) -> DataFrame:
     """The best records of each query: query_id, rank, id, score and its eight signals.
 
@@ -365,22 +396,26 @@ def search(records: DataFrame, queries: DataFrame, now: Column, requested: DataF
     scopes of each query (query_id, ord, scope_type, scope_id, weight); without it everything is in scope. Blank queries have no
     hits. Equal scores go by creation time, then id.
     """
-    ix = storage.written(index(records), "index") if indexed is None else live(indexed, records)
-    found = [_search(records, ix, b, now, entity, fts, most, least, WEIGHTS | (weights or {})) for b in blocks(queries, requested)]
+    r = _beside(records, now)
+    ix = index(r, BESIDE) if indexed is None else r.select("id", *BESIDE).join(indexed, "id")  # index rows of forgotten records stay behind
+    ix = storage.written(ix, "index")
+    found = [_search(ix, b, entity, fts, most, least, WEIGHTS | (weights or {})) for b in blocks(queries, requested)]
     out = reduce(DataFrame.unionByName, found)
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "born", "id")
     best = out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
     return best.select("query_id", "rank", "id", "score", *REASONS)
 
 
-def _search(records: DataFrame, ix: DataFrame, block: Block, now: Column, entity: DataFrame | None, fts: bool, most: int, least: float, w: dict) -> DataFrame:
-    shared = records.sparkSession.sparkContext.broadcast(block)
-    ranks = full_text_ranks(ix, block).select("query_id", "id", F.greatest(F.lit(FTS_LEAST), 1 - F.col("rank") * FTS_STEP).alias("fts")) if fts and block.phrase_ids else None
+def _search(ix: DataFrame, block: Block, entity: DataFrame | None, fts: bool, most: int, least: float, w: dict) -> DataFrame:
+    spark = ix.sparkSession
+    shared = spark.sparkContext.broadcast(block)
+    place = {q: i for i, q in enumerate(block.ids)}
+    ranked: dict[str, list[tuple[int, float]]] = {}
+    for r in full_text_ranks(ix, block).collect() if fts and block.phrase_ids else ():  # FTS_RANKS rows a query of the block at most
+        ranked.setdefault(r.id, []).append((place[r.query_id], max(FTS_LEAST, 1 - r["rank"] * FTS_STEP)))
+    ranks = spark.sparkContext.broadcast(ranked)
     only = block.only()
-    r = hot_keys(records if only is None else records.filter(only))
-    age = F.greatest(F.lit(0), F.unix_timestamp(now) - F.unix_timestamp("updated_at")) / 86400
-    r = r.select("id", "scope_type", "scope_key", F.coalesce(1 / (1 + age / 30), F.lit(0.0)).alias("recency"), "importance", (F.col("kind") == "principle").cast("double").alias("principle"), F.when(past_validity(now), 0.5).otherwise(1.0).alias("validity"), F.unix_micros(F.col("created_at").cast("timestamp")).alias("born"))
-    r = _boosts(_boosts(r, entity, "entity"), ranks, "fts").join(ix.select("id", "tokens", "vector"), "id")
+    r = _boosts(ix if only is None else ix.filter(only), entity, block).select("id", "tokens", "vector", "entity", *BESIDE[1:])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b_ = shared.value
@@ -399,11 +434,12 @@ def _search(records: DataFrame, ix: DataFrame, block: Block, now: Column, entity
             hashed = np.clip(np.divide(vec @ b_.vectors.T, norm, out=np.zeros_like(norm), where=norm > 0), 0, 1)
             scope = np.stack([b_.scope(k, s) for k, s in zip(c["scope_type"].to_pylist(), c["scope_key"].to_pylist())]) if n else np.zeros((0, len(b_.ids)))
             boost = {k: np.zeros((n, len(b_.ids))) for k in ("entity", "fts")}
-            for k, m in boost.items():
-                for i, pairs in enumerate(c[k].to_pylist()):
-                    for q, v in pairs or ():
-                        if q in at:
-                            m[i, at[q]] = v
+            for i, pairs in enumerate(c["entity"].to_pylist()):
+                for q, v in pairs or ():
+                    boost["entity"][i, at[q]] = v
+            for i, key in enumerate(c["id"].to_pylist()):
+                for q, v in ranks.value.get(key, ()):
+                    boost["fts"][i, q] = v
             flat = {k: np.broadcast_to(c[k].to_numpy(zero_copy_only=False)[:, None], lexical.shape) for k in ("recency", "importance", "principle")}
             all_of = {"lexical": lexical, "hash": hashed, "scope": scope, **flat, **boost}
             total = sum(w[k] * all_of[k] for k in REASONS) * c["validity"].to_numpy(zero_copy_only=False)[:, None]

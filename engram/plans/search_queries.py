@@ -53,13 +53,28 @@ def search_all(spark, d):
     return _shown(search.search(V.memory_items(spark, d), _queries(spark, d), now()))
 
 
-@query(_ranked("CASE WHEN scope_type = 'agent' THEN 1.0 / 1.5 ELSE 1.05 / 1.5 END", "scope_type = 'agent' OR scope_key = 'user:src2'"), M, SIGNALS)
+def _within(*scopes: str) -> str:
+    """The signals, with full-text ranks among records of these scopes, as they are written."""
+    named = ", ".join(f"'{x}'" for x in scopes)
+    return SIGNALS.replace("FROM bm) WHERE rk < 30", f"FROM bm JOIN memory_items USING (id) WHERE scope_type || ':' || scope_id IN ({named})) WHERE rk < 30")
+
+
+@query(_ranked("CASE WHEN scope_type = 'agent' THEN 1.0 / 1.5 ELSE 1.05 / 1.5 END", "scope_type = 'agent' OR scope_key = 'user:src2'"), M, _within("agent:*", "user:SRC2"))
 def search_scoped(spark, d):
     q = _queries(spark, d)
     asked = q.select("query_id", F.inline(F.array(F.struct(F.lit(0).alias("ord"), F.lit("agent").alias("scope_type"), F.lit("*").alias("scope_id"), F.lit(1.0).alias("weight")), F.struct(F.lit(1).alias("ord"), F.lit("user").alias("scope_type"), F.lit("SRC2").alias("scope_id"), F.lit(1.05).alias("weight")))))
     return _shown(search.search(V.memory_items(spark, d), q, now(), requested=asked))
 
 
+@query(_ranked("CASE WHEN scope_type = 'user' THEN 1.05 / 1.5 ELSE 0.9 / 1.5 END", "scope_key IN ('user:src2', 'agent:src1', 'agent:src5')"), M, _within("user:src2", "agent:src1", "agent:src5"))
+def search_within_scopes(spark, d):
+    """Scopes named as they are written: full-text ranks are those among their records, whatever better texts lie elsewhere."""
+    q = _queries(spark, d)
+    named = [("user", "src2", 1.05), ("agent", "src1", 0.9), ("agent", "src5", 0.9)]
+    asked = q.select("query_id", F.inline(F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(t).alias("scope_type"), F.lit(x).alias("scope_id"), F.lit(w).alias("weight")) for i, (t, x, w) in enumerate(named)])))
+    return _shown(search.search(V.memory_items(spark, d), q, now(), requested=asked))
+
+
 @query("SELECT query_id, id, CAST(rk AS INT) AS rank FROM fts", M, SIGNALS)
 def search_full_text(spark, d):
     ix = storage.written(search.index(V.memory_items(spark, d)), "index")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from engram.functions import text as T
-from engram.operators import capture, cloud, records, remember, search, tasks
+from engram.operators import capture, cloud, records, remember, search, storage, tasks
 
 NOW = datetime(2025, 1, 1)
 SCHEMA = "id string, scope_type string, scope_id string, kind string, content string, summary string, confidence double, importance double, source string, tags array<string>, metadata string, created_at timestamp, updated_at timestamp"
@@ -39,6 +39,29 @@ def test_scoped_search(spark):
     assert search.search(r, ask(spark, "  "), now()).count() == 0
 
 
+def test_full_text_ranks_within_the_scopes_asked_for(spark):
+    """The best 30 of all records lie in another scope: the scope's own records have their ranks all the same."""
+    other = [{"content": "zebra zebra zebra", "scope_id": "u2"}] * 40
+    own = [{"content": "a zebra among very many other words of a long record"}, {"content": "zebra crossing"}, {"content": "nothing of it"}]
+    r = rows(spark, *other, *own)
+    hits = {h.id: round(h.fts, 6) for h in search.search(r, ask(spark, "zebra"), now(), requested=wanted(spark, ("user", "u1", 1.0)), least=0.0).collect()}
+    assert hits == {"41": 1.0, "40": 0.978, "42": 0.0}
+    assert {round(h.fts, 6) for h in search.search(r, ask(spark, "zebra"), now(), most=50, least=0.0).collect() if int(h.id) >= 40} == {0.0}
+    # scopes are compared as they are written: another case and a wildcard have hits, but no full-text signal
+    for scope in (("user", "U1", 1.0), ("user", "*", 1.0)):
+        assert {h.fts for h in search.search(r, ask(spark, "zebra"), now(), requested=wanted(spark, scope), most=50, least=0.0).collect()} == {0.0}
+
+
+def test_search_joins_nothing_by_record(spark):
+    """Neither records nor their index are shuffled, whatever the number of blocks; only the best of each task are."""
+    r = rows(spark, *[{"content": f"record number {i} tea"} for i in range(50)])
+    q = spark.createDataFrame([(f"q{i}", f"tea number {i}") for i in range(1100)], "query_id string, text string")
+    for df in (search.search(r, q, now()), search.search(r, q, now(), indexed=storage.written(search.index(r), "kept"))):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and plan.count("MapInArrow") == 3
+    assert search.search(r, q, now()).select("query_id").distinct().count() == 1100
+
+
 def test_floor_without_a_match(spark):
     r = rows(spark, {"content": "alpha", "importance": 1.0}, {"content": "alpha", "importance": 0.9})
     hits = search.search(r, ask(spark, "zzzzqq"), now(), requested=wanted(spark, ("user", "u1", 1.0))).collect()
