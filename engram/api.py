@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.operators import cloud, governance, records, remember, scopes, search
+from engram.streaming import recalls
 
 SCHEMA = "id string, scope_type string, scope_id string, scope_key string, kind string, content string, summary string, confidence double, importance double, source string, tags array<string>, metadata string, created_at timestamp, updated_at timestamp"
 
@@ -71,6 +72,10 @@ class Memory:
     def update(self, patches: DataFrame, now: Column) -> int:
         return self.save(records.update(self.items(), patches, now))
 
+    def recalled(self, hits: DataFrame) -> int:
+        """Counts hits (rank, id, ts) of recalls: the best three of each, a record again only after five minutes, into the records' metadata."""
+        return self.save(recalls.written_back(self.items(), recalls.totals(recalls.of_hits(hits))))
+
     def forget(self, ids: DataFrame) -> int:
         """Records gone for good, and gone from the supports of others."""
         return self.save(records.forget(self.items(), ids))
@@ -89,7 +94,8 @@ class Memory:
         return self.save(self.items().join(hit, "id", "left").withColumn("importance", F.coalesce("raised", "importance")).drop("raised"))
 
     def reflect(self, documents: DataFrame, texts: DataFrame, scope: tuple[str, str], now: Column, **how) -> int:
-        """Principles of clusters (texts by tag, from a model) written; nothing while the scope's document is fresh."""
+        """Principles of clusters (texts by tag, from a model) written; nothing while the scope's document is fresh. ``records.reflected_documents`` has the documents
+        as they are to be kept then, with the mark of this run."""
         made = records.reflected(self.items(), documents, texts, scope, now, **how)
         return self.save(remember.remember(made, self.items(), now))
 

@@ -89,14 +89,30 @@ def upsert(current: DataFrame, changes: DataFrame, version: str = "version") ->
     return both.withColumn("rn", F.row_number().over(w.orderBy(F.col(version).desc()))).withColumn("created_at", F.min("created_at").over(w)).filter("rn = 1").drop("rn")
 
 
+#: What a patch may change besides its id.
+PATCHED = {"content": "string", "summary": "string", "importance": "double", "confidence": "double", "source": "string", "tags": "array<string>", "kind": "string", "scope_type": "string", "scope_id": "string", "metadata": "string"}
+
+
 def update(records: DataFrame, patches: DataFrame, now: Column) -> DataFrame:
-    """Patches (id, content, importance, confidence, tags; null: unchanged) applied: trimmed, clamped, summarised anew where the content changes."""
-    p = patches.select("id", *[F.col(c).alias(f"p_{c}") for c in ("content", "importance", "confidence", "tags")], F.lit(True).alias("hit"))
-    j = records.join(p, "id", "left")
+    """Patches (an id once; any of ``PATCHED``, null or missing: unchanged) applied: trimmed, clamped, summarised anew where the content changes.
+
+    A blank summary is made anew as well, a blank source changes nothing. ``metadata`` takes the place of all that was there; the JSON text ``null`` leaves none.
+    """
+    given = [F.col(c).alias(f"p_{c}") if c in patches.columns else F.lit(None).cast(kind).alias(f"p_{c}") for c, kind in PATCHED.items()]
+    j = records.join(patches.select("id", *given, F.lit(True).alias("hit")), "id", "left")
     content = F.coalesce(T.trim("p_content"), F.col("content"))
-    out = j.withColumn("summary", F.when(F.col("p_content").isNotNull(), T.summarize(content)).otherwise(F.col("summary"))).withColumn("content", content)
+    anew = T.summarize(content)
+    summary = F.when(F.col("p_summary").isNotNull(), F.coalesce(F.nullif(T.trim("p_summary"), F.lit("")), anew)).when(F.col("p_content").isNotNull(), anew).otherwise(F.col("summary"))
+    out = j.withColumn("summary", summary).withColumn("content", content)
     out = out.withColumn("importance", T.clamp(F.coalesce("p_importance", "importance"), 0, 1)).withColumn("confidence", T.clamp(F.coalesce("p_confidence", "confidence"), 0.05, 1))
     out = out.withColumn("tags", F.when(F.col("p_tags").isNotNull(), T.tags("p_tags")).otherwise(F.col("tags"))).withColumn("updated_at", F.when(F.col("hit"), now).otherwise(F.col("updated_at")))
+    out = out.withColumn("source", F.coalesce(F.nullif(T.trim("p_source"), F.lit("")), "source")).withColumn("kind", F.coalesce("p_kind", "kind"))
+    if "metadata" in records.columns:
+        out = out.withColumn("metadata", F.when(F.trim("p_metadata") == "null", F.lit(None)).otherwise(F.coalesce("p_metadata", "metadata")))
+    moved = F.col("p_scope_type").isNotNull() | F.col("p_scope_id").isNotNull()
+    out = out.withColumn("scope_type", F.coalesce("p_scope_type", "scope_type")).withColumn("scope_id", F.coalesce(T.trim("p_scope_id"), F.col("scope_id")))
+    if "scope_key" in records.columns:
+        out = out.withColumn("scope_key", F.when(moved, T.scope_key()).otherwise(F.col("scope_key")))
     return out.select(*records.columns)
 
 
@@ -183,6 +199,32 @@ def reflected(records: DataFrame, documents: DataFrame, texts: DataFrame, scope:
     )
 
 
+def with_reflect_marks(documents: DataFrame, marks: DataFrame) -> DataFrame:
+    """Active documents (scope_key, kind, content, metadata) after marks (scope_key, at; one a scope): a scope's context document says in ``lastReflectAt`` when it
+    reflected last, all else of it stays; a scope without one gets an empty one."""
+    context = documents.filter(F.col("kind") == "context").join(marks.select("scope_key", F.col("at").alias("_at")), "scope_key", "full")
+    meta = F.when(F.col("_at").isNull(), F.col("metadata")).otherwise(J.with_keys("metadata", {"lastReflectAt": J.variant("_at")}))
+    context = context.withColumn("metadata", meta).withColumn("kind", F.lit("context")).withColumn("content", F.coalesce("content", F.lit("")))
+    return documents.filter(F.col("kind") != "context").unionByName(context.select(*documents.columns))
+
+
+def principle_marks(inputs: DataFrame) -> DataFrame:
+    """Marks (scope_key, at) of written principles (ord, scope_key, kind, metadata) that say when they were reflected: the last write of a scope counts, whoever wrote it."""
+    at = F.get_json_object("metadata", "$.reflectedAt")
+    text = F.schema_of_variant(F.from_json("metadata", J.VALUES)["reflectedAt"]) == "STRING"
+    said = inputs.filter((F.col("kind") == "principle") & text & (T.trim(at) != ""))
+    return said.groupBy("scope_key").agg(F.max_by(at, "ord").alias("at"))
+
+
+def reflected_documents(documents: DataFrame, scope: tuple[str, str], now: Column, interval_days: float = 6) -> DataFrame:
+    """The active documents after ``reflected`` ran for a scope: marked with ``now``, unless it had run within the interval."""
+    key = f"{scope[0]}:{scope[1]}".lower()
+    mark = F.try_to_timestamp(F.get_json_object("metadata", "$.lastReflectAt"))
+    fresh = documents.filter((F.col("kind") == "context") & (F.col("scope_key") == key) & (F.unix_timestamp(now) - F.unix_timestamp(mark) < interval_days * DAY))
+    due = documents.sparkSession.range(1).select(F.lit(key).alias("scope_key"), F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("at")).join(fresh.select("scope_key"), "scope_key", "left_anti")
+    return with_reflect_marks(documents, due)
+
+
 def profile_sources(records: DataFrame, n: int = 40) -> DataFrame:
     """The weightiest preferences and identities, from which a profile is written."""
     return records.filter(F.col("kind").isin("preference", "identity") & (F.col("importance") >= 0.6)).orderBy(F.col("importance").desc(), "created_at", "id").limit(n).select("id", "kind", "importance", F.substring(F.regexp_replace(F.coalesce("summary", "content"), f"{T.WS}+", " "), 1, 300).alias("digest"))

@@ -68,6 +68,19 @@ def sync_pull_applied(spark, d):
     return cloud.pull_applied(local, remote, F.lit(100)).select("id", "side", "sync_version")
 
 
+@query("""WITH d AS (SELECT DISTINCT scope_key FROM memory_items WHERE scope_type = 'agent'),
+t AS (SELECT scope_key, arg_max(strftime(updated_at, '%Y-%m-%dT%H:%M:%SZ'), doc_id) AS at FROM memory_items WHERE kind = 'principle' AND doc_id % 3 = 2 GROUP BY scope_key)
+SELECT coalesce(d.scope_key, t.scope_key) AS scope_key, coalesce(t.at, '2020-01-01T00:00:00Z') AS last_reflect_at, CASE WHEN d.scope_key IS NOT NULL THEN 'kept' END AS note, CASE WHEN d.scope_key IS NOT NULL THEN 'of ' || d.scope_key ELSE '' END AS content
+FROM d FULL JOIN t ON d.scope_key = t.scope_key""", M)
+def principle_reflect_marks(spark, d):
+    """Principles as they are written by hosts, two thirds of them without a proper mark; half of the scopes have a context document."""
+    m = V.memory_items(spark, d)
+    said = F.when(F.col("doc_id") % 3 == 2, F.to_json(F.struct(F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("reflectedAt")))).when(F.col("doc_id") % 3 == 1, '{"reflectedAt":" "}')
+    docs = m.filter("scope_type = 'agent'").select("scope_key").distinct().select("scope_key", F.lit("context").alias("kind"), F.concat(F.lit("of "), "scope_key").alias("content"), F.lit('{"lastReflectAt":"2020-01-01T00:00:00Z","note":"kept"}').alias("metadata"))
+    out = records.with_reflect_marks(docs, records.principle_marks(m.select(F.col("doc_id").alias("ord"), "scope_key", "kind", said.alias("metadata"))))
+    return out.select("scope_key", F.get_json_object("metadata", "$.lastReflectAt").alias("last_reflect_at"), F.get_json_object("metadata", "$.note").alias("note"), "content")
+
+
 @query("""SELECT scope_id AS project_id, id, CAST(CASE WHEN doc_id % 4 = 0 THEN top + rn ELSE doc_id END AS BIGINT) AS sync_version FROM (SELECT *, max(CASE WHEN doc_id % 4 <> 0 THEN doc_id ELSE 0 END) OVER (PARTITION BY scope_id) AS top, row_number() OVER (PARTITION BY scope_id, doc_id % 4 = 0 ORDER BY doc_id, id) AS rn FROM memory_items)""", M)
 def sync_push_applied(spark, d):
     m = V.memory_items(spark, d).select(F.col("scope_id").alias("project_id"), "id", F.col("doc_id").alias("ord"), F.when(F.col("doc_id") % 4 != 0, F.col("doc_id")).otherwise(0).alias("sync_version"))

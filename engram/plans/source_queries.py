@@ -19,6 +19,17 @@ def recall_counts(spark, d):
     return recalls.totals(V.read(spark, d, "events").select(F.col("user_id").alias("id"), "ts"))
 
 
+@query("""WITH RECURSIVE e AS (SELECT 'doc-' || user_id AS id, ts FROM events WHERE event_id % 5 < 3), c AS (SELECT id, min(ts) AS ts FROM e GROUP BY id UNION ALL SELECT c.id, (SELECT min(e.ts) FROM e WHERE e.id = c.id AND e.ts >= c.ts + INTERVAL 5 MINUTE) AS ts FROM c WHERE c.ts IS NOT NULL),
+t AS (SELECT id, CAST(count(ts) AS BIGINT) AS n, max(ts) AS last FROM c GROUP BY id)
+SELECT id, CASE WHEN n IS NULL THEN recall_count ELSE coalesce(recall_count, 0) + n END AS recall_count, coalesce(strftime(last, '%Y-%m-%dT%H:%M:%S.%gZ'), strftime(last_recalled, '%Y-%m-%dT%H:%M:%SZ')) AS last_recalled_at
+FROM memory_items LEFT JOIN t USING (id)""", M)
+def recall_written_back(spark, d):
+    """Events as hits of recalls, five ranks in turn: the top three count, and the counts land in the records."""
+    hits = V.read(spark, d, "events").select((F.col("event_id") % 5 + 1).alias("rank"), F.concat(F.lit("doc-"), "user_id").alias("id"), "ts")
+    done = recalls.written_back(V.memory_items(spark, d), recalls.totals(recalls.of_hits(hits)))
+    return done.select("id", F.get_json_object("metadata", "$.recallCount").cast("long").alias("recall_count"), F.get_json_object("metadata", "$.lastRecalledAt").alias("last_recalled_at"))
+
+
 def _pieces(text):
     """A text's parts between full stops, white space folded, that can stand as a line of prose: begun by a letter, not ended by a colon."""
     parts = F.transform(F.split(text, r"\. "), lambda x: T.collapse(x))

@@ -103,6 +103,8 @@ TASKS = r"""tasks AS (
 def with_ctes(sql: str, *ctes: str) -> str:
     """A DuckDB statement with the views it needs in front."""
     head, body = ",\n".join(ctes), sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {head},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {head},\n{body[5:]}"
     return f"WITH {head}\n{body}"

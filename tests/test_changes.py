@@ -245,3 +245,38 @@ def test_the_best_of_shuffled_batches():
         best.add(score[lo : lo + 7], [f"{i:03d}" for i in range(lo, min(lo + 7, 600))], None, lambda i, q: ())
     got = {q: [x[2] for x in best.rows[k]] for k, q in enumerate("abc")}
     assert got == {q: [f"{i:03d}" for i in sorted(range(600), key=lambda i: (-score[i, k], i))[:7]] for k, q in enumerate("abc")}
+
+
+def test_patches_of_everything(spark):
+    r = rows(spark, *[{"content": f"text {i}", "metadata": META, "source": "hook"} for i in range(5)])
+    p = spark.createDataFrame([
+        ("0", None, " ", " cli ", None, None, None, '{"a":1}'), ("1", None, " short ", "  ", "lesson", None, " U9 ", None), ("2", " new text ", "own summary", None, None, "agent", "Bot", "null"), ("3", " new text ", None, None, None, None, None, None),
+    ], "id string, content string, summary string, source string, kind string, scope_type string, scope_id string, metadata string")
+    later = NOW + timedelta(days=9)
+    got = {x.id: x for x in records.update(r, p, F.lit(later)).collect()}
+    assert (got["0"].summary, got["0"].source, got["0"].metadata, got["0"].content) == ("text 0", "cli", '{"a":1}', "text 0")
+    assert (got["1"].summary, got["1"].source, got["1"].kind, got["1"].scope_id, got["1"].scope_key, got["1"].metadata) == ("short", "hook", "lesson", "U9", "user:u9", META)
+    assert (got["2"].summary, got["2"].content, got["2"].metadata, got["2"].scope_key) == ("own summary", "new text", None, "agent:bot")
+    assert got["3"].summary == "new text" and got["3"].metadata == META and got["4"].asDict() == r.filter("id = '4'").first().asDict()
+    assert {got[k].updated_at for k in "0123"} == {later.replace(tzinfo=None)}
+
+
+def test_reflections_are_marked(spark):
+    docs = spark.createDataFrame([("agent:a", "context", "text", '{"note":1,"lastReflectAt":"2024-12-20T00:00:00Z"}'), ("agent:b", "context", "", '{"lastReflectAt":"2024-12-31T00:00:00Z"}'), ("agent:a", "profile", "p", None)], "scope_key string, kind string, content string, metadata string")
+    after = lambda scope: {(x.scope_key, x.kind): (x.content, x.metadata) for x in records.reflected_documents(docs, scope, now()).collect()}
+    at = NOW.strftime("%Y-%m-%dT%H:%M:%S.000Z")
+    a, b, c = after(("agent", "A")), after(("agent", "b")), after(("user", "New"))
+    assert json.loads(a["agent:a", "context"][1]) == {"note": 1, "lastReflectAt": at} and a["agent:a", "context"][0] == "text" and a["agent:a", "profile"] == ("p", None) and len(a) == 3
+    assert {k: v[1] for k, v in b.items()} == {k: v for k, v in zip([("agent:a", "context"), ("agent:b", "context"), ("agent:a", "profile")], ['{"note":1,"lastReflectAt":"2024-12-20T00:00:00Z"}', '{"lastReflectAt":"2024-12-31T00:00:00Z"}', None])}
+    assert c["user:new", "context"][0] == "" and json.loads(c["user:new", "context"][1]) == {"lastReflectAt": at} and len(c) == 4
+    # a second run within the interval finds the mark of the first and writes nothing
+    texts = spark.createDataFrame([("ops", "a principle")], "tag string, text string")
+    r = rows(spark, *[{"kind": "lesson", "tags": ["ops"], "scope_type": "agent", "scope_id": "a", "updated_at": NOW - timedelta(days=1)}] * 3)
+    assert records.reflected(r, docs, texts, ("agent", "a"), now()).count() == 1
+    assert records.reflected(r, records.reflected_documents(docs, ("agent", "a"), now()), texts, ("agent", "a"), now()).count() == 0
+
+
+def test_marks_of_written_principles(spark):
+    given = [(1, "agent:a", "principle", '{"reflectedAt":"2025-01-01"}'), (3, "agent:a", "principle", '{"reflectedAt":"2024-01-01"}'), (2, "agent:a", "note", '{"reflectedAt":"2026-01-01"}'), (4, "agent:a", "principle", '{"reflectedAt":5}'), (5, "agent:b", "principle", None), (6, "agent:c", "principle", '{"reflectedAt":" "}')]
+    got = records.principle_marks(spark.createDataFrame(given, "ord int, scope_key string, kind string, metadata string")).collect()
+    assert [(x.scope_key, x.at) for x in got] == [("agent:a", "2024-01-01")]

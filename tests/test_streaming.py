@@ -1,8 +1,13 @@
+import json
+import random
 from datetime import datetime, timedelta
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from engram.api import Memory
 from engram.streaming import pipelines, recalls
+from test_memory import rows
 
 T0 = datetime(2025, 1, 1)
 
@@ -25,6 +30,71 @@ def test_counting_stream_agrees_with_batch(spark, tmp_path):
     assert {(r.id, r.n) for r in last.collect()} == {("a", 4), ("b", 1)}
 
 
+def sequential(data, seconds=300):
+    """One record after the other, one recall after the other."""
+    out, last = [], {}
+    for k, t in sorted(x for x in data if None not in x):
+        if k not in last or t - last[k] >= timedelta(seconds=seconds):
+            last[k] = t
+            out.append((k, t))
+    return out
+
+
+def test_counting_by_chunks_equals_one_after_the_other(spark):
+    rnd = random.Random(4)
+    at = lambda s: T0 + timedelta(milliseconds=s)
+    data = [("dense", at(rnd.randrange(40_000_000))) for _ in range(6000)] + [("sparse", at(rnd.randrange(10**11))) for _ in range(300)]
+    data += [("even", at(300_000 * i)) for i in range(2000)] + [("odd", at(299_999 * i)) for i in range(2000)] + [("seconds", at(1000 * i)) for i in range(8000)]
+    data += [("bursts", at(3_600_000 * i + j)) for i in range(0, 900, 7) for j in (0, 1, 299_999, 300_000)] + [("early", T0 - timedelta(days=30000, seconds=i * 200)) for i in range(50)]
+    data += [("one", T0), ("one", T0), (None, T0), ("none", None)]
+    df = spark.createDataFrame(data, "id string, ts timestamp").repartition(5)
+    want = sequential(data)
+    assert sorted((r.id, r.ts) for r in recalls.counted(df).collect()) == want
+    ends = {k: (sum(x == k for x, _ in want), max(t for x, t in want if x == k)) for k in {x for x, _ in want}}
+    assert {r.id: (r.recall_count, r.last_recalled_at) for r in recalls.totals(df).collect()} == ends
+    numbers = df.filter("id = 'odd'").select(F.lit(7).alias("n"), "ts")
+    assert [(r.n, r.recall_count) for r in recalls.totals(numbers, key="n").collect()] == [(7, ends["odd"][0])] and recalls.counted(numbers, key="n").schema["n"].dataType.simpleString() == "int"
+    assert recalls.totals(df.limit(0)).count() == 0 and recalls.counted(df.limit(0)).count() == 0
+
+
+def test_one_record_of_a_million_recalls_is_counted_by_many_tasks(spark):
+    """No task folds more than the chunks it was dealt; what meets at the record are its spans."""
+    n = 1_000_000
+    df = spark.range(n).select(F.lit("hot").alias("id"), F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id") * 2_000_000).alias("ts"))
+    t = recalls._Timelines(df, 300, "id")
+    chunks, spans = t.steps.count(), t.spans.select("span").count()
+    sizes = [r["count"] for r in t.times.groupBy("chunk").count().collect()]
+    assert max(sizes) <= 1800 and chunks == len(sizes) > 500 and spans <= chunks // recalls.SPAN + 2
+    (r,) = recalls.totals(df).collect()
+    assert r.recall_count == -(-n // 150)
+
+
+def test_steps_compose():
+    rnd = random.Random(6)
+    for _ in range(200):
+        parts = [np.array(sorted(rnd.sample(range(100 * i, 100 * i + 100), rnd.randint(1, 40)))) for i in range(3)]
+        steps = [recalls.Step.of(p, 100 * i, 7) for i, p in enumerate(parts)]
+        whole = steps[0].then(steps[1]).then(steps[2])
+        for before in [recalls.NEVER, *range(-9, 0)]:
+            n, last = 0, before
+            for x in np.concatenate(parts).tolist():
+                if x - last >= 7:
+                    n, last = n + 1, x
+            assert whole.after(before) == (n, last)
+
+
+def test_counts_are_written_into_the_records(spark, tmp_path):
+    kept = ('{"recallCount":2,"note":"x"}', '{"recallCount":"many"}', None, '{"recallCount":1.5}', '{"lastRecalledAt":"2020-01-01T00:00:00Z"}')
+    m = Memory(spark, str(tmp_path / "m"))
+    m.save(rows(spark, *[{"content": f"text {i}", "metadata": x} for i, x in enumerate(kept)]))
+    hits = [(1, "0", 0), (1, "0", 10), (2, "0", 300), (2, "1", 0), (3, "2", 0), (3, "3", 7), (4, "4", 0), (1, "gone", 0)]
+    m.recalled(spark.createDataFrame([(r, i, T0 + timedelta(seconds=s)) for r, i, s in hits], "rank int, id string, ts timestamp"))
+    got = {r.id: json.loads(r.metadata) if r.metadata else None for r in m.items().collect()}
+    assert got["0"] == {"recallCount": 4, "note": "x", "lastRecalledAt": "2025-01-01T00:05:00.000Z"} and got["1"]["recallCount"] == 1
+    assert got["2"] == {"recallCount": 1, "lastRecalledAt": "2025-01-01T00:00:00.000Z"} and got["3"]["recallCount"] == 2.5
+    assert got["4"] == {"lastRecalledAt": "2020-01-01T00:00:00Z"} and len(got) == 5
+
+
 def test_capture_and_buffers(spark, tmp_path):
     spark.createDataFrame([("1", "<system-reminder>x</system-reminder>remember that tests stay green")], "turn_id string, user_message string").write.parquet(str(tmp_path / "turns"))
     turns = spark.readStream.schema("turn_id string, user_message string").parquet(str(tmp_path / "turns"))
