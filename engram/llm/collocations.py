@@ -31,9 +31,9 @@ from engram.operators.numbering import numbered
 
 MAX_N, LEAST, CONTAINED, TOP = 3, 10, 50, 2000
 #: Suffixes that a map task holds before it hands them on, and rows of a batch that counting hands on.
-HELD, ROWS = 300_000, 50_000
+HELD, ROWS = 800_000, 50_000
 #: Pairs that a map task holds, and bits of the bitmap of frequent pairs (16 MB).
-PAIRS, FILTER_BITS = 2_000_000, 27
+PAIRS, FILTER_BITS = 5_000_000, 27
 #: Pieces end at any of ``.,;:!?`` and line ends, which all become a dot; words end at blanks and tabs.
 _ENDS = bytes.maketrans(b"\t,;:!?\n\v\f\r", b" .........")
 SEP = b"\t"
@@ -243,8 +243,9 @@ def collocations(
     words = F.split("phrase", tab)
     long = f.withColumn("words", words).withColumn("m", F.size("words")).filter("m >= 2").withColumnRenamed("f", "a")
     cuts = long.select("lang", "phrase", "a", "m", F.explode(F.sequence(F.lit(1), F.col("m") - 1)).alias("k"))
-    cuts = cuts.withColumn("first", F.expr(f"substring_index(phrase, '{tab}', k)")).withColumn("rest", F.expr(f"substring_index(phrase, '{tab}', k - m)"))
+    cuts = cuts.select("lang", "a", "k", F.expr(f"substring_index(phrase, '{tab}', k)").alias("first"), F.expr(f"substring_index(phrase, '{tab}', k - m)").alias("rest"))
     cuts = cuts.join(f.select("lang", F.col("phrase").alias("first"), F.col("f").alias("l")), ["lang", "first"]).join(f.select("lang", F.col("phrase").alias("rest"), F.col("f").alias("r")), ["lang", "rest"])
+    cuts = cuts.withColumn("phrase", F.concat_ws(tab, "first", "rest"))
     exact = lambda c: f"cast({c} as decimal(15, 0))"
     score = F.expr(f"({exact('a')} * {exact('a')} * cast(1000000 as decimal(7, 0))) div ({exact('l')} * {exact('r')})")
     best = cuts.withColumn("score", score).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
