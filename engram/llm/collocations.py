@@ -157,34 +157,33 @@ def prefix_counts(rows: Iterator[tuple], max_n: int, least: int, shortest: int =
     ``dealt``: the first word is spread over tasks, so what is shorter than ``max_n`` is handed on whatever its count; anything else is complete
     and is dropped below ``least``.
     """
-    stack: list[bytes] = []
+    stack: list[bytes] = []  # prefixes, each with a tab behind, and how often each was met so far
     counts: list[int] = []
-    now, spread = None, False
-
-    def popped(keep: int) -> Iterator[tuple]:
-        while len(stack) > keep:
-            n = counts.pop()
-            if len(stack) >= shortest and (n >= least or (spread and len(stack) < max_n)):
-                yield now, SEP.join(stack), n
-            stack.pop()
-            if counts:
-                counts[-1] += n
-
+    now, spread, before = None, False, None
     for lang, suffix, n, dealt in rows:
-        words = suffix.split(SEP)
-        same = 0
-        if lang == now:
-            for a, b in zip(stack, words):
-                if a != b:
-                    break
-                same += 1
-        yield from popped(same)
-        now, spread = lang, dealt
-        for w in words[same:]:
-            stack.append(w)
+        if suffix == before and lang == now:
+            counts[-1] += n
+            continue
+        whole = suffix + SEP
+        while stack and (lang != now or not whole.startswith(stack[-1])):
+            size, phrase, met = len(stack), stack.pop(), counts.pop()
+            if size >= shortest and (met >= least or (spread and size < max_n)):
+                yield now, phrase[:-1], met
+            if counts:
+                counts[-1] += met
+        now, spread, before = lang, dealt, suffix
+        at, end = len(stack[-1]) if stack else 0, len(whole)
+        while at < end:
+            at = whole.find(SEP, at) + 1
+            stack.append(whole[:at])
             counts.append(0)
         counts[-1] += n
-    yield from popped(0)
+    while stack:
+        size, phrase, met = len(stack), stack.pop(), counts.pop()
+        if size >= shortest and (met >= least or (spread and size < max_n)):
+            yield now, phrase[:-1], met
+        if counts:
+            counts[-1] += met
 
 
 def _counted(suffix: DataFrame, max_n: int, least: int) -> DataFrame:
