@@ -4,7 +4,8 @@ Inputs meet records of their scope and kind on shared rare tokens only. The simi
 input's tokens) and half (1 + cosine) / 2 of the hashed vectors; as the cosine of these vectors is never above 1, a pair
 below ``2 * cut - 1`` overlap cannot reach the cut, and its vectors are never compared.
 
-``decisions`` judges each input against the records as they stand. ``remember`` writes a whole batch one input after the other, as
+``decisions`` judges each input against the records as they stand; it needs an input's best record only, so it goes by falling cuts, and what is found above one
+isn't looked for below it. ``remember`` writes a whole batch one input after the other, as
 its order says: inputs and records that are linked by similarity form groups, and only within a group does one write bear on the
 next. Groups are folded in parallel, each as a stream of its rows; what is linked to nothing is added set at a time.
 """
@@ -14,6 +15,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from datetime import datetime
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from engram.operators import storage
 from engram.operators.groups import groups
 from engram.operators.search import DIMS, _indexed
 
-THRESHOLD, CANDIDATE_SHARE, EVALUATED = 0.85, 0.7, 0.7
+THRESHOLD, CANDIDATE_SHARE, EVALUATED, IGNORED = 0.85, 0.7, 0.7, 0.95
 MODES = ("threshold", "rules", "conservative")
 
 
@@ -56,32 +58,85 @@ def scaled(text: str) -> tuple[np.ndarray, np.ndarray]:
     return ids, v / (np.sqrt(v @ v) or 1.0)
 
 
-def similarities(inputs: DataFrame, records: DataFrame, cut: float, id_col: str = "id") -> DataFrame:
-    """(ord, id, overlap, similarity) of inputs (ord, ...) and records with the same scope and kind, from ``cut`` on.
+#: Tokens of an input that are looked up beyond the fewest: each asks for one more token in common before a pair counts as a candidate.
+BEYOND = 2
+
+
+def _in_group(a: DataFrame) -> DataFrame:
+    """The tokens of ``features``, one hash each of scope, kind and token: those of other groups are others. Where two hashes are equal, a pair too many is compared."""
+    return a.select("key", "scope_key", "kind", F.explode("tokens").alias("x")).select("key", F.xxhash64("scope_key", "kind", "x").alias("x"))
+
+
+def rarest_first(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The key of inputs ``a``, their tokens (``_in_group``) in order of the number of records in ``b`` (both ``features``) of the same scope and kind that have them, and ``unmet``, how many
+    at the head no record has. What all records of a group share, as the kind's and scope's own names, comes last."""
+    df = _in_group(b).groupBy("x").agg(F.count(F.lit(1)).alias("df"))
+    ranked = _in_group(a).join(df, "x", "left").groupBy("key").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "x"))).alias("ts"), F.count_if(F.col("df").isNull()).cast("int").alias("unmet"))
+    return ranked.select("key", F.transform("ts", lambda t: t.x).alias("tokens"), "unmet")
 
-    A record that shares a part t of an input's n tokens has at least one of any n - ceil(t * n) + 1 of them, so an input is looked up
-    by that many of its rarest tokens only; frequent words join nothing, whatever the size of a scope. Tokens are compared for the
-    pairs found so, vectors for those that share enough of them.
+
+def candidates(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """(ord, id) of inputs ``a`` (of ``rarest_first``) and records ``b`` of the same scope and kind that may share a part ``least`` of the input's tokens.
+
+    A record that shares a part t of an input's n tokens lacks at most n - ceil(t * n) of them. So an input is looked up by its rarest tokens, that many, one, and
+    ``BEYOND`` more, and a pair needs ``BEYOND + 1`` of them. Frequent tokens are looked up only where an input has little else.
     """
+    held = _in_group(b).withColumnRenamed("key", "id")
+    n = F.size("tokens")
+    need = F.ceil(n * F.lit(least) - 1e-9).cast("int")
+    size = F.least(n, n - need + 1 + BEYOND)
+    looked_up = F.slice("tokens", F.col("unmet") + 1, F.greatest(size - F.col("unmet"), F.lit(0)))
+    asked = a.select(F.col("key").alias("ord"), (need - (n - size)).alias("common"), F.explode(looked_up).alias("x"))
+    met = asked.join(held, "x")
+    return met.groupBy("ord", "id", "common").agg(F.count(F.lit(1)).alias("met")).filter("met >= common").select("ord", "id")
+
+
+def similarities(inputs: DataFrame, records: DataFrame, cut: float, id_col: str = "id") -> DataFrame:
+    """(ord, id, overlap, similarity) of inputs (ord, ...) and records with the same scope and kind, from ``cut`` on."""
+    a, b = storage.written(features(inputs, "ord"), "inputs"), storage.written(features(records, id_col), "records")
+    return _similar(rarest_first(a, b), a, b, cut)
+
+
+def _similar(asked: DataFrame, a: DataFrame, b: DataFrame, cut: float) -> DataFrame:
     least = 2 * cut - 1
     if least <= 0:
         raise ValueError("a cut of one half or less would admit pairs without a common token")
-    a, b = storage.written(features(inputs, "ord"), "inputs"), storage.written(features(records, id_col), "records")
-    right = b.select(F.col("key").alias("id"), "scope_key", "kind", F.explode("tokens").alias("x"))
-    df = right.groupBy("x").agg(F.count(F.lit(1)).alias("df"))
-    flat = a.select("key", "scope_key", "kind", F.explode("tokens").alias("x")).join(df, "x", "left")
-    ranked = flat.groupBy("key", "scope_key", "kind").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "x"))).alias("ts"))
-    n = F.size("ts")
-    prefix = ranked.select(F.col("key").alias("ord"), "scope_key", "kind", F.explode(F.slice("ts", 1, n - F.ceil(n * F.lit(least) - 1e-9).cast("int") + 1)).alias("t")).select("ord", "scope_key", "kind", F.col("t.x").alias("x"))
-    pairs = prefix.join(right, ["scope_key", "kind", "x"]).select("ord", "id").distinct()
-    both = pairs.join(a.select(F.col("key").alias("ord"), F.col("tokens").alias("ta")), "ord").join(b.select(F.col("key").alias("id"), F.col("tokens").alias("tb")), "id")
-    near = both.withColumn("overlap", T.overlap("ta", "tb")).filter(F.col("overlap") >= least - 1e-9).select("ord", "id", "overlap")
-    near = near.join(a.select(F.col("key").alias("ord"), F.col("v").alias("va")), "ord").join(b.select(F.col("key").alias("id"), F.col("v").alias("vb")), "id")
+    left = a.select(F.col("key").alias("ord"), "scope_key", "kind", F.col("tokens").alias("ta"), F.col("v").alias("va"))
+    both = candidates(asked, b, least).join(left, "ord").join(b.select(F.col("key").alias("id"), "scope_key", "kind", F.col("tokens").alias("tb"), F.col("v").alias("vb")), ["id", "scope_key", "kind"])
+    near = both.withColumn("overlap", T.overlap("ta", "tb")).filter(F.col("overlap") >= least - 1e-9)
     cos = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     j = near.withColumn("similarity", 0.5 * F.col("overlap") + 0.5 * T.clamp((cos + 1) / 2, 0, 1))
     return j.filter(F.col("similarity") >= cut - 1e-12).select("ord", "id", "overlap", "similarity")
 
 
+def best_candidates(inputs: DataFrame, records: DataFrame, cuts: list[float], every: DataFrame | None = None) -> DataFrame:
+    """The most similar record of each input from the last of the falling ``cuts`` on (of equal ones the oldest): ord, id, similarity, and ``found``, the ids seen with it.
+
+    All pairs above a cut are found before the next lower one is tried, so an input whose best record is above it is done, and only the others are looked up by
+    more tokens. Inputs in ``every`` (ord) wait for the last cut, so that all their candidates are seen.
+    """
+    a, b = storage.written(features(inputs, "ord"), "inputs"), storage.written(features(records, "id"), "records")
+    left = storage.written(rarest_first(a, b), "ranked")
+    born = records.select("id", F.unix_micros("created_at").alias("born"))
+    waiting = None
+    if every is not None:
+        keys = every.select(F.col("ord").alias("key"))
+        waiting, left = left.join(keys, "key", "left_semi"), left.join(keys, "key", "left_anti")
+    done = []
+    for i, cut in enumerate(cuts):
+        last = i == len(cuts) - 1
+        if last and waiting is not None:
+            left = left.unionByName(waiting)
+        g = _similar(left, a, b, cut).join(born, "id").groupBy("ord").agg(
+            F.max_by(F.struct("id", "similarity"), F.struct(F.round("similarity", 12), -F.col("born"))).alias("b"), F.collect_set("id").alias("found") if last and every is not None else F.lit(None).cast("array<string>").alias("found")
+        )
+        best = g.select("ord", "b.id", "b.similarity", "found")
+        best = storage.written(best if last else best.filter(F.col("similarity") >= cut + 1e-9), "best")
+        done.append(best)
+        left = left.join(best.select(F.col("ord").alias("key")), "key", "left_anti")
+    return reduce(DataFrame.unionByName, done)
+
+
 def candidate_cut(mode: str, threshold: float = THRESHOLD) -> float:
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}")
@@ -96,19 +151,24 @@ def decisions(inputs: DataFrame, records: DataFrame, mode: str = "threshold", th
     shares the head of a text with front matter.
     """
     cut = candidate_cut(mode, threshold)
-    found = similarities(inputs, records, cut).join(records.select("id", "created_at", F.col("content").alias("r_content")), "id")
-    best = found.groupBy("ord").agg(F.max_by(F.struct("id", "similarity", "r_content"), F.struct(F.round("similarity", 12), -F.unix_micros("created_at"))).alias("b"), F.collect_set(F.substring(T.normalize("r_content"), 1, prefix)).alias("heads"))
-    j = inputs.select("ord", "content").join(best, "ord", "left").select("ord", "content", F.col("b.id").alias("target"), F.col("b.similarity").alias("similarity"), F.col("b.r_content").alias("old"), "heads")
+    top = max(cut, threshold if mode == "threshold" else IGNORED)
+    head = F.substring(T.normalize("content"), 1, prefix)
+    front = F.startswith(T.trim("content"), F.lit("---")) & (F.length(head) >= prefix)
+    every = inputs.filter(front).select("ord") if mode == "conservative" else None
+    best = best_candidates(inputs, records, [top, cut], every)
+    j = inputs.select("ord", "content").join(best.select("ord", F.col("id").alias("target"), "similarity"), "ord", "left")
     s = F.coalesce("similarity", F.lit(0.0))
     if mode == "threshold":
         action = F.when(s >= threshold, "update").otherwise("add")
     elif mode == "rules":
+        j = j.join(records.select(F.col("id").alias("target"), F.col("content").alias("old")), "target", "left")
         changed = F.col("content").rlike(T.TEMPORAL) & (T.overlap(T.unique_tokens("content"), T.unique_tokens("old")) >= 0.3)
-        action = F.when(s >= 0.95, "ignore").when((s >= 0.75) & changed, "contradict").when(s >= 0.75, "update").otherwise("add")
+        action = F.when(s >= IGNORED, "ignore").when((s >= 0.75) & changed, "contradict").when(s >= 0.75, "update").otherwise("add")
     else:
-        head = F.substring(T.normalize("content"), 1, prefix)
-        front = F.startswith(T.trim("content"), F.lit("---")) & (F.length(head) >= prefix) & F.array_contains("heads", head)
-        action = F.when(s >= 0.95, "ignore").when(F.coalesce(front, F.lit(False)), "ignore").otherwise("add")
+        seen = best.select("ord", F.explode("found").alias("id")).join(records.select("id", F.substring(T.normalize("content"), 1, prefix).alias("head")), "id")
+        same = inputs.filter(front).select("ord", head.alias("head")).join(seen, ["ord", "head"]).select("ord", F.lit(True).alias("same")).distinct()
+        j = j.join(same, "ord", "left")
+        action = F.when(s >= IGNORED, "ignore").when(F.col("same"), "ignore").otherwise("add")
     return j.select("ord", action.alias("action"), F.when(action != "add", F.col("target")).alias("target"), "similarity")
 
 
@@ -238,7 +298,7 @@ class Fold:
         s, best = found[0]
         if self.mode == "threshold":
             return "update" if s >= self.threshold else "add"
-        if s >= 0.95:
+        if s >= IGNORED:
             return "ignore"
         if self.mode == "conservative":
             head = _folded(r["content"].lower())[: self.prefix]

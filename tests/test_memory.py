@@ -162,6 +162,39 @@ def test_remember_conservative(spark):
     assert remember.decisions(i, r, "conservative").first().action == "ignore"
 
 
+@pytest.mark.parametrize("cut", [0.595, 0.7, 0.85, 0.95])
+def test_write_candidates_equal_all_pairs(spark, cut):
+    """Texts of 40 words from few and many, shortened and mixed, blank ones and copies: the same pairs as all against all."""
+    import random
+
+    draw = random.Random(5)
+    texts = [" ".join(draw.choice(("rare%d" % draw.randrange(400), "word%d" % draw.randrange(12))) for _ in range(draw.choice((3, 12, 40)))) for _ in range(60)] + ["", "", "one"]
+    near = [" ".join(w for w in t.split() if draw.random() > draw.choice((0, 0.1, 0.3, 0.6))) for t in texts]
+    r = rows(spark, *[{"content": t, "kind": draw.choice(("note", "fact"))} for t in texts])
+    i = inputs(spark, *[{"content": t, "kind": draw.choice(("note", "fact"))} for t in near])
+    fold = remember.Fold("threshold", 0.85, 80, NOW)
+    fold.cut = cut
+    for x in r.orderBy(F.col("id").cast("int")).collect():
+        fold.put({**x.asDict(), "kind": x.kind})
+    want = {(x.ord, fold.rows[at]["id"], round(s, 9)) for x in i.collect() for s, at in fold.candidates(x.asDict())}
+    assert {(x.ord, x.id, round(x.similarity, 9)) for x in remember.similarities(i, r, cut).collect()} == want
+    best = {x.ord: round(x.similarity, 9) for x in remember.best_candidates(i, r, [0.96, cut]).collect()}
+    assert best == {o: max(s for p, _, s in want if p == o) for o in {p for p, _, _ in want}}
+
+
+def test_write_candidates_of_a_large_group_are_few(spark):
+    """2,000 records of one scope and kind that share a third of their words: looked up at the deciding threshold are few of 400,000 pairs."""
+    import random
+
+    draw = random.Random(6)
+    r = rows(spark, *[{"content": " ".join([f"common{n}" for n in range(10)] + [f"word{draw.randrange(3000)}" for _ in range(20)])} for _ in range(2000)])
+    i = r.filter(F.col("id").cast("int") % 10 == 0).withColumn("ord", F.col("id").cast("long")).drop("id").withColumn("content", F.concat("content", F.lit(" more")))
+    a, b = remember.features(i, "ord"), remember.features(r, "id")
+    first = remember.candidates(remember.rarest_first(a, b), b, 2 * 0.85 - 1)
+    assert 200 <= first.count() <= 400_000 // 100
+    assert remember.best_candidates(i, r, [0.85, 0.595]).filter("cast(id as long) = ord").count() == 200
+
+
 def sequential(records_, inputs_, mode):
     """One write after the other over all records, without groups."""
     fold = remember.Fold(mode, 0.85, 80, NOW)
