@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engram.operators import cloud, search, storage
+from engram.operators import cells, cloud, search, storage
 from engram.plans import views as V
 from engram.plans.queries import now, query
 
@@ -147,6 +147,28 @@ def vector_top_k(spark, d):
     return search.vector_search(v, q).withColumn("score", F.round("score", 6))
 
 
+@query("SELECT query_id, CAST(rank AS INT) AS rank, id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) AS rank FROM cos) WHERE rank <= 10", VECTORS)
+def vector_cells_exact(spark, d):
+    """The exact search over a store in cells."""
+    v, q = _vectors(spark, d)
+    return cells.store(v).search(q).withColumn("score", F.round("score", 6))
+
+
+@query("""WITH v AS (SELECT CAST(vec_id AS VARCHAR) AS id, vec_id, scope_key, kind, embedding FROM embeddings JOIN memory_items ON doc_id = vec_id), asked AS (SELECT id AS query_id, embedding AS e, scope_key FROM v WHERE vec_id % 100 = 0 UNION SELECT id, embedding, 'user:src1' FROM v WHERE vec_id % 100 = 0),
+h AS (SELECT query_id, v.scope_key, id, kind, greatest(0, least(1, list_dot_product(CAST(e AS DOUBLE[]), CAST(embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(e AS DOUBLE[]), CAST(e AS DOUBLE[]))) * sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))))) AS s FROM asked JOIN v USING (scope_key)),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id, scope_key ORDER BY round(s, 9) DESC, id) AS rn FROM h WHERE s >= 0.05), b AS (SELECT query_id, id, max(s) AS s FROM k WHERE rn <= 10 AND kind <> 'note' GROUP BY 1, 2)
+SELECT query_id, CAST(rank AS INT) AS rank, id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) AS rank FROM b) WHERE rank <= 5""", M)
+def vector_scoped_hits(spark, d):
+    """Vectors of records by scope, twice as many a scope as are shown; those of notes, which were forgotten since, give none."""
+    v, _ = _vectors(spark, d)
+    m = V.memory_items(spark, d).select(F.col("doc_id").cast("string").alias("id"), "scope_key", "kind")
+    held = v.select("id", "vector").join(m, "id")
+    q = held.filter(F.col("id").cast("long") % 100 == 0)
+    asked = q.select(F.col("id").alias("query_id"), F.explode(F.array("scope_key", F.lit("user:src1"))).alias("scope_key"))
+    hits = cells.scoped_hits(cells.store(held.drop("kind")), q.select(F.col("id").alias("query_id"), "vector"), asked, m.filter("kind <> 'note'"), 5, 0.05)
+    return hits.withColumn("score", F.round("score", 6))
+
+
 @query("SELECT query_id, CAST(rank AS INT) AS rank, id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) AS rank FROM (SELECT * FROM cos WHERE label % 2 = 0 AND s >= 0.2 UNION SELECT * FROM cos WHERE label % 3 = 0 AND s >= 0.2)) WHERE rank <= 5", VECTORS)
 def vector_merged_filters(spark, d):
     v, q = _vectors(spark, d)
