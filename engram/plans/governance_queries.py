@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from engram.operators import capture, governance, records, scopes, search, tasks
+from engram.operators import capture, governance, records, relations, scopes, search, storage, tasks
 from engram.plans import views as V
 from engram.plans.queries import DOCS, EDGES, FOUND, KNOWN, _documents, _found, now, query
 from engram.plans.search_queries import SIGNALS, _queries, _ranked
@@ -91,6 +91,31 @@ def recall_graph_context(spark, d):
     return governance.graph_context(search.search(m, _queries(spark, d), now()), f, capture.co_occurrences(f))
 
 
+#: The records after an update of every tenth and the loss of another tenth, and their relations made anew.
+CHANGED = """memory_items AS (SELECT * REPLACE (CASE WHEN doc_id % 10 = 0 THEN 'redis, docker and GraphQL: ' || substr(content, 1, 200) ELSE content END AS content) FROM old_items WHERE doc_id % 10 <> 5)"""
+RELATED = '''related AS (SELECT a.name_key AS source, b.name_key AS target, a.id AS memory_id, CASE WHEN doc_id % 10 = 0 THEN TIMESTAMP '2025-01-01 00:00:00' ELSE updated_at END AS "at" FROM found a JOIN found b ON a.id = b.id AND a.name_key < b.name_key JOIN memory_items m ON m.id = a.id)'''
+
+
+def _related(spark, d):
+    """Relations of all records, then changed by deltas; nothing of an unchanged record is made again."""
+    m = V.memory_items(spark, d)
+    table = storage.written(relations.relations(_found(spark, d), m.select("id", F.col("updated_at").alias("at"))), "relations")
+    changed = m.filter("doc_id % 10 = 0").select("id", F.concat(F.lit("redis, docker and GraphQL: "), F.substring("content", 1, 200)).alias("content"))
+    found = capture.entities(changed).select("id", "name_key")
+    written = changed.select("id").join(found, "id", "left")
+    return relations.merged(table, relations.deltas(table, written, m.filter("doc_id % 10 = 5").select("id"), now()))
+
+
+@query('SELECT source, target, memory_id, "at" FROM related', M.replace("memory_items AS", "old_items AS", 1), CHANGED, KNOWN, FOUND, RELATED)
+def relations_after_update(spark, d):
+    return _related(spark, d)
+
+
+@query("""SELECT name_key, CAST(nth AS INT) AS nth, source, target, memory_id, "at" FROM (SELECT *, row_number() OVER (PARTITION BY name_key ORDER BY "at" DESC, source, target, memory_id) AS nth FROM (SELECT *, source AS name_key FROM related UNION ALL SELECT *, target FROM related)) WHERE nth <= 4""", M.replace("memory_items AS", "old_items AS", 1), CHANGED, KNOWN, FOUND, RELATED)
+def newest_relations(spark, d):
+    return relations.newest(_related(spark, d))
+
+
 @query("""SELECT scope_key, array_to_string(list_filter([CASE WHEN p IS NOT NULL THEN 'Profile:' || chr(10) || CASE WHEN length(p) <= 1500 THEN p ELSE rtrim(substr(p, 1, 1500), ' ' || chr(10)) END END, CASE WHEN c IS NOT NULL THEN 'Active context:' || chr(10) || c END, CASE WHEN e IS NOT NULL THEN 'Active experience:' || chr(10) || e END], lambda x: x IS NOT NULL), chr(10) || chr(10)) AS context
 FROM (SELECT scope_key, arg_max(nullif(trim(content, ' ' || chr(10)), ''), doc_id) FILTER (kind = 'identity') AS p, arg_max(nullif(trim(content, ' ' || chr(10)), ''), doc_id) FILTER (kind = 'note') AS c, arg_max(nullif(trim(content, ' ' || chr(10)), ''), doc_id) FILTER (kind = 'experience') AS e FROM memory_items WHERE kind IN ('identity', 'note', 'experience') GROUP BY scope_key)""", M)
 def active_contexts(spark, d):
