@@ -85,7 +85,7 @@ class Store:
         spark = rows.sparkSession
         self.centres = centres
         self.path = f"{storage.shared_dir(spark)}/engram-cells-{uuid.uuid4().hex}"
-        rows.repartition("cell", F.pmod(F.xxhash64("id"), F.lit(4))).write.partitionBy("cell").parquet(self.path)  # a cell's rows come from four tasks
+        rows.hint("rebalance", F.col("cell")).write.partitionBy("cell").parquet(self.path)  # a cell of many vectors is split over tasks, small ones share one
         self.rows = spark.read.schema(rows.schema).parquet(self.path)
         stats = self.rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius")).collect()  # a row a cell
         self.sizes = {r.cell: r.n for r in stats}
