@@ -28,8 +28,8 @@ def _proposal(cond: Column, kind: str, content: Column, confidence: float, impor
     return F.when(cond, made)
 
 
-def proposals(turns: DataFrame, text_col: str = "user_message") -> DataFrame:
-    """Proposed records of each turn (turn_id): explicit requests, preferences, decisions, identities; without repeats and empty shells."""
+def proposals(turns: DataFrame, text_col: str = "user_message", floor: bool = True) -> DataFrame:
+    """Proposed records of each turn (turn_id): explicit requests, preferences, decisions, identities; without repeats and, unless ``floor`` is off, empty shells."""
     text = T.trim(F.regexp_replace(F.regexp_replace(F.coalesce(T.col(text_col), F.lit("")), r"@image#?\d*:\S+", " "), f"{T.WS}+", " "))
     t = turns.select("turn_id", text.alias("t"))
     rest = T.trim(F.regexp_replace("t", REMEMBER, ""))
@@ -42,7 +42,7 @@ def proposals(turns: DataFrame, text_col: str = "user_message") -> DataFrame:
         _proposal(c.rlike(DECISION), "decision", plain, 0.78, 0.78, "turn_inference", ["decision"]),
         _proposal(c.rlike(IDENTITY) & ~c.rlike(ACTION) & ~question & ~c.rlike(QUOTED) & (F.length(c) <= 100), "identity", plain, 0.76, 0.75, "turn_inference", ["identity"]),
     ))
-    real = t.select("turn_id", F.filter(made, lambda p: T.substantive(p["content"])).alias("made"))
+    real = t.select("turn_id", (F.filter(made, lambda p: T.substantive(p["content"])) if floor else made).alias("made"))
     keys = F.transform("made", lambda p: F.struct(p["kind"], F.lower(T.trim(p["content"]))))
     first = F.filter("made", lambda p, i: F.array_position(keys, F.struct(p["kind"], F.lower(T.trim(p["content"])))) == i + 1)
     return real.select("turn_id", F.posexplode(first).alias("ord", "p")).select("turn_id", "ord", "p.*")
