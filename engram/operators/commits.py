@@ -10,13 +10,13 @@ from engram.operators import capture, scopes, tasks
 from engram.sources import sessions
 
 
-def captured_inputs(turns: DataFrame) -> DataFrame:
+def captured_inputs(turns: DataFrame, floor: bool = True) -> DataFrame:
     """What a batch of turns writes: inputs for ``remember`` (ord, scope, kind, content, ...), each in the scope where it lasts.
 
     Turns have turn_id, user_message, project_id, repo_id, user_id, agent_id, task_id. Host markup goes first; a turn without
-    a person's words writes nothing.
+    a person's words writes nothing, and with ``floor`` neither does a proposal of fewer than six characters.
     """
-    made = capture.proposals(turns.withColumn("user_message", T.sanitize("user_message")))
+    made = capture.proposals(turns.withColumn("user_message", T.sanitize("user_message")), floor=floor)
     c = F.col
     write = scopes.write_scope(c("project_id"), c("repo_id"), c("agent_id"))
     task = scopes.task_id(c("project_id"), c("repo_id"), c("task_id"))
