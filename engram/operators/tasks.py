@@ -54,15 +54,16 @@ def cascade(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFram
     return {k: t.join(gone.select("task_id").distinct(), "task_id", "left_anti") for k, t in tables.items()}
 
 
-def rolling_summaries(entries: DataFrame, state: DataFrame, most: int = 600, pending: int = 48) -> DataFrame:
+def rolling_summaries(entries: DataFrame, state: DataFrame, most: int = 600, pending: int = 48, trimmed: bool = True) -> DataFrame:
     """The summary after folding in a task's pending entries, without a model: the old one and the entries' summaries or texts, a line
-    each, cut to ``most``; the head stays. Only the first ``pending`` entries of a task are read."""
+    each, cut to ``most``; the head stays. Only the first ``pending`` entries of a task are read. Summaries lose outer white space unless ``trimmed`` is off;
+    the end of the whole is trimmed anyway."""
     w = Window.partitionBy("task_id").orderBy("sequence")
     todo = entries.filter(~F.col("summarized")).withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= pending)
-    text = F.when(F.coalesce(T.trim("summary"), F.lit("")) != "", T.trim("summary")).otherwise(T.trim("content"))
+    text = F.when(F.coalesce(T.trim("summary"), F.lit("")) != "", T.trim("summary") if trimmed else F.col("summary")).otherwise(T.trim("content"))
     lines = todo.groupBy("task_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sequence", text.alias("line")))), lambda x: x.line), "\n").alias("lines"))
     both = lines.join(state.select("task_id", "rolling_summary"), "task_id", "left")
-    return both.select("task_id", T.clamp_chars(T.join_nonblank("\n", T.trim("rolling_summary"), "lines"), most).alias("rolling_summary"))
+    return both.select("task_id", T.rtrim(T.clamp_chars(T.join_nonblank("\n", T.trim("rolling_summary"), "lines"), most)).alias("rolling_summary"))
 
 
 def windows(tasks: DataFrame, entries: DataFrame, decisions: DataFrame, queries: DataFrame, most: int = 4000, recent: int = 24, shown: int = 12, mode: str = "oldest") -> DataFrame:
