@@ -1,11 +1,10 @@
 """Duplicate-aware writes: a batch of inputs against the stored records, and against each other.
 
-Inputs meet records of their scope and kind on shared rare tokens only. The similarity is half token overlap (over the
+Inputs meet the records of their scope and kind in blocks of bounded rows, multiplied as matrices. The similarity is half token overlap (over the
 input's tokens) and half (1 + cosine) / 2 of the hashed vectors; as the cosine of these vectors is never above 1, a pair
-below ``2 * cut - 1`` overlap cannot reach the cut, and its vectors are never compared.
+below ``2 * cut - 1`` overlap cannot reach the cut. A block gives on only what is asked for, so the pairs themselves are never written.
 
-``decisions`` judges each input against the records as they stand; it needs an input's best record only, so it goes by falling cuts, and what is found above one
-isn't looked for below it. ``remember`` writes a whole batch one input after the other, as
+``decisions`` judges each input against the records as they stand and needs an input's best record only. ``remember`` writes a whole batch one input after the other, as
 its order says: inputs and records that are linked by similarity form groups, and only within a group does one write bear on the
 next. Groups are folded in parallel, each as a stream of its rows; what is linked to nothing is added set at a time.
 """
@@ -15,7 +14,6 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from datetime import datetime
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -91,50 +89,164 @@ def candidates(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
     return met.groupBy("ord", "id", "common").agg(F.count(F.lit(1)).alias("met")).filter("met >= common").select("ord", "id")
 
 
-def similarities(inputs: DataFrame, records: DataFrame, cut: float, id_col: str = "id") -> DataFrame:
-    """(ord, id, overlap, similarity) of inputs (ord, ...) and records with the same scope and kind, from ``cut`` on."""
-    a, b = storage.written(features(inputs, "ord"), "inputs"), storage.written(features(records, id_col), "records")
-    return _similar(rarest_first(a, b), a, b, cut)
+#: Rows of a side that meet in one block of a scope and kind, rows of them that are multiplied at once, and links of a block that are held before they are given on.
+BLOCK_ROWS, SLICE_ROWS, HELD = 8192, 256, 50_000
+
 
+def _met(inputs: DataFrame, records: DataFrame, id_col: str) -> DataFrame:
+    """Inputs (side 0) and records (side 1) dealt into blocks in which each input meets each record of its scope and kind once: scope_key, kind, i, j, side, ord, id, born, whole, text.
 
-def _similar(asked: DataFrame, a: DataFrame, b: DataFrame, cut: float) -> DataFrame:
-    least = 2 * cut - 1
-    if least <= 0:
+    A side of a scope and kind is cut into pieces of about ``BLOCK_ROWS`` rows; texts are dealt, so a block's words and vectors are made where they are compared and pairs
+    are never shuffled.
+    """
+    a = inputs.select("scope_key", "kind", F.col("ord").cast("long").alias("ord"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("long").alias("born"), (F.col("whole") if "whole" in inputs.columns else F.lit(False)).alias("whole"), T.search_text().alias("text"))
+    born = F.unix_micros("created_at") if "created_at" in records.columns else F.lit(0).cast("long")
+    b = records.select("scope_key", "kind", F.lit(None).cast("long").alias("ord"), F.col(id_col).cast("string").alias("id"), born.alias("born"), F.lit(False).alias("whole"), T.search_text().alias("text"))
+    pieces = lambda df, n: df.groupBy("scope_key", "kind").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias(n))
+    sizes = storage.written(pieces(inputs, "ni").join(pieces(records, "nj"), ["scope_key", "kind"]).coalesce(1), "sizes")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    piece = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    names = ["scope_key", "kind", "i", "j", "side", "ord", "id", "born", "whole", "text"]
+    left = a.join(sizes, ["scope_key", "kind"]).withColumn("i", piece("ord", "ni")).withColumn("j", every("nj")).withColumn("side", F.lit(0)).select(*names)
+    right = b.join(sizes, ["scope_key", "kind"]).withColumn("j", piece("id", "nj")).withColumn("i", every("ni")).withColumn("side", F.lit(1)).select(*names)
+    block = ["scope_key", "kind", "i", "j"]
+    return left.unionAll(right).repartition(*block).sortWithinPartitions(*block, "side")
+
+
+class Meeting:
+    """The inputs of one block while its records pass by; ``keep`` says what is given on: all pairs, each input's best one (all of inputs marked whole), or links enough to join what similarity joins."""
+
+    def __init__(self, cut: float, keep: str):
+        self.cut, self.keep = cut, keep
+        self.ords: list[int] = []
+        self.whole: list[bool] = []
+        self.tokens: list[np.ndarray] = []
+        self.vectors: list[np.ndarray] = []
+        self.slices: list[tuple] | None = None
+        self.out: list[tuple] = []
+
+    def add(self, ord_: int, whole: bool, text: str) -> None:
+        ids, v = scaled(text)
+        self.ords.append(ord_), self.whole.append(whole), self.tokens.append(ids), self.vectors.append(v)
+
+    def ready(self) -> None:
+        self.slices = []
+        for lo in range(0, len(self.ords), SLICE_ROWS):
+            ts = self.tokens[lo : lo + SLICE_ROWS]
+            known, at = np.unique(np.concatenate(ts), return_inverse=True)
+            self.slices.append((lo, known, np.repeat(np.arange(len(ts)), [len(t) for t in ts]), at, np.array([len(t) for t in ts], float), np.stack(self.vectors[lo : lo + SLICE_ROWS])))
+        self.group = np.arange(len(self.ords))
+        self.best: list[tuple | None] = [None] * len(self.ords)
+        self.tokens, self.vectors = [], []
+
+    def meet(self, ids: list[str], born: list[int], texts: list[str]) -> Iterator[pa.RecordBatch]:
+        """At most ``SLICE_ROWS`` records against all inputs."""
+        if self.slices is None:
+            self.ready()
+        made = [scaled(t) for t in texts]
+        values, row = np.concatenate([t for t, _ in made]), np.repeat(np.arange(len(made)), [len(t) for t, _ in made])
+        vectors, found = np.stack([v for _, v in made]), []
+        for lo, known, in_row, at, size, w in self.slices:
+            if not len(known):
+                continue
+            spot = np.minimum(np.searchsorted(known, values), len(known) - 1)
+            hit = np.flatnonzero(known[spot] == values)
+            shared, back = np.unique(spot[hit], return_inverse=True)  # words that both have: no others count
+            place = np.full(len(known), -1)
+            place[shared] = np.arange(len(shared))
+            mine, theirs = np.zeros((len(size), len(shared)), np.float32), np.zeros((len(made), len(shared)), np.float32)
+            ok = place[at] >= 0
+            mine[in_row[ok], place[at[ok]]], theirs[row[hit], back] = 1, 1
+            overlap = (mine @ theirs.T) / np.maximum(size, 1)[:, None]
+            s = 0.5 * overlap + 0.5 * np.clip((w @ vectors.T + 1) / 2, 0, 1)
+            i, r = np.nonzero((s >= self.cut - 1e-12) & (overlap >= 2 * self.cut - 1 - 1e-9))
+            found.append((i + lo, r, overlap[i, r].astype(float), s[i, r]))
+        if found:
+            i, r, o, s = (np.concatenate(c) for c in zip(*found))
+        if found and len(i):
+            {"all": self.give, "best": self.keep_best, "links": self.keep_links}[self.keep](i, r, o, s, ids, born)
+        if len(self.out) >= HELD:
+            yield self.batch()
+
+    def give(self, i, r, o, s, ids, born) -> None:
+        self.out += [(self.ords[a], ids[b], float(x), float(y), born[b]) for a, b, x, y in zip(i.tolist(), r.tolist(), o.tolist(), s.tolist())]
+
+    def keep_best(self, i, r, o, s, ids, born) -> None:
+        for a, b, x, y in zip(i.tolist(), r.tolist(), o.tolist(), s.tolist()):
+            rank = (round(y, 12), born[b] is not None, -(born[b] or 0))
+            if self.whole[a]:
+                self.out.append((self.ords[a], ids[b], x, y, born[b]))
+            elif self.best[a] is None or rank > self.best[a][0]:
+                self.best[a] = rank, (self.ords[a], ids[b], x, y, born[b])
+
+    def keep_links(self, i, r, o, s, ids, born) -> None:
+        order = np.argsort(r, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(r[order])) + 1):
+            a, b = i[rows], int(r[rows[0]])
+            labels, first = np.unique(self.group[a], return_index=True)
+            for k in first.tolist():
+                self.out.append((self.ords[a[k]], ids[b], float(o[rows[k]]), float(s[rows[k]]), born[b]))
+            if len(labels) > 1:
+                self.group[np.isin(self.group, labels)] = labels[0]
+
+    def batch(self) -> pa.RecordBatch:
+        cols, self.out = list(zip(*self.out)) or [()] * 5, []
+        kinds = (pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["ord", "id", "overlap", "similarity", "born"])
+
+    def done(self) -> pa.RecordBatch:
+        if self.slices is not None:
+            self.out += [b[1] for b in self.best if b is not None]
+        return self.batch()
+
+
+def _similar(inputs: DataFrame, records: DataFrame, cut: float, keep: str = "all", id_col: str = "id") -> DataFrame:
+    """(ord, id, overlap, similarity, born) of inputs and records with the same scope and kind, from ``cut`` on; of them what ``keep`` says (``Meeting``), by block."""
+    if 2 * cut - 1 <= 0:
         raise ValueError("a cut of one half or less would admit pairs without a common token")
-    left = a.select(F.col("key").alias("ord"), "scope_key", "kind", F.col("tokens").alias("ta"), F.col("v").alias("va"))
-    both = candidates(asked, b, least).join(left, "ord").join(b.select(F.col("key").alias("id"), "scope_key", "kind", F.col("tokens").alias("tb"), F.col("v").alias("vb")), ["id", "scope_key", "kind"])
-    near = both.withColumn("overlap", T.overlap("ta", "tb")).filter(F.col("overlap") >= least - 1e-9)
-    cos = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    j = near.withColumn("similarity", 0.5 * F.col("overlap") + 0.5 * T.clamp((cos + 1) / 2, 0, 1))
-    return j.filter(F.col("similarity") >= cut - 1e-12).select("ord", "id", "overlap", "similarity")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state = None, None
+        for b in batches:
+            block = list(zip(*(b.column(k).to_pylist() for k in range(5))))
+            starts = [k for k in range(len(block)) if k == 0 or block[k] != block[k - 1]]
+            for lo, hi in zip(starts, [*starts[1:], len(block)]):
+                key, side = block[lo][:4], block[lo][4]
+                if key != at:
+                    if state is not None:
+                        yield state.done()
+                    at, state = key, Meeting(cut, keep)
+                ords, ids, born, whole, texts = (b.column(k).slice(lo, hi - lo).to_pylist() for k in range(5, 10))
+                if side == 0:
+                    for x in zip(ords, whole, texts):
+                        state.add(*x)
+                elif state.ords:
+                    for k in range(0, len(ids), SLICE_ROWS):
+                        yield from state.meet(ids[k : k + SLICE_ROWS], born[k : k + SLICE_ROWS], texts[k : k + SLICE_ROWS])
+        if state is not None:
+            yield state.done()
+
+    return _met(inputs, records, id_col).mapInArrow(read, "ord long, id string, overlap double, similarity double, born long")
+
+
+def similarities(inputs: DataFrame, records: DataFrame, cut: float, id_col: str = "id") -> DataFrame:
+    """(ord, id, overlap, similarity) of inputs (ord, ...) and records with the same scope and kind, from ``cut`` on."""
+    return _similar(inputs, records, cut, "all", id_col).drop("born")
 
 
 def best_candidates(inputs: DataFrame, records: DataFrame, cuts: list[float], every: DataFrame | None = None) -> DataFrame:
-    """The most similar record of each input from the last of the falling ``cuts`` on (of equal ones the oldest): ord, id, similarity, and ``found``, the ids seen with it.
+    """The most similar record of each input from the last of the falling ``cuts`` on (of equal ones the oldest): ord, id, similarity, and, for inputs in ``every`` (ord), ``found``, all ids from there on.
 
-    All pairs above a cut are found before the next lower one is tried, so an input whose best record is above it is done, and only the others are looked up by
-    more tokens. Inputs in ``every`` (ord) wait for the last cut, so that all their candidates are seen.
+    A block gives one record an input, so what is shuffled after the comparison is no more than the rows that were compared.
     """
-    a, b = storage.written(features(inputs, "ord"), "inputs"), storage.written(features(records, "id"), "records")
-    left = storage.written(rarest_first(a, b), "ranked")
-    born = records.select("id", F.unix_micros("created_at").alias("born"))
-    waiting = None
     if every is not None:
-        keys = every.select(F.col("ord").alias("key"))
-        waiting, left = left.join(keys, "key", "left_semi"), left.join(keys, "key", "left_anti")
-    done = []
-    for i, cut in enumerate(cuts):
-        last = i == len(cuts) - 1
-        if last and waiting is not None:
-            left = left.unionByName(waiting)
-        g = _similar(left, a, b, cut).join(born, "id").groupBy("ord").agg(
-            F.max_by(F.struct("id", "similarity"), F.struct(F.round("similarity", 12), -F.col("born"))).alias("b"), F.collect_set("id").alias("found") if last and every is not None else F.lit(None).cast("array<string>").alias("found")
-        )
-        best = g.select("ord", "b.id", "b.similarity", "found")
-        best = storage.written(best if last else best.filter(F.col("similarity") >= cut + 1e-9), "best")
-        done.append(best)
-        left = left.join(best.select(F.col("ord").alias("key")), "key", "left_anti")
-    return reduce(DataFrame.unionByName, done)
+        inputs = inputs.join(every.select("ord", F.lit(True).alias("whole")), "ord", "left").withColumn("whole", F.coalesce("whole", F.lit(False)))
+    pairs = _similar(inputs, records, cuts[-1], "best")
+    g = pairs.groupBy("ord").agg(F.max_by(F.struct("id", "similarity"), F.struct(F.round("similarity", 12), -F.col("born"))).alias("b"), F.collect_set("id").alias("found"))
+    found = F.lit(None).cast("array<string>").alias("found")
+    if every is None:
+        return storage.written(g.select("ord", "b.id", "b.similarity", found), "best")
+    return storage.written(g.join(every.select("ord", F.lit(True).alias("whole")).distinct(), "ord", "left").select("ord", "b.id", "b.similarity", F.when(F.col("whole"), F.col("found")).alias("found")), "best")
 
 
 def candidate_cut(mode: str, threshold: float = THRESHOLD) -> float:
@@ -352,8 +464,8 @@ def remember(inputs: DataFrame, records: DataFrame, now: Column, mode: str = "th
     inputs = storage.written(inputs.withColumn("id", F.sha2(F.concat_ws("|", "scope_key", "kind", "content", F.col("ord").cast("string")), 256)), "batch")
     first = storage.written(inputs.groupBy("mark").agg(F.min_by(F.struct("ord", "scope_type", "scope_id", "scope_key", "kind", "content", "summary", "tags"), "ord").alias("r"), F.count(F.lit(1)).alias("n")).select("mark", "n", "r.*"), "texts")
     node = F.concat(F.lit("i:"), "ord")
-    to_records = similarities(first, records, cut).select(node.alias("u"), F.concat(F.lit("r:"), "id").alias("v"))
-    to_inputs = similarities(first, first.withColumn("id", F.col("ord").cast("string")), cut).select(node.alias("u"), F.concat(F.lit("i:"), "id").alias("v"))
+    to_records = _similar(first, records, cut, "links").select(node.alias("u"), F.concat(F.lit("r:"), "id").alias("v"))
+    to_inputs = _similar(first, first.withColumn("id", F.col("ord").cast("string")), cut, "links").select(node.alias("u"), F.concat(F.lit("i:"), "id").alias("v"))
     copies = first.filter("n > 1").select(node.alias("u"), F.concat(F.lit("c:"), "ord").alias("v"))
     linked = storage.written(groups(to_records.unionAll(to_inputs).unionAll(copies)), "groups")
 
