@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.functions import text as T
+from engram.operators import storage
 
 #: Cues of the rules.
 REMEMBER = r"(?i)^(remember(?: that| this)?|please remember|记住|记一下|请记住)\s*[:,\-]?\s*"
@@ -183,8 +184,27 @@ def resolve_names(names: DataFrame, table: DataFrame, n: int = 8) -> DataFrame:
     return both.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n).drop("rn")
 
 
+def asked_links(resolved: DataFrame, found: DataFrame, k: float = 40.0) -> tuple[DataFrame, DataFrame]:
+    """What names are worth to queries, 1 / (1 + links / k): (query_id, name_key, b), and which of the names asked for each record has: (id, names).
+
+    Both are written. A name in very many records makes no large group: links are dealt by record.
+    """
+    asked = storage.written(resolved.select("query_id", "name_key").distinct(), "asked")
+    held = found.select("id", "name_key").join(asked.select("name_key").distinct(), "name_key", "left_semi")
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = storage.written(held.repartition(parts, "id").groupBy("id").agg(F.collect_set("name_key").alias("names")), "links")
+    worth = links.select(F.explode("names").alias("name_key")).groupBy("name_key").agg((1 / (1 + F.count(F.lit(1)) / k)).alias("b"))
+    return storage.written(asked.join(worth, "name_key").select("query_id", "name_key", "b"), "worth"), links
+
+
 def entity_boosts(resolved: DataFrame, found: DataFrame, k: float = 40.0) -> DataFrame:
-    """(query_id, id, entity): each matched entity gives its records 1 / (1 + links / k), at most 1 in all."""
-    links = found.select("id", "name_key").distinct()
-    idf = links.groupBy("name_key").agg((1 / (1 + F.count(F.lit(1)) / k)).alias("b"))
-    return resolved.join(idf, "name_key").join(links, "name_key").groupBy("query_id", "id").agg(F.least(F.sum("b"), F.lit(1.0)).alias("entity"))
+    """(query_id, id, entity): each matched entity gives its records 1 / (1 + links / k), at most 1 in all.
+
+    Queries that mean the same entities are one row, which meets a record at the first entity that both have, so pairs are made once and nothing gathers them.
+    """
+    worth, links = asked_links(resolved, found, k)
+    same = worth.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("name_key", "b"))).alias("named")).groupBy("named").agg(F.collect_list("query_id").alias("queries"))
+    by_name = storage.written(same.select(F.explode("named.name_key").alias("name_key"), "named", "queries"), "named")
+    both = links.select("id", "names", F.explode("names").alias("name_key")).join(by_name, "name_key").withColumn("met", F.filter("named", lambda x: F.array_contains("names", x["name_key"])))
+    once = both.filter(F.col("met")[0]["name_key"] == F.col("name_key")).select("queries", "id", F.aggregate("met", F.lit(0.0), lambda a, x: a + x["b"]).alias("b"))
+    return once.select(F.explode("queries").alias("query_id"), "id", F.least("b", F.lit(1.0)).alias("entity"))
