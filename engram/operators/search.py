@@ -389,24 +389,25 @@ def _beside(records: DataFrame, now: Column) -> DataFrame:
     return r.withColumn("born", F.unix_micros(F.col("created_at").cast("timestamp")))
 
 
-def search(records: DataFrame, queries: DataFrame, now: Column, requested: DataFrame | None = None, entity: DataFrame | None = None, fts: bool = True, most: int = 8, least: float = 0.18, weights: dict | None = None, indexed: DataFrame | None = None) -> DataFrame:
+def search(records: DataFrame, queries: DataFrame, now: Column, requested: DataFrame | None = None, entity: DataFrame | None = None, fts: bool = True, most: int = 8, least: float = 0.18, weights: dict | None = None, indexed: DataFrame | None = None, named: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """The best records of each query: query_id, rank, id, score and its eight signals.
 
     ``indexed`` is the index of the records, where one is kept; otherwise it is made for this search. ``requested`` has the
     scopes of each query (query_id, ord, scope_type, scope_id, weight); without it everything is in scope. Blank queries have no
-    hits. Equal scores go by creation time, then id.
+    hits. Equal scores go by creation time, then id. Boosts by entity are given as rows (``entity``: query_id, id, entity) or, without a row for each query and
+    record, as what names are worth and which of them records have (``named``, of ``capture.asked_links``).
     """
     r = _beside(records, now)
     ix = index(r, BESIDE) if indexed is None else r.select("id", *BESIDE).join(indexed, "id")  # index rows of forgotten records stay behind
     ix = storage.written(ix, "index")
-    found = [_search(ix, b, entity, fts, most, least, WEIGHTS | (weights or {})) for b in blocks(queries, requested)]
+    found = [_search(ix, b, entity, named, fts, most, least, WEIGHTS | (weights or {})) for b in blocks(queries, requested)]
     out = reduce(DataFrame.unionByName, found)
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "born", "id")
     best = out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
     return best.select("query_id", "rank", "id", "score", *REASONS)
 
 
-def _search(ix: DataFrame, block: Block, entity: DataFrame | None, fts: bool, most: int, least: float, w: dict) -> DataFrame:
+def _search(ix: DataFrame, block: Block, entity: DataFrame | None, named: tuple[DataFrame, DataFrame] | None, fts: bool, most: int, least: float, w: dict) -> DataFrame:
     spark = ix.sparkSession
     shared = spark.sparkContext.broadcast(block)
     place = {q: i for i, q in enumerate(block.ids)}
@@ -415,7 +416,18 @@ def _search(ix: DataFrame, block: Block, entity: DataFrame | None, fts: bool, mo
         ranked.setdefault(r.id, []).append((place[r.query_id], max(FTS_LEAST, 1 - r["rank"] * FTS_STEP)))
     ranks = spark.sparkContext.broadcast(ranked)
     only = block.only()
-    r = _boosts(ix if only is None else ix.filter(only), entity, block).select("id", "tokens", "vector", "entity", *BESIDE[1:])
+    r = _boosts(ix if only is None else ix.filter(only), entity, block)
+    if named is None:
+        names, worth = {}, np.zeros((0, len(block.ids)))
+        r = r.withColumn("names", F.lit(None).cast("array<string>"))
+    else:
+        asked = named[0].filter(F.col("query_id").cast("string").isin(block.ids)).collect()  # as many rows as the block's queries have names
+        names = {n: i for i, n in enumerate(sorted({x.name_key for x in asked}))}
+        worth = np.zeros((len(names), len(block.ids)))
+        for x in asked:
+            worth[names[x.name_key], place[str(x.query_id)]] = x.b
+        r = r.join(named[1], "id", "left")
+    r = r.select("id", "tokens", "vector", "entity", "names", *BESIDE[1:])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b_ = shared.value
@@ -437,6 +449,11 @@ def _search(ix: DataFrame, block: Block, entity: DataFrame | None, fts: bool, mo
             for i, pairs in enumerate(c["entity"].to_pylist()):
                 for q, v in pairs or ():
                     boost["entity"][i, at[q]] = v
+            if names:
+                has_name = np.zeros((n, len(names)))
+                for i, held in enumerate(c["names"].to_pylist()):
+                    has_name[i, [names[x] for x in held or () if x in names]] = 1
+                boost["entity"] = np.minimum(boost["entity"] + has_name @ worth, 1.0)
             for i, key in enumerate(c["id"].to_pylist()):
                 for q, v in ranks.value.get(key, ()):
                     boost["fts"][i, q] = v

@@ -169,8 +169,7 @@ def search_with_entities(spark, d):
     m, q, f = V.memory_items(spark, d), _queries(spark, d), _found(spark, d)
     n = F.col("query_id").cast("long") % 3
     names = q.select("query_id", F.when(n == 0, "rest").when(n == 1, "go").otherwise("re").alias("name"))
-    boosts = capture.entity_boosts(capture.resolve_names(names, capture.entity_table(f)), f)
-    hits = search.search(m, q, now(), entity=boosts)
+    hits = search.search(m, q, now(), named=capture.asked_links(capture.resolve_names(names, capture.entity_table(f)), f))
     return hits.select("query_id", "rank", "id", *[F.round(c, 6).alias(c) for c in ("score", "entity")])
 
 
