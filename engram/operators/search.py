@@ -20,6 +20,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -32,7 +33,7 @@ from engram.plans.views import hot_keys
 
 BLOCK, BLOCK_BYTES = 512, 2_000_000
 #: Records that are scored at once, and texts that are read at once, which bounds the arrays of a task.
-SLICE, SLICE_BYTES = 512, 4_000_000
+SLICE, SLICE_BYTES = 512, 1_000_000
 #: The signals' weights, the index's ranks and its constants.
 WEIGHTS = {"lexical": 0.45, "hash": 0.35, "recency": 0.08, "importance": 0.07, "scope": 0.05, "entity": 0.18, "fts": 0.22, "principle": 0.10}
 FTS_RANKS, FTS_STEP, FTS_LEAST = 30, 0.022, 0.3
@@ -59,7 +60,7 @@ class _Hashed(dict):
         h = 2166136261
         for unit in np.frombuffer(token.encode("utf-16-le"), "<u2").tolist():
             h = ((h ^ unit) * 16777619) & 0xFFFFFFFF
-        if len(self) > 500_000:
+        if len(self) > 50_000:
             self.clear()
         self[token] = h
         return h
@@ -87,55 +88,101 @@ def phrases(query: str) -> list[tuple[str, ...]]:
     return [p for p in out if p]
 
 
-class _Ids(dict):
-    """64-bit ids of tokens and terms, kept up to a bound."""
+def word_id(token: str) -> int:
+    """The 64-bit id of a token or term."""
+    return xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass")) - (1 << 63)
 
-    def __missing__(self, token: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        value = self[token] = xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass")) - (1 << 63)
-        return value
+
+def _hashes(found: list[str]) -> np.ndarray:
+    """``HASHED`` of many words at once, a UTF-16 unit of all of them a step; long ones on their own."""
+    out = np.full(len(found), 2166136261, np.uint32)
+    units = np.frombuffer("".join(found).encode("utf-16-le"), "<u2").astype(np.uint32)
+    size = np.fromiter(map(len, found), np.int64, len(found))
+    if size.sum() != len(units):
+        size = np.array([len(w.encode("utf-16-le")) // 2 for w in found], np.int64)
+    starts, order = np.cumsum(size) - size, np.argsort(-size, kind="stable")
+    order = order[size[order] <= LONG_WORD]
+    h, at, size_ = out[order], starts[order], size[order]
+    for step in range(size_[0] if len(order) else 0):
+        n = np.searchsorted(-size_, -step)  # as many as are longer
+        h[:n] = (h[:n] ^ units[at[:n] + step]) * np.uint32(16777619)
+    out[order] = h
+    for i in np.flatnonzero(size > LONG_WORD):
+        out[i] = HASHED[found[i]]
+    return out.astype(np.int64)
 
 
 class _Words:
-    """What the index keeps of a word, in arrays by the word's number: its id, its place and sign in the vector, and the id of its term."""
+    """What the index keeps of a word, in arrays by the word's number: its id, its place and sign in the vector, the id of its term, and whether it is a token.
+    Kept up to a bound of words and letters, as new words never end."""
 
     def __init__(self):
         self.numbers: dict[str, int] = {}
-        self.table = np.zeros((1 << 16, 5), np.int64)
+        self.letters, self.table = 0, np.zeros((KEPT_WORDS, 5), np.int64)
 
     def of(self, found: list[str]) -> np.ndarray:
-        """A row (id, bucket, sign, term, whether it is a token) for each word."""
-        if len(self.numbers) > 500_000:
+        """The number of each word, valid until the next call."""
+        new = [*set(found).difference(self.numbers)]
+        if len(self.numbers) + len(new) > KEPT_WORDS or self.letters > KEPT_LETTERS:
             self.numbers.clear()
-        numbers = self.numbers
-        for w in found:
-            if w in numbers:
-                continue
-            n = numbers[w] = len(numbers)
-            if n == len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            h = HASHED[w]
-            self.table[n] = IDS[w], h % DIMS, 1 if h % 2 == 0 else -1, IDS["".join(terms(w))], len(w) > 1
-        return self.table[[numbers[w] for w in found]]
-
-
-IDS, WORDS = _Ids(), _Words()
+            new, self.letters = [*set(found)], 0
+            self.table = np.zeros((max(KEPT_WORDS, len(new)), 5), np.int64)
+        if new:
+            n, h = len(self.numbers), _hashes(new)
+            ids = [word_id(w) for w in new]
+            as_terms = [i if w.isascii() else word_id(w.translate(FOLDED) if max(w) <= "\xff" else "".join(terms(w))) for w, i in zip(new, ids)]
+            self.table[n : n + len(new)] = np.stack([np.array(ids, np.int64), h % DIMS, np.where(h % 2 == 0, 1, -1), np.array(as_terms, np.int64), np.array([len(w) > 1 for w in new])], 1)
+            self.numbers.update(zip(new, range(n, n + len(new))))
+            self.letters += sum(map(len, new))
+        return np.fromiter(map(self.numbers.__getitem__, found), np.int64, len(found))
+
+
+#: Bounds of what a task keeps of words, and the letters of a word that is hashed with others.
+KEPT_WORDS, KEPT_LETTERS, LONG_WORD = 1 << 17, 1 << 21, 48
+WORDS = _Words()
 MARK = regex.compile(r"\p{M}")
+#: Letters and digits of Latin-1: folded as terms are, and as they are with all else as blanks.
+FOLDED = {c: "".join(terms(chr(c))) for c in range(128, 256) if WORD.match(chr(c))}
+LATIN = bytes(c if WORD.match(chr(c)) else 32 for c in range(256))
 INDEX = "id string, tokens array<long>, vector array<float>, terms array<long>"
 
 
+def _indexed_texts(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
+    """Of each index text the ids of the distinct tokens, the vector and the ids of the terms; its words are those of the search text in another order."""
+    found, ends, all_count, own_terms = [], [0], np.zeros(len(texts), bool), {}
+    other_terms: list[tuple[int, list[str]]] = []
+    for n, text in enumerate(texts):
+        low = text.lower()
+        try:
+            found += low.encode("latin-1").translate(LATIN).decode("latin-1").split()
+        except UnicodeEncodeError:
+            of_text = WORD.findall(low)
+            if MARK.search(text):  # a mark cuts words, but not terms
+                own_terms[n] = np.array([word_id(t) for t in terms(text)], np.int64)
+            if CJK.search(text):
+                other_terms.append((n, of_text))
+                of_text, all_count[n] = words(text), True
+            found += of_text
+        ends.append(len(found))
+    for n, of_text in other_terms:
+        if n not in own_terms:
+            numbers = WORDS.of(of_text)
+            own_terms[n] = WORDS.table[numbers, 3]
+    numbers = WORDS.of(found)
+    rows, of, size = WORDS.table[numbers], np.repeat(np.arange(len(texts)), np.diff(ends)), len(WORDS.table)
+    token = (rows[:, 4] == 1) | all_count[of]
+    vectors = np.bincount(of[token] * DIMS + rows[token, 1], rows[token, 2], len(texts) * DIMS).astype(np.float32).reshape(-1, DIMS)
+    at, number = np.divmod(np.unique(of[token] * size + numbers[token]), size)
+    ids = np.split(WORDS.table[number, 0], np.searchsorted(at, np.arange(1, len(texts))))
+    for i in ids:
+        i.sort()
+    return ids, vectors, [own_terms[n] if n in own_terms else rows[ends[n] : ends[n + 1], 3] for n in range(len(texts))]
+
+
 def _indexed(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of the distinct tokens, the vector and the ids of the terms of an index text; its words are those of the search text in another order."""
-    rows = WORDS.of(WORD.findall(text.lower()))
-    term_ids = rows[:, 3]
-    if MARK.search(text):  # a mark cuts words, but not terms
-        term_ids = np.array([IDS[t] for t in terms(text)], np.int64)
-    if CJK.search(text):
-        rows = WORDS.of(words(text))
-        rows[:, 4] = 1
-    rows = rows[rows[:, 4] == 1]
-    return np.unique(rows[:, 0]), np.bincount(rows[:, 1], rows[:, 2], DIMS).astype(np.float32), term_ids
+    """The same of one text."""
+    ids, vectors, term_ids = _indexed_texts([text])
+    return ids[0], vectors[0], term_ids[0]
 
 
 def index(records: DataFrame, beside: tuple[str, ...] = ()) -> DataFrame:
@@ -147,19 +194,15 @@ def index(records: DataFrame, beside: tuple[str, ...] = ()) -> DataFrame:
         return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate(rows), kind))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch(rows: pa.RecordBatch, found: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([rows.column(0), *(lists(c, k) for c, k in zip(zip(*found), (pa.int64(), pa.float32(), pa.int64()))), *rows.columns[2:]], names)
-
         for b in batches:
-            begin, found, held = 0, [], 0
-            for text in b.column(1).to_pylist():
-                found.append(_indexed(text))
-                held += len(text)
-                if held > SLICE_BYTES:
-                    yield batch(b.slice(begin, len(found)), found)
-                    begin, found, held = begin + len(found), [], 0
-            if found:
-                yield batch(b.slice(begin), found)
+            sizes = pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False)
+            begin = 0
+            while begin < b.num_rows:  # as many texts as fit the bounds of a slice, and one at least
+                fit = np.searchsorted(np.cumsum(sizes[begin : begin + SLICE]), SLICE_BYTES, "right")
+                part = b.slice(begin, max(1, int(fit)))
+                begin += part.num_rows
+                found = _indexed_texts(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), *(lists(c, k) for c, k in zip(found, (pa.int64(), pa.float32(), pa.int64()))), *part.columns[2:]], names)
 
     kinds = "".join(f", `{c}` {records.schema[c].dataType.simpleString()}" for c in beside)
     return records.select("id", _index_text().alias("_text"), *beside).mapInArrow(read, INDEX + kinds)
@@ -175,6 +218,11 @@ def reindexed(indexed: DataFrame, changed: DataFrame, ids: DataFrame) -> DataFra
     return indexed.join(ids.select("id").distinct(), "id", "left_anti").unionByName(index(changed))
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of at most ``SLICE`` rows."""
+    return (whole.slice(lo, SLICE) for whole in batches for lo in range(0, whole.num_rows, SLICE))
+
+
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The values of a list column, and the row of each."""
     ends = column.offsets.to_numpy()
@@ -204,7 +252,7 @@ class Block:
         self.ids = [q for q, _, _ in rows]
         tokens = [[*dict.fromkeys(words(t.strip()))] for _, t, _ in rows]
         vocab = {t: i for i, t in enumerate(dict.fromkeys(t for q in tokens for t in q))}
-        self.vocab = Lookup([IDS[t] for t in vocab])
+        self.vocab = Lookup([word_id(t) for t in vocab])
         self.member = np.zeros((len(vocab), len(rows)), np.float32)
         for q, ts in enumerate(tokens):
             self.member[[vocab[t] for t in ts], q] = 1
@@ -214,8 +262,8 @@ class Block:
         self.phrases = [phrases(t) for _, t, _ in rows]
         self.phrase_ids = {p: i for i, p in enumerate(dict.fromkeys(p for q in self.phrases for p in q))}
         single = [(p, i) for p, i in self.phrase_ids.items() if len(p) == 1]
-        self.single, self.single_at = Lookup([IDS[p[0]] for p, _ in single]), np.array([i for _, i in single], np.int64)
-        self.longer = [(np.array([IDS[t] for t in p], np.int64), i) for p, i in self.phrase_ids.items() if len(p) > 1]
+        self.single, self.single_at = Lookup([word_id(p[0]) for p, _ in single]), np.array([i for _, i in single], np.int64)
+        self.longer = [(np.array([word_id(t) for t in p], np.int64), i) for p, i in self.phrase_ids.items() if len(p) > 1]
         self.first = Lookup([*{int(p[0]) for p, _ in self.longer}])
         self.requested = [asked for _, _, asked in rows] if scoped else None
         self.scopes: dict[str, np.ndarray] = {}
@@ -322,7 +370,7 @@ def full_text_ranks(indexed: DataFrame, block: Block, most: int = FTS_RANKS) ->
             for p in ps:
                 weights[b_.phrase_ids[p], q] = idf[b_.phrase_ids[p]]
         best = _Best(b_.ids, most)
-        for b in (whole.slice(lo, SLICE) for whole in batches for lo in range(0, whole.num_rows, SLICE)):
+        for b in _slices(batches):
             row, phrase, n = b_.frequencies(b.column(1))
             size = np.diff(b.column(1).offsets.to_numpy())[row]
             tf = np.zeros((b.num_rows, len(b_.phrase_ids)))
@@ -344,22 +392,23 @@ class _Best:
     def __init__(self, ids: list[str], most: int):
         self.ids, self.most = ids, most
         self.rows: list[list[tuple]] = [[] for _ in ids]
+        self.cuts = np.full(len(ids), -np.inf)
 
     def add(self, score: np.ndarray, keys: list, born: np.ndarray | None, extra) -> None:
         """score: a row for each record, a column for each query; extra(record, query) goes with it."""
-        n = len(keys)
-        for q in range(len(self.ids)):
-            s, kept = score[:, q], self.rows[q]
-            cut = -np.inf
-            if n > self.most:
-                cut = np.partition(s, n - self.most)[n - self.most] - 1e-9
-            if len(kept) == self.most:
-                cut = max(cut, -kept[-1][0] - 1e-9)
-            for i in np.flatnonzero((s >= cut) & (s > -np.inf)):
-                kept.append((-round(float(s[i]), 9), 0 if born is None else int(born[i]), keys[i], float(s[i]), extra(i, q)))
+        passing = (score >= self.cuts) & (score > -np.inf)
+        for q in np.flatnonzero(passing.any(0)).tolist():
+            at, kept = np.flatnonzero(passing[:, q]), self.rows[q]
+            s = score[at, q]
+            if len(at) > self.most:
+                best = s >= np.partition(s, len(at) - self.most)[len(at) - self.most] - 1e-9
+                at, s = at[best], s[best]
+            for i, x in zip(at.tolist(), s.tolist()):
+                kept.append((-round(x, 9), 0 if born is None else int(born[i]), keys[i], x, extra(i, q)))
             if len(kept) >= self.most:
                 kept.sort(key=lambda r: r[:3])  # the last held is the worst, by which the next are cut
                 del kept[self.most :]
+                self.cuts[q] = -kept[-1][0] - 1e-9
 
     def batch(self, names: list[str]) -> pa.RecordBatch:
         """What is held, as query_id, id, score and what goes with it; a column named born is the birth."""
@@ -433,7 +482,7 @@ def _search(ix: DataFrame, block: Block, entity: DataFrame | None, named: tuple[
         b_ = shared.value
         at = {q: i for i, q in enumerate(b_.ids)}
         best = _Best(b_.ids, most)
-        for b in (whole.slice(lo, SLICE) for whole in batches for lo in range(0, whole.num_rows, SLICE)):
+        for b in _slices(batches):
             c = {n: b.column(i) for i, n in enumerate(b.schema.names)}
             n = b.num_rows
             has = np.zeros((n, len(b_.member)), np.float32)
@@ -444,7 +493,7 @@ def _search(ix: DataFrame, block: Block, entity: DataFrame | None, named: tuple[
             lexical = (has @ b_.member) / np.maximum(b_.size, 1)
             norm = np.sqrt((vec * vec).sum(1))[:, None] * b_.norms
             hashed = np.clip(np.divide(vec @ b_.vectors.T, norm, out=np.zeros_like(norm), where=norm > 0), 0, 1)
-            scope = np.stack([b_.scope(k, s) for k, s in zip(c["scope_type"].to_pylist(), c["scope_key"].to_pylist())]) if n else np.zeros((0, len(b_.ids)))
+            scope = np.full((n, len(b_.ids)), 0.5) if b_.requested is None else np.stack([b_.scope(k, s) for k, s in zip(c["scope_type"].to_pylist(), c["scope_key"].to_pylist())]) if n else np.zeros((0, len(b_.ids)))
             boost = {k: np.zeros((n, len(b_.ids))) for k in ("entity", "fts")}
             for i, pairs in enumerate(c["entity"].to_pylist()):
                 for q, v in pairs or ():
