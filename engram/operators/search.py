@@ -616,16 +616,14 @@ def vector_search(vectors: DataFrame, queries: DataFrame, most: int = 10, least:
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, m = shared.value
             best = _Best(names, most)
-            for b in batches:
-                keys = b.column(0).to_pylist()
-                lists = b.column(1).to_pylist()
-                ok = [i for i, v in enumerate(lists) if v is not None and len(v) == m.shape[1]]
-                if not ok:
+            for b in _slices(batches):
+                b = b.filter(pc.fill_null(pc.equal(pc.list_value_length(b.column(1)), m.shape[1]), False))
+                if not b.num_rows:
                     continue
-                v = np.array([lists[i] for i in ok], float)
+                v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
                 norm = np.linalg.norm(v, axis=1, keepdims=True)
                 s = np.clip(np.divide(v, norm, out=np.zeros_like(v), where=norm > 0) @ m.T, 0, 1)
-                best.add(np.where(s >= least, s, -np.inf), [keys[i] for i in ok], None, lambda i, q: ())
+                best.add(np.where(s >= least, s, -np.inf), b.column(0).to_pylist(), None, lambda i, q: ())
             yield best.batch(["query_id", "id", "score"])
 
         return vectors.select(F.col(id_col).cast("string").alias("id"), vector_col).mapInArrow(score, "query_id string, id string, score double")
