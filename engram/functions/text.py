@@ -83,8 +83,11 @@ def fnv1a32(c) -> Column:
 
 
 def summarize(c, most: int = 120) -> Column:
-    s = collapse(c)
-    return F.when(F.length(s) <= most, s).otherwise(F.concat(F.substring(s, 1, most - 3), F.lit("...")))
+    """The text with white space collapsed, cut to ``most``; of a long text the head suffices, unless that is white space for the most part."""
+    c = col(c)
+    cut = lambda s: F.concat(F.substring(s, 1, most - 3), F.lit("..."))
+    head, whole = collapse(F.substring(c, 1, 8 * most)), collapse(c)
+    return F.when(F.length(head) > most, cut(head)).when(F.length(c) <= 8 * most, head).otherwise(F.when(F.length(whole) <= most, whole).otherwise(cut(whole)))
 
 
 def clamp_chars(c, most: int, trim_short: bool = False) -> Column:
