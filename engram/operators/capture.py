@@ -90,12 +90,13 @@ def entities(records: DataFrame, vocabulary: list[tuple[str, str]] = (), strict:
     one = lambda name, kind, prio: F.struct(name.alias("name"), F.lower(name).alias("name_key"), kind.alias("kind"), F.lit(prio).alias("prio"))
     known = [(n, k, 0) for n, k in sorted(vocabulary, key=lambda x: -len(x[0]))] + [(n, "tech", 1) for n in TECH] + [(n, "tool", 2) for n in TOOLS]
     parts = [F.array_compact(F.array(*[F.when(has(n), one(F.lit(n), F.lit(k), p)) for n, k, p in known]))]
-    mentions = F.transform(F.regexp_extract_all(text_col, F.lit(r"@([A-Za-z0-9_][A-Za-z0-9_.-]*[A-Za-z0-9_]|[A-Za-z0-9_])"), F.lit(1)), lambda m: one(m, F.when(m.rlike(r"(?i)^[a-z0-9-]+(\.[a-z]{2,})+$"), "org").otherwise("person"), 3))
+    every = lambda pattern, sign: F.when(sign, F.regexp_extract_all(text_col, F.lit(pattern), F.lit(1))).otherwise(F.array().cast("array<string>"))  # noqa: E731  (most texts lack the sign, and aren't searched)
+    mentions = F.transform(every(r"@([A-Za-z0-9_][A-Za-z0-9_.-]*[A-Za-z0-9_]|[A-Za-z0-9_])", F.contains(F.col(text_col), F.lit("@"))), lambda m: one(m, F.when(m.rlike(r"(?i)^[a-z0-9-]+(\.[a-z]{2,})+$"), "org").otherwise("person"), 3))
     parts.append(F.filter(mentions, lambda m: ~m["name"].rlike(r"^\d+(\.\d+)*$") & ~m["name_key"].isin(*GENERIC_MENTIONS) & ~m["name_key"].isin(*TECH, *TOOLS)))
     if not strict:
-        quoted = F.transform(F.regexp_extract_all(text_col, F.lit('"([^"]+?)"'), F.lit(1)), lambda q: one(T.trim(q), F.lit("project"), 4))
+        quoted = F.transform(every('"([^"]+?)"', F.contains(F.col(text_col), F.lit('"'))), lambda q: one(T.trim(q), F.lit("project"), 4))
         parts.append(F.filter(quoted, lambda q: F.length(q["name"]).between(2, 40) & ~q["name"].rlike(r"^\d+(\.\d+)*$")))
-        pascal = F.transform(F.regexp_extract_all(text_col, F.lit(r"\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\b"), F.lit(1)), lambda p: one(p, F.lit("tech"), 5))
+        pascal = F.transform(every(r"\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\b", F.rlike(F.col(text_col), F.lit("[a-z][A-Z]"))), lambda p: one(p, F.lit("tech"), 5))
         parts.append(F.filter(pascal, lambda p: ~p["name_key"].isin(*TECH)))
     found = records.select("id", F.concat(*parts).alias("found"))
     keys = F.transform("found", lambda e: e["name_key"])

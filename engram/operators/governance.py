@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from engram.functions import json as J
 from engram.functions import text as T
+from engram.operators import storage
 from engram.operators.records import DAY
 
 
@@ -99,7 +100,8 @@ def maintenance_requests(records: DataFrame, documents: DataFrame, now: Column,
 
 def graph_context(hits: DataFrame, found: DataFrame, edges: DataFrame, most_hits: int = 5, per_entity: int = 4, lines: int = 8) -> DataFrame:
     """Per query the relations among entities of its best hits, else the entities: query_id, lines, context."""
-    mine = hits.filter(F.col("rank") <= most_hits).join(found.select("id", "name_key"), "id").select("query_id", "name_key").distinct()
+    top_hits = storage.written(hits.filter(F.col("rank") <= most_hits).select("query_id", "id"), "hits")
+    mine = storage.written(top_hits.join(found.select("id", "name_key"), "id").select("query_id", "name_key").distinct(), "mine")  # read twice
     both = edges.select("source", "target", "n", F.explode(F.array("source", "target")).alias("name_key"))
     w = Window.partitionBy("query_id", "name_key").orderBy(F.col("n").desc(), "source", "target")
     near = mine.join(both, "name_key").withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= per_entity).select("query_id", "source", "target", "n").distinct()
