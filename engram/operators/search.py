@@ -558,11 +558,12 @@ def containing(queries: DataFrame, records: DataFrame) -> DataFrame:
     """
     q = queries.select("query_id", "text").filter("text <> ''").withColumn("inner", F.array_distinct(F.slice(F.split("text", " "), 2, F.greatest(F.size(F.split("text", " ")) - 2, F.lit(0)))))
     asked = q.select("query_id", F.explode("inner").alias("w"))
-    held = records.select("id", F.explode(F.array_distinct(F.split("content", " "))).alias("w")).join(asked.select("w").distinct(), "w", "left_semi")
-    df = held.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    held = records.select("id", F.explode(F.array_distinct(F.split("content", " "))).alias("w"))
+    df = held.join(asked.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     rarest = asked.join(df, "w").groupBy("query_id").agg(F.min(F.struct("df", "w")).alias("r"), F.count(F.lit(1)).alias("n"))
     whole = rarest.join(q.select("query_id", "text", F.size("inner").alias("size")), "query_id").filter("n = size").select("query_id", "text", F.col("r.w").alias("w"))
-    met = whole.join(held, "w").join(records.select("id", "content"), "id").filter(F.contains("content", F.col("text"))).select("query_id", "id")
+    near = storage.written(storage.written(whole, "rarest").join(held, "w").select("query_id", "text", "id"), "near")  # written, so that a join knows how small they are and needs no contents shuffled
+    met = near.join(records.select("id", "content"), "id").filter(F.contains("content", F.col("text"))).select("query_id", "id")
     short = q.filter(F.size("inner") == 0).select("query_id", "text").join(records.select("id", "content"), F.contains("content", F.col("text"))).select("query_id", "id")
     return met.unionAll(short)
 
@@ -579,7 +580,7 @@ def recall_query(query: Column, recent: Column, most: int = 1200) -> Column:
 def recall_context(hits: DataFrame, records: DataFrame, most: int = 4000) -> DataFrame:
     """The text that a recall injects: a head, then blocks by rank until the first that would not fit."""
     head = "Relevant long-term memory:\nUse these memories as supporting context.\n"
-    j = hits.select("query_id", "rank", "id", "score").join(records.select("id", "kind", "scope_type", "scope_id", "source", "tags", "metadata", "content"), "id")
+    j = storage.written(hits.select("query_id", "rank", "id", "score"), "hits").join(records.select("id", "kind", "scope_type", "scope_id", "source", "tags", "metadata", "content"), "id")
     marks = F.concat_ws("; ", F.concat(F.lit("id: "), "id"), F.concat(F.lit("source: "), "source"), F.when(F.size("tags") > 0, F.concat(F.lit("tags: "), F.array_join("tags", ", "))), F.when(F.col("metadata").isNotNull(), F.concat(F.lit("metadata: "), "metadata")))
     block = F.concat(F.lit("- ["), "kind", F.lit("] "), "scope_type", F.lit(":"), "scope_id", F.lit(" (score "), F.format_string("%.2f", "score"), F.lit(")\n  markers: "), marks, F.lit("\n  "), T.trim("content"))
     w = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
