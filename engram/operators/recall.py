@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engram.functions import text as T
-from engram.operators import governance, search, tasks
+from engram.operators import governance, search, storage, tasks
 
 #: What tells a host how to use the memory.
 HINT = "Long-term memory is available. Treat recalled entries as supporting context, prefer newer ones where they disagree, and read a record by its id before quoting it."
@@ -14,7 +14,7 @@ HINT = "Long-term memory is available. Treat recalled entries as supporting cont
 
 def retrieval_context(hits: DataFrame, records: DataFrame, most: int = 4000) -> DataFrame:
     """The retrieval layer's text: a head and a line a hit by rank, cut to ``most``: query_id, retrieval."""
-    j = hits.select("query_id", "rank", "id", "score").join(records.select("id", "kind", "source", "tags", "summary", "content"), "id")
+    j = storage.written(hits.select("query_id", "rank", "id", "score"), "hits").join(records.select("id", "kind", "source", "tags", "summary", "content"), "id")
     marks = F.concat_ws("; ", F.concat(F.lit("id "), "id"), F.concat(F.lit("source "), "source"), F.when(F.size("tags") > 0, F.concat(F.lit("tags "), F.array_join("tags", ", "))), F.concat(F.lit("score "), F.format_string("%.2f", "score")))
     text = F.coalesce(F.when(T.trim("summary") != "", T.trim("summary")), T.trim("content"))
     line = F.concat(F.lit("- ["), "kind", F.lit("] "), text, F.lit(" ("), marks, F.lit(")"))
@@ -48,6 +48,7 @@ def layers(turns: DataFrame, records: DataFrame, now: Column, requested: DataFra
     nav = search.navigation(records, most=room).select("scope_key", F.col("navigation").alias("nav"))
     parts = parts.join(nav, "scope_key", "left").withColumn("navigation", F.when(F.coalesce("palace", "retrieval", "active", "task").isNotNull(), F.col("nav"))).drop("nav")
     parts = parts.withColumn("palace", F.array_join(F.array_compact(F.array("palace", "graph")), "\n\n"))
+    parts = storage.written(parts, "parts")  # a row a turn, read twice
     whole = governance.layered(parts.withColumn("palace", F.when(F.col("palace") != "", F.col("palace"))))
     out = parts.join(whole, "query_id").withColumn("palace", F.when(F.col("palace") != "", F.col("palace")))
     return out.select("query_id", "palace", "retrieval", "active", "task", "graph", "navigation", "stable", "dynamic", T.join_nonblank("\n\n", "stable", "dynamic").alias("injected"))
