@@ -577,14 +577,14 @@ def recall_query(query: Column, recent: Column, most: int = 1200) -> Column:
     return F.substring(F.array_join(parts, "\n\n"), 1, most)
 
 
-def recall_context(hits: DataFrame, records: DataFrame, most: int = 4000) -> DataFrame:
-    """The text that a recall injects: a head, then blocks by rank until the first that would not fit."""
+def recall_context(hits: DataFrame, records: DataFrame, most: int = 4000, head_chars: int | None = None) -> DataFrame:
+    """The text that a recall injects: a head, then blocks by rank until the first that would not fit. The head counts with its own characters, or as ``head_chars``."""
     head = "Relevant long-term memory:\nUse these memories as supporting context.\n"
     j = storage.written(hits.select("query_id", "rank", "id", "score"), "hits").join(records.select("id", "kind", "scope_type", "scope_id", "source", "tags", "metadata", "content"), "id")
     marks = F.concat_ws("; ", F.concat(F.lit("id: "), "id"), F.concat(F.lit("source: "), "source"), F.when(F.size("tags") > 0, F.concat(F.lit("tags: "), F.array_join("tags", ", "))), F.when(F.col("metadata").isNotNull(), F.concat(F.lit("metadata: "), "metadata")))
     block = F.concat(F.lit("- ["), "kind", F.lit("] "), "scope_type", F.lit(":"), "scope_id", F.lit(" (score "), F.format_string("%.2f", "score"), F.lit(")\n  markers: "), marks, F.lit("\n  "), T.trim("content"))
     w = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    b = j.withColumn("block", block).withColumn("used", F.lit(len(head)) + F.sum(F.length("block") + 1).over(w)).withColumn("over", F.max((F.col("used") > most).cast("int")).over(w))
+    b = j.withColumn("block", block).withColumn("used", F.lit(len(head) if head_chars is None else head_chars) + F.sum(F.length("block") + 1).over(w)).withColumn("over", F.max((F.col("used") > most).cast("int")).over(w))
     lines = b.groupBy("query_id").agg(F.array_sort(F.collect_list(F.when(F.col("over") == 0, F.struct("rank", "block")))).alias("bs"), F.count_if(F.col("over") == 0).alias("blocks"))
     return lines.select("query_id", "blocks", F.array_join(F.concat(F.array(F.lit(head)), F.transform("bs", lambda x: x.block)), "\n").alias("context"))
 
