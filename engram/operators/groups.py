@@ -13,7 +13,8 @@ MAX_STEPS = 60
 def groups(links: DataFrame) -> DataFrame:
     """The least reachable node of every node in ``links`` (u, v): node, group. Labels spread over links, and in each step a label takes that of
     its own label, so chains shorten by half. Steps are written to the shared folder."""
-    both = storage.written(links.select("u", "v").unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).filter("u <> v").distinct(), "links")
+    ends = F.array(F.struct(F.col("u"), F.col("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = storage.written(links.filter("u <> v").select(F.inline(ends)).distinct(), "links")  # links are read once: what makes them may be long
     now = storage.written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")), "labels")
     for _ in range(MAX_STEPS):
         near = both.join(now.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))

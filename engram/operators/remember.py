@@ -18,13 +18,14 @@ from datetime import datetime
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engram.functions import text as T
 from engram.operators import storage
 from engram.operators.groups import groups
-from engram.operators.search import DIMS, _indexed
+from engram.operators.search import DIMS, LATIN, LONG_WORD, _indexed, words
 
 THRESHOLD, CANDIDATE_SHARE, EVALUATED, IGNORED = 0.85, 0.7, 0.7, 0.95
 MODES = ("threshold", "rules", "conservative")
@@ -89,8 +90,17 @@ def candidates(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
     return met.groupBy("ord", "id", "common").agg(F.count(F.lit(1)).alias("met")).filter("met >= common").select("ord", "id")
 
 
-#: Rows of a side that meet in one block of a scope and kind, rows of them that are multiplied at once, and links of a block that are held before they are given on.
-BLOCK_ROWS, SLICE_ROWS, HELD = 8192, 256, 50_000
+#: Rows of a side that meet in one block of a scope and kind, inputs of them that are compared at once, tokens that are counted at once, and links of a block that are held before they are given on.
+BLOCK_ROWS, SLICE_ROWS, COUNTED, HELD = 12_288, 256, 1 << 21, 50_000
+#: Bits that stand for a record's tokens when the tokens in common are bounded, and what bounds may lack by their single precision.
+BITS, SLACK = 2048, 1e-5
+#: About what steps cost in nanoseconds, by which a way to count is chosen: an entry of a token's list of records, a pair's sets of bits, a token of a record.
+LISTED, PAIRED, READ = 2, 150, 10
+
+
+def _parts(df: DataFrame) -> int:
+    """Partitions for work that grows faster than its rows: as many as are set, so that few bytes don't bring much of it together."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _met(inputs: DataFrame, records: DataFrame, id_col: str) -> DataFrame:
@@ -110,95 +120,244 @@ def _met(inputs: DataFrame, records: DataFrame, id_col: str) -> DataFrame:
     left = a.join(sizes, ["scope_key", "kind"]).withColumn("i", piece("ord", "ni")).withColumn("j", every("nj")).withColumn("side", F.lit(0)).select(*names)
     right = b.join(sizes, ["scope_key", "kind"]).withColumn("j", piece("id", "nj")).withColumn("i", every("ni")).withColumn("side", F.lit(1)).select(*names)
     block = ["scope_key", "kind", "i", "j"]
-    return left.unionAll(right).repartition(*block).sortWithinPartitions(*block, "side")
+    return left.unionAll(right).repartition(_parts(inputs), *block).sortWithinPartitions(*block, "side")
 
 
-class Meeting:
-    """The inputs of one block while its records pass by; ``keep`` says what is given on: all pairs, each input's best one (all of inputs marked whole), or links enough to join what similarity joins."""
+def token_sets(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Of each text the sorted ids of its distinct tokens and its hashed vector, as ``search.index`` has them but with ids of another kind.
 
-    def __init__(self, cut: float, keep: str):
-        self.cut, self.keep = cut, keep
-        self.ords: list[int] = []
-        self.whole: list[bool] = []
+    New words never end, so none is looked up: words of all texts are runs between blanks in one array of UTF-16 units, and a step of both hashes goes over all of them.
+    """
+    parts, short = [], []
+    for text in texts:
+        low = text.lower()
+        try:
+            parts.append(np.frombuffer((low.encode("latin-1") + b" ").translate(LATIN), np.uint8).astype(np.uint16))
+            short.append(1)
+        except UnicodeEncodeError:
+            parts.append(np.frombuffer((" ".join(words(text)) + " ").encode("utf-16-le", "surrogatepass"), "<u2"))
+            short.append(0)
+    units = np.concatenate(parts)
+    ends_of = np.cumsum([len(x) for x in parts])
+    edge = np.flatnonzero(np.diff((units != 32).astype(np.int8), prepend=0))
+    start, size = edge[::2], edge[1::2] - edge[::2]
+    of = np.searchsorted(ends_of, start, "right")
+    token = size > np.array(short)[of]
+    start, size, of = start[token], size[token], of[token]
+    h, wide = np.full(len(start), 2166136261, np.uint32), np.full(len(start), 0xCBF29CE484222325, np.uint64)
+    order = np.argsort(np.minimum(size, LONG_WORD + 1).astype(np.int16), kind="stable")[::-1]
+    at, left = start[order], size[order]
+    long = int(np.searchsorted(-left, -LONG_WORD))
+    for k in range(long):  # one by one
+        x, y = 2166136261, 0xCBF29CE484222325
+        for u in units[at[k] : at[k] + left[k]].tolist():
+            x, y = ((x ^ u) * 16777619) & 0xFFFFFFFF, ((y ^ u) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
+        h[k], wide[k] = x, y
+    at, left, low_, high = at[long:], left[long:], h[long:], wide[long:]
+    for step in range(int(left[0]) if len(left) else 0):
+        n = int(np.searchsorted(-left, -step))  # as many as are longer
+        u = units[at[:n] + step]
+        low_[:n] = (low_[:n] ^ u) * np.uint32(16777619)
+        high[:n] = (high[:n] ^ u) * np.uint64(0x100000001B3)
+    hashed, ids = h.astype(np.int64), np.empty(len(wide), np.int64)
+    vectors = np.bincount(of[order] * DIMS + hashed % DIMS, 1.0 - 2 * (hashed % 2), len(texts) * DIMS).astype(np.float32).reshape(-1, DIMS)
+    ids[order] = wide.view(np.int64)
+    sets = [np.sort(x) for x in np.split(ids, np.searchsorted(of, np.arange(1, len(texts))))]
+    return [x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x for x in sets], vectors
+
+
+class Side:
+    """The rows of one side of a block: keys, and in flat arrays the tokens, the hashed vectors and a set of bits for the tokens."""
+
+    def __init__(self, known: dict[bytes, tuple]):
+        self.known = known  # what is made of a text, by its digest: copies and texts of both sides are read once
+        self.keys: list[tuple] = []
         self.tokens: list[np.ndarray] = []
         self.vectors: list[np.ndarray] = []
-        self.slices: list[tuple] | None = None
-        self.out: list[tuple] = []
 
-    def add(self, ord_: int, whole: bool, text: str) -> None:
-        ids, v = scaled(text)
-        self.ords.append(ord_), self.whole.append(whole), self.tokens.append(ids), self.vectors.append(v)
+    def add(self, keys: list[tuple], texts: list[str]) -> None:
+        for lo in range(0, len(texts), SLICE_ROWS):
+            part = texts[lo : lo + SLICE_ROWS]
+            marks = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in part]
+            new = {m: t for m, t in zip(marks, part) if m not in self.known}
+            ids, vectors = token_sets([*new.values()]) if new else ([], np.zeros((0, DIMS), np.float32))
+            self.known.update(zip(new, zip(ids, vectors)))
+            self.tokens += [self.known[m][0] for m in marks]
+            self.vectors.append(np.stack([self.known[m][1] for m in marks]))
+        self.keys += keys
 
     def ready(self) -> None:
-        self.slices = []
-        for lo in range(0, len(self.ords), SLICE_ROWS):
-            ts = self.tokens[lo : lo + SLICE_ROWS]
-            known, at = np.unique(np.concatenate(ts), return_inverse=True)
-            self.slices.append((lo, known, np.repeat(np.arange(len(ts)), [len(t) for t in ts]), at, np.array([len(t) for t in ts], float), np.stack(self.vectors[lo : lo + SLICE_ROWS])))
-        self.group = np.arange(len(self.ords))
-        self.best: list[tuple | None] = [None] * len(self.ords)
-        self.tokens, self.vectors = [], []
-
-    def meet(self, ids: list[str], born: list[int], texts: list[str]) -> Iterator[pa.RecordBatch]:
-        """At most ``SLICE_ROWS`` records against all inputs."""
-        if self.slices is None:
-            self.ready()
-        made = [scaled(t) for t in texts]
-        values, row = np.concatenate([t for t, _ in made]), np.repeat(np.arange(len(made)), [len(t) for t, _ in made])
-        vectors, found = np.stack([v for _, v in made]), []
-        for lo, known, in_row, at, size, w in self.slices:
-            if not len(known):
+        self.size = np.array([len(t) for t in self.tokens], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.concatenate(self.tokens)
+        self.v = np.concatenate(self.vectors)
+        self.norm = np.sqrt(np.einsum("ij,ij->i", self.v, self.v, dtype=float))
+        self.scale = (1 / np.where(self.norm > 0, self.norm, 1)).astype(np.float32)
+        self.bits = _bits(self.flat, np.repeat(np.arange(len(self.size)), self.size), len(self.size))
+        self.spare = self.size - np.bitwise_count(self.bits).sum(1, dtype=np.int64)  # tokens that share their bit with another
+        self.tokens, self.vectors, self.known = [], [], {}
+
+
+def _bits(tokens: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """A set of ``BITS`` bits for each of ``n`` rows of tokens."""
+    out = np.zeros((n, BITS // 8), np.uint8)
+    bit = (tokens & (BITS - 1)).astype(np.int64)
+    np.bitwise_or.at(out.reshape(-1), row * (BITS // 8) + (bit >> 3), (1 << (bit & 7)).astype(np.uint8))
+    return out.view(np.uint64)
+
+
+def _spans(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Consecutive places whose sizes sum to ``most`` about, one at least."""
+    ends, lo = np.cumsum(sizes), 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+        yield slice(lo, hi)
+        lo = hi
+
+
+class Meeting:
+    """The inputs and records of one block; ``keep`` says what is given on: all pairs, each input's best one (all of inputs marked whole), or links enough to join what similarity joins.
+
+    The cosines of all pairs are made as matrices. They bound the similarity, as the overlap is at most 1 and at most the record's share of tokens, and sets of bits bound the overlap; only pairs that may still
+    count (from the cut on, better than the input's best one so far, or not joined yet) have their tokens counted.
+    """
+
+    def __init__(self, cut: float, keep: str):
+        self.cut, self.keep = cut, keep
+        known: dict[bytes, tuple] = {}
+        self.a, self.b = Side(known), Side(known)
+        self.out: list[tuple] = []
+
+    def pairs(self) -> Iterator[pa.RecordBatch]:
+        a, b = self.a, self.b
+        if a.keys and b.keys:
+            a.ready(), b.ready()
+            self.listed()
+            self.whole = np.array([w for _, w in a.keys])
+            self.best: list[tuple | None] = [None] * len(a.keys)
+            self.parent = np.arange(len(a.keys) + len(b.keys))
+            order = np.argsort(a.size, kind="stable")
+            for lo in range(0, len(order), SLICE_ROWS):
+                self.slice(order[lo : lo + SLICE_ROWS])
+                if len(self.out) >= HELD:
+                    yield self.batch()
+            self.out += [x[1] for x in self.best if x is not None]
+        yield self.batch()
+
+    def slice(self, at: np.ndarray) -> None:
+        """Some inputs against all records."""
+        a, b = self.a, self.b
+        cosine = (a.v[at] @ b.v.T) * a.scale[at, None] * b.scale
+        bound = np.minimum(b.size.astype(np.float32) / np.maximum(a.size[at, None], 1).astype(np.float32), 1) * 0.5 + (cosine + 1) * 0.25
+        bound[a.size[at] == 0] = 0
+        if self.keep == "links":
+            for floor in (max(IGNORED, self.cut), self.cut):
+                joined = self.parent[at][:, None] == self.parent[None, len(a.keys) :]
+                self.join(*self.counted(at, *np.nonzero((bound >= floor - SLACK) & ~joined), cosine, np.full(len(at), self.cut)))
+            return
+        floor = np.full(len(at), self.cut)
+        if self.keep == "best":
+            first = self.counted(at, np.arange(len(at)), bound.argmax(1), cosine, floor)
+            self.better(*first)
+            floor[[k for k in range(len(at)) if not self.whole[at[k]] and self.best[at[k]] is not None]] = [self.best[k][0][0] for k in at.tolist() if not self.whole[k] and self.best[k] is not None]
+        found = self.counted(at, *np.nonzero(bound >= (floor - SLACK)[:, None]), cosine, floor)
+        (self.better if self.keep == "best" else self.give)(*found)
+
+    def listed(self) -> None:
+        """Numbers of the block's tokens in place of their ids, and of each token the records that have it."""
+        a, b = self.a, self.b
+        every = np.concatenate([a.flat, b.flat])
+        order = np.argsort(every)
+        every = every[order]
+        number = np.cumsum(np.concatenate([[0], every[1:] != every[:-1]]), dtype=np.int32)
+        ids = np.empty(len(every), np.int32)
+        ids[order] = number
+        a.flat, b.flat = ids[: len(a.flat)], ids[len(a.flat) :]
+        theirs = order >= len(a.flat)
+        self.have = np.repeat(np.arange(len(b.size)), b.size)[order[theirs] - len(a.flat)]
+        ends = np.cumsum(np.bincount(number[theirs], minlength=int(number[-1]) + 1))
+        self.ends = np.concatenate([[0], ends])
+        had = np.concatenate([[0], np.cumsum(np.diff(self.ends)[a.flat])])
+        self.entries = had[a.start + a.size] - had[a.start]
+        self.mark = np.zeros(len(ends), bool)
+
+    def counted(self, at: np.ndarray, i: np.ndarray, r: np.ndarray, cosine: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of pairs (place in the slice, in order, and record) that may reach their input's floor those from the cut on: input, record, overlap, similarity."""
+        a, b = self.a, self.b
+        lists = LISTED * self.entries[at]
+        kept = [np.flatnonzero((easy := lists < PAIRED * np.bincount(i, minlength=len(at)))[i])]
+        hard = np.flatnonzero(~easy[i])
+        for lo in range(0, len(hard), 1 << 13):
+            k = hard[lo : lo + (1 << 13)]
+            x, y = i[k], r[k]
+            met = np.bitwise_count(a.bits[at[x]] & b.bits[y]).sum(1, dtype=np.int64) + a.spare[at[x]]
+            kept.append(k[np.minimum(met / np.maximum(a.size[at[x]], 1), 1) * 0.5 + (cosine[x, y] + 1) * 0.25 >= floor[x] - SLACK])
+        kept = np.sort(np.concatenate(kept))
+        i, r = i[kept], r[kept]
+        n = np.zeros(len(i), np.int64)
+        read = READ * np.bincount(i, b.size[r], minlength=len(at))
+        starts = np.flatnonzero(np.diff(i, prepend=-1))
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(i)]):
+            x = at[i[lo]]
+            mine = a.flat[a.start[x] : a.start[x] + a.size[x]]
+            if lists[i[lo]] < read[i[lo]]:
+                n[lo:hi] = np.bincount(np.concatenate([self.have[p:q] for p, q in zip(self.ends[mine].tolist(), self.ends[mine + 1].tolist())]), minlength=len(b.size))[r[lo:hi]]
                 continue
-            spot = np.minimum(np.searchsorted(known, values), len(known) - 1)
-            hit = np.flatnonzero(known[spot] == values)
-            shared, back = np.unique(spot[hit], return_inverse=True)  # words that both have: no others count
-            place = np.full(len(known), -1)
-            place[shared] = np.arange(len(shared))
-            mine, theirs = np.zeros((len(size), len(shared)), np.float32), np.zeros((len(made), len(shared)), np.float32)
-            ok = place[at] >= 0
-            mine[in_row[ok], place[at[ok]]], theirs[row[hit], back] = 1, 1
-            overlap = (mine @ theirs.T) / np.maximum(size, 1)[:, None]
-            s = 0.5 * overlap + 0.5 * np.clip((w @ vectors.T + 1) / 2, 0, 1)
-            i, r = np.nonzero((s >= self.cut - 1e-12) & (overlap >= 2 * self.cut - 1 - 1e-9))
-            found.append((i + lo, r, overlap[i, r].astype(float), s[i, r]))
-        if found:
-            i, r, o, s = (np.concatenate(c) for c in zip(*found))
-        if found and len(i):
-            {"all": self.give, "best": self.keep_best, "links": self.keep_links}[self.keep](i, r, o, s, ids, born)
-        if len(self.out) >= HELD:
-            yield self.batch()
-
-    def give(self, i, r, o, s, ids, born) -> None:
-        self.out += [(self.ords[a], ids[b], float(x), float(y), born[b]) for a, b, x, y in zip(i.tolist(), r.tolist(), o.tolist(), s.tolist())]
-
-    def keep_best(self, i, r, o, s, ids, born) -> None:
-        for a, b, x, y in zip(i.tolist(), r.tolist(), o.tolist(), s.tolist()):
-            rank = (round(y, 12), born[b] is not None, -(born[b] or 0))
-            if self.whole[a]:
-                self.out.append((self.ords[a], ids[b], x, y, born[b]))
-            elif self.best[a] is None or rank > self.best[a][0]:
-                self.best[a] = rank, (self.ords[a], ids[b], x, y, born[b])
-
-    def keep_links(self, i, r, o, s, ids, born) -> None:
-        order = np.argsort(r, kind="stable")
-        for rows in np.split(order, np.flatnonzero(np.diff(r[order])) + 1):
-            a, b = i[rows], int(r[rows[0]])
-            labels, first = np.unique(self.group[a], return_index=True)
-            for k in first.tolist():
-                self.out.append((self.ords[a[k]], ids[b], float(o[rows[k]]), float(s[rows[k]]), born[b]))
-            if len(labels) > 1:
-                self.group[np.isin(self.group, labels)] = labels[0]
+            self.mark[mine] = True
+            for part in _spans(b.size[r[lo:hi]], COUNTED):
+                y = r[lo:hi][part]
+                ends = np.cumsum(b.size[y])
+                hit = self.mark[b.flat[np.repeat(b.start[y] - (ends - b.size[y]), b.size[y]) + np.arange(ends[-1])]]
+                sums = np.concatenate([[0], np.cumsum(hit)])
+                n[lo:hi][part] = sums[ends] - sums[ends - b.size[y]]
+            self.mark[mine] = False
+        overlap = n / np.maximum(a.size[at[i]], 1)
+        near = np.flatnonzero(overlap * 0.5 + (cosine[i, r] + 1) * 0.25 >= floor[i] - SLACK)
+        i, r, n, overlap = at[i[near]], r[near], n[near], overlap[near]
+        dot = np.concatenate([[0.0], *(np.einsum("ij,ij->i", a.v[i[lo : lo + (1 << 13)]], b.v[r[lo : lo + (1 << 13)]], dtype=float) for lo in range(0, len(i), 1 << 13))])[1:]
+        length = a.norm[i] * b.norm[r]
+        s = 0.5 * overlap + 0.5 * np.clip((np.divide(dot, length, out=np.zeros(len(i)), where=length > 0) + 1) / 2, 0, 1)
+        ok = (s >= self.cut - 1e-12) & (n > 0)
+        return i[ok], r[ok], overlap[ok], s[ok]
+
+    def row(self, i: int, r: int, o: float, s: float) -> tuple:
+        return (self.a.keys[i][0], self.b.keys[r][0], o, s, self.b.keys[r][1])
+
+    def give(self, i, r, o, s) -> None:
+        self.out += map(self.row, i.tolist(), r.tolist(), o.tolist(), s.tolist())
+
+    def better(self, i, r, o, s) -> None:
+        for x in zip(i.tolist(), r.tolist(), o.tolist(), s.tolist()):
+            if self.whole[x[0]]:
+                self.out.append(self.row(*x))
+                continue
+            id_, born = self.b.keys[x[1]]
+            rank, held = (round(x[3], 12), born is not None, -(born or 0)), self.best[x[0]]
+            if held is None or rank > held[0] or (rank == held[0] and id_ < held[1][1]):
+                self.best[x[0]] = rank, self.row(*x)
+
+    def join(self, i, r, o, s) -> None:
+        root = self.parent.tolist()
+
+        def top(k: int) -> int:
+            while root[k] != k:
+                root[k] = k = root[root[k]]
+            return k
+
+        for x in zip(i.tolist(), r.tolist(), o.tolist(), s.tolist()):
+            p, q = top(x[0]), top(len(self.a.keys) + x[1])
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                self.out.append(self.row(*x))
+        self.parent = np.array(root)
+        while (self.parent != (up := self.parent[self.parent])).any():
+            self.parent = up
 
     def batch(self) -> pa.RecordBatch:
         cols, self.out = list(zip(*self.out)) or [()] * 5, []
         kinds = (pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["ord", "id", "overlap", "similarity", "born"])
 
-    def done(self) -> pa.RecordBatch:
-        if self.slices is not None:
-            self.out += [b[1] for b in self.best if b is not None]
-        return self.batch()
-
 
 def _similar(inputs: DataFrame, records: DataFrame, cut: float, keep: str = "all", id_col: str = "id") -> DataFrame:
     """(ord, id, overlap, similarity, born) of inputs and records with the same scope and kind, from ``cut`` on; of them what ``keep`` says (``Meeting``), by block."""
@@ -214,17 +373,15 @@ def _similar(inputs: DataFrame, records: DataFrame, cut: float, keep: str = "all
                 key, side = block[lo][:4], block[lo][4]
                 if key != at:
                     if state is not None:
-                        yield state.done()
+                        yield from state.pairs()
                     at, state = key, Meeting(cut, keep)
                 ords, ids, born, whole, texts = (b.column(k).slice(lo, hi - lo).to_pylist() for k in range(5, 10))
                 if side == 0:
-                    for x in zip(ords, whole, texts):
-                        state.add(*x)
-                elif state.ords:
-                    for k in range(0, len(ids), SLICE_ROWS):
-                        yield from state.meet(ids[k : k + SLICE_ROWS], born[k : k + SLICE_ROWS], texts[k : k + SLICE_ROWS])
+                    state.a.add([*zip(ords, whole)], texts)
+                elif state.a.keys:
+                    state.b.add([*zip(ids, born)], texts)
         if state is not None:
-            yield state.done()
+            yield from state.pairs()
 
     return _met(inputs, records, id_col).mapInArrow(read, "ord long, id string, overlap double, similarity double, born long")
 
@@ -373,37 +530,64 @@ ROW = ["id", "scope_type", "scope_id", "scope_key", "kind", "content", "summary"
 
 
 class Fold:
-    """The records of one group while inputs are written to it in their order."""
+    """The records of one group while inputs are written to it in their order; what similarity needs of them is held in arrays, in which a write finds its best record as in a block (``Meeting``)."""
 
     def __init__(self, mode: str, threshold: float, prefix: int, now: datetime):
         self.mode, self.threshold, self.prefix, self.now = mode, threshold, prefix, now
         self.cut = candidate_cut(mode, threshold)
         self.temporal = regex.compile(T.TEMPORAL)
         self.rows: list[dict] = []
-        self.features: list[tuple[set[int], np.ndarray]] = []
+        self.tokens: list[np.ndarray] = []
+        self.kinds: dict[tuple, int] = {}
+        self.v, self.norm, self.size, self.of = np.zeros((64, DIMS), np.float32), np.zeros(64), np.zeros(64, np.int64), np.zeros(64, np.int64)
+        self.mark = np.zeros(1 << 16, bool)
 
     @staticmethod
     def text(r: dict) -> str:
         return "\n".join(x for x in (r["kind"], r["summary"], r["content"], " ".join(r["tags"] or ()), r["scope_type"], r["scope_id"]) if x)
 
-    def put(self, r: dict, at: int | None = None) -> None:
-        ids, v = scaled(self.text(r))
-        entry = {*ids.tolist()}, v
+    def made(self, rows: list[dict]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The tokens and vectors of some rows at once, as ``put`` and ``write`` take them."""
+        return [*zip(*token_sets([self.text(r) for r in rows]))]
+
+    def put(self, r: dict, at: int | None = None, made: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        ids, v = made or self.made([r])[0]
         if at is None:
-            self.rows.append(r), self.features.append(entry)
-        else:
-            self.features[at] = entry
-
-    def candidates(self, r: dict) -> list[tuple[float, int]]:
-        ids, v = scaled(self.text(r))
-        mine, out = {*ids.tolist()}, []
-        for i, (r2, (theirs, w)) in enumerate(zip(self.rows, self.features)):
-            if r2["scope_key"] != r["scope_key"] or r2["kind"] != r["kind"]:
-                continue
-            overlap = len(mine & theirs) / len(mine) if mine and theirs else 0.0
-            s = 0.5 * overlap + 0.5 * _clamp((float(v @ w) + 1) / 2, 0, 1)
-            if s >= self.cut - 1e-12:
-                out.append((s, i))
+            at = len(self.rows)
+            self.rows.append(r), self.tokens.append(ids)
+            if at == len(self.v):
+                self.v, self.norm, self.size, self.of = (np.concatenate([x, np.zeros_like(x)]) for x in (self.v, self.norm, self.size, self.of))
+        self.tokens[at], self.v[at], self.size[at] = ids, v, len(ids)
+        self.norm[at] = np.sqrt(np.square(v, dtype=float).sum())
+        self.of[at] = self.kinds.setdefault((r["scope_key"], r["kind"]), len(self.kinds))
+
+    def candidates(self, r: dict, every: bool = True, made: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[float, int]]:
+        """The records of the input's scope and kind from the cut on, the most similar first; all of them, or some with the first."""
+        ids, v = made or self.made([r])[0]
+        n, kind = len(self.rows), self.kinds.get((r["scope_key"], r["kind"]))
+        if kind is None or not len(ids):
+            return []
+        norm = np.sqrt(np.square(v, dtype=float).sum())
+        length = self.norm[:n] * norm
+        cosine = np.divide(self.v[:n] @ v, length, out=np.zeros(n), where=length > 0)
+        bound = np.where(self.of[:n] == kind, 0.5 * np.minimum(self.size[:n] / len(ids), 1) + 0.25 * (cosine + 1), -1)
+
+        def exact(at: np.ndarray) -> np.ndarray:
+            sums = np.zeros(len(at))
+            for part in _spans(self.size[at], COUNTED):
+                theirs, sizes = np.concatenate([self.tokens[k] for k in at[part].tolist()]), self.size[at[part]]
+                like = np.flatnonzero(self.mark[theirs & 0xFFFF])
+                hit = like[ids[np.minimum(np.searchsorted(ids, theirs[like]), len(ids) - 1)] == theirs[like]]
+                sums[part] = np.bincount(np.searchsorted(np.cumsum(sizes), hit, "right"), minlength=len(sizes))
+            dot = self.v[at].astype(float) @ v.astype(float)
+            return 0.5 * (sums / len(ids)) + 0.5 * np.clip((np.divide(dot, length[at], out=np.zeros(len(at)), where=length[at] > 0) + 1) / 2, 0, 1)
+
+        self.mark[ids & 0xFFFF] = True
+        floor = self.cut if every else max(self.cut, float(exact(bound.argmax()[None])[0]))
+        at = np.flatnonzero(bound >= floor - SLACK)
+        s = exact(at)
+        self.mark[ids & 0xFFFF] = False
+        out = [(x, k) for x, k in zip(s.tolist(), at.tolist()) if x >= self.cut - 1e-12]
         return sorted(out, key=lambda x: (-round(x[0], 12), x[1]))
 
     def action(self, r: dict, found: list[tuple[float, int]]) -> str:
@@ -418,12 +602,13 @@ class Fold:
             return "ignore" if r["content"].strip(T.BLANKS).startswith("---") and len(head) >= self.prefix and head in heads else "add"
         if s < 0.75:
             return "add"
+        if not self.temporal.search(r["content"]):
+            return "update"
         mine, theirs = ({*scaled(x)[0].tolist()} for x in (r["content"], self.rows[best]["content"]))
-        changed = self.temporal.search(r["content"]) and mine and len(mine & theirs) / len(mine) >= 0.3
-        return "contradict" if changed else "update"
+        return "contradict" if mine and len(mine & theirs) / len(mine) >= 0.3 else "update"
 
-    def write(self, r: dict) -> None:
-        found = self.candidates(r)
+    def write(self, r: dict, made: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        found = self.candidates(r, self.mode == "conservative" and r["content"].strip(T.BLANKS).startswith("---"), made)
         action = self.action(r, found) if found else "add"
         importance, confidence = (d if r[k] is None else r[k] for k, d in (("importance", 0.5), ("confidence", 0.7)))
         tags, given, source = _tags(r["tags"]), _object(r["metadata"]), (r["source"] or "").strip(T.BLANKS) or None
@@ -464,10 +649,11 @@ def remember(inputs: DataFrame, records: DataFrame, now: Column, mode: str = "th
     inputs = storage.written(inputs.withColumn("id", F.sha2(F.concat_ws("|", "scope_key", "kind", "content", F.col("ord").cast("string")), 256)), "batch")
     first = storage.written(inputs.groupBy("mark").agg(F.min_by(F.struct("ord", "scope_type", "scope_id", "scope_key", "kind", "content", "summary", "tags"), "ord").alias("r"), F.count(F.lit(1)).alias("n")).select("mark", "n", "r.*"), "texts")
     node = F.concat(F.lit("i:"), "ord")
-    to_records = _similar(first, records, cut, "links").select(node.alias("u"), F.concat(F.lit("r:"), "id").alias("v"))
-    to_inputs = _similar(first, first.withColumn("id", F.col("ord").cast("string")), cut, "links").select(node.alias("u"), F.concat(F.lit("i:"), "id").alias("v"))
+    texts = ("scope_type", "scope_id", "scope_key", "kind", "content", "summary", "tags")
+    both = records.select(F.concat(F.lit("r:"), "id").alias("id"), *texts).unionByName(first.select(node.alias("id"), *texts))
+    met = _similar(first, both, cut, "links").select(node.alias("u"), F.col("id").alias("v"))
     copies = first.filter("n > 1").select(node.alias("u"), F.concat(F.lit("c:"), "ord").alias("v"))
-    linked = storage.written(groups(to_records.unionAll(to_inputs).unionAll(copies)), "groups")
+    linked = storage.written(groups(met.unionAll(copies)), "groups")
 
     of_inputs = inputs.join(first.select("mark", node.alias("node")), "mark").join(linked, "node", "left")
     of_records = records.select(*ROW).join(linked.filter("node like 'r:%'").select(F.substring("node", 3, 1 << 20).alias("id"), "group"), "id", "left")
@@ -487,18 +673,21 @@ def remember(inputs: DataFrame, records: DataFrame, now: Column, mode: str = "th
 
         for b in batches:
             kinds = b.schema
-            for r in b.to_pylist():
-                if r["group"] != at:
-                    yield from done()
-                    at, state = r["group"], Fold(mode, threshold, prefix, r["now"])
-                row = {c: r[c] for c in ROW}
-                if r["ord"] is None:
-                    state.put(row)
-                else:
-                    state.write(row)
+            listed = b.to_pylist()
+            for lo in range(0, len(listed), SLICE_ROWS):
+                part = listed[lo : lo + SLICE_ROWS]
+                for r, made in zip(part, zip(*token_sets([Fold.text(r) for r in part]))):
+                    if r["group"] != at:
+                        yield from done()
+                        at, state = r["group"], Fold(mode, threshold, prefix, r["now"])
+                    row = {c: r[c] for c in ROW}
+                    if r["ord"] is None:
+                        state.put(row, made=made)
+                    else:
+                        state.write(row, made)
         yield from done()
 
-    folded = rows.repartition("group").sortWithinPartitions("group", order).mapInArrow(fold, schema)
+    folded = rows.repartition(_parts(rows), "group").sortWithinPartitions("group", order).mapInArrow(fold, schema)
     alone = of_inputs.filter("group is null")
     source = F.coalesce(F.when(T.trim("source") != "", T.trim("source")), F.lit("manual"))
     added = alone.select(
