@@ -128,3 +128,19 @@ def test_links_are_made_once(spark):
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("z", "z")], "u string, v string").mapInArrow(count, "u string, v string")
     assert {(r.node, r.group) for r in groups(links).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x")}
     assert made.value == 4
+
+
+@pytest.mark.parametrize("mode", remember.MODES)
+def test_a_group_in_many_blocks_is_decided_as_in_one(spark, monkeypatch, mode):
+    from test_memory import inputs, now, rows
+
+    draw = random.Random(6)
+    said = [" ".join(draw.choice((f"rare{draw.randrange(100)}", f"word{draw.randrange(8)}")) for _ in range(12)) for _ in range(40)]
+    r, i = rows(spark, *[{"content": t} for t in said]), inputs(spark, *[{"content": t if n % 2 else t.rsplit(" ", 3)[0]} for n, t in enumerate(said)])
+    found = []
+    for most in (1000, 11):
+        monkeypatch.setattr(remember, "BLOCK_ROWS", most)
+        decided = sorted((x.ord, x.action, x.target, x.similarity and round(x.similarity, 9)) for x in remember.decisions(i, r, mode).collect())
+        written = sorted((x.content, x.importance, tuple(x.tags)) for x in remember.remember(i, r, now(), mode).select("content", "importance", "tags").collect())
+        found.append((decided, written))
+    assert found[0] == found[1] and {a for _, a, _, _ in found[0][0]} != {"add"}
